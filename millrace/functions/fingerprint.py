@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 MINHASH_STEP = 0x45D9F3B
 MINHASH_MASK = 0xFFFFFFFF
 
-# Bounds the memory of a task, not the input: longer batches are cut into pieces.
-PIECE = 1 << 17
+# Bounds the memory of a task, not the input: long texts are counted piece by piece.
+PIECE = 1 << 16
 CACHE_LIMIT = 1 << 18
 
 
@@ -42,25 +42,8 @@ class _Digests:
         return np.frombuffer(b"".join(out), dtype=np.uint8).reshape(-1, 16)
 
 
-def _segment_reduce(ufunc, digests: np.ndarray, sizes: np.ndarray, expand, dtype) -> np.ndarray:
-    """Reduces the expanded rows of each non-empty segment, piece by piece."""
-    starts = np.concatenate(([0], np.cumsum(sizes)))
-    parts, first = [], 0
-    while first < len(sizes):
-        last = int(np.searchsorted(starts, starts[first] + PIECE, side="right")) - 1
-        if last <= first:
-            # One long text: reduce its own pieces, then combine them.
-            rows = [
-                ufunc.reduce(expand(digests[at : min(at + PIECE, starts[first + 1])]), axis=0, dtype=dtype)
-                for at in range(starts[first], starts[first + 1], PIECE)
-            ]
-            parts.append(ufunc.reduce(np.stack(rows), axis=0)[None, :])
-            first += 1
-            continue
-        block = expand(digests[starts[first] : starts[last]])
-        parts.append(ufunc.reduceat(block, starts[first:last] - starts[first], axis=0, dtype=dtype))
-        first = last
-    return np.concatenate(parts)
+def _pieces(rows: np.ndarray) -> Iterator[np.ndarray]:
+    return (rows[at : at + PIECE] for at in range(0, len(rows), PIECE))
 
 
 def simhash(text: Column, variant: str = "token") -> Column:
@@ -77,24 +60,21 @@ def simhash(text: Column, variant: str = "token") -> Column:
         digests = _Digests()
         half = slice(0, 8) if variant == "token" else slice(8, 16)
         word = re.compile(r"\w+")
+
+        def one(text: str) -> np.ndarray:
+            tokens = text.split() if variant == "token" else word.findall(text)
+            if not tokens:
+                return np.zeros(64, dtype=bool)
+            bits = _pieces(digests.of(tokens)[:, half])
+            votes = 2 * sum(np.unpackbits(b, axis=1).sum(axis=0, dtype=np.int64) for b in bits) - len(tokens)
+            return votes >= 0 if variant == "token" else votes > 0
+
         for batch in batches:
-            lowered = [(value or "").lower() for value in batch]
-            tokens = [t.split() if variant == "token" else word.findall(t) for t in lowered]
-            sizes = np.array([len(t) for t in tokens], dtype=np.int64)
-            filled = sizes > 0
-            out = np.zeros(len(tokens), dtype=np.int64)
-            if filled.any():
-                ones = _segment_reduce(
-                    np.add,
-                    digests.of([t for row in tokens for t in row])[:, half],
-                    sizes[filled],
-                    lambda d: np.unpackbits(d, axis=1),
-                    np.int64,
-                )
-                votes = 2 * ones - sizes[filled][:, None]
-                bits = votes >= 0 if variant == "token" else votes > 0
-                out[filled] = np.packbits(bits, axis=1).view(">i8").ravel()
-            yield pd.Series(out)
+            if len(batch):
+                bits = np.stack([one((value or "").lower()) for value in batch])
+                yield pd.Series(np.packbits(bits, axis=1).view(">i8").ravel().astype(np.int64))
+            else:
+                yield pd.Series([], dtype="int64")
 
     return fingerprint(text)
 
@@ -116,23 +96,18 @@ def minhash_signature(text: Column, num_perm: int = 64) -> Column:
         digests = _Digests()
         steps = ((np.arange(num_perm, dtype=np.uint64) * MINHASH_STEP) & MINHASH_MASK).astype(np.uint32)
 
-        def permuted(part):
-            base = np.ascontiguousarray(part[:, :4]).view(">u4").astype(np.uint32)
-            return base ^ steps[None, :]
+        def one(text: str) -> np.ndarray:
+            tokens = text.split()
+            shingles = list({f"{a} {b}" for a, b in zip(tokens, tokens[1:])} or tokens)
+            least = np.full(num_perm, MINHASH_MASK, dtype=np.uint32)
+            if shingles:
+                base = np.ascontiguousarray(digests.of(shingles)[:, :4]).view(">u4").astype(np.uint32).ravel()
+                for part in _pieces(base):
+                    least = np.minimum(least, (steps[:, None] ^ part[None, :]).min(axis=1))
+            return least.astype(np.int64)
 
         for batch in batches:
-            shingles = []
-            for value in batch:
-                tokens = (value or "").lower().split()
-                pairs = {f"{a} {b}" for a, b in zip(tokens, tokens[1:])}
-                shingles.append(list(pairs or tokens))
-            sizes = np.array([len(s) for s in shingles], dtype=np.int64)
-            filled = sizes > 0
-            out = np.full((len(shingles), num_perm), MINHASH_MASK, dtype=np.int64)
-            if filled.any():
-                flat = digests.of([s for row in shingles for s in row])
-                out[filled] = _segment_reduce(np.minimum, flat, sizes[filled], permuted, np.uint32)
-            yield pd.Series(list(out))
+            yield pd.Series([one((value or "").lower()) for value in batch], dtype="object")
 
     return signature(text)
 
@@ -144,7 +119,10 @@ def signature_agreement(left: Column, right: Column) -> Column:
 
 
 def word_bigrams(words: Column) -> Column:
-    """The distinct pairs of adjacent words, or the words themselves if there is only one."""
+    """The distinct pairs of adjacent words, or the words themselves if there is only one.
+
+    Give the words as a column of their own: they are read several times.
+    """
     pairs = F.zip_with(
         F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))),
         F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))),
@@ -168,8 +146,9 @@ def hashed_vector(text: Column, dim: int = 384, unit_length: bool = True) -> Col
             if sizes.sum():
                 flat = digests.of([t for row in tokens for t in row])
                 place = np.ascontiguousarray(flat[:, :4]).view(">u4").ravel() % dim
+                cell = np.repeat(np.arange(len(tokens)) * dim, sizes) + place
                 sign = np.where(flat[:, 4] >= 128, -1.0, 1.0)
-                np.add.at(out, (np.repeat(np.arange(len(tokens)), sizes), place), sign)
+                out = np.bincount(cell, weights=sign, minlength=out.size).reshape(out.shape)
             if unit_length:
                 norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
                 out = np.divide(out, norm, out=out, where=norm > 0)

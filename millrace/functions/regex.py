@@ -12,9 +12,9 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import DIGIT_BODY, SPACE_BODY, WORD_BODY
+from .text import DIGIT_BODY, JAVA_SPACE_BODY, WORD_BODY
 
-CLASSES = {"s": SPACE_BODY, "w": WORD_BODY, "d": DIGIT_BODY}
+CLASSES = {"s": JAVA_SPACE_BODY, "w": WORD_BODY, "d": DIGIT_BODY}
 WORD = f"[{WORD_BODY}]"
 BOUNDARY = f"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
 NO_BOUNDARY = f"(?:(?<={WORD})(?={WORD})|(?<!{WORD})(?!{WORD}))"
@@ -93,7 +93,6 @@ def to_java_pattern(pattern: str) -> str:
             raise NotInJava(pattern[i : i + 3])
         elif char == "(" and (flags := re.match(r"\(\?([ims]*)(?:-([ims]+))?([:)])", pattern[i:])):
             on, off, end = flags.groups()
-            on = on.replace("i", "iu")
             out.append(f"(?{on}{'-' + off if off else ''}{end}")
             i += flags.end()
         elif char == "{":
@@ -113,8 +112,8 @@ def to_java_pattern(pattern: str) -> str:
         else:
             out.append(char)
             i += 1
-    # (?d): only \n ends a line, as in Python.
-    return "(?d)" + "".join(out)
+    # d: only \n ends a line, as in Python. U: \s and case follow Unicode.
+    return "(?dU)" + "".join(out)
 
 
 def to_java_replacement(pattern: str, replacement: str) -> str:

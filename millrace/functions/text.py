@@ -31,6 +31,11 @@ SENTENCE_END = "[.!?]+"
 ENGLISH_WORDS = ("the", "and", "is", "of", "to", "in", "it", "you", "that")
 
 SPACES = f"[{SPACE_BODY}]+"
+# The same characters for Java: with (?U) its \s lacks only the four separators.
+JAVA_SPACE_BODY = r"\s\x1c-\x1f"
+JAVA_SPACES = f"(?U)[{JAVA_SPACE_BODY}]+"
+# One of the English words between spaces or ends of text; stops at the first one.
+ENGLISH = rf"(?U)(?<![^{JAVA_SPACE_BODY}])(?:{'|'.join(ENGLISH_WORDS)})(?![^{JAVA_SPACE_BODY}])"
 
 
 def strip(text: Column) -> Column:
@@ -40,7 +45,7 @@ def strip(text: Column) -> Column:
 
 def collapse(text: Column) -> Column:
     """Every run of white space as one space."""
-    return F.regexp_replace(text, F.lit(SPACES), F.lit(" "))
+    return F.regexp_replace(text, F.lit(JAVA_SPACES), F.lit(" "))
 
 
 def squash(text: Column) -> Column:
@@ -56,7 +61,7 @@ def is_blank(value: Column, data_type: str = "string") -> Column:
 
 def words(text: Column) -> Column:
     """Python's ``str.split()``: an array without empty items."""
-    return F.array_remove(F.split(text, SPACES), "")
+    return F.array_remove(F.split(text, JAVA_SPACES), "")
 
 
 def sentences(text: Column) -> Column:
@@ -74,5 +79,5 @@ def strip_tags(text: Column) -> Column:
 
 
 def is_english(text: Column) -> Column:
-    known = F.array(*[F.lit(w) for w in ENGLISH_WORDS])
-    return F.arrays_overlap(words(F.lower(text)), known)
+    """Whether one of the words of the lower-cased text is a common English one."""
+    return F.rlike(F.lower(text), F.lit(ENGLISH))

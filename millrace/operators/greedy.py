@@ -1,18 +1,18 @@
 """Resolution of "keep a row iff no earlier kept row is similar" as Spark jobs.
 
-Nodes are rows ``(o, sketch)`` with unique order keys and distinct sketches. Two
-similar nodes share a bucket (a band and its value).
+Nodes are rows ``(o, sketch)`` with unique order keys. Two similar nodes share a bucket
+(a band and its value).
 
-Small buckets are joined with themselves, which gives all similar pairs as edges from
-the earlier to the later node; rounds then settle the edges. A bucket that is too large
-to list its pairs is worked on first, in rounds that are linear in its size:
+Small buckets are joined with themselves, which gives the similar pairs in them as edges
+from the earlier to the later node; rounds then settle the edges. A bucket that is too
+large to list its pairs is worked on in rounds that are linear in its size:
 
-* a node that is the first of all its buckets has no earlier similar node: it stays.
-  The members of its buckets are compared with it alone, and the similar ones go.
-  A large group of similar rows ends here;
-* a bucket that is still too large after its first node was compared holds nodes that
-  agree in one band only. It is cut by the bands of the next level: similar nodes share
-  one of those as well, so nothing is lost.
+* the first node of a large bucket stays once no edge and no other large bucket holds an
+  earlier open node for it. The members of the bucket are compared with it alone, and
+  the similar ones go. A large group of similar rows ends here;
+* a bucket that is still too large after its first node was compared is cut by the bands
+  of the next level: similar nodes share one of those as well, so nothing is lost. A large
+  group of rows that merely share a band ends here.
 
 No step compares all members of a large bucket with each other, and none drops a candidate.
 """
@@ -42,12 +42,12 @@ def _start_depth(nodes: DataFrame, bits: int) -> int:
     return depth
 
 
-def _cut(members: DataFrame, sketch, level: Column | int, levels: list[int]) -> DataFrame:
-    """Replaces each bucket by its sub-buckets of the given level."""
+def _cut(members: DataFrame, sketch, level: Column, levels: list[int]) -> DataFrame:
+    """Replaces each bucket by its sub-buckets of its level, one of ``levels``."""
     parts = F.coalesce(
         *[
             F.when(
-                F.lit(level) == l if isinstance(level, int) else level == l,
+                level == l,
                 F.array(
                     *[
                         F.struct(
@@ -69,7 +69,7 @@ def _members(nodes: DataFrame, sketch, depth: int) -> DataFrame:
     """One row per node and bucket. ``path`` lists the bands that led to the bucket."""
     members = nodes.withColumns({"bucket": F.lit(0).cast("bigint"), "path": F.array().cast("array<tinyint>")})
     for level in range(depth):
-        members = _cut(members, sketch, level, [level])
+        members = _cut(members, sketch, F.lit(level), [level])
     return members
 
 
@@ -107,28 +107,36 @@ def _large(members: DataFrame) -> DataFrame:
     return members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET_ROWS)
 
 
-def _cut_large(members: DataFrame, sketch, large: DataFrame) -> DataFrame:
-    """Cuts the given buckets by their next level and leaves the others."""
-    levels = list(range(1, MAX_LEVEL))
-    marked = members.join(large.select("bucket", F.lit(True).alias("large")), "bucket", "left")
-    cut = F.col("large").isNotNull() & (F.size("path") < MAX_LEVEL)
-    rest = marked.where(~cut).drop("large")
-    finer = _cut(marked.where(cut).drop("large"), sketch, F.size("path"), levels)
-    return rest.unionByName(finer)
+def _cut_further(members: DataFrame, sketch, depths: range) -> DataFrame:
+    """Replaces every bucket by its sub-buckets of the next level; ``depths`` occur in it."""
+    return _cut(members, sketch, F.size("path"), list(depths))
+
+
+def _by_size(members: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Members of small buckets, and of large ones (None if there are none)."""
+    large = _large(members).select("bucket")
+    if large.isEmpty():
+        return members, None
+    large = written(large, "large")
+    return members.join(large, "bucket", "left_anti"), written(members.join(large, "bucket", "left_semi"), "crowded")
 
 
 def similar_pairs(nodes: DataFrame, sketch, carry: list[str]) -> DataFrame:
-    """All similar pairs of nodes: ``o`` and the carried columns with suffixes _a and _b."""
+    """All similar pairs of nodes: ``o`` and the carried columns with suffixes _a and _b.
+
+    Large buckets are cut until they are small or agree in nearly all of the sketch.
+    """
     depth = _start_depth(nodes, sketch.bits)
-    members = _members(nodes, sketch, depth)
-    deepest = depth
-    while deepest < MAX_LEVEL:
-        large = _large(members)
-        if large.isEmpty():
+    small, crowded = _by_size(_members(nodes, sketch, depth))
+    parts = [_join_buckets(small, sketch, depth, carry)]
+    while crowded is not None:
+        depth += 1
+        if depth > MAX_LEVEL:
+            parts.append(_join_buckets(crowded, sketch, MAX_LEVEL, carry))
             break
-        members = written(_cut_large(members, sketch, large), "members")
-        deepest += 1
-    return _join_buckets(members, sketch, deepest, carry)
+        small, crowded = _by_size(written(_cut_further(crowded, sketch, range(depth - 1, depth)), "members"))
+        parts.append(_join_buckets(small, sketch, depth, carry))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def resolve(nodes: DataFrame, sketch, exact: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -136,51 +144,53 @@ def resolve(nodes: DataFrame, sketch, exact: Callable[[DataFrame], DataFrame] |
 
     ``exact`` narrows similar pairs ``(a, b)`` further, where sketches only suggest them.
     """
-    depth = _start_depth(nodes, sketch.bits)
-    members = _members(nodes, sketch, depth).select("o", "sketch", "bucket", "path")
-    gone: list[DataFrame] = []
-    deepest = depth
-    large = _large(members)
-    if not large.isEmpty():
-        members, dropped, deepest = _thin(members, sketch, exact, depth)
-        gone += dropped
-    pairs = _join_buckets(members, sketch, deepest, ["sketch"]).select(
-        F.col("o_a").alias("a"), F.col("o_b").alias("b")
-    )
-    edges = written(exact(pairs) if exact else pairs, "edges")
-    gone += _settle(edges)
-    kept = nodes.select("o")
-    return kept.join(reduce(DataFrame.unionByName, gone), "o", "left_anti") if gone else kept
 
+    def edges_in(members: DataFrame, levels: int) -> DataFrame:
+        pairs = _join_buckets(members, sketch, levels, ["sketch"])
+        pairs = pairs.select(F.col("o_a").alias("a"), F.col("o_b").alias("b"))
+        return exact(pairs) if exact else pairs
 
-def _thin(members: DataFrame, sketch, exact, depth: int) -> tuple[DataFrame, list[DataFrame], int]:
-    """Settles nodes until no bucket is large; returns what is open and what was dropped."""
-    members, gone, deepest = written(members, "members"), [], depth
-    while True:
-        firsts = members.groupBy("bucket").agg(F.min("o").alias("lead"), F.count(F.lit(1)).alias("n"))
-        marked = members.join(firsts, "bucket")
-        ready = written(
-            marked.groupBy("o").agg(F.bool_and(F.col("o") == F.col("lead")).alias("ready")).where("ready").select("o"),
-            "ready",
-        )
-        leads = members.join(ready, "o", "left_semi").select(
+    depth = _start_depth(nodes, sketch.bits)
+    members = _members(nodes, sketch, depth).select("o", "sketch", "bucket", "path")
+    small, crowded = _by_size(members)
+    edges, gone, deepest = written(edges_in(small, depth), "edges"), [], depth
+    while crowded is not None:
+        # Open nodes: ready ones have no earlier open node among their edges and large buckets.
+        firsts = crowded.groupBy("bucket").agg(F.min("o").alias("lead"))
+        later = crowded.join(firsts, "bucket").where(F.col("o") != F.col("lead")).select("o")
+        waiting = later.unionByName(edges.select(F.col("b").alias("o"))).distinct()
+        open_nodes = crowded.select("o").unionByName(edges.select(F.col("a").alias("o"))).distinct()
+        ready = written(open_nodes.join(waiting, "o", "left_anti"), "ready")
+        leads = crowded.join(ready, "o", "left_semi").select(
             "bucket", F.col("o").alias("a"), F.col("sketch").alias("sketch_a")
         )
-        compared = members.join(leads, "bucket").where(F.col("a") < F.col("o"))
+        compared = crowded.join(leads, "bucket").where(F.col("a") < F.col("o"))
         hits = compared.where(sketch.similar(F.col("sketch_a"), F.col("sketch"))).select("a", F.col("o").alias("b"))
         if exact:
             hits = exact(hits.distinct())
-        dropped = written(hits.select(F.col("b").alias("o")).distinct(), "dropped")
+        by_edge = edges.join(ready.withColumnRenamed("o", "a"), "a", "left_semi")
+        dropped = written(hits.select("b").unionByName(by_edge.select("b")).distinct().toDF("o"), "dropped")
         gone.append(dropped)
-        left = members.join(ready.unionByName(dropped), "o", "left_anti")
-        # Only buckets whose first node was compared just now are cut: the others wait for it.
-        done = leads.select("bucket")
-        large = _large(left).select("bucket")
-        cut = _cut_large(left, sketch, large.join(done, "bucket", "left_semi"))
-        members = written(cut, "members")
+        left = crowded.join(ready.unionByName(dropped), "o", "left_anti")
+        # Buckets whose first node was compared just now are cut; the others wait for theirs.
+        cuttable = _large(left).join(leads, "bucket", "left_semi").select("bucket", F.lit(True).alias("cut"))
+        marked = left.join(cuttable, "bucket", "left")
+        cut = F.col("cut").isNotNull() & (F.size("path") < MAX_LEVEL)
+        finer = _cut_further(marked.where(cut).drop("cut"), sketch, range(depth, min(deepest + 1, MAX_LEVEL)))
         deepest = min(deepest + 1, MAX_LEVEL)
-        if _large(members).isEmpty():
-            return members, gone, deepest
+        following = written(marked.where(~cut).drop("cut").unionByName(finer), "members")
+        small, crowded = _by_size(following)
+        open_edges = _without(edges, dropped)
+        edges = written(open_edges.unionByName(edges_in(small, deepest)), "edges")
+    gone += _settle(edges)
+    kept = nodes.select("o")
+    return kept.join(reduce(DataFrame.unionByName, gone), "o", "left_anti") if gone else kept
+
+
+def _without(edges: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The edges between nodes that are still open."""
+    from_open = edges.join(dropped.withColumnRenamed("o", "a"), "a", "left_anti")
+    return from_open.join(dropped.withColumnRenamed("o", "b"), "b", "left_anti").select("a", "b")
 
 
 def _settle(edges: DataFrame) -> list[DataFrame]:
@@ -195,10 +205,5 @@ def _settle(edges: DataFrame) -> list[DataFrame]:
         ready = edges.select("a").distinct().join(later, "a", "left_anti")
         dropped = written(edges.join(ready, "a", "left_semi").select(F.col("b").alias("o")).distinct(), "dropped")
         gone.append(dropped)
-        edges = written(
-            edges.join(dropped.withColumnRenamed("o", "a"), "a", "left_anti").join(
-                dropped.withColumnRenamed("o", "b"), "b", "left_anti"
-            ),
-            "edges",
-        )
+        edges = written(_without(edges, dropped), "edges")
     return gone

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..checks import as_list, col, require_batch, require_columns
 from ..functions import fingerprint
-from ..functions.text import words
+from ..functions.text import squash, words
 from ..scratch import written
 from .greedy import resolve, similar_pairs
 
@@ -196,19 +196,20 @@ def dedup_fuzzy(
     """
     order = as_list(order_by)
     sketch = minhash_sketch(threshold, num_perm)
-    shingles = F.array_sort(fingerprint.word_bigrams(words(F.lower(F.coalesce(_text(column), F.lit(""))))))
-    digest = F.sha2(F.array_join(shingles, "\n"), 256)
+    text = F.lower(F.coalesce(_text(column), F.lit("")))
+    # Texts equal but for case and white space have equal sets; the first of them stands for all.
+    digest = F.sha2(squash(text), 256)
     sketched = _sketched(df, column, order, fingerprint.minhash_signature(_text(column), num_perm), digest.alias("digest"))
-    # Equal sets have equal signatures, so the digest alone groups them.
     groups = sketched.groupBy("digest").agg(F.min(F.struct("o", "sketch")).alias("first"))
     first = written(groups.select("first.o", "first.sketch"), "first")
-    sets = df.select(_order_key(order).alias("o"), shingles.alias("shingles"))
+    texts = df.select(_order_key(order).alias("o"), text.alias("text"))
 
     def exact(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose sets reach the threshold; reads the sets of paired rows only."""
         pairs = written(pairs.select("a", "b"), "candidates")
         paired = pairs.select(F.explode(F.array("a", "b")).alias("o")).distinct()
-        needed = written(sets.join(paired, "o", "left_semi"), "shingles")
+        needed = texts.join(paired, "o", "left_semi").withColumn("words", words(F.col("text")))
+        needed = written(needed.select("o", fingerprint.word_bigrams(F.col("words")).alias("shingles")), "shingles")
         left = needed.select(F.col("o").alias("a"), F.col("shingles").alias("_left"))
         right = needed.select(F.col("o").alias("b"), F.col("shingles").alias("_right"))
         both = pairs.join(left, "a").join(right, "b")

@@ -85,6 +85,8 @@ def chunk_text(
     every row unless ``keep_text`` is off; a later select prunes it too.
     """
     require_columns(df, [column, id_column])
+    if column == id_column and not keep_text:
+        raise ValueError("The id column cannot be dropped")
     if chunk_size < 1:
         raise ValueError("chunk_size must be at least 1")
     step = chunk_size - chunk_overlap
@@ -107,7 +109,7 @@ def chunk_text(
     )
     kept = [col(c) for c in df.columns if keep_text or c != column]
     exploded = split.select(*kept, F.posexplode(chunks).alias("chunk_index", "chunk_text"))
-    return exploded.withColumn("source_row_id", col(id_column) if keep_text or id_column != column else F.lit(None))
+    return exploded.withColumns({"chunk_index": F.col("chunk_index").cast("bigint"), "source_row_id": col(id_column)})
 
 
 def detect_lang(df: DataFrame, column: str) -> DataFrame:

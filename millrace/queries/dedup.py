@@ -9,11 +9,12 @@ from .. import operators as ops
 from ..functions import hamming_distance
 from ..functions.fingerprint import MINHASH_MASK, MINHASH_STEP
 from ..functions.text import WORD_BODY
+from ..sources import spread
 from .catalog import query, sql_words, table
 
 
 def _documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def _hex(value: Column) -> Column:

@@ -116,7 +116,7 @@ def k1(spark, sf_dir):
 
 @query(
     "k2_write_json",
-    "SELECT d.doc_id, d.lang, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
+    "SELECT d.doc_id, d.lang, CAST(l.quality AS BIGINT) AS quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
 )
 def k2(spark, sf_dir):
     path = scratch_path(spark, "k2")
@@ -141,7 +141,7 @@ def k4(spark, sf_dir):
     sources.write_parquet(table(spark, sf_dir, "embeddings"), path, partition_by=["label"])
     vectors = sources.read_parquet(spark, path)
     return vectors.select(
-        "vec_id", "label", F.size("embedding").alias("dim"), F.get("embedding", F.lit(0)).cast("double").alias("first")
+        "vec_id", "label", F.size("embedding").cast("bigint").alias("dim"), F.get("embedding", F.lit(0)).cast("double").alias("first")
     )
 
 

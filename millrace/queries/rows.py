@@ -44,7 +44,7 @@ def p4(spark, sf_dir):
 def p5(spark, sf_dir):
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     named = ops.split_col(part, "p_name", " ", ["adjective", "noun"])
-    return ops.split_col(named, "p_name", " ").select("p_partkey", "adjective", "noun", F.size("p_name").alias("parts"))
+    return ops.split_col(named, "p_name", " ").select("p_partkey", "adjective", "noun", F.size("p_name").cast("bigint").alias("parts"))
 
 
 @query(
@@ -311,8 +311,8 @@ def a2(spark, sf_dir):
 
 @query(
     "a3_summary",
-    f"SELECT count(*) AS row_count, 2 AS column_count, 0 AS blanks_event_id, "
-    f"count_if(note IS NULL OR trim(note) = '') AS blanks_note, 'Tabular Data' AS type FROM ({BLANKED})",
+    f"SELECT count(*) AS row_count, CAST(2 AS BIGINT) AS column_count, CAST(0 AS BIGINT) AS blanks_event_id, "
+    f"CAST(count_if(note IS NULL OR trim(note) = '') AS BIGINT) AS blanks_note, 'Tabular Data' AS type FROM ({BLANKED})",
 )
 def a3(spark, sf_dir):
     summary = ops.dataset_summary(_blanked(spark, sf_dir))

@@ -6,13 +6,15 @@ from pyspark.sql import functions as F
 
 from .. import operators as ops
 from ..functions.text import DIGIT_BODY, ENGLISH_WORDS, ENTITY, SENTENCE_END, SPACE_BODY, TAG, TAG_OR_EMPTY
+from ..scratch import written
+from ..sources import spread
 from .catalog import query, sql_squash, sql_strip, sql_words, table
 
 ENGLISH = f"list_has_any({sql_words('lower(text)')}, {list(ENGLISH_WORDS)})"
 
 
 def _documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def _pages(spark, sf_dir):
@@ -130,7 +132,7 @@ def t8(spark, sf_dir):
 )
 def t9(spark, sf_dir):
     tokens = ops.tokenize(_documents(spark, sf_dir), "text")
-    return tokens.select("doc_id", F.size("text_tokens").alias("n"), F.array_join("text_tokens", "|").alias("tokens"))
+    return tokens.select("doc_id", F.size("text_tokens").cast("bigint").alias("n"), F.array_join("text_tokens", "|").alias("tokens"))
 
 
 @query(
@@ -143,7 +145,7 @@ def t9(spark, sf_dir):
 )
 def t10(spark, sf_dir):
     tokens = ops.tokenize(_documents(spark, sf_dir), "text", mode="sentence")
-    return tokens.select("doc_id", F.size("text_tokens").alias("n"), F.array_join("text_tokens", "|").alias("sentences"))
+    return tokens.select("doc_id", F.size("text_tokens").cast("bigint").alias("n"), F.array_join("text_tokens", "|").alias("sentences"))
 
 
 def chunk_sql(source: str, size: int, overlap: int) -> str:
@@ -195,7 +197,8 @@ def _lexicon(spark, sf_dir):
     """,
 )
 def t13(spark, sf_dir):
-    scored = ops.sentiment(_documents(spark, sf_dir), "text", _lexicon(spark, sf_dir), "doc_id")
+    lexicon = written(_lexicon(spark, sf_dir), "lexicon")
+    scored = ops.sentiment(_documents(spark, sf_dir), "text", lexicon, "doc_id")
     return scored.select("doc_id", F.round("sentiment", 6).alias("sentiment"))
 
 
@@ -210,7 +213,8 @@ def t13(spark, sf_dir):
 )
 def t14(spark, sf_dir):
     vectors = ops.embed_text(_documents(spark, sf_dir), "text", 384, unit_length=False)
-    entries = vectors.select("doc_id", F.posexplode("embedding").alias("place", "value"))
+    # The outer form: the plain one infers a filter that would compute every vector twice.
+    entries = vectors.select("doc_id", F.posexplode_outer("embedding").alias("place", "value"))
     return entries.where("value <> 0").select("doc_id", F.col("place").cast("bigint").alias("place"), F.col("value").cast("bigint").alias("value"))
 
 

@@ -11,6 +11,7 @@ from .readers import (
     read_parquet,
     read_sql,
     read_stream,
+    spread,
 )
 from .writers import save, write_csv, write_json, write_jsonl, write_parquet
 
@@ -26,6 +27,7 @@ __all__ = [
     "read_sql",
     "read_stream",
     "save",
+    "spread",
     "write_csv",
     "write_json",
     "write_jsonl",

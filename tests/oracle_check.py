@@ -37,6 +37,25 @@ def plain(value):
     return value
 
 
+# DuckDB types and the Spark types they stand for.
+SAME_TYPES = {
+    "BIGINT": "bigint",
+    "INTEGER": "int",
+    "SMALLINT": "smallint",
+    "DOUBLE": "double",
+    "FLOAT": "float",
+    "VARCHAR": "string",
+    "BOOLEAN": "boolean",
+    "TIMESTAMP": "timestamp_ntz",
+}
+
+
+def type_problem(dtypes: list[tuple], columns: list[str], types: list) -> str | None:
+    duck = {c: SAME_TYPES.get(str(t), str(t)) for c, t in zip(columns, types)}
+    wrong = {c: (t, duck.get(c)) for c, t in dtypes if duck.get(c) != t}
+    return f"types {wrong}" if wrong else None
+
+
 def kinds(rows: list[tuple], width: int) -> list[set]:
     return [{type(r[i]).__name__ for r in rows if r[i] is not None} for i in range(width)]
 
@@ -77,6 +96,7 @@ def check(spark, connection, sf_dir: str, names=None, report=print) -> list[str]
             result = connection.sql(oracles[name])
             expected = result.fetchall()
             problem = compare(rows, frame.columns, expected, result.columns)
+            problem = problem or type_problem(frame.dtypes, result.columns, result.types)
             report(
                 f"{'ok    ' if problem is None else 'FAILED'} {name:26} {len(rows):>8} rows {spent:6.2f}s "
                 f"sql {time.time() - started:5.2f}s {problem or ''}"
