@@ -1,5 +1,5 @@
-"""Dataset preparation on PySpark: lazy DataFrame -> DataFrame operators."""
+"""Dataset preparation on PySpark: lazy DataFrame -> DataFrame operators.
 
-from . import functions, operators, plans, sources, streaming
-
-__all__ = ["functions", "operators", "plans", "sources", "streaming"]
+Import what you need from ``operators``, ``sources``, ``functions``, ``plans`` and
+``streaming``. Nothing is imported here, which keeps Python workers quick to start.
+"""

@@ -27,17 +27,15 @@ from pyspark.sql import functions as F
 
 from ..scratch import written
 
-# Buckets up to this size are joined with themselves: at most this many pairs per member.
-BUCKET_ROWS = 512
 # Past this many cuts a bucket agrees in nearly all of its sketch, so its pairs are similar.
 MAX_LEVEL = 8
 
 
-def _start_depth(nodes: DataFrame, bits: int) -> int:
+def _start_depth(nodes: DataFrame, sketch) -> int:
     """How many levels of bands it takes for buckets of evenly spread sketches to be small."""
     count = nodes.count()
     depth = 1
-    while depth < MAX_LEVEL and count / 2 ** (bits * depth) > BUCKET_ROWS / 8:
+    while depth < MAX_LEVEL and count / 2 ** (sketch.bits * depth) > sketch.bucket_rows / 8:
         depth += 1
     return depth
 
@@ -103,8 +101,10 @@ def _join_buckets(members: DataFrame, sketch, levels: int, carry: list[str]) ->
     return joined
 
 
-def _large(members: DataFrame) -> DataFrame:
-    return members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET_ROWS)
+def _large(members: DataFrame, sketch) -> DataFrame:
+    """The buckets that are too large to be joined with themselves."""
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.where(F.col("n") > sketch.bucket_rows).select("bucket")
 
 
 def _cut_further(members: DataFrame, sketch, depths: range) -> DataFrame:
@@ -112,9 +112,9 @@ def _cut_further(members: DataFrame, sketch, depths: range) -> DataFrame:
     return _cut(members, sketch, F.size("path"), list(depths))
 
 
-def _by_size(members: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+def _by_size(members: DataFrame, sketch) -> tuple[DataFrame, DataFrame | None]:
     """Members of small buckets, and of large ones (None if there are none)."""
-    large = _large(members).select("bucket")
+    large = _large(members, sketch)
     if large.isEmpty():
         return members, None
     large = written(large, "large")
@@ -126,15 +126,15 @@ def similar_pairs(nodes: DataFrame, sketch, carry: list[str]) -> DataFrame:
 
     Large buckets are cut until they are small or agree in nearly all of the sketch.
     """
-    depth = _start_depth(nodes, sketch.bits)
-    small, crowded = _by_size(_members(nodes, sketch, depth))
+    depth = _start_depth(nodes, sketch)
+    small, crowded = _by_size(_members(nodes, sketch, depth), sketch)
     parts = [_join_buckets(small, sketch, depth, carry)]
     while crowded is not None:
         depth += 1
         if depth > MAX_LEVEL:
             parts.append(_join_buckets(crowded, sketch, MAX_LEVEL, carry))
             break
-        small, crowded = _by_size(written(_cut_further(crowded, sketch, range(depth - 1, depth)), "members"))
+        small, crowded = _by_size(written(_cut_further(crowded, sketch, range(depth - 1, depth)), "members"), sketch)
         parts.append(_join_buckets(small, sketch, depth, carry))
     return reduce(DataFrame.unionByName, parts)
 
@@ -150,9 +150,9 @@ def resolve(nodes: DataFrame, sketch, exact: Callable[[DataFrame], DataFrame] |
         pairs = pairs.select(F.col("o_a").alias("a"), F.col("o_b").alias("b"))
         return exact(pairs) if exact else pairs
 
-    depth = _start_depth(nodes, sketch.bits)
+    depth = _start_depth(nodes, sketch)
     members = _members(nodes, sketch, depth).select("o", "sketch", "bucket", "path")
-    small, crowded = _by_size(members)
+    small, crowded = _by_size(members, sketch)
     edges, gone, deepest = written(edges_in(small, depth), "edges"), [], depth
     while crowded is not None:
         # Open nodes: ready ones have no earlier open node among their edges and large buckets.
@@ -173,13 +173,13 @@ def resolve(nodes: DataFrame, sketch, exact: Callable[[DataFrame], DataFrame] |
         gone.append(dropped)
         left = crowded.join(ready.unionByName(dropped), "o", "left_anti")
         # Buckets whose first node was compared just now are cut; the others wait for theirs.
-        cuttable = _large(left).join(leads, "bucket", "left_semi").select("bucket", F.lit(True).alias("cut"))
+        cuttable = _large(left, sketch).join(leads, "bucket", "left_semi").select("bucket", F.lit(True).alias("cut"))
         marked = left.join(cuttable, "bucket", "left")
         cut = F.col("cut").isNotNull() & (F.size("path") < MAX_LEVEL)
         finer = _cut_further(marked.where(cut).drop("cut"), sketch, range(depth, min(deepest + 1, MAX_LEVEL)))
         deepest = min(deepest + 1, MAX_LEVEL)
         following = written(marked.where(~cut).drop("cut").unionByName(finer), "members")
-        small, crowded = _by_size(following)
+        small, crowded = _by_size(following, sketch)
         open_edges = _without(edges, dropped)
         edges = written(open_edges.unionByName(edges_in(small, deepest)), "edges")
     gone += _settle(edges)

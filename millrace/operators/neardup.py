@@ -34,11 +34,13 @@ class Sketch:
 
     ``bands(level, value)`` cuts one sketch into bands; every level cuts across the
     others. ``similar(left, right)`` decides a pair. ``bits`` is what a band tells apart.
+    Buckets up to ``bucket_rows`` are joined with themselves: so many pairs per member at most.
     """
 
     bands: Callable[[int, Column], list[Column]]
     similar: Callable[[Column, Column], Column]
     bits: int
+    bucket_rows: int
 
 
 def _cut(level: int, size: int, parts: int) -> list[list[int]]:
@@ -49,7 +51,7 @@ def _cut(level: int, size: int, parts: int) -> list[list[int]]:
     return [sorted(places[i * size // parts : (i + 1) * size // parts]) for i in range(parts)]
 
 
-def simhash_sketch(threshold: int) -> Sketch:
+def simhash_sketch(threshold: int, bucket_rows: int = 2048) -> Sketch:
     """At most ``threshold`` differing bits leave one of threshold + 1 groups of bits equal."""
     if not 0 <= threshold < SIMHASH_BITS // 2:
         raise ValueError(f"threshold must be in 0..{SIMHASH_BITS // 2 - 1}")
@@ -65,6 +67,7 @@ def simhash_sketch(threshold: int) -> Sketch:
         bands,
         lambda a, b: fingerprint.hamming_distance(a, b) <= threshold,
         SIMHASH_BITS // (threshold + 1),
+        bucket_rows,
     )
 
 
@@ -73,7 +76,7 @@ def needed_agreement(threshold: float, num_perm: int) -> int:
     return next(m for m in range(num_perm + 1) if m / num_perm >= threshold)
 
 
-def minhash_sketch(threshold: float, num_perm: int = 64) -> Sketch:
+def minhash_sketch(threshold: float, num_perm: int = 64, bucket_rows: int = 512) -> Sketch:
     """``need`` equal positions leave one of num_perm - need + 1 groups of positions equal."""
     if not 0.5 <= threshold <= 1:
         raise ValueError("threshold must be in 0.5..1; below, bands are too short to filter")
@@ -83,7 +86,8 @@ def minhash_sketch(threshold: float, num_perm: int = 64) -> Sketch:
     def bands(level: int, value: Column) -> list[Column]:
         return [F.xxhash64(*[F.get(value, F.lit(p)) for p in places]) for places in _cut(level, num_perm, parts)]
 
-    return Sketch(bands, lambda a, b: fingerprint.signature_agreement(a, b) >= need, 32 * (num_perm // parts))
+    similar = lambda a, b: fingerprint.signature_agreement(a, b) >= need
+    return Sketch(bands, similar, 32 * (num_perm // parts), bucket_rows)
 
 
 def _order_key(order: list[str]) -> Column:
