@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 
 from ..checks import as_list, col, require_columns, require_frame
@@ -22,10 +24,17 @@ def concatenate(df: DataFrame, other: DataFrame) -> DataFrame:
     return df.unionByName(other, allowMissingColumns=True)
 
 
-def join_rows(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+def join_rows(
+    left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner", skewed: bool = False
+) -> DataFrame:
     """Equi-join on shared keys; other shared columns of the right side get ``_right``.
 
-    Null keys match nothing. Spark picks broadcast or sort-merge by the sizes it sees.
+    Null keys match nothing. Spark picks broadcast or sort-merge by the sizes it sees, and
+    its adaptive execution splits frequent keys: on both sides of an inner join, on the
+    left of a left or anti join, on the right of a right join, never in a full join. A
+    full join is therefore a left join and the right rows without a match. ``skewed``
+    builds left and right joins from an inner join and the rows without a match, for keys
+    that are frequent on the optional side.
     """
     keys = as_list(on)
     require_columns(left, keys)
@@ -36,6 +45,20 @@ def join_rows(left: DataFrame, right: DataFrame, on: str | list[str], how: str =
     names = {c: f"{c}_right" for c in right.columns if c in taken}
     if set(names.values()) & (set(left.columns) | set(right.columns)):
         raise ValueError(f"Columns {sorted(names.values())} exist already")
-    return left.join(right.withColumnsRenamed(names), keys, JOIN_KINDS[how])
+    right = right.withColumnsRenamed(names)
+    kind = JOIN_KINDS[how]
+    if kind == "full" or (skewed and kind != "inner"):
+        matched = left.join(right, keys, "inner" if skewed else "left")
+        parts = [matched]
+        if skewed and kind in ("left", "full"):
+            parts.append(_unmatched(left, right, keys))
+        if kind in ("right", "full"):
+            parts.append(_unmatched(right, left, keys))
+        joined = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        return joined.select(*[col(c) for c in matched.columns])
+    return left.join(right, keys, kind)
 
 
+def _unmatched(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows without a match. The other side is reduced to its keys inside the tasks first."""
+    return df.join(other.select(*[col(k) for k in keys]).distinct(), keys, "left_anti")

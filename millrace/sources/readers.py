@@ -65,16 +65,11 @@ def read_csv_strict(
     spark: SparkSession, path: str, columns: list[str], delimiter: str = ",", encoding: str = "utf-8", header: bool = True
 ) -> DataFrame:
     """CSV that drops the rows whose field count differs from that of ``columns``."""
-    # The corrupt-record column must stay in the scan: without it Spark parses only the
-    # columns a query uses and would not see the wrong field count.
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, "_malformed"]])
-    df = (
-        spark.read.options(**_csv_options(delimiter, encoding, False))
-        .options(mode="PERMISSIVE", columnNameOfCorruptRecord="_malformed", enforceSchema=True, header=header)
-        .schema(schema)
-        .csv(path)
-    )
-    return df.where(F.col("_malformed").isNull()).drop("_malformed").fillna("")
+    # Without pruning every field is parsed, so a wrong count shows whatever the query selects.
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    reader = spark.read.options(**_csv_options(delimiter, encoding, False))
+    reader = reader.options(mode="DROPMALFORMED", columnPruning=False, enforceSchema=True, header=header)
+    return reader.schema(schema).csv(path).fillna("")
 
 
 def read_json(

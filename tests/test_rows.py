@@ -95,15 +95,17 @@ def test_joins(spark):
     left = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "k int, v string")
     right = spark.createDataFrame([(2, "B"), (3, "C"), (None, "D")], "k int, v string")
 
-    def joined(how):
-        frame = ops.join_rows(left, right, "k", how)
+    def joined(how, skewed):
+        frame = ops.join_rows(left, right, "k", how, skewed)
         assert frame.columns == ["k", "v", "v_right"]
-        return {tuple(r) for r in frame.collect()}
-
-    assert joined("inner") == {(2, "b", "B")}
-    assert joined("left") == {(1, "a", None), (2, "b", "B"), (None, "c", None)}
-    assert joined("right") == {(2, "b", "B"), (3, None, "C"), (None, None, "D")}
-    assert len(joined("outer")) == 5
+        return sorted((tuple(r) for r in frame.collect()), key=repr)
+
+    both, lefts, rights = [(2, "b", "B")], [(1, "a", None), (None, "c", None)], [(3, None, "C"), (None, None, "D")]
+    for skewed in (False, True):
+        assert joined("inner", skewed) == both
+        assert joined("left", skewed) == sorted(both + lefts, key=repr)
+        assert joined("right", skewed) == sorted(both + rights, key=repr)
+        assert joined("outer", skewed) == sorted(both + lefts + rights, key=repr)
     with pytest.raises(ValueError):
         ops.join_rows(left, right, "k", "cross")
 
