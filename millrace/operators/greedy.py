@@ -40,65 +40,33 @@ def _start_depth(nodes: DataFrame, sketch) -> int:
     return depth
 
 
-def _cut(members: DataFrame, sketch, level: Column, levels: list[int]) -> DataFrame:
-    """Replaces each bucket by its sub-buckets of its level, one of ``levels``."""
-    parts = F.coalesce(
-        *[
-            F.when(
-                level == l,
-                F.array(
-                    *[
-                        F.struct(
-                            F.xxhash64(F.col("bucket"), F.lit(l), F.lit(j), band).alias("bucket"),
-                            F.concat(F.col("path"), F.array(F.lit(j).cast("tinyint"))).alias("path"),
-                        )
-                        for j, band in enumerate(sketch.bands(l, F.col("sketch")))
-                    ]
-                ),
-            )
-            for l in levels
-        ]
+def _cut(members: DataFrame, sketch, levels: list[int]) -> DataFrame:
+    """Replaces each bucket by its sub-buckets of the next level, which is one of ``levels``."""
+    each = [F.array(*sketch.bands(level, F.col("sketch"))) for level in levels]
+    bands = each[0]
+    if len(levels) > 1:
+        bands = F.coalesce(*[F.when(F.col("level") == level, b) for level, b in zip(levels, each)])
+    kept = [c for c in members.columns if c not in ("bucket", "level")]
+    parts = members.select(*kept, "bucket", "level", F.posexplode(bands).alias("place", "band"))
+    return parts.select(
+        *kept, F.xxhash64("bucket", "level", "place", "band").alias("bucket"), (F.col("level") + 1).alias("level")
     )
-    kept = [c for c in members.columns if c not in ("bucket", "path")]
-    return members.select(*kept, F.explode(parts).alias("part")).select(*kept, "part.*")
 
 
 def _members(nodes: DataFrame, sketch, depth: int) -> DataFrame:
-    """One row per node and bucket. ``path`` lists the bands that led to the bucket."""
-    members = nodes.withColumns({"bucket": F.lit(0).cast("bigint"), "path": F.array().cast("array<tinyint>")})
+    """One row per node and bucket, and how many levels of bands led to the bucket."""
+    members = nodes.withColumns({"bucket": F.lit(0).cast("bigint"), "level": F.lit(0)})
     for level in range(depth):
-        members = _cut(members, sketch, F.lit(level), [level])
+        members = _cut(members, sketch, [level])
     return members
 
 
-def _first_path(sketch, levels: int) -> Callable[[Column, Column], list[Column]]:
-    """Per level, the first band in which two sketches agree."""
-
-    def first(a: Column, b: Column) -> list[Column]:
-        return [
-            F.coalesce(
-                *[
-                    F.when(x == y, F.lit(j).cast("tinyint"))
-                    for j, (x, y) in enumerate(zip(sketch.bands(l, a), sketch.bands(l, b)))
-                ]
-            )
-            for l in range(levels)
-        ]
-
-    return first
-
-
-def _join_buckets(members: DataFrame, sketch, levels: int, carry: list[str]) -> DataFrame:
-    """Similar pairs that share a bucket, each once: from the first bands in which they agree."""
-    a = members.select("bucket", "path", *[F.col(c).alias(f"{c}_a") for c in ["o", *carry]])
+def _join_buckets(members: DataFrame, sketch, carry: list[str]) -> DataFrame:
+    """Similar pairs that share a bucket. A pair that shares several comes several times."""
+    a = members.select("bucket", *[F.col(c).alias(f"{c}_a") for c in ["o", *carry]])
     b = members.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ["o", *carry]])
     joined = a.join(b, "bucket").where(F.col("o_a") < F.col("o_b"))
-    joined = joined.where(sketch.similar(F.col("sketch_a"), F.col("sketch_b")))
-    firsts = _first_path(sketch, levels)(F.col("sketch_a"), F.col("sketch_b"))
-    for level, first in enumerate(firsts):
-        at = F.get("path", F.lit(level))
-        joined = joined.where(at.isNull() | (at == first))
-    return joined
+    return joined.where(sketch.similar(F.col("sketch_a"), F.col("sketch_b"))).drop("bucket")
 
 
 def _large(members: DataFrame, sketch) -> DataFrame:
@@ -107,11 +75,6 @@ def _large(members: DataFrame, sketch) -> DataFrame:
     return sizes.where(F.col("n") > sketch.bucket_rows).select("bucket")
 
 
-def _cut_further(members: DataFrame, sketch, depths: range) -> DataFrame:
-    """Replaces every bucket by its sub-buckets of the next level; ``depths`` occur in it."""
-    return _cut(members, sketch, F.size("path"), list(depths))
-
-
 def _by_size(members: DataFrame, sketch) -> tuple[DataFrame, DataFrame | None]:
     """Members of small buckets, and of large ones (None if there are none)."""
     large = _large(members, sketch)
@@ -128,15 +91,15 @@ def similar_pairs(nodes: DataFrame, sketch, carry: list[str]) -> DataFrame:
     """
     depth = _start_depth(nodes, sketch)
     small, crowded = _by_size(_members(nodes, sketch, depth), sketch)
-    parts = [_join_buckets(small, sketch, depth, carry)]
+    parts = [_join_buckets(small, sketch, carry)]
     while crowded is not None:
-        depth += 1
-        if depth > MAX_LEVEL:
-            parts.append(_join_buckets(crowded, sketch, MAX_LEVEL, carry))
+        if depth == MAX_LEVEL:
+            parts.append(_join_buckets(crowded, sketch, carry))
             break
-        small, crowded = _by_size(written(_cut_further(crowded, sketch, range(depth - 1, depth)), "members"), sketch)
-        parts.append(_join_buckets(small, sketch, depth, carry))
-    return reduce(DataFrame.unionByName, parts)
+        small, crowded = _by_size(written(_cut(crowded, sketch, [depth]), "members"), sketch)
+        parts.append(_join_buckets(small, sketch, carry))
+        depth += 1
+    return reduce(DataFrame.unionByName, parts).dropDuplicates(["o_a", "o_b"])
 
 
 def resolve(nodes: DataFrame, sketch, exact: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -145,15 +108,15 @@ def resolve(nodes: DataFrame, sketch, exact: Callable[[DataFrame], DataFrame] |
     ``exact`` narrows similar pairs ``(a, b)`` further, where sketches only suggest them.
     """
 
-    def edges_in(members: DataFrame, levels: int) -> DataFrame:
-        pairs = _join_buckets(members, sketch, levels, ["sketch"])
-        pairs = pairs.select(F.col("o_a").alias("a"), F.col("o_b").alias("b"))
+    def edges_in(members: DataFrame) -> DataFrame:
+        pairs = _join_buckets(members, sketch, ["sketch"])
+        pairs = pairs.select(F.col("o_a").alias("a"), F.col("o_b").alias("b")).distinct()
         return exact(pairs) if exact else pairs
 
     depth = _start_depth(nodes, sketch)
-    members = _members(nodes, sketch, depth).select("o", "sketch", "bucket", "path")
+    members = _members(nodes, sketch, depth).select("o", "sketch", "bucket", "level")
     small, crowded = _by_size(members, sketch)
-    edges, gone, deepest = written(edges_in(small, depth), "edges"), [], depth
+    edges, gone, deepest = written(edges_in(small), "edges"), [], depth
     while crowded is not None:
         # Open nodes: ready ones have no earlier open node among their edges and large buckets.
         firsts = crowded.groupBy("bucket").agg(F.min("o").alias("lead"))
@@ -175,13 +138,16 @@ def resolve(nodes: DataFrame, sketch, exact: Callable[[DataFrame], DataFrame] |
         # Buckets whose first node was compared just now are cut; the others wait for theirs.
         cuttable = _large(left, sketch).join(leads, "bucket", "left_semi").select("bucket", F.lit(True).alias("cut"))
         marked = left.join(cuttable, "bucket", "left")
-        cut = F.col("cut").isNotNull() & (F.size("path") < MAX_LEVEL)
-        finer = _cut_further(marked.where(cut).drop("cut"), sketch, range(depth, min(deepest + 1, MAX_LEVEL)))
+        cut = F.col("cut").isNotNull() & (F.col("level") < MAX_LEVEL)
+        following = marked.where(~cut).drop("cut")
+        if depth < MAX_LEVEL:
+            levels = list(range(depth, min(deepest + 1, MAX_LEVEL)))
+            following = following.unionByName(_cut(marked.where(cut).drop("cut"), sketch, levels))
         deepest = min(deepest + 1, MAX_LEVEL)
-        following = written(marked.where(~cut).drop("cut").unionByName(finer), "members")
+        following = written(following, "members")
         small, crowded = _by_size(following, sketch)
         open_edges = _without(edges, dropped)
-        edges = written(open_edges.unionByName(edges_in(small, deepest)), "edges")
+        edges = written(open_edges.unionByName(edges_in(small)), "edges")
     gone += _settle(edges)
     kept = nodes.select("o")
     return kept.join(reduce(DataFrame.unionByName, gone), "o", "left_anti") if gone else kept
