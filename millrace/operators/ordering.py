@@ -18,16 +18,24 @@ from ..scratch import written
 
 # Hex digits of the hash prefix: 16 ** 4 = 65,536 prefixes, so their counts fit a broadcast.
 PREFIX_DIGITS = 4
-# Up to this many rows a top-n keeps one small heap per task; beyond it, ranks are cut.
-TOP_N_ROWS = 100_000
+# Up to this many whole rows pass one task as a top-n; beyond it, only their keys are ranked.
+TOP_N_ROWS = 1_000
+# Up to this many keys pass one task as a top-n.
+TOP_N_KEYS = 100_000
 
 
 def sort_rows(df: DataFrame, by: str, ascending: bool = True, tiebreak: str | list[str] = ()) -> DataFrame:
-    """Sorts with nulls last ascending and first descending; ties by ``tiebreak``."""
+    """Sorts with nulls last ascending and first descending; ties by ``tiebreak``.
+
+    Without a tiebreak, rows of a frequent value go by a hash of their content: Spark's
+    range partitioning can then split them.
+    """
     require_batch(df, "sort_rows")
     require_columns(df, [by, *as_list(tiebreak)])
     main = col(by).asc_nulls_last() if ascending else col(by).desc_nulls_first()
-    return df.orderBy(main, *[col(c) for c in as_list(tiebreak)])
+    ties = [col(c) for c in as_list(tiebreak)]
+    hashable = [col(name) for name, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    return df.orderBy(main, *(ties or [F.xxhash64(*hashable)] if hashable else ties))
 
 
 def _hash(key: str | list[str], seed: int) -> Column:
@@ -180,9 +188,15 @@ def head(df: DataFrame, n: int = 5, order_by: str | list[str] = "id") -> DataFra
     require_batch(df, "head")
     names = as_list(order_by)
     require_columns(df, names)
+    order = [col(c).asc_nulls_last() for c in names]
     if n <= TOP_N_ROWS:
-        return df.orderBy(*[col(c).asc_nulls_last() for c in names]).limit(n)
-    return with_position(df, names, "_position").where(F.col("_position") < n).drop("_position")
+        return df.orderBy(*order).limit(n)
+    if n <= TOP_N_KEYS:
+        # The last key that belongs is found on keys alone; then it is a plain filter.
+        point = F.struct(*[col(c) for c in names])
+        last = df.select(*[col(c) for c in names]).orderBy(*order).limit(n).agg(F.max(point)).scalar()
+        return df.where(point <= last).orderBy(*order)
+    return with_position(df, names, "_position").where(F.col("_position") < n).drop("_position").orderBy(*order)
 
 
 def batches(df: DataFrame, chunk_size: int = 1000, order_by: str | list[str] = "id") -> DataFrame:

@@ -9,7 +9,6 @@ import argparse
 import math
 import os
 import sys
-import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -116,7 +115,7 @@ def main() -> int:
     parser.add_argument("names", nargs="*")
     parser.add_argument("--dir", default="/root/testdata/sf0.01")
     args = parser.parse_args()
-    spark = local_session(tempfile.mkdtemp(prefix="run-", dir="/tmp"))
+    spark = local_session()
     failed = check(spark, duckdb_with(args.dir), args.dir, args.names, lambda line: print(line, flush=True))
     print(f"{len(failed)} failed: {failed}")
     return 1 if failed else 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
-def local_session(scratch: str, cores: str = "*", partitions: int = 8) -> SparkSession:
+def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("millrace-tests")
@@ -13,7 +13,6 @@ def local_session(scratch: str, cores: str = "*", partitions: int = 8) -> SparkS
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.checkpoint.dir", scratch)
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

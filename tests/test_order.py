@@ -10,6 +10,8 @@ def test_sort(spark):
     df = spark.createDataFrame([(3, "c"), (1, "a"), (None, "n"), (2, "b")], "id int, name string")
     assert [r.id for r in ops.sort_rows(df, "id").collect()] == [1, 2, 3, None]
     assert [r.id for r in ops.sort_rows(df, "id", ascending=False).collect()] == [None, 3, 2, 1]
+    ties = spark.range(90).selectExpr("id % 2 AS k", "id")
+    assert [r.k for r in ops.sort_rows(ties, "k").collect()] == [0] * 45 + [1] * 45
 
 
 def test_sample(items, monkeypatch):
@@ -64,8 +66,11 @@ def test_positions_and_batches(spark, monkeypatch):
     sizes = ops.batches(df, 20, ["k", "u"]).groupBy("batch_id").count().orderBy("batch_id").collect()
     assert [tuple(r) for r in sizes] == [(0, 20), (1, 20), (2, 20), (3, 20), (4, 20), (5, 1)]
     first = [r.v for r in ops.head(df, 7, ["k", "u"]).collect()]
+    assert len(first) == 7
     monkeypatch.setattr(ordering, "TOP_N_ROWS", -1)
-    assert sorted(r.v for r in ops.head(df, 7, ["k", "u"]).collect()) == sorted(first)
+    assert [r.v for r in ops.head(df, 7, ["k", "u"]).collect()] == first
+    monkeypatch.setattr(ordering, "TOP_N_KEYS", -1)
+    assert [r.v for r in ops.head(df, 7, ["k", "u"]).collect()] == first
 
 
 def test_preview(items):
