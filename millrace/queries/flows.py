@@ -26,7 +26,7 @@ def _html(text: str) -> str:
 
 
 @query(
-    "g1_pipeline",
+    "g1_graph",
     "SELECT o_orderkey, lower(o_orderpriority) AS priority, o_totalprice FROM orders WHERE o_totalprice > 200000",
 )
 def g1(spark, sf_dir):
