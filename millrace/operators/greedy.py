@@ -85,21 +85,27 @@ def _by_size(members: DataFrame, sketch) -> tuple[DataFrame, DataFrame | None]:
 
 
 def similar_pairs(nodes: DataFrame, sketch, carry: list[str]) -> DataFrame:
-    """All similar pairs of nodes: ``o`` and the carried columns with suffixes _a and _b.
+    """All similar pairs of nodes: ``o`` and the carried columns with suffixes _a and _b, and their measure.
 
     Large buckets are cut until they are small or agree in nearly all of the sketch.
     """
+
+    def pairs_in(members: DataFrame) -> DataFrame:
+        pairs = _join_buckets(members, sketch, ["sketch", *carry])
+        measure = sketch.measure(F.col("sketch_a"), F.col("sketch_b"))
+        return pairs.withColumn("measure", measure).drop("sketch_a", "sketch_b")
+
     depth = _start_depth(nodes, sketch)
     small, crowded = _by_size(_members(nodes, sketch, depth), sketch)
-    parts = [_join_buckets(small, sketch, carry)]
+    parts = [pairs_in(small)]
     while crowded is not None:
         if depth == MAX_LEVEL:
-            parts.append(_join_buckets(crowded, sketch, carry))
+            parts.append(pairs_in(crowded))
             break
         small, crowded = _by_size(written(_cut(crowded, sketch, [depth]), "members"), sketch)
-        parts.append(_join_buckets(small, sketch, carry))
+        parts.append(pairs_in(small))
         depth += 1
-    return reduce(DataFrame.unionByName, parts).dropDuplicates(["o_a", "o_b"])
+    return reduce(DataFrame.unionByName, parts).distinct()
 
 
 def resolve(nodes: DataFrame, sketch, exact: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

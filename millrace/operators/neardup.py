@@ -33,15 +33,20 @@ class Sketch:
     """A fingerprint column ``sketch`` with its bands and its test of similarity.
 
     ``bands(level, value)`` cuts one sketch into bands; every level cuts across the
-    others. ``similar(left, right)`` decides a pair. ``bits`` is what a band tells apart.
+    others. ``measure(left, right)`` compares a pair and ``near`` decides on the measure.
+    ``bits`` is what a band tells apart.
     Buckets up to ``bucket_rows`` are joined with themselves: so many pairs per member at most.
     """
 
     bands: Callable[[int, Column], list[Column]]
-    similar: Callable[[Column, Column], Column]
+    measure: Callable[[Column, Column], Column]
+    near: Callable[[Column], Column]
     bits: int
     bucket_rows: int
 
+    def similar(self, left: Column, right: Column) -> Column:
+        return self.near(self.measure(left, right))
+
 
 def _cut(level: int, size: int, parts: int) -> list[list[int]]:
     """The places 0..size-1 in ``parts`` groups; level 0 in order, others mixed."""
@@ -65,7 +70,8 @@ def simhash_sketch(threshold: int, bucket_rows: int = 2048) -> Sketch:
 
     return Sketch(
         bands,
-        lambda a, b: fingerprint.hamming_distance(a, b) <= threshold,
+        fingerprint.hamming_distance,
+        lambda distance: distance <= threshold,
         SIMHASH_BITS // (threshold + 1),
         bucket_rows,
     )
@@ -86,8 +92,8 @@ def minhash_sketch(threshold: float, num_perm: int = 64, bucket_rows: int = 512)
     def bands(level: int, value: Column) -> list[Column]:
         return [F.xxhash64(*[F.get(value, F.lit(p)) for p in places]) for places in _cut(level, num_perm, parts)]
 
-    similar = lambda a, b: fingerprint.signature_agreement(a, b) >= need
-    return Sketch(bands, similar, 32 * (num_perm // parts), bucket_rows)
+    bits = 32 * (num_perm // parts)
+    return Sketch(bands, fingerprint.signature_agreement, lambda equal: equal >= need, bits, bucket_rows)
 
 
 def _order_key(order: list[str]) -> Column:
@@ -123,14 +129,14 @@ def _pairs(sketched: DataFrame, order: list[str], sketch: Sketch) -> DataFrame:
     """Verified pairs of distinct sketches, each named by its first row, with its number of rows."""
     groups = sketched.groupBy("sketch").agg(F.min("o").alias("o"), F.count(F.lit(1)).alias("copies"))
     groups = written(groups, "groups")
-    pairs = similar_pairs(groups, sketch, carry=["sketch", "copies"])
+    pairs = similar_pairs(groups, sketch, carry=["copies"])
     names = []
     for side in ("a", "b"):
         if len(order) == 1:
             names.append(F.col(f"o_{side}").alias(f"{order[0]}_{side}"))
         else:
             names += [F.col(f"o_{side}")[c].alias(f"{c}_{side}") for c in order]
-    return pairs.select(*names, "sketch_a", "sketch_b", "copies_a", "copies_b")
+    return pairs.select(*names, "copies_a", "copies_b", "measure")
 
 
 def near_dup_pairs(
@@ -145,10 +151,7 @@ def near_dup_pairs(
     """
     order = as_list(order_by)
     sketched = _sketched(df, column, order, fingerprint.simhash(_text(column), variant))
-    pairs = _pairs(sketched, order, simhash_sketch(threshold))
-    return pairs.withColumn("distance", fingerprint.hamming_distance(F.col("sketch_a"), F.col("sketch_b"))).drop(
-        "sketch_a", "sketch_b"
-    )
+    return _pairs(sketched, order, simhash_sketch(threshold)).withColumnRenamed("measure", "distance")
 
 
 def minhash_pairs(
@@ -162,8 +165,7 @@ def minhash_pairs(
     order = as_list(order_by)
     sketched = _sketched(df, column, order, fingerprint.minhash_signature(_text(column), num_perm))
     pairs = _pairs(sketched, order, minhash_sketch(threshold, num_perm))
-    agreement = fingerprint.signature_agreement(F.col("sketch_a"), F.col("sketch_b"))
-    return pairs.withColumn("similarity", agreement / F.lit(float(num_perm))).drop("sketch_a", "sketch_b")
+    return pairs.withColumn("similarity", F.col("measure") / F.lit(float(num_perm))).drop("measure")
 
 
 def _deduplicate(df: DataFrame, order: list[str], sketched: DataFrame, sketch: Sketch) -> DataFrame:

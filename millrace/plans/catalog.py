@@ -86,7 +86,7 @@ def _split_col(df, column, delimiter, output_columns):
 @operator("filter_rows", column=_column(), op=Param("select", default="==", options=tuple(ops.filters.OPERATORS)),
           value=Param("text"), condition=Param("expression"))
 def _filter_rows(df, column, op, value, condition):
-    return ops.filter_expr(df, condition.replace("==", "=")) if condition else ops.filter_rows(df, column, op, value)
+    return ops.filter_expr(df, condition) if condition else ops.filter_rows(df, column, op, value)
 
 
 operator("length_filter", column=_column(), min_len=Param("number", default=10, min=0),
