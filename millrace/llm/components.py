@@ -1,0 +1,37 @@
+"""Connected components of an edge table by alternating stars."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..scratch import written
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) for every node of ``edges`` (a bigint, b bigint); the component is its smallest node.
+
+    Large and small stars in turns: every node hands its larger neighbours, then its smaller ones, to the smallest
+    node that it knows. Edges never grow in number, and the rounds grow with the logarithm of a component's width.
+    Each round is a written table, so a lost executor repeats one round at most. Self-loops give no node.
+    """
+    current = written(
+        edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "edges"
+    )
+    before = None
+    while True:
+        both = current.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(
+            current.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
+        )
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        # Of a node's smaller neighbours the smallest one takes the others and the node itself.
+        root = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        small = large.join(root, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        current = written(small.union(root.select("hi", F.col("m").alias("lo"))).distinct(), "edges")
+        mark = current.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
+        if mark == before:
+            break
+        before = mark
+    roots = current.select(F.col("lo").alias("node")).distinct().select("node", F.col("node").alias("component"))
+    return current.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(roots)
