@@ -16,7 +16,7 @@ from ..scratch import written
 from .common import arrow_map, blocks, extended, text_bytes
 
 #: Bytes of context.
-DEPTH = 4
+DEPTH = 5
 #: Words and byte strings that tasks hold in memory: the most frequent ones, as many as are within these bounds. All
 #: others meet their counts in a join.
 HELD_WORDS, HELD_GRAMS = 1 << 17, 1 << 21
