@@ -177,7 +177,7 @@ class Rounds:
                 ends = max(-((p - d * (token + 1)) // q), ceil(self.begins[i]))
                 if ends < (self.begins[i + 1] if i + 1 < len(self.begins) else self.end):
                     return ends - 1
-            elif i + 1 < len(self.begins) and (p + 0) // d > token:  # had in full within the phase before
+            elif p // d > token:  # served within the phase before
                 return ceil(self.begins[i]) - 1
         return self.last - 1
 
