@@ -97,61 +97,115 @@ def _counted(depth: int):
     return run
 
 
-def _ln_gamma(x: Column) -> Column:
+def _ln_gamma(x: np.ndarray) -> np.ndarray:
     """ln Gamma by Stirling's series at x + 8 and the recurrence back; ten digits and more from x = 0.5 on."""
     y = x + 8
-    series = (y - 0.5) * F.ln(y) - y + 0.5 * log(2 * pi) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * F.pow(y, F.lit(5)))
-    product = x
-    for i in range(1, 8):
-        product = product * (x + i)
-    return series - F.ln(product)
+    series = (y - 0.5) * np.log(y) - y + 0.5 * log(2 * pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
+    return series - np.log(np.prod([x + i for i in range(8)], axis=0))
 
 
-def _kt(a: Column, b: Column) -> Column:
+def _kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """ln of the Krichevsky-Trofimov probability of a sequence with a zeros and b ones."""
     return _ln_gamma(a + 0.5) + _ln_gamma(b + 0.5) - _ln_gamma(a + b + 1.0) - log(pi)
 
 
-def _bits(table: DataFrame) -> DataFrame:
-    """Byte strings as eight steps down the binary tree of their last byte: context, node, and the digit taken there."""
-    steps = table.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    node = F.expr("shiftleft(1, step) + shiftright(cast(gram & 255 as int), 8 - step)")
-    digit = F.expr("shiftright(cast(gram & 255 as int), 7 - step) & 1")
-    return steps.select("*", F.shiftright("gram", 8).alias("context"), node.alias("node"), digit.alias("digit"))
+class Level:
+    """Nodes of contexts of one length: keys (context * 256 + place in the byte's tree), counts of the digits 0 and 1, ln
+    of the weighted probability, and the parts that the own estimate and the children's product have in it."""
+
+    def __init__(self, keys, a, b, children=None, weighted=None):
+        self.keys, self.a, self.b = keys, a, b
+        self.parent: np.ndarray | None = None
+        if weighted is not None:
+            self.weighted = weighted
+            return
+        estimate = _kt(a, b)
+        if children is None:
+            self.weighted, self.own, self.rest = estimate, 1.0, 0.0
+            return
+        self.weighted = np.logaddexp(estimate, children) - log(2)
+        self.own, self.rest = np.exp(estimate - log(2) - self.weighted), np.exp(children - log(2) - self.weighted)
+
+    def above(self, depth: int) -> Level:
+        """The nodes of the contexts without the oldest byte, which have ``depth`` bytes."""
+        shorter = ((self.keys >> 8) & ((1 << 8 * depth) - 1)) << 8 | self.keys & 255
+        keys, self.parent = np.unique(shorter, return_inverse=True)
+        a, b, children = (np.bincount(self.parent, weights=w, minlength=len(keys)) for w in (self.a, self.b, self.weighted))
+        return Level(keys, a, b, children)
+
+    def mix(self, mixed: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probability of the digit 0 as far as this level decides it, and the part left to longer contexts."""
+        zero = (self.a + 0.5) / (self.a + self.b + 1)
+        return mixed + left * self.own * zero, left * self.rest
+
+
+def _climb(level: Level, deep: int, shallow: int) -> list[Level]:
+    levels = [level]
+    for depth in range(deep - 1, shallow - 1, -1):
+        levels.append(levels[-1].above(depth))
+    return levels
+
+
+def _leaves(grams_: np.ndarray, counts: np.ndarray) -> tuple[Level, np.ndarray, np.ndarray]:
+    """The deepest level of byte strings, the number of each one's eight nodes in it, and the digits taken there."""
+    steps = np.arange(8)
+    byte = (grams_ & 255)[:, None]
+    digits = byte >> (7 - steps) & 1
+    keys, place = np.unique((grams_ >> 8)[:, None] << 8 | 1 << steps | byte >> (8 - steps), return_inverse=True)
+    place = place.reshape(-1, 8)
+    times = np.repeat(counts, 8).reshape(-1, 8)
+    ones = np.bincount(place.ravel(), weights=(times * digits).ravel(), minlength=len(keys))
+    every = np.bincount(place.ravel(), weights=times.ravel(), minlength=len(keys))
+    return Level(keys, every - ones, ones), place, digits
+
+
+def _numpy(table: pa.Table, name: str) -> np.ndarray:
+    return table[name].to_numpy()
 
 
 def gram_chances(counts: DataFrame, depth: int) -> DataFrame:
     """(gram, n, chance): log10 of the weighted probability of the last byte after the others, for each byte string.
 
     A node is a context of up to ``depth`` bytes and a place in the binary tree of the next byte; a and b count the
-    digits 0 and 1 there. From the deepest contexts up, a node's weighted probability is the mean of its own
+    digits 0 and 1 there. From the longest contexts up, a node's weighted probability is the mean of its own
     Krichevsky-Trofimov estimate and the product of its children's. The estimate's part in that mean is its weight,
     and a digit's probability mixes the estimates along the path by these weights. Nodes without counts have weight
     one half, which is what the recursion gives for a context that was never seen.
+
+    All longer contexts of two bytes lie under them, so those two bytes group the byte strings: a group climbs to its
+    two bytes, one task joins the nodes of all groups (255 for each pair of bytes at most) up to the empty context and
+    returns what these have mixed so far, and the groups go down from there.
     """
-    zeros = F.sum(F.when(F.col("digit") == 0, F.col("n")).otherwise(0)).alias("a")
-    ones = F.sum(F.when(F.col("digit") == 1, F.col("n")).otherwise(0)).alias("b")
-    levels = [_bits(counts).groupBy("context", "node").agg(zeros, ones).withColumn("weighted", _kt(F.col("a"), F.col("b")))]
-    levels[0] = written(levels[0].withColumns({"own": F.lit(1.0), "rest": F.lit(0.0)}), "level")
-    for d in range(depth - 1, -1, -1):
-        mask = (1 << 8 * d) - 1
-        up = levels[0].groupBy(F.col("context").bitwiseAND(mask).alias("context"), "node").agg(
-            F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("weighted").alias("children")
-        )
-        up = up.withColumn("estimate", _kt(F.col("a"), F.col("b")))
-        high = F.greatest("estimate", "children")
-        up = up.withColumn("weighted", high + F.ln(F.exp(F.col("estimate") - high) + F.exp(F.col("children") - high)) - log(2))
-        weights = {"own": F.exp(F.col("estimate") - log(2) - F.col("weighted")), "rest": F.exp(F.col("children") - log(2) - F.col("weighted"))}
-        levels.insert(0, written(up.withColumns(weights).select("context", "node", "a", "b", "weighted", "own", "rest"), "level"))
-    zero = (F.col("a") + 0.5) / (F.col("a") + F.col("b") + 1)
-    path = levels[0].select("context", "node", (F.col("own") * zero).alias("mixed"), F.col("rest").alias("left"))
-    for d in range(1, depth + 1):
-        above = path.select(F.col("context").alias("parent"), "node", F.col("mixed").alias("sum"), F.col("left").alias("part"))
-        here = levels[d].withColumn("parent", F.col("context").bitwiseAND((1 << 8 * (d - 1)) - 1)).join(above, ["parent", "node"])
-        path = here.select("context", "node", (F.col("sum") + F.col("part") * F.col("own") * zero).alias("mixed"), (F.col("part") * F.col("rest")).alias("left"))
-    digit = F.when(F.col("digit") == 0, F.col("mixed")).otherwise(1 - F.col("mixed"))
-    taken = _bits(counts).join(path, ["context", "node"])
-    return taken.groupBy("gram").agg(F.first("n").alias("n"), F.sum(F.log10(F.greatest(digit, F.lit(1e-300)))).alias("chance"))
+    shared = min(2, depth)
+    grouped = counts.withColumn("suffix", F.shiftright("gram", 8).bitwiseAND((1 << 8 * shared) - 1))
+
+    def up(table: pa.Table) -> pa.Table:
+        top = _climb(_leaves(_numpy(table, "gram"), _numpy(table, "n"))[0], depth, shared)[-1]
+        return pa.table({"key": top.keys, "a": top.a, "b": top.b, "weighted": top.weighted})
+
+    def join(table: pa.Table) -> pa.Table:
+        levels = _climb(Level(*(_numpy(table, c) for c in ("key", "a", "b")), weighted=_numpy(table, "weighted")), shared, 0)
+        mixed, left = np.zeros(len(levels[-1].keys)), np.ones(len(levels[-1].keys))
+        for upper, lower in zip(levels[:0:-1], levels[-2::-1], strict=True):
+            mixed, left = upper.mix(mixed, left)
+            mixed, left = mixed[lower.parent], left[lower.parent]
+        return pa.table({"key": levels[0].keys, "suffix": levels[0].keys >> 8, "mixed": mixed, "left": left})
+
+    def down(table: pa.Table, above: pa.Table) -> pa.Table:
+        grams_, n = _numpy(table, "gram"), _numpy(table, "n")
+        leaves, place, digits = _leaves(grams_, n)
+        levels = _climb(leaves, depth, shared)
+        order = np.argsort(_numpy(above, "key"))
+        mixed, left = levels[-1].mix(_numpy(above, "mixed")[order], _numpy(above, "left")[order])
+        for lower in levels[-2::-1]:
+            mixed, left = lower.mix(mixed[lower.parent], left[lower.parent])
+        zero = mixed[place]
+        chance = np.log10(np.maximum(np.where(digits == 0, zero, 1 - zero), 1e-300)).sum(axis=1)
+        return pa.table({"gram": grams_, "n": n, "chance": chance})
+
+    tops = written(grouped.groupBy("suffix").applyInArrow(up, "key bigint, a double, b double, weighted double"), "tops")
+    paths = tops.groupBy().applyInArrow(join, "key bigint, suffix bigint, mixed double, left double")
+    return grouped.groupBy("suffix").cogroup(paths.groupBy("suffix")).applyInArrow(down, "gram bigint, n bigint, chance double")
 
 
 def _most_frequent(table: DataFrame, most: int) -> int:
