@@ -63,7 +63,7 @@ def _is_blank(df: DataFrame, column: str) -> Column:
 def filter_rows(df: DataFrame, column: str, operator: str, value=None) -> DataFrame:
     require_column(df, column)
     if operator not in OPERATORS:
-        raise ValueError(f"Unsupported filter operator '{operator}'")
+        raise ValueError(f"No comparison is named '{operator}'; there are {sorted(OPERATORS)}")
     kind, cell = OPERATORS[operator], col(column)
     if kind == "is_null":
         return df.where(_is_blank(df, column))

@@ -107,8 +107,8 @@ def _sketched(df: DataFrame, column: str, order: list[str], sketch: Column, *ext
 
 
 def _keep(df: DataFrame, order: list[str], kept: DataFrame) -> DataFrame:
-    """The rows of ``df`` whose order key is in ``kept``: one join on a unique key."""
-    return df.join(kept.withColumnRenamed("o", "_o"), _order_key(order) == F.col("_o"), "left_semi")
+    """The rows of ``df`` whose order key is in ``kept``: one join on a unique key; null is a key too."""
+    return df.join(kept.withColumnRenamed("o", "_o"), _order_key(order).eqNullSafe(F.col("_o")), "left_semi")
 
 
 def _text(column: str) -> Column:

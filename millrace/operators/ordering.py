@@ -18,10 +18,6 @@ from ..scratch import written
 
 # Hex digits of the hash prefix: 16 ** 4 = 65,536 prefixes, so their counts fit a broadcast.
 PREFIX_DIGITS = 4
-# Up to this many whole rows pass one task as a top-n; beyond it, only their keys are ranked.
-TOP_N_ROWS = 1_000
-# Up to this many keys pass one task as a top-n.
-TOP_N_KEYS = 100_000
 
 
 def sort_rows(df: DataFrame, by: str, ascending: bool = True, tiebreak: str | list[str] = ()) -> DataFrame:
@@ -109,17 +105,19 @@ class _HashOrder:
 
 
 def sample_rows(df: DataFrame, n: int = 100, seed: int = 42, key: str | list[str] = "id") -> DataFrame:
-    """Exactly min(n, rows) rows without replacement, the same ones for the same seed."""
+    """Exactly min(n, rows) rows without replacement, the same ones for the same seed.
+
+    Rows of one key are one draw; where the cut falls among them, which of them stay is not defined.
+    """
     require_batch(df, "sample_rows")
     keys = as_list(key)
     require_columns(df, keys)
     if n < 0:
         raise ValueError("n must not be negative")
-    if n <= TOP_N_ROWS:
-        ordered = df.withColumn("_hash", _hash(keys, seed)).orderBy("_hash", *[col(c) for c in keys])
-        return ordered.limit(n).drop("_hash")
     rows, taken = _HashOrder(df, keys, seed, PREFIX_DIGITS).first(F.lit(n))
-    return rows.where(taken).select(*[col(c) for c in df.columns])
+    drawn = rows.where(taken).select(*[col(c) for c in df.columns], "_hash")
+    placed = with_position(drawn, ["_hash", *keys], "_position").where(F.col("_position") < n)
+    return placed.select(*[col(c) for c in df.columns])
 
 
 def shuffle(df: DataFrame, seed: int = 42, key: str | list[str] = "id", digits: int = PREFIX_DIGITS) -> DataFrame:
@@ -141,7 +139,7 @@ def tag_split(
     require_batch(df, "split_dataset")
     require_columns(df, as_list(key))
     if not 0 <= ratio <= 1:
-        raise ValueError(f"Ratio must be between 0 and 1, got {ratio}")
+        raise ValueError(f"ratio is a share of the rows, from 0 to 1; {ratio} is none")
     wanted = F.floor(F.col("_total").cast("double") * F.lit(float(ratio)))
     rows, taken = _HashOrder(df, as_list(key), seed, digits).first(wanted)
     tagged = rows.withColumn(output_column, F.when(taken, "train").otherwise("test"))
@@ -184,19 +182,20 @@ def with_position(df: DataFrame, order_by: str | list[str], output_column: str =
 
 
 def head(df: DataFrame, n: int = 5, order_by: str | list[str] = "id") -> DataFrame:
-    """The first ``n`` rows by ``order_by``."""
+    """The first ``n`` rows by ``order_by``, exactly min(n, rows) of them; nulls come last.
+
+    Places are found on the keys alone. The last key that belongs is then a filter, and only what
+    passes it is placed again to cut among equal keys, of which any may stay.
+    """
     require_batch(df, "head")
     names = as_list(order_by)
     require_columns(df, names)
-    order = [col(c).asc_nulls_last() for c in names]
-    if n <= TOP_N_ROWS:
-        return df.orderBy(*order).limit(n)
-    if n <= TOP_N_KEYS:
-        # The last key that belongs is found on keys alone; then it is a plain filter.
-        point = F.struct(*[col(c) for c in names])
-        last = df.select(*[col(c) for c in names]).orderBy(*order).limit(n).agg(F.max(point)).scalar()
-        return df.where(point <= last).orderBy(*order)
-    return with_position(df, names, "_position").where(F.col("_position") < n).drop("_position").orderBy(*order)
+    # Of two structs the one whose first column is not null is less, as in the sort order.
+    point = F.struct(*[part for c in names for part in (col(c).isNull(), col(c))])
+    keys = with_position(df.select(*[col(c) for c in dict.fromkeys(names)]), names, "_position")
+    last = keys.where(F.col("_position") < n).agg(F.max(point)).scalar()
+    near = with_position(df.where(point <= last), names, "_position").where(F.col("_position") < n)
+    return near.drop("_position").orderBy(*[col(c).asc_nulls_last() for c in names])
 
 
 def batches(df: DataFrame, chunk_size: int = 1000, order_by: str | list[str] = "id") -> DataFrame:
@@ -212,8 +211,6 @@ def batches(df: DataFrame, chunk_size: int = 1000, order_by: str | list[str] = "
 def preview(df: DataFrame, limit: int = 5, order_by: str | list[str] | None = None) -> dict:
     """The first rows, the schema and the row count, for display."""
     require_batch(df, "preview")
-    if limit > TOP_N_ROWS:
-        raise ValueError(f"A preview shows at most {TOP_N_ROWS} rows")
     if order_by is not None:
         for name in as_list(order_by):
             require_column(df, name)

@@ -19,17 +19,19 @@ ORDER = Param("text", default="id", help="unique column, or comma-separated colu
 
 
 @operator("import_dataset", (), kind="source", path=Param("file", required=True), format=Param("text", default="auto"),
-          delimiter=Param("text", default=","), root_key=Param("text", default=""), encoding=Param("text", default="utf-8"))
+          delimiter=Param("text", default=","), root_key=Param("text", default=""), encoding=Param("text", default="utf-8"),
+          multi_line=Param("boolean", default=True))
 def _import(spark, **settings):
     return sources.import_dataset(spark, **settings)
 
 
 @operator("load_csv", (), kind="source", path=Param("file", required=True), delimiter=Param("text", default=","),
-          encoding=Param("text", default="utf-8"), header=Param("boolean", default=True))
-def _csv(spark, path, delimiter, encoding, header):
+          encoding=Param("text", default="utf-8"), header=Param("boolean", default=True),
+          multi_line=Param("boolean", default=True))
+def _csv(spark, path, delimiter, encoding, header, multi_line):
     if not header:
         raise ValueError("load_csv reads files with a header")
-    return sources.read_csv(spark, path, delimiter, encoding)
+    return sources.read_csv(spark, path, delimiter, encoding, multi_line)
 
 
 @operator("load_json", (), kind="source", path=Param("file", required=True), root_key=Param("text", default=""))
@@ -47,9 +49,11 @@ def _parquet(spark, path):
     return sources.read_parquet(spark, path)
 
 
-@operator("load_sql", (), kind="source", query=Param("textarea", required=True), connection=Param("text"))
-def _sql(spark, query, connection):
-    return sources.read_sql(spark, query, connection)
+@operator("load_sql", (), kind="source", query=Param("textarea", required=True), connection=Param("text"),
+          partition_column=Param("text"), lower=Param("number"), upper=Param("number"), partitions=Param("number", default=1, min=1))
+def _sql(spark, query, connection, partition_column, lower, upper, partitions):
+    bounds = None if lower is None or upper is None else (lower, upper)
+    return sources.read_sql(spark, query, connection, partition_column, bounds, partitions)
 
 
 @operator("load_s3", (), kind="source", bucket=Param("text", required=True), prefix=Param("text", default=""))
@@ -162,9 +166,10 @@ operator("concatenate", ("a", "b"))(ops.concatenate)
 
 
 @operator("join_rows", ("left", "right"), join_key=_column("id"),
-          join_type=Param("select", default="inner", options=tuple(ops.combine.JOIN_KINDS)))
-def _join(left, right, join_key, join_type):
-    return ops.join_rows(left, right, join_key, join_type)
+          join_type=Param("select", default="inner", options=tuple(ops.combine.JOIN_KINDS)),
+          skewed=Param("boolean", default=False))
+def _join(left, right, join_key, join_type, skewed):
+    return ops.join_rows(left, right, join_key, join_type, skewed=skewed)
 
 
 operator("dedup_report", ("before", "after"))(ops.dedup_report)
@@ -174,7 +179,7 @@ operator("dedup_report", ("before", "after"))(ops.dedup_report)
 
 
 @operator("dedup_exact", method=Param("select", default="exact", options=("exact", "hash", "simhash", "minhash")),
-          columns=Param("text"), column=_column(), order_by=ORDER, hamming=Param("number", default=3, min=0),
+          columns=Param("text"), column=_column(), order_by=ORDER, hamming=Param("number", default=3, min=0, max=8),
           threshold=Param("slider", default=0.85, min=0.5, max=1.0))
 def _dedup(df, method, columns, column, order_by, hamming, threshold):
     if method == "hash":

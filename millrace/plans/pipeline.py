@@ -40,14 +40,19 @@ class Run:
     warnings: list[str] = field(default_factory=list)
     observed: dict[str, Observation] = field(default_factory=dict)
     parents: dict[str, list[str]] = field(default_factory=dict)
+    #: For each step the seconds of the sinks that it fed; steps that fed none have no row counts.
+    fed: dict[str, float] = field(default_factory=dict)
     seconds: float = 0.0
 
     def frame(self, step: str, port: str = "out") -> DataFrame:
         return self.frames[step, port]
 
     def metrics(self) -> list[dict]:
-        """Rows in, out and removed per step, counted while the sinks wrote them."""
-        rows = {step: seen.get["rows"] for step, seen in self.observed.items()}
+        """Rows in, out and removed per step, counted while the sinks wrote them, and these sinks' time.
+
+        Steps that fed no sink, as in a dry run, are left out: nothing has counted their rows.
+        """
+        rows = {step: seen.get["rows"] for step, seen in self.observed.items() if step in self.fed}
         report = []
         for step, count in rows.items():
             known = [rows[p] for p in self.parents[step] if p in rows]
@@ -58,8 +63,8 @@ class Run:
                     "rows_in": before,
                     "rows_out": count,
                     "removed": None if before is None else before - count,
-                    "seconds": self.seconds,
-                    "rows_per_second": count / self.seconds if self.seconds else None,
+                    "seconds": self.fed[step],
+                    "rows_per_second": count / self.fed[step] if self.fed[step] else None,
                 }
             )
         return report
@@ -171,7 +176,7 @@ def run_pipeline(
 
     ``frames`` gives the output of steps by id, in place of reading it. A disabled step
     passes its first input through. ``metrics`` counts the rows of each step as the sinks
-    write; no job is added.
+    write; no job is added. What ``use_cache`` keeps is released when the sinks have run.
     """
     spec, frames = _load(spec), frames or {}
     values = {**spec.get("variables", {}), **(variables or {})}
@@ -180,6 +185,7 @@ def run_pipeline(
         raise ValueError("Invalid pipeline: " + "; ".join(problems))
     run = Run({}, warnings=warnings)
     started = time.monotonic()
+    cached: list[DataFrame] = []
     for step in steps:
         named = get_operator(step.operator)
         ports = [p for p in named.inputs if p in step.inputs]
@@ -192,20 +198,37 @@ def run_pipeline(
             settings = named.settings(step.params)
             if named.kind == "sink":
                 if not dry_run:
+                    began = time.monotonic()
                     named.run(*inputs, **settings)
+                    took = time.monotonic() - began
                     run.outputs.append({"step": step.id, "operator": named.name, "path": settings.get("path")})
+                    above = [source for source, _ in step.inputs.values()]
+                    for name in _ancestors(above, run.parents):
+                        run.fed[name] = run.fed.get(name, 0.0) + took
                 run.history.append({"step": step.id, "name": named.name, "parameters": settings})
                 continue
             result = named.run(spark, **settings) if named.kind == "source" else named.run(*inputs, **settings)
             run.history.append({"step": step.id, "name": named.name, "parameters": settings})
         results = result if isinstance(result, dict) else {named.outputs[0]: result}
         for port, frame in results.items():
+            run.parents[step.id] = [source for source, _ in step.inputs.values()]
             if step.use_cache:
                 frame = frame.persist()
+                cached.append(frame)
             if metrics and port == named.outputs[0]:
                 run.observed[step.id] = Observation(f"{step.id}-{id(run)}")
-                run.parents[step.id] = [source for source, _ in step.inputs.values()]
                 frame = frame.observe(run.observed[step.id], F.count(F.lit(1)).alias("rows"))
             run.frames[step.id, port] = frame
+    for frame in cached:
+        frame.unpersist()
     run.seconds = time.monotonic() - started
     return run
+
+
+def _ancestors(steps: list[str], parents: Mapping[str, list[str]]) -> set[str]:
+    found, todo = set(), list(steps)
+    while todo:
+        if (step := todo.pop()) not in found:
+            found.add(step)
+            todo += parents.get(step, [])
+    return found

@@ -11,6 +11,7 @@ import json
 import re
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
+from math import inf
 from typing import Any
 
 # Kinds of parameter.
@@ -50,30 +51,42 @@ class Param:
     def problem(self, name: str, value: Any) -> str | None:
         """What is wrong with a value, or None."""
         if value is None:
-            return f"Parameter '{name}' is required" if self.required and self.default is None else None
-        if self.kind in ("number", "slider"):
-            if isinstance(value, bool) or not isinstance(value, (int, float)):
-                return f"Parameter '{name}' must be a number"
-            if self.min is not None and value < self.min:
-                return f"Parameter '{name}' must be >= {self.min}"
-            if self.max is not None and value > self.max:
-                return f"Parameter '{name}' must be <= {self.max}"
-        elif self.kind == "boolean" and not isinstance(value, bool):
-            return f"Parameter '{name}' must be a boolean"
-        elif self.kind == "select" and self.options and value not in self.options:
-            return f"Parameter '{name}' must be one of {list(self.options)}"
-        elif self.kind == "regex":
-            try:
-                re.compile(str(value))
-            except re.error as error:
-                return f"Parameter '{name}' is not a valid pattern: {error}"
-        elif self.kind == "json" and isinstance(value, str):
-            try:
-                json.loads(value)
-            except json.JSONDecodeError as error:
-                return f"Parameter '{name}' is not valid JSON: {error}"
+            missing = self.required and self.default is None
+            return f"{name}: a value is needed" if missing else None
+        fault = _FAULTS.get(self.kind, lambda *_: None)(self, value)
+        return fault and f"{name}: {fault}"
+
+
+def _number_fault(param: Param, value: Any) -> str | None:
+    if isinstance(value, bool) or not isinstance(value, (int, float)):
+        return f"{value!r} is no number"
+    low, high = (-inf if param.min is None else param.min), (inf if param.max is None else param.max)
+    return None if low <= value <= high else f"{value} lies outside {low} to {high}"
+
+
+def _parse_fault(parse: Callable, what: str) -> Callable[[Param, Any], str | None]:
+    def fault(param: Param, value: Any) -> str | None:
+        try:
+            parse(value)
+        except ValueError as error:
+            return f"no {what}: {error}"
+        except re.error as error:
+            return f"no {what}: {error}"
         return None
 
+    return fault
+
+
+# What can be wrong with a value, by the kind of its parameter.
+_FAULTS: dict[str, Callable[[Param, Any], str | None]] = {
+    "number": _number_fault,
+    "slider": _number_fault,
+    "boolean": lambda param, value: None if isinstance(value, bool) else f"{value!r} is neither true nor false",
+    "select": lambda param, value: f"{value!r} is not among {list(param.options)}" if param.options and value not in param.options else None,
+    "regex": _parse_fault(lambda value: re.compile(str(value)), "pattern"),
+    "json": _parse_fault(lambda value: json.loads(value) if isinstance(value, str) else value, "JSON"),
+}
+
 
 @dataclass(frozen=True)
 class Operator:

@@ -24,7 +24,7 @@ SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus, o_orderpriority
 def s1(spark, sf_dir):
     path = scratch_path(spark, "s1")
     sources.write_csv(table(spark, sf_dir, "documents"), path)
-    return sources.read_csv(spark, path, multi_line=True)
+    return sources.read_csv(spark, path)
 
 
 @query("s2_read_tsv", ORDERS_AS_TEXT)
@@ -111,7 +111,7 @@ def s11(spark, sf_dir):
 def k1(spark, sf_dir):
     path = scratch_path(spark, "k1")
     sources.write_csv(table(spark, sf_dir, "documents"), path, delimiter=";", gzip=True)
-    return sources.read_csv(spark, path, delimiter=";", multi_line=True)
+    return sources.read_csv(spark, path, delimiter=";")
 
 
 @query(

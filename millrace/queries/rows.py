@@ -165,6 +165,14 @@ def r2(spark, sf_dir):
     return ops.sample_rows(documents, 100, 42, "doc_id")
 
 
+@query(
+    "r2_sample_large",
+    "SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5('42|' || o_orderkey), o_orderkey LIMIT 1400",
+)
+def r2_large(spark, sf_dir):
+    return ops.sample_rows(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), 1400, 42, "o_orderkey")
+
+
 @query(
     "r3_shuffle",
     "SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY md5('42|' || o_orderkey), o_orderkey) - 1 AS shuffle_pos "
@@ -194,6 +202,16 @@ def r5(spark, sf_dir):
     return ops.head(orders, 50, ["o_totalprice", "o_orderkey"])
 
 
+@query(
+    "r5_head_large",
+    "SELECT v FROM (SELECT CASE WHEN o_orderkey % 7 > 0 THEN floor(o_totalprice / 100000) END AS v FROM orders) "
+    "ORDER BY v NULLS LAST LIMIT 1100",
+)
+def r5_large(spark, sf_dir):
+    price = F.when(F.col("o_orderkey") % 7 > 0, F.floor(F.col("o_totalprice") / 100000).cast("double"))
+    return ops.head(table(spark, sf_dir, "orders").select(price.alias("v")), 1100, "v")
+
+
 @query(
     "r6_batches",
     "SELECT l_orderkey, l_linenumber, l_returnflag, "

@@ -11,6 +11,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL: dict[str, str] = {}
+
 
 def scratch_root(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; a temporary folder only in local mode."""
@@ -23,9 +25,10 @@ def scratch_root(spark: SparkSession) -> str:
         return current.rstrip("/")
     if not context.master.startswith("local"):
         raise ValueError("Set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="millrace-")
-    context.setCheckpointDir(folder)
-    return context.getCheckpointDir().rstrip("/")
+    # One folder for each application; the checkpoint folder of the session is the caller's to set.
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="millrace-")
+    return _LOCAL[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -44,15 +44,16 @@ def read_csv(
     path: str,
     delimiter: str = ",",
     encoding: str = "utf-8",
-    multi_line: bool = False,
+    multi_line: bool = True,
     keep_nulls: bool = False,
     schema: T.StructType | None = None,
 ) -> DataFrame:
     """Header CSV, every column a string.
 
     Spark reads an empty field as null; it becomes "" unless ``keep_nulls``, where cells
-    that a short row lacks stay null too. Files whose cells hold line breaks need
-    ``multi_line``, which reads each file in one task: keep such files small, or many.
+    that a short row lacks stay null too. Cells may hold line breaks, so a file is read by
+    one task: a dataset is a folder of many files. ``multi_line=False`` splits large files
+    by lines, for files whose cells are known to hold no line break.
     """
     reader = spark.read.options(**_csv_options(delimiter, encoding, multi_line))
     if schema is not None:
@@ -111,8 +112,12 @@ def import_dataset(
     delimiter: str = ",",
     root_key: str = "",
     encoding: str = "utf-8",
+    multi_line: bool = True,
 ) -> DataFrame:
-    """Reads by the given format, else by the extension; anything unknown is CSV."""
+    """Reads by the given format, else by the extension; anything unknown is CSV.
+
+    ``multi_line`` is that of `read_csv`.
+    """
     named = format.lower() if format and format.lower() != "auto" else None
     extension = named or os.path.splitext(path.rstrip("/"))[1].lstrip(".").lower()
     kind = EXTENSIONS.get(extension, "csv")
@@ -122,7 +127,7 @@ def import_dataset(
         return read_jsonl(spark, path, encoding=encoding)
     if kind == "parquet":
         return read_parquet(spark, path)
-    return read_csv(spark, path, delimiter="\t" if kind == "tsv" else delimiter, encoding=encoding)
+    return read_csv(spark, path, delimiter="\t" if kind == "tsv" else delimiter, encoding=encoding, multi_line=multi_line)
 
 
 def read_sql(

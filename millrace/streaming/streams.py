@@ -35,9 +35,14 @@ def _latest_per_key(keys: list[str], time_column: str) -> Callable:
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             # The latest copy stays, so that none is lost to the watermark that another would pass.
-            seen = pa.Table.from_batches([batch]).select([*keys, time_column]).to_pandas()
-            latest = seen.sort_values(time_column, kind="stable", na_position="first").drop_duplicates(keys, keep="last")
-            yield batch.take(pa.array(sorted(latest.index), type=pa.int64()))
+            times = batch.column(time_column).cast(pa.int64()).fill_null(-(2**63)).to_pylist()
+            latest: dict[str, int] = {}
+            # Keys are compared as written out, which tells numbers, nulls, lists and structs apart exactly.
+            for row, key in enumerate(zip(*(batch.column(k).to_pylist() for k in keys), strict=True)):
+                held = latest.setdefault(repr(key), row)
+                if times[row] >= times[held]:
+                    latest[repr(key)] = row
+            yield batch.take(pa.array(sorted(latest.values()), type=pa.int64()))
 
     return combine
 

@@ -32,7 +32,7 @@ def test_csv_cells(spark, tmp_path):
     for gzip in (False, True):
         path = str(tmp_path / f"csv{gzip}")
         sources.write_csv(df, path, ";", gzip)
-        assert rows(sources.read_csv(spark, path, ";", multi_line=True)) == HARD
+        assert rows(sources.read_csv(spark, path, ";")) == HARD
 
 
 def test_csv_files(spark, tmp_path):

@@ -25,8 +25,6 @@ def test_sample(items, monkeypatch):
     assert ids(10, 42) != ids(10, 99)
     assert ids(100, 1) == ids(500, 1) == list(range(100))
     small = {n: ids(n, 42) for n in (0, 1, 10, 99, 100, 101)}
-    # The way for large samples gives the same rows.
-    monkeypatch.setattr(ordering, "TOP_N_ROWS", -1)
     assert {n: ids(n, 42) for n in small} == small
     expected = sorted(range(100), key=lambda i: hashlib.md5(f"42|{i}".encode()).hexdigest())
     assert ids(10, 42) == sorted(expected[:10])
@@ -67,9 +65,7 @@ def test_positions_and_batches(spark, monkeypatch):
     assert [tuple(r) for r in sizes] == [(0, 20), (1, 20), (2, 20), (3, 20), (4, 20), (5, 1)]
     first = [r.v for r in ops.head(df, 7, ["k", "u"]).collect()]
     assert len(first) == 7
-    monkeypatch.setattr(ordering, "TOP_N_ROWS", -1)
     assert [r.v for r in ops.head(df, 7, ["k", "u"]).collect()] == first
-    monkeypatch.setattr(ordering, "TOP_N_KEYS", -1)
     assert [r.v for r in ops.head(df, 7, ["k", "u"]).collect()] == first
 
 
@@ -87,3 +83,13 @@ def test_chain(items):
     dropped = ops.drop_columns(ops.select_columns(items(10), ["id", "name", "score"]), ["score"])
     first = ops.sort_rows(dropped, "id", ascending=False).first()
     assert first.id == 9 and "score" not in first.asDict()
+
+
+def test_head_and_sample_are_exact_with_nulls_and_ties(spark):
+    rows = [(i, None if i < 10 else i % 3) for i in range(2500)]
+    df = spark.createDataFrame(rows, "id bigint, v bigint")
+    for n in (0, 5, 999, 1000, 1001, 1500, 2499, 2500, 3000):
+        got = [r["v"] for r in ops.head(df, n, "v").collect()]
+        assert got == sorted((v for _, v in rows), key=lambda v: (v is None, v))[:n]
+        assert ops.sample_rows(df, n, key="v").count() == min(n, 2500)
+    assert len(ops.preview(df, 1200, "v")["rows"]) == 1200

@@ -161,3 +161,9 @@ def test_plans_use_arrow_udfs_only(spark, texts, capsys):
         assert "ArrowEvalPython" in plan and "BatchEvalPython" not in plan
     ops.regex_replace(df, "t", r"\s+\w").where(F.col("t") != "").explain()
     assert "EvalPython" not in capsys.readouterr().out
+
+
+def test_metrics_of_a_dry_run_do_not_wait(spark, items):
+    spec = {"nodes": [node("a", "load_parquet"), node("b", "lowercase", {"column": "name"}), node("c", "export_jsonl", {"path": "/nowhere"})], "edges": [edge("a", "b"), edge("b", "c")]}
+    run = run_pipeline(spark, spec, frames={"a": items(3)}, dry_run=True, metrics=True)
+    assert run.metrics() == []

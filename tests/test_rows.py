@@ -21,7 +21,7 @@ def test_columns(staff, items):
     assert ops.drop_columns(items(5), ["score", "category"]).columns == ["id", "name"]
     assert ops.drop_columns(items(3), "category").orderBy("id").first().asDict() == {"id": 0, "name": "item_0", "score": 0}
     for operator in (ops.drop_columns, ops.select_columns):
-        with pytest.raises(ValueError, match=r"\['x'\] not found"):
+        with pytest.raises(ValueError, match="No such column: 'x'"):
             operator(staff, ["x"])
     with pytest.raises(ValueError, match="same name"):
         ops.rename_columns(staff, {"name": "role"})
@@ -57,7 +57,7 @@ def test_filter_operators(spark, column):
     assert kept("t", "not_null") == [1, 4]
     assert kept("t", "is_null") == [2, 3]
     assert kept("n", "null") == [2]
-    with pytest.raises(ValueError, match="Unsupported"):
+    with pytest.raises(ValueError, match="No comparison"):
         kept("n", "~", 1)
     with pytest.raises(ValueError):
         kept("n", ">", "five")

@@ -57,3 +57,16 @@ def test_batch_only_operators(feed):
     ):
         with pytest.raises(ValueError, match="stream"):
             operator(stream)
+
+
+def test_batch_combine_keeps_exact_keys(spark):
+    from millrace.streaming.streams import _latest_per_key
+
+    schema = "k bigint, a array<int>, t timestamp"
+    rows = spark.sql(
+        "SELECT * FROM VALUES (10L * 100000000000000000 + 1, array(1), timestamp'2024-01-01'), "
+        "(10L * 100000000000000000 + 2, array(1), timestamp'2024-01-01'), (null, array(2), null), "
+        "(null, array(2), timestamp'2024-01-02'), (null, null, timestamp'2024-01-03') AS x(k, a, t)"
+    )
+    found = rows.coalesce(1).mapInArrow(_latest_per_key(["k", "a"], "t"), schema).collect()
+    assert len(found) == 4 and sum(r["k"] is None for r in found) == 2
