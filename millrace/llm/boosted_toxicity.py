@@ -22,7 +22,7 @@ from .common import arrow_map, extended, text_strings
 FIT_ROWS = 30_000
 #: Documents of the lexicon's share that must hold a word of the lexicon, and its least log-odds.
 LEXICON_DOCS, LEXICON_ODDS = 5, 2.0
-TREES, DEPTH = 20, 4
+TREES, DEPTH, FIT_TASKS = 20, 4, 8
 
 # Pronouns of the second person in the languages of the documents.
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros".split())
@@ -151,7 +151,8 @@ def fit(labelled: DataFrame, item: str = "doc_id", text: str = "text", label: st
     words = arrow_map(texts, _word_sets, "word string, clean bigint, toxic bigint").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     lexicon = {r["word"]: r["odds"] for r in words.where(F.col("toxic") >= LEXICON_DOCS).withColumn("odds", odds).where(F.col("odds") >= LEXICON_ODDS).collect()}
     rest = picked.where("part >= 2")
-    seen = written(_with_features(rest, lexicon, "text", ["part", "label"]), "features")
+    # The sample is bounded, and the trees pass over it some eighty times: few partitions serve best.
+    seen = written(_with_features(rest, lexicon, "text", ["part", "label"]), "features").coalesce(FIT_TASKS)
     train = _assembled(seen.where("part < 4").withColumn("label", F.col("label").cast("double")))
     booster = GBTClassifier(labelCol="label", featuresCol="_features", maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=7, maxBins=64)
     trees = booster.fit(train)
