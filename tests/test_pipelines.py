@@ -92,7 +92,7 @@ def test_problems(spark):
     assert "unknown step" in found([ok], [edge("a", "b")])[0][0]
     assert "not connected" in found([ok, node("b", "lowercase")])[0][0]
     assert "not connected to any other" in found([ok, node("b", "load_csv", {"path": "y"})])[1][0]
-    assert "required" in found([node("a", "load_csv")])[0][0]
+    assert "needed" in found([node("a", "load_csv")])[0][0]
     loop = [node("a", "lowercase"), node("b", "uppercase")]
     assert any("cycle" in p for p in found(loop, [edge("a", "b"), edge("b", "a")])[0])
     assert "more connections" in found([ok, node("b", "lowercase")], [edge("a", "b"), edge("a", "b")])[0][0]
@@ -164,6 +164,6 @@ def test_plans_use_arrow_udfs_only(spark, texts, capsys):
 
 
 def test_metrics_of_a_dry_run_do_not_wait(spark, items):
-    spec = {"nodes": [node("a", "load_parquet"), node("b", "lowercase", {"column": "name"}), node("c", "export_jsonl", {"path": "/nowhere"})], "edges": [edge("a", "b"), edge("b", "c")]}
+    spec = {"nodes": [node("a", "load_parquet", {"path": "x"}), node("b", "lowercase", {"column": "name"}), node("c", "export_jsonl", {"path": "/nowhere"})], "edges": [edge("a", "b"), edge("b", "c")]}
     run = run_pipeline(spark, spec, frames={"a": items(3)}, dry_run=True, metrics=True)
     assert run.metrics() == []
