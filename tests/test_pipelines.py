@@ -164,6 +164,6 @@ def test_plans_use_arrow_udfs_only(spark, texts, capsys):
 
 
 def test_metrics_of_a_dry_run_do_not_wait(spark, items):
-    spec = {"nodes": [node("a", "load_parquet", {"path": "x"}), node("b", "lowercase", {"column": "name"}), node("c", "export_jsonl", {"path": "/nowhere"})], "edges": [edge("a", "b"), edge("b", "c")]}
+    spec = {"nodes": [node("a", "load_parquet", {"path": "x"}), node("b", "lowercase", {"column": "name"}), node("c", "write_jsonl", {"path": "/nowhere"})], "edges": [edge("a", "b"), edge("b", "c")]}
     run = run_pipeline(spark, spec, frames={"a": items(3)}, dry_run=True, metrics=True)
     assert run.metrics() == []
