@@ -74,17 +74,16 @@ QUERIES = {f.__name__: f for f in (
     op6_mixture_packing, op7_histogram_sort, op8_simhash_tiles, op9_duckdb_bpe, op10_notice_search,
 )}
 
-_CUBE = "list_transform(embedding, x -> CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT))"
-_LINE = "' ' || array_to_string(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), ' ') || ' '"
+_CUBE = "list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT))"
 
 SQL = {
     "op5_bit_slices": f"""
         WITH v AS (
           SELECT vec_id, {_CUBE} AS x FROM embeddings
           WHERE embedding IS NOT NULL AND len(embedding) > 0
-            AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ), p AS (
-          SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.x, c.x), z -> z[1] * z[2])) AS BIGINT) AS score
+          SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.x, c.x), lambda z: z[1] * z[2])) AS BIGINT) AS score
           FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
         ), r AS (
           SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM p
