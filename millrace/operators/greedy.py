@@ -1,20 +1,14 @@
 """Resolution of "keep a row iff no earlier kept row is similar" as Spark jobs.
 
-Nodes are rows ``(o, sketch)`` with unique order keys. Two similar nodes share a bucket
-(a band and its value).
-
-Small buckets are joined with themselves, which gives the similar pairs in them as edges
-from the earlier to the later node; rounds then settle the edges. A bucket that is too
-large to list its pairs is worked on in rounds that are linear in its size:
-
-* the first node of a large bucket stays once no edge and no other large bucket holds an
-  earlier open node for it. The members of the bucket are compared with it alone, and
-  the similar ones go. A large group of similar rows ends here;
-* a bucket that is still too large after its first node was compared is cut by the bands
-  of the next level: similar nodes share one of those as well, so nothing is lost. A large
-  group of rows that merely share a band ends here.
-
-No step compares all members of a large bucket with each other, and none drops a candidate.
+Nodes are rows ``(o, sketch)`` with unique order keys. A sketch has a fixed number of keys,
+and two similar ones share at least one of them, so each node stands in that many buckets
+from start to end. A pair is listed in the first bucket that it shares and in no other.
+
+Small buckets are joined with themselves. A bucket that is too large for that goes on in
+rounds: its first nodes are compared with its later ones, which gives edges from earlier to
+later nodes, and leave the bucket; what the edges settle leaves as well. The number of first
+nodes grows from round to round: a group of similar rows is gone after the first few, and
+rows that merely share a key are worked off in large steps. Nothing is capped or dropped.
 """
 
 from __future__ import annotations
@@ -22,141 +16,95 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import written
 
-# Past this many cuts a bucket agrees in nearly all of its sketch, so its pairs are similar.
-MAX_LEVEL = 8
-
-
-def _start_depth(nodes: DataFrame, sketch) -> int:
-    """How many levels of bands it takes for buckets of evenly spread sketches to be small."""
-    count = nodes.count()
-    depth = 1
-    while depth < MAX_LEVEL and count / 2 ** (sketch.bits * depth) > sketch.bucket_rows / 8:
-        depth += 1
-    return depth
-
-
-def _cut(members: DataFrame, sketch, levels: list[int]) -> DataFrame:
-    """Replaces each bucket by its sub-buckets of the next level, which is one of ``levels``."""
-    each = [F.array(*sketch.bands(level, F.col("sketch"))) for level in levels]
-    bands = each[0]
-    if len(levels) > 1:
-        bands = F.coalesce(*[F.when(F.col("level") == level, b) for level, b in zip(levels, each)])
-    kept = [c for c in members.columns if c not in ("bucket", "level")]
-    parts = members.select(*kept, "bucket", "level", F.posexplode(bands).alias("place", "band"))
-    return parts.select(
-        *kept, F.xxhash64("bucket", "level", "place", "band").alias("bucket"), (F.col("level") + 1).alias("level")
-    )
+# How much the number of first nodes of a large bucket grows from one round to the next.
+GROWTH = 4
 
 
-def _members(nodes: DataFrame, sketch, depth: int) -> DataFrame:
-    """One row per node and bucket, and how many levels of bands led to the bucket."""
-    members = nodes.withColumns({"bucket": F.lit(0).cast("bigint"), "level": F.lit(0)})
-    for level in range(depth):
-        members = _cut(members, sketch, [level])
-    return members
+def keyed(nodes: DataFrame, sketch) -> DataFrame:
+    """One row per node and key: ``place`` is the number of the key, ``bucket`` stands for it and its value."""
+    parts = nodes.select("o", "sketch", F.posexplode(F.array(*sketch.keys(F.col("sketch")))).alias("place", "key"))
+    return parts.select("o", "sketch", "place", F.xxhash64("place", "key").alias("bucket"))
 
 
-def _join_buckets(members: DataFrame, sketch, carry: list[str]) -> DataFrame:
-    """Similar pairs that share a bucket. A pair that shares several comes several times."""
-    a = members.select("bucket", *[F.col(c).alias(f"{c}_a") for c in ["o", *carry]])
-    b = members.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ["o", *carry]])
-    joined = a.join(b, "bucket").where(F.col("o_a") < F.col("o_b"))
-    return joined.where(sketch.similar(F.col("sketch_a"), F.col("sketch_b"))).drop("bucket")
+def shared(nodes: DataFrame, sketch) -> DataFrame:
+    """The order keys of the nodes that share a bucket with another one."""
+    members = keyed(nodes, sketch)
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    return members.join(sizes, "bucket", "left_semi").select("o").distinct()
 
 
-def _large(members: DataFrame, sketch) -> DataFrame:
-    """The buckets that are too large to be joined with themselves."""
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    return sizes.where(F.col("n") > sketch.bucket_rows).select("bucket")
+def _listed(left: DataFrame, right: DataFrame, sketch) -> DataFrame:
+    """Similar pairs (a, b), a before b, of members that share a bucket, each from the first one that it shares."""
+    earlier = left.select("bucket", "place", F.col("o").alias("a"), F.col("sketch").alias("sketch_a"))
+    later = right.select("bucket", F.col("o").alias("b"), F.col("sketch").alias("sketch_b"))
+    pairs = earlier.join(later, "bucket").where(F.col("a") < F.col("b"))
+    both = F.col("sketch_a"), F.col("sketch_b")
+    return pairs.where(sketch.similar(*both)).where(sketch.first_key(*both) == F.col("place")).select("a", "b")
 
 
 def _by_size(members: DataFrame, sketch) -> tuple[DataFrame, DataFrame | None]:
-    """Members of small buckets, and of large ones (None if there are none)."""
-    large = _large(members, sketch)
+    """Members of small buckets, and of those too large to be joined with themselves (None if there are none)."""
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    large = written(sizes.where(F.col("n") > sketch.bucket_rows).select("bucket"), "large")
     if large.isEmpty():
         return members, None
-    large = written(large, "large")
     return members.join(large, "bucket", "left_anti"), written(members.join(large, "bucket", "left_semi"), "crowded")
 
 
-def similar_pairs(nodes: DataFrame, sketch, carry: list[str]) -> DataFrame:
-    """All similar pairs of nodes: ``o`` and the carried columns with suffixes _a and _b, and their measure.
-
-    Large buckets are cut until they are small or agree in nearly all of the sketch.
-    """
-
-    def pairs_in(members: DataFrame) -> DataFrame:
-        pairs = _join_buckets(members, sketch, ["sketch", *carry])
-        measure = sketch.measure(F.col("sketch_a"), F.col("sketch_b"))
-        return pairs.withColumn("measure", measure).drop("sketch_a", "sketch_b")
-
-    depth = _start_depth(nodes, sketch)
-    small, crowded = _by_size(_members(nodes, sketch, depth), sketch)
-    parts = [pairs_in(small)]
-    while crowded is not None:
-        if depth == MAX_LEVEL:
-            parts.append(pairs_in(crowded))
-            break
-        small, crowded = _by_size(written(_cut(crowded, sketch, [depth]), "members"), sketch)
-        parts.append(pairs_in(small))
-        depth += 1
-    return reduce(DataFrame.unionByName, parts).distinct()
-
-
 def resolve(nodes: DataFrame, sketch, exact: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """The order keys of the nodes that stay.
+    """The order keys ``o`` of the nodes that go.
 
     ``exact`` narrows similar pairs ``(a, b)`` further, where sketches only suggest them.
     """
 
-    def edges_in(members: DataFrame) -> DataFrame:
-        pairs = _join_buckets(members, sketch, ["sketch"])
-        pairs = pairs.select(F.col("o_a").alias("a"), F.col("o_b").alias("b")).distinct()
+    def edges_of(left: DataFrame, right: DataFrame) -> DataFrame:
+        pairs = _listed(left, right, sketch)
         return exact(pairs) if exact else pairs
 
-    depth = _start_depth(nodes, sketch)
-    members = _members(nodes, sketch, depth).select("o", "sketch", "bucket", "level")
-    small, crowded = _by_size(members, sketch)
-    edges, gone, deepest = written(edges_in(small), "edges"), [], depth
+    small, crowded = _by_size(keyed(nodes, sketch), sketch)
+    edges, gone, width = written(edges_of(small, small), "edges"), [], 1
     while crowded is not None:
-        # Open nodes: ready ones have no earlier open node among their edges and large buckets.
-        firsts = crowded.groupBy("bucket").agg(F.min("o").alias("lead"))
-        later = crowded.join(firsts, "bucket").where(F.col("o") != F.col("lead")).select("o")
-        waiting = later.unionByName(edges.select(F.col("b").alias("o"))).distinct()
-        open_nodes = crowded.select("o").unionByName(edges.select(F.col("a").alias("o"))).distinct()
-        ready = written(open_nodes.join(waiting, "o", "left_anti"), "ready")
-        leads = crowded.join(ready, "o", "left_semi").select(
-            "bucket", F.col("o").alias("a"), F.col("sketch").alias("sketch_a")
-        )
-        compared = crowded.join(leads, "bucket").where(F.col("a") < F.col("o"))
-        hits = compared.where(sketch.similar(F.col("sketch_a"), F.col("sketch"))).select("a", F.col("o").alias("b"))
-        if exact:
-            hits = exact(hits.distinct())
-        by_edge = edges.join(ready.withColumnRenamed("o", "a"), "a", "left_semi")
-        dropped = written(hits.select("b").unionByName(by_edge.select("b")).distinct().toDF("o"), "dropped")
+        # The rank is limited inside the tasks first, so a bucket never comes to one task whole.
+        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("o"))
+        first = crowded.withColumn("rank", rank).where(F.col("rank") <= width).drop("rank")
+        first = written(first, "first")
+        edges = edges.unionByName(edges_of(first, crowded))
+        crowded = crowded.join(first, ["bucket", "o"], "left_anti")
+        small, crowded = _by_size(written(crowded, "members"), sketch)
+        edges = written(edges.unionByName(edges_of(small, small)), "edges")
+        # A node may have earlier neighbours that are not listed while it stands behind others in a large bucket.
+        unlisted = None
+        if crowded is not None:
+            front = crowded.groupBy("bucket").agg(F.min("o").alias("front"))
+            unlisted = crowded.join(front, "bucket").where(F.col("o") != F.col("front")).select("o")
+        dropped = _settled(edges, unlisted)
         gone.append(dropped)
-        left = crowded.join(ready.unionByName(dropped), "o", "left_anti")
-        # Buckets whose first node was compared just now are cut; the others wait for theirs.
-        cuttable = _large(left, sketch).join(leads, "bucket", "left_semi").select("bucket", F.lit(True).alias("cut"))
-        marked = left.join(cuttable, "bucket", "left")
-        cut = F.col("cut").isNotNull() & (F.col("level") < MAX_LEVEL)
-        following = marked.where(~cut).drop("cut")
-        if depth < MAX_LEVEL:
-            levels = list(range(depth, min(deepest + 1, MAX_LEVEL)))
-            following = following.unionByName(_cut(marked.where(cut).drop("cut"), sketch, levels))
-        deepest = min(deepest + 1, MAX_LEVEL)
-        following = written(following, "members")
-        small, crowded = _by_size(following, sketch)
-        open_edges = _without(edges, dropped)
-        edges = written(open_edges.unionByName(edges_in(small)), "edges")
-    gone += _settle(edges)
-    kept = nodes.select("o")
-    return kept.join(reduce(DataFrame.unionByName, gone), "o", "left_anti") if gone else kept
+        edges = written(_without(edges, dropped), "edges")
+        if crowded is not None:
+            crowded = written(crowded.join(dropped, "o", "left_anti"), "crowded")
+        width = min(width * GROWTH, sketch.bucket_rows)
+    while not edges.isEmpty():
+        dropped = _settled(edges)
+        gone.append(dropped)
+        edges = written(_without(edges, dropped), "edges")
+    return reduce(DataFrame.unionByName, gone) if gone else nodes.select("o").limit(0)
+
+
+def _settled(edges: DataFrame, unlisted: DataFrame | None = None) -> DataFrame:
+    """The later neighbours of nodes that stay: those without an open earlier neighbour, listed or not.
+
+    Of a plain set of edges this settles at least the first open node, in practice a large share of them.
+    """
+    waiting = edges.select(F.col("b").alias("a"))
+    if unlisted is not None:
+        waiting = waiting.unionByName(unlisted.select(F.col("o").alias("a")))
+    ready = edges.select("a").distinct().join(waiting.distinct(), "a", "left_anti")
+    return written(edges.join(ready, "a", "left_semi").select(F.col("b").alias("o")).distinct(), "dropped")
 
 
 def _without(edges: DataFrame, dropped: DataFrame) -> DataFrame:
@@ -165,17 +113,22 @@ def _without(edges: DataFrame, dropped: DataFrame) -> DataFrame:
     return from_open.join(dropped.withColumnRenamed("o", "b"), "b", "left_anti").select("a", "b")
 
 
-def _settle(edges: DataFrame) -> list[DataFrame]:
-    """Rounds over edges (a earlier than b); returns the dropped nodes of each round.
+def removals(nodes: DataFrame, sketch, carry: list[str]) -> DataFrame:
+    """Each node that goes with the earliest one that stays and is similar to it, and their measure.
 
-    A node without an open earlier neighbour stays, and its later neighbours go. Every
-    round settles at least the first open node, in practice a large share of them.
+    ``o`` and the carried columns come with the suffixes _a (stays) and _b (goes). One row
+    per node that goes, so the result never outgrows the nodes.
     """
-    gone = []
-    while not edges.isEmpty():
-        later = edges.select(F.col("b").alias("a")).distinct()
-        ready = edges.select("a").distinct().join(later, "a", "left_anti")
-        dropped = written(edges.join(ready, "a", "left_semi").select(F.col("b").alias("o")).distinct(), "dropped")
-        gone.append(dropped)
-        edges = written(_without(edges, dropped), "edges")
-    return gone
+    dropped = written(resolve(nodes, sketch), "removed")
+    stay = keyed(nodes.join(dropped, "o", "left_anti"), sketch)
+    go = keyed(nodes.join(dropped, "o", "left_semi"), sketch)
+    left = stay.select("bucket", F.col("o").alias("o_a"), F.col("sketch").alias("sketch_a"))
+    right = go.select("bucket", F.col("o").alias("o_b"), F.col("sketch").alias("sketch_b"))
+    both = F.col("sketch_a"), F.col("sketch_b")
+    pairs = left.join(right, "bucket").where(F.col("o_a") < F.col("o_b")).where(sketch.similar(*both))
+    best = pairs.groupBy("o_b").agg(F.min(F.struct("o_a", sketch.measure(*both).alias("measure"))).alias("best"))
+    found = best.select(F.col("best.o_a").alias("o_a"), "o_b", F.col("best.measure").alias("measure"))
+    for side in ("a", "b"):
+        names = nodes.select(F.col("o").alias(f"o_{side}"), *[F.col(c).alias(f"{c}_{side}") for c in carry])
+        found = found.join(names, f"o_{side}")
+    return found

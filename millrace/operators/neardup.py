@@ -5,16 +5,21 @@ A row stays unless an earlier row that itself stayed is similar to it. The work:
 1. one narrow row per text: its order key and its sketch;
 2. equal sketches fall together to the first row, inside the tasks before the shuffle.
    Whatever removes that row removes its copies too, so this is exact;
-3. sketches are cut into more bands than two similar ones can differ in. Similar
-   sketches therefore share a band, and an equi-join on bands misses nothing;
-4. the rule is resolved on what the bands show (see ``greedy``).
+3. sketches are cut into more blocks than two similar ones can differ in, and each choice of
+   so many blocks as must agree is a key. Similar sketches therefore share a key, and an
+   equi-join on keys misses nothing;
+4. the rule is resolved on what the keys show (see ``greedy``).
+
+Rows with a null order key have no place in the order: they remove nothing and stay.
 """
 
 from __future__ import annotations
 
-import random
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from itertools import combinations
+from math import comb
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,56 +28,69 @@ from ..checks import as_list, col, require_batch, require_columns
 from ..functions import fingerprint
 from ..functions.text import squash, words
 from ..scratch import written
-from .greedy import resolve, similar_pairs
+from .greedy import removals, resolve, shared
 
 SIMHASH_BITS = 64
+# Most keys that a sketch may have, and how many bits a key should tell apart if that allows it.
+MAX_KEYS, KEY_BITS = 64, 24
+MAX_DISTANCE = 9
 
 
 @dataclass(frozen=True)
 class Sketch:
-    """A fingerprint column ``sketch`` with its bands and its test of similarity.
+    """A fingerprint column ``sketch`` with its keys and its test of similarity.
 
-    ``bands(level, value)`` cuts one sketch into bands; every level cuts across the
-    others. ``measure(left, right)`` compares a pair and ``near`` decides on the measure.
-    ``bits`` is what a band tells apart.
-    Buckets up to ``bucket_rows`` are joined with themselves: so many pairs per member at most.
+    ``keys(value)`` are the keys of one sketch, always equally many. ``agree(left, right)``
+    says for each key whether a pair shares it. ``measure(left, right)`` compares a pair and
+    ``near`` decides on the measure. Buckets up to ``bucket_rows`` are joined with
+    themselves: so many pairs per member at most.
     """
 
-    bands: Callable[[int, Column], list[Column]]
+    keys: Callable[[Column], list[Column]]
+    agree: Callable[[Column, Column], list[Column]]
     measure: Callable[[Column, Column], Column]
     near: Callable[[Column], Column]
-    bits: int
     bucket_rows: int
 
     def similar(self, left: Column, right: Column) -> Column:
         return self.near(self.measure(left, right))
 
+    def first_key(self, left: Column, right: Column) -> Column:
+        """The number of the first key that a pair shares, from 0."""
+        return (F.array_position(F.array(*self.agree(left, right)), F.lit(True)) - 1).cast("int")
+
+
+def _blocks(size: int, parts: int) -> list[range]:
+    """The places 0..size-1 in ``parts`` runs."""
+    return [range(i * size // parts, (i + 1) * size // parts) for i in range(parts)]
 
-def _cut(level: int, size: int, parts: int) -> list[list[int]]:
-    """The places 0..size-1 in ``parts`` groups; level 0 in order, others mixed."""
-    places = list(range(size))
-    if level:
-        random.Random(level).shuffle(places)
-    return [sorted(places[i * size // parts : (i + 1) * size // parts]) for i in range(parts)]
+
+def _agreeing(threshold: int) -> int:
+    """How many of ``threshold`` and so many blocks make a key: the least that tell ``KEY_BITS`` apart."""
+    choices = [n for n in range(1, SIMHASH_BITS) if comb(threshold + n, n) <= MAX_KEYS and threshold + n <= SIMHASH_BITS]
+    wide = [n for n in choices if n * SIMHASH_BITS >= KEY_BITS * (threshold + n)]
+    return wide[0] if wide else choices[-1]
 
 
 def simhash_sketch(threshold: int, bucket_rows: int = 2048) -> Sketch:
-    """At most ``threshold`` differing bits leave one of threshold + 1 groups of bits equal."""
-    if not 0 <= threshold < SIMHASH_BITS // 2:
-        raise ValueError(f"threshold must be in 0..{SIMHASH_BITS // 2 - 1}")
+    """At most ``threshold`` differing bits leave n of threshold + n blocks of bits equal.
 
-    def bands(level: int, value: Column) -> list[Column]:
-        masks = []
-        for places in _cut(level, SIMHASH_BITS, threshold + 1):
-            mask = sum(1 << p for p in places)
-            masks.append(mask - (1 << SIMHASH_BITS) if mask >> (SIMHASH_BITS - 1) else mask)
-        return [value.bitwiseAND(F.lit(m).cast("bigint")) for m in masks]
+    Every choice of n blocks is a key: 10 keys of 25 bits for a threshold of 3. Past
+    ``MAX_DISTANCE`` bits, ``MAX_KEYS`` keys would be too short to tell rows apart.
+    """
+    if not 0 <= threshold <= MAX_DISTANCE:
+        raise ValueError(f"threshold must be in 0..{MAX_DISTANCE}: a larger one needs more than {MAX_KEYS} keys a row")
+    agreeing = _agreeing(threshold)
+    masks = []
+    for chosen in combinations(_blocks(SIMHASH_BITS, threshold + agreeing), agreeing):
+        mask = sum(1 << p for block in chosen for p in block)
+        masks.append(F.lit(mask - (1 << SIMHASH_BITS) if mask >> (SIMHASH_BITS - 1) else mask).cast("bigint"))
 
     return Sketch(
-        bands,
+        lambda value: [value.bitwiseAND(mask) for mask in masks],
+        lambda left, right: [left.bitwiseXOR(right).bitwiseAND(mask) == 0 for mask in masks],
         fingerprint.hamming_distance,
         lambda distance: distance <= threshold,
-        SIMHASH_BITS // (threshold + 1),
         bucket_rows,
     )
 
@@ -83,17 +101,20 @@ def needed_agreement(threshold: float, num_perm: int) -> int:
 
 
 def minhash_sketch(threshold: float, num_perm: int = 64, bucket_rows: int = 512) -> Sketch:
-    """``need`` equal positions leave one of num_perm - need + 1 groups of positions equal."""
+    """``need`` equal positions leave one of num_perm - need + 1 blocks of positions equal."""
     if not 0.5 <= threshold <= 1:
-        raise ValueError("threshold must be in 0.5..1; below, bands are too short to filter")
+        raise ValueError("threshold must be in 0.5..1; below, keys are too short to filter")
     need = needed_agreement(threshold, num_perm)
-    parts = num_perm - need + 1
+    blocks = _blocks(num_perm, num_perm - need + 1)
 
-    def bands(level: int, value: Column) -> list[Column]:
-        return [F.xxhash64(*[F.get(value, F.lit(p)) for p in places]) for places in _cut(level, num_perm, parts)]
+    def keys(value: Column) -> list[Column]:
+        return [F.xxhash64(*[F.get(value, F.lit(p)) for p in block]) for block in blocks]
 
-    bits = 32 * (num_perm // parts)
-    return Sketch(bands, fingerprint.signature_agreement, lambda equal: equal >= need, bits, bucket_rows)
+    def agree(left: Column, right: Column) -> list[Column]:
+        same = [[F.get(left, F.lit(p)) == F.get(right, F.lit(p)) for p in block] for block in blocks]
+        return [reduce(Column.__and__, positions) for positions in same]
+
+    return Sketch(keys, agree, fingerprint.signature_agreement, lambda equal: equal >= need, bucket_rows)
 
 
 def _order_key(order: list[str]) -> Column:
@@ -106,9 +127,14 @@ def _sketched(df: DataFrame, column: str, order: list[str], sketch: Column, *ext
     return written(df.select(_order_key(order).alias("o"), sketch.alias("sketch"), *extra), "sketches")
 
 
-def _keep(df: DataFrame, order: list[str], kept: DataFrame) -> DataFrame:
-    """The rows of ``df`` whose order key is in ``kept``: one join on a unique key; null is a key too."""
-    return df.join(kept.withColumnRenamed("o", "_o"), _order_key(order).eqNullSafe(F.col("_o")), "left_semi")
+def _keep(df: DataFrame, order: list[str], sketched: DataFrame, first: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``df`` without the rows that go: those that are not first of their sketch, and the ``dropped`` first ones.
+
+    The keys of the rows that go are the smaller side of the only join that moves ``df``.
+    """
+    removed = sketched.select("o").join(first.select("o").join(dropped, "o", "left_anti"), "o", "left_anti")
+    removed = written(removed.where(F.col("o").isNotNull()).select(F.col("o").alias("_o")), "removed")
+    return df.join(removed, _order_key(order) == F.col("_o"), "left_anti")
 
 
 def _text(column: str) -> Column:
@@ -126,10 +152,9 @@ def minhash(df: DataFrame, column: str, num_perm: int = 64, output_column: str =
 
 
 def _pairs(sketched: DataFrame, order: list[str], sketch: Sketch) -> DataFrame:
-    """Verified pairs of distinct sketches, each named by its first row, with its number of rows."""
+    """Removals among distinct sketches, each named by its first row, with its number of rows."""
     groups = sketched.groupBy("sketch").agg(F.min("o").alias("o"), F.count(F.lit(1)).alias("copies"))
-    groups = written(groups, "groups")
-    pairs = similar_pairs(groups, sketch, carry=["copies"])
+    pairs = removals(written(groups, "groups"), sketch, carry=["copies"])
     names = []
     for side in ("a", "b"):
         if len(order) == 1:
@@ -142,35 +167,36 @@ def _pairs(sketched: DataFrame, order: list[str], sketch: Sketch) -> DataFrame:
 def near_dup_pairs(
     df: DataFrame, column: str, threshold: int = 3, order_by: str | list[str] = "id", variant: str = "token"
 ) -> DataFrame:
-    """All pairs of distinct SimHash fingerprints within ``threshold`` bits.
+    """Each SimHash fingerprint that goes, with the earliest one that stays within ``threshold`` bits of it.
 
     A fingerprint is named by its first row and carries its number of rows (``copies``):
-    rows with equal fingerprints are at distance 0 and are not spelled out pair by pair.
-    A fingerprint has a bounded number of others within the threshold, so the result
-    grows with the data and not with its square.
+    rows with equal fingerprints are at distance 0 and are not spelled out. Which ones stay
+    is what ``simhash_deduplicate`` decides: _a stays, _b goes. One row per fingerprint that
+    goes, so a large family of near copies gives no more rows than it has members.
     """
     order = as_list(order_by)
+    sketch = simhash_sketch(threshold)
     sketched = _sketched(df, column, order, fingerprint.simhash(_text(column), variant))
-    return _pairs(sketched, order, simhash_sketch(threshold)).withColumnRenamed("measure", "distance")
+    return _pairs(sketched, order, sketch).withColumnRenamed("measure", "distance")
 
 
 def minhash_pairs(
     df: DataFrame, column: str, threshold: float = 0.85, order_by: str | list[str] = "id", num_perm: int = 64
 ) -> DataFrame:
-    """All pairs of distinct MinHash signatures that agree in a share of ``threshold`` positions.
+    """Each MinHash signature that goes, with the earliest one that stays and agrees in a share of ``threshold``.
 
-    Named and counted as in ``near_dup_pairs``. To remove duplicates use
-    ``minhash_deduplicate``, which does not list the pairs of a large cluster.
+    Named and counted as in ``near_dup_pairs``; ``minhash_deduplicate`` decides which ones stay.
     """
     order = as_list(order_by)
+    sketch = minhash_sketch(threshold, num_perm)
     sketched = _sketched(df, column, order, fingerprint.minhash_signature(_text(column), num_perm))
-    pairs = _pairs(sketched, order, minhash_sketch(threshold, num_perm))
+    pairs = _pairs(sketched, order, sketch)
     return pairs.withColumn("similarity", F.col("measure") / F.lit(float(num_perm))).drop("measure")
 
 
 def _deduplicate(df: DataFrame, order: list[str], sketched: DataFrame, sketch: Sketch) -> DataFrame:
     first = written(sketched.groupBy("sketch").agg(F.min("o").alias("o")), "first")
-    return _keep(df, order, resolve(first, sketch))
+    return _keep(df, order, sketched, first, resolve(first, sketch))
 
 
 def simhash_deduplicate(
@@ -178,8 +204,9 @@ def simhash_deduplicate(
 ) -> DataFrame:
     """Keeps a row iff no earlier kept row is within ``threshold`` bits."""
     order = as_list(order_by)
+    sketch = simhash_sketch(threshold)
     sketched = _sketched(df, column, order, fingerprint.simhash(_text(column), variant))
-    return _deduplicate(df, order, sketched, simhash_sketch(threshold))
+    return _deduplicate(df, order, sketched, sketch)
 
 
 def minhash_deduplicate(
@@ -206,22 +233,21 @@ def dedup_fuzzy(
     # Texts equal but for case and white space have equal sets; the first of them stands for all.
     digest = F.sha2(squash(text), 256)
     sketched = _sketched(df, column, order, fingerprint.minhash_signature(_text(column), num_perm), digest.alias("digest"))
-    groups = sketched.groupBy("digest").agg(F.min(F.struct("o", "sketch")).alias("first"))
+    groups = sketched.where(F.col("o").isNotNull()).groupBy("digest").agg(F.min(F.struct("o", "sketch")).alias("first"))
     first = written(groups.select("first.o", "first.sketch"), "first")
-    texts = df.select(_order_key(order).alias("o"), text.alias("text"))
+    # The sets are written once, for the rows that share a key with another, whatever the number of rounds.
+    texts = df.select(_order_key(order).alias("o"), text.alias("text")).join(shared(first, sketch), "o", "left_semi")
+    texts = texts.withColumn("words", words(F.col("text")))
+    shingles = written(texts.select("o", fingerprint.word_bigrams(F.col("words")).alias("shingles")), "shingles")
 
     def exact(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) whose sets reach the threshold; reads the sets of paired rows only."""
-        pairs = written(pairs.select("a", "b"), "candidates")
-        paired = pairs.select(F.explode(F.array("a", "b")).alias("o")).distinct()
-        needed = texts.join(paired, "o", "left_semi").withColumn("words", words(F.col("text")))
-        needed = written(needed.select("o", fingerprint.word_bigrams(F.col("words")).alias("shingles")), "shingles")
-        left = needed.select(F.col("o").alias("a"), F.col("shingles").alias("_left"))
-        right = needed.select(F.col("o").alias("b"), F.col("shingles").alias("_right"))
+        """Pairs (a, b) whose sets reach the threshold."""
+        left = shingles.select(F.col("o").alias("a"), F.col("shingles").alias("_left"))
+        right = shingles.select(F.col("o").alias("b"), F.col("shingles").alias("_right"))
         both = pairs.join(left, "a").join(right, "b")
-        shared = F.size(F.array_intersect("_left", "_right"))
-        union = F.size("_left") + F.size("_right") - shared
-        alike = F.when(union == 0, True).otherwise(shared / union >= F.lit(float(threshold)))
+        common = F.size(F.array_intersect("_left", "_right"))
+        union = F.size("_left") + F.size("_right") - common
+        alike = F.when(union == 0, True).otherwise(common / union >= F.lit(float(threshold)))
         return both.where(alike).select("a", "b")
 
-    return _keep(df, order, resolve(first, sketch, exact))
+    return _keep(df, order, sketched, first, resolve(first, sketch, exact))

@@ -9,12 +9,11 @@ from .. import operators as ops
 from ..functions import hamming_distance
 from ..functions.fingerprint import MINHASH_MASK, MINHASH_STEP
 from ..functions.text import WORD_BODY
-from ..sources import spread
 from .catalog import query, sql_words, table
 
 
 def _documents(spark, sf_dir):
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def _hex(value: Column) -> Column:
@@ -141,10 +140,12 @@ def d5(spark, sf_dir):
 @query(
     "d6_pairs",
     f"""
-    WITH {SIM}, {FP_GROUPS}
+    WITH RECURSIVE {SIM}, {FP_GROUPS}, near AS MATERIALIZED ({NEAR}), {greedy_cte('SELECT a, b FROM near', 'SELECT doc_id FROM fps')},
+    removed AS (
+        SELECT min(a) AS a, b FROM near WHERE a IN (SELECT doc_id FROM kept) AND b NOT IN (SELECT doc_id FROM kept) GROUP BY b)
     SELECT x.doc_id AS doc_id_a, y.doc_id AS doc_id_b, x.copies AS copies_a, y.copies AS copies_b,
         CAST(bit_count(xor(x.fp, y.fp)) AS INTEGER) AS distance
-    FROM fps x JOIN fps y ON x.doc_id < y.doc_id WHERE bit_count(xor(x.fp, y.fp)) <= 3
+    FROM removed JOIN fps x ON x.doc_id = removed.a JOIN fps y ON y.doc_id = removed.b
     """,
 )
 def d6(spark, sf_dir):
@@ -171,9 +172,13 @@ def d8(spark, sf_dir):
 @query(
     "d9_minhash_pairs",
     f"""
-    WITH {MINHASH}
+    WITH RECURSIVE {MINHASH}, near AS MATERIALIZED (SELECT a, b, n FROM agree),
+    {greedy_cte('SELECT a, b FROM near', 'SELECT doc_id FROM sig_groups')},
+    removed AS (
+        SELECT min(a) AS a, arg_min(n, a) AS n, b FROM near
+        WHERE a IN (SELECT doc_id FROM kept) AND b NOT IN (SELECT doc_id FROM kept) GROUP BY b)
     SELECT a AS doc_id_a, b AS doc_id_b, x.copies AS copies_a, y.copies AS copies_b, n / CAST(64 AS DOUBLE) AS similarity
-    FROM agree JOIN sig_groups x ON x.doc_id = a JOIN sig_groups y ON y.doc_id = b
+    FROM removed JOIN sig_groups x ON x.doc_id = a JOIN sig_groups y ON y.doc_id = b
     """,
 )
 def d9(spark, sf_dir):

@@ -11,7 +11,6 @@ from .readers import (
     read_parquet,
     read_sql,
     read_stream,
-    spread,
 )
 from .writers import save, write_csv, write_json, write_jsonl, write_parquet
 
@@ -27,7 +26,6 @@ __all__ = [
     "read_sql",
     "read_stream",
     "save",
-    "spread",
     "write_csv",
     "write_json",
     "write_jsonl",

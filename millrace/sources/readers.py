@@ -160,15 +160,6 @@ def read_sql(
     ).load()
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Repartitions input that comes in fewer splits than there are cores, such as one small file.
-
-    Inputs of many splits, as large ones are, stay as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def _binary_files(spark: SparkSession, directory: str, recursive: bool) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(directory)
 

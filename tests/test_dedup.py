@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace import operators as ops
 from millrace.operators import neardup
-from millrace.operators.greedy import resolve, similar_pairs
+from millrace.operators.greedy import keyed, removals, resolve
 
 WORDS = [f"w{i}" for i in range(40)] + ["Straße", "é", "日本"]
 
@@ -96,9 +96,11 @@ def test_pairs(texts, corpus):
         for i, text in enumerate(corpus):
             groups.setdefault(sketch(text), []).append(i)
         nodes = sorted((ids[0], len(ids), value) for value, ids in groups.items())
-        expected = {
-            (a[0], b[0], a[1], b[1]) for i, a in enumerate(nodes) for b in nodes[i + 1 :] if similar(a[2], b[2])
-        }
+        stay = brute.greedy([n[2] for n in nodes], similar)
+        expected = set()
+        for i in set(range(len(nodes))) - set(stay):
+            a = nodes[next(k for k in stay if similar(nodes[k][2], nodes[i][2]))]
+            expected.add((a[0], nodes[i][0], a[1], nodes[i][1]))
         rows = make(texts(corpus)).select("id_a", "id_b", "copies_a", "copies_b").collect()
         assert len(rows) == len(expected) and {tuple(r) for r in rows} == expected
 
@@ -107,13 +109,13 @@ def test_several_order_columns(spark):
     df = spark.createDataFrame([(1, 2, "a b c"), (1, 1, "a b c"), (0, 9, "x")], "g int, n int, t string")
     result = ops.simhash_deduplicate(df, "t", 3, ["g", "n"])
     assert {(r.g, r.n) for r in result.collect()} == {(1, 1), (0, 9)}
-    assert ops.near_dup_pairs(df, "t", 31, "g,n").columns[:4] == ["g_a", "n_a", "g_b", "n_b"]
+    assert ops.near_dup_pairs(df, "t", 9, "g,n").columns[:4] == ["g_a", "n_a", "g_b", "n_b"]
 
 
 def test_chain_is_not_a_component(spark):
     # a~b, b~c, not a~c: c stays, because b does not.
     nodes = spark.createDataFrame([(1, 0b0), (2, 0b111), (3, 0b111111)], "o int, sketch bigint")
-    assert {r.o for r in resolve(nodes, neardup.simhash_sketch(3)).collect()} == {1, 3}
+    assert {r.o for r in resolve(nodes, neardup.simhash_sketch(3)).collect()} == {2}
 
 
 def crowd(kind):
@@ -142,11 +144,36 @@ def test_crowded_buckets(spark, kind):
     nodes = spark.createDataFrame(list(enumerate(values)), "o bigint, sketch bigint")
     near = lambda a, b: brute.differing_bits(a, b) <= 3
     expected = brute.greedy(values, near)
-    pairs = {(a, b) for a in range(len(values)) for b in range(a + 1, len(values)) if near(values[a], values[b])}
     sketch = neardup.simhash_sketch(3, bucket_rows=60)
-    assert sorted(r.o for r in resolve(nodes, sketch).collect()) == expected
-    found = [(r.o_a, r.o_b) for r in similar_pairs(nodes, sketch, []).collect()]
-    assert len(found) == len(pairs) and set(found) == pairs
+    gone = sorted(set(range(len(values))) - set(expected))
+    assert sorted(r.o for r in resolve(nodes, sketch).collect()) == gone
+    found = {(r.o_a, r.o_b, r.measure) for r in removals(nodes, sketch, []).collect()}
+    removers = {b: next(a for a in expected if near(values[a], values[b])) for b in gone}
+    assert found == {(a, b, brute.differing_bits(values[a], values[b])) for b, a in removers.items()}
+
+
+def test_tight_family(spark):
+    # 5,000 fingerprints within 3 bits of one: the rows per node stay those of its keys, whatever the crowd.
+    rng = random.Random(5)
+    base, values = rng.getrandbits(64), {}
+    while len(values) < 5000:
+        value = base
+        for bit in rng.sample(range(64), 3):
+            value ^= 1 << bit
+        values[brute.signed(value)] = None
+    values = list(values)
+    nodes = spark.createDataFrame(list(enumerate(values)), "o bigint, sketch bigint")
+    sketch = neardup.simhash_sketch(3)
+    assert keyed(nodes, sketch).count() == 10 * len(values)
+    expected = brute.greedy(values, lambda a, b: brute.differing_bits(a, b) <= 3)
+    gone = [r.o for r in resolve(nodes, sketch).collect()]
+    assert len(gone) == len(set(gone)) and sorted(set(range(len(values))) - set(gone)) == expected
+
+
+def test_null_order_keys_stay(spark):
+    df = spark.createDataFrame([(1, "a b c"), (None, "a b c"), (2, "a b c"), (None, "x y z")], "id int, t string")
+    for result in (ops.simhash_deduplicate(df, "t"), ops.minhash_deduplicate(df, "t"), ops.dedup_fuzzy(df, "t")):
+        assert sorted((r.id or 0) for r in result.collect()) == [0, 0, 1]
 
 
 def test_crowded_minhash(spark):
@@ -160,7 +187,8 @@ def test_crowded_minhash(spark):
     nodes = spark.createDataFrame(list(enumerate(signatures)), "o bigint, sketch array<bigint>")
     expected = brute.greedy(signatures, lambda a, b: brute.agreement(a, b) >= 55)
     sketch = neardup.minhash_sketch(0.85, bucket_rows=30)
-    assert sorted(r.o for r in resolve(nodes, sketch).collect()) == expected
+    gone = {r.o for r in resolve(nodes, sketch).collect()}
+    assert sorted(set(range(len(signatures))) - gone) == expected
 
 
 def test_bounds():
@@ -168,4 +196,6 @@ def test_bounds():
         neardup.minhash_sketch(0.3)
     with pytest.raises(ValueError):
         neardup.simhash_sketch(-1)
+    with pytest.raises(ValueError, match="64 keys"):
+        neardup.simhash_sketch(10)
     assert neardup.needed_agreement(0.85, 64) == 55
