@@ -25,7 +25,7 @@ def concatenate(df: DataFrame, other: DataFrame) -> DataFrame:
 
 
 def join_rows(
-    left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner", skewed: bool = False
+    left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner", skewed: bool = True
 ) -> DataFrame:
     """Equi-join on shared keys; other shared columns of the right side get ``_right``.
 
@@ -33,8 +33,9 @@ def join_rows(
     its adaptive execution splits frequent keys: on both sides of an inner join, on the
     left of a left or anti join, on the right of a right join, never in a full join. A
     full join is therefore a left join and the right rows without a match. ``skewed``
-    builds left and right joins from an inner join and the rows without a match, for keys
-    that are frequent on the optional side.
+    builds left, right and full joins from an inner join and the rows without a match, so
+    that keys may be frequent on either side; without it a left or right join is one join,
+    for keys known to be rare on the optional side.
     """
     keys = as_list(on)
     require_columns(left, keys)

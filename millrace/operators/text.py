@@ -120,25 +120,19 @@ def detect_lang(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn("lang", lang)
 
 
-# A lexicon up to this many rows is sent to every executor; a larger one is shuffled.
-LEXICON_BROADCAST_ROWS = 100_000
-
-
 def sentiment(df: DataFrame, column: str, lexicon: DataFrame, key: str, output_column: str = "sentiment") -> DataFrame:
     """Adds the summed word weights of a text, squashed to (-1, 1) by x / sqrt(x^2 + 15).
 
     ``lexicon`` has unique ``word`` and ``weight``; ``key`` is unique per row. Words are
-    weighted and summed inside the task that reads the text, so that one number per
-    text is shuffled.
+    weighted and summed inside the task that reads the text while Spark finds the lexicon
+    small enough in bytes to broadcast; else words are shuffled.
     """
     require_columns(df, [column, key])
     require_columns(lexicon, ["word", "weight"])
     tokens = df.select(
         col(key).alias("_key"), F.explode(rules.words(F.lower(col(column).cast("string")))).alias("word")
     )
-    weights = lexicon.select("word", "weight")
-    small = weights.limit(LEXICON_BROADCAST_ROWS + 1).count() <= LEXICON_BROADCAST_ROWS
-    joined = tokens.join(F.broadcast(weights) if small else weights, "word")
+    joined = tokens.join(lexicon.select("word", "weight"), "word")
     sums = joined.groupBy("_key").agg(F.sum("weight").alias("_sum"))
     total = F.coalesce(F.col("_sum"), F.lit(0)).cast("double")
     score = total / F.sqrt(total * total + 15)

@@ -167,7 +167,7 @@ operator("concatenate", ("a", "b"))(ops.concatenate)
 
 @operator("join_rows", ("left", "right"), join_key=_column("id"),
           join_type=Param("select", default="inner", options=tuple(ops.combine.JOIN_KINDS)),
-          skewed=Param("boolean", default=False))
+          skewed=Param("boolean", default=True))
 def _join(left, right, join_key, join_type, skewed):
     return ops.join_rows(left, right, join_key, join_type, skewed=skewed)
 

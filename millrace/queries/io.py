@@ -39,8 +39,8 @@ def _document(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The JSON records of one task as the lines of one document with a list under "data"."""
     lead = '{"note": "x", "data": ['
     for batch in batches:
-        for record in batch["value"]:
-            yield pd.DataFrame({"value": [lead + record]})
+        if len(batch):
+            yield pd.DataFrame({"value": [lead + ",\n".join(batch["value"])]})
             lead = ","
     yield pd.DataFrame({"value": ["]}" if lead == "," else lead + "]}"]})
 
@@ -134,15 +134,13 @@ def k3(spark, sf_dir):
 
 @query(
     "k4_write_parquet",
-    "SELECT vec_id, label, len(embedding) AS dim, CAST(embedding[1] AS DOUBLE) AS first FROM embeddings",
+    "SELECT vec_id, label, CAST(unnest(range(len(embedding))) AS BIGINT) AS place, CAST(unnest(embedding) AS DOUBLE) AS value FROM embeddings",
 )
 def k4(spark, sf_dir):
     path = scratch_path(spark, "k4")
     sources.write_parquet(table(spark, sf_dir, "embeddings"), path, partition_by=["label"])
-    vectors = sources.read_parquet(spark, path)
-    return vectors.select(
-        "vec_id", "label", F.size("embedding").cast("bigint").alias("dim"), F.get("embedding", F.lit(0)).cast("double").alias("first")
-    )
+    vectors = sources.read_parquet(spark, path).select("vec_id", "label", F.posexplode("embedding").alias("place", "value"))
+    return vectors.select("vec_id", "label", F.col("place").cast("bigint").alias("place"), F.col("value").cast("double").alias("value"))
 
 
 @query("k5_save", "SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part")

@@ -258,16 +258,16 @@ def j1(spark, sf_dir):
 
 
 def _sides(spark, sf_dir):
-    """Documents of some languages against the labels: each side has rows the other lacks."""
+    """All documents against all labels."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("source"), "toxic")
-    return documents.where("lang <> 'en'"), labels
+    return documents, labels
 
 
 def _join_sql(kind: str) -> str:
     return (
         "SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, d.lang, d.source, l.quality AS source_right, l.toxic "
-        f"FROM (SELECT * FROM documents WHERE lang <> 'en') d {kind} JOIN labels l ON d.doc_id = l.doc_id"
+        f"FROM documents d {kind} JOIN labels l ON d.doc_id = l.doc_id"
     )
 
 

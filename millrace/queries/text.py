@@ -171,12 +171,11 @@ def t12(spark, sf_dir):
 
 
 def _lexicon(spark, sf_dir):
-    """Words that occur in ten labelled documents or more; weight = good minus bad documents."""
+    """Words of labelled documents; weight = good minus bad documents."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     tokens = F.array_distinct(F.split(F.lower("text"), " "))
     words = _documents(spark, sf_dir).join(labels, "doc_id").select("quality", F.explode(tokens).alias("word"))
-    weight = F.sum(2 * F.col("quality") - 1).alias("weight")
-    return words.groupBy("word").agg(weight, F.count(F.lit(1)).alias("n")).where("n >= 10").select("word", "weight")
+    return words.groupBy("word").agg(F.sum(2 * F.col("quality") - 1).alias("weight"))
 
 
 @query(
@@ -186,7 +185,7 @@ def _lexicon(spark, sf_dir):
         SELECT word, sum(2 * quality - 1) AS weight FROM (
             SELECT l.quality, unnest(list_distinct(string_split(lower(d.text), ' '))) AS word
             FROM documents d JOIN labels l ON d.doc_id = l.doc_id)
-        GROUP BY word HAVING count(*) >= 10),
+        GROUP BY word),
     scores AS (
         SELECT t.doc_id, CAST(sum(weight) AS DOUBLE) AS x
         FROM (SELECT doc_id, unnest({sql_words('lower(text)')}) AS word FROM documents) t JOIN lexicon USING (word)
