@@ -107,9 +107,3 @@ def test_scratch_follows_the_session(spark):
     assert configured is None or root == configured.rstrip("/")
     written = scratch.written(spark.range(5), "t")
     assert root.removeprefix("file:") in written.inputFiles()[0]
-
-
-def test_spread(spark):
-    assert sources.spread(spark.range(10).coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    many = spark.range(0, 1000, 1, 200)
-    assert sources.spread(many) is many
