@@ -4,21 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import sources
 from ..functions.text import ENTITY, SPACE_BODY, SPACES, TAG, TAG_OR_EMPTY
 from ..plans import FLOWS, run_pipeline
+from ..plans.flows import flow
+from ..scratch import scratch_path
 from .catalog import query, sql_strip, sql_words, table
 from .dedup import FP_GROUPS, NEAR, greedy_cte, simhash_cte
+from .io import write_documents
 from .text import chunk_sql
 
 
-def _last(spark, name, frame):
-    """Runs a flow on a given input and returns what its sink would write."""
+# How the input of a flow is written for its source, and how the output of its sink is read.
+GIVEN = {
+    "import_dataset": sources.write_jsonl,
+    "load_csv": sources.write_csv,
+    "load_json": write_documents,
+    "load_jsonl": sources.write_jsonl,
+}
+RESULT = {"write_csv": sources.read_csv, "write_jsonl": sources.read_jsonl, "write_parquet": sources.read_parquet}
+
+
+def _run(spark, name, frame):
+    """Writes ``frame`` where a flow reads, runs its steps and reads what its sink wrote, in the types of ``frame``."""
     spec = FLOWS[name]
-    sink = spec["nodes"][-1]["id"]
-    variables = {"IN": "given", "OUT": "not written", "ORDER": "doc_id"}
-    run = run_pipeline(spark, spec, variables, dry_run=True, frames={"s0": frame})
-    last = next(e["source"] for e in spec["edges"] if e["target"] == sink)
-    return run.frame(last)
+    first, last = spec["nodes"][0], spec["nodes"][-1]
+    given, out = scratch_path(spark, f"{name}-in") + ".jsonl", scratch_path(spark, f"{name}-out")
+    GIVEN[first["data"]["typeId"]](frame, given)
+    run = run_pipeline(spark, spec, {"IN": given, "OUT": out, "ORDER": "doc_id"})
+    before = next(e["source"] for e in spec["edges"] if e["target"] == last["id"])
+    types = {**dict(run.frame(before).dtypes), **dict(frame.dtypes)}
+    result = RESULT[last["data"]["typeId"]](spark, out)
+    return result.select(*[F.col(c).cast(types[c]).alias(c) for c in result.columns])
 
 
 def _html(text: str) -> str:
@@ -70,7 +87,7 @@ def g2(spark, sf_dir):
     )
     users = users.toDF("conv_id", "turn", "instruction", "input")
     answers = turns.where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("output"))
-    return _last(spark, "alpaca", users.join(answers, ["conv_id", "turn"], "left").drop("conv_id", "turn"))
+    return _run(spark, "alpaca", users.join(answers, ["conv_id", "turn"], "left").drop("conv_id", "turn"))
 
 
 CLEAN_PAGES = f"SELECT page_id AS doc_id, nfc_normalize(regexp_replace(html, '{TAG_OR_EMPTY}', '', 'g')) AS text FROM pages"
@@ -86,7 +103,7 @@ CLEAN_PAGES = f"SELECT page_id AS doc_id, nfc_normalize(regexp_replace(html, '{T
 )
 def g3(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
-    return _last(spark, "fineweb", pages)
+    return _run(spark, "fineweb", pages)
 
 
 @query(
@@ -94,21 +111,21 @@ def g3(spark, sf_dir):
     f"SELECT doc_id, regexp_replace(nfc_normalize(text), '{SPACES}', ' ', 'g') AS story FROM documents",
 )
 def g4(spark, sf_dir):
-    return _last(spark, "tinystories", table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("story")))
+    return _run(spark, "tinystories", table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("story")))
 
 
 @query(
     "g5_finetune",
-    f"SELECT doc_id, nfc_normalize(lower(text)) AS text, lang FROM documents WHERE {sql_strip('text')} <> ''",
+    f"SELECT doc_id, nfc_normalize(lower(text)) AS text, coalesce(lang, '') AS lang FROM documents WHERE {sql_strip('text')} <> ''",
 )
 def g5(spark, sf_dir):
-    return _last(spark, "finetune", table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return _run(spark, "finetune", table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
 @query("g6_rag", chunk_sql(f"SELECT page_id AS doc_id, nfc_normalize({_html('html')}) AS text FROM pages", 500, 50))
 def g6(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
-    return _last(spark, "rag", pages).drop("text")
+    return _run(spark, "rag", pages).drop("text")
 
 
 @query(
@@ -116,7 +133,7 @@ def g6(spark, sf_dir):
     f"SELECT conv_id, turn, role AS \"from\", regexp_replace(text, '{SPACES}', ' ', 'g') AS value FROM conversations",
 )
 def g7(spark, sf_dir):
-    return _last(spark, "sharegpt", table(spark, sf_dir, "conversations"))
+    return _run(spark, "sharegpt", table(spark, sf_dir, "conversations"))
 
 
 @query(
@@ -128,7 +145,7 @@ def g7(spark, sf_dir):
     """,
 )
 def g8(spark, sf_dir):
-    return _last(spark, "ocr", table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return _run(spark, "ocr", table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 @query(
@@ -141,7 +158,7 @@ def g8(spark, sf_dir):
     """,
 )
 def g9(spark, sf_dir):
-    return _last(spark, "common_crawl", table(spark, sf_dir, "pages").withColumnRenamed("page_id", "doc_id"))
+    return _run(spark, "common_crawl", table(spark, sf_dir, "pages").withColumnRenamed("page_id", "doc_id"))
 
 
 @query(
@@ -149,4 +166,36 @@ def g9(spark, sf_dir):
     f"SELECT doc_id, text FROM (SELECT doc_id, {_html('text')} AS text FROM documents) WHERE len({sql_words('text')}) BETWEEN 50 AND 500",
 )
 def g10(spark, sf_dir):
-    return _last(spark, "tinystories_words", table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return _run(spark, "tinystories_words", table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("k7_dry_run", "SELECT p_partkey, p_name, upper(p_brand) AS p_brand, CAST(0 AS INTEGER) AS outputs FROM part")
+def k7(spark, sf_dir):
+    spec = flow(
+        "dry",
+        ("load_parquet", {"path": "${DIR}/part.parquet"}),
+        ("uppercase", {"column": "p_brand"}),
+        ("write_parquet", {"path": "${OUT}"}),
+    )
+    run = run_pipeline(spark, spec, {"DIR": sf_dir, "OUT": scratch_path(spark, "k7")}, dry_run=True)
+    return run.frame("s1").select("p_partkey", "p_name", "p_brand", F.lit(len(run.outputs)).alias("outputs"))
+
+
+@query(
+    "a5_step_metrics",
+    """
+    SELECT 's0' AS step, CAST(NULL AS BIGINT) AS rows_in, count(*) AS rows_out, CAST(NULL AS BIGINT) AS removed FROM orders
+    UNION ALL
+    SELECT 's1', count(*), count(*) FILTER (o_orderstatus = 'F'), count(*) - count(*) FILTER (o_orderstatus = 'F') FROM orders
+    """,
+)
+def a5(spark, sf_dir):
+    spec = flow(
+        "counted",
+        ("load_parquet", {"path": "${DIR}/orders.parquet"}),
+        ("filter_rows", {"column": "o_orderstatus", "op": "==", "value": "F"}),
+        ("write_parquet", {"path": "${OUT}"}),
+    )
+    run = run_pipeline(spark, spec, {"DIR": sf_dir, "OUT": scratch_path(spark, "a5")}, metrics=True)
+    rows = [(m["step"], m["rows_in"], m["rows_out"], m["removed"]) for m in run.metrics()]
+    return spark.createDataFrame(rows, "step string, rows_in bigint, rows_out bigint, removed bigint")

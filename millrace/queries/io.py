@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import sources
@@ -45,11 +46,15 @@ def _document(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"value": ["]}" if lead == "," else lead + "]}"]})
 
 
+def write_documents(df: DataFrame, path: str) -> None:
+    """The rows of each task as one JSON document."""
+    df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).mapInPandas(_document, "value string").write.text(path)
+
+
 @query("s3_read_json", "SELECT conv_id, turn, role, text FROM conversations")
 def s3(spark, sf_dir):
     path = scratch_path(spark, "s3")
-    turns = table(spark, sf_dir, "conversations")
-    turns.select(F.to_json(F.struct("*")).alias("value")).mapInPandas(_document, "value string").write.text(path)
+    write_documents(table(spark, sf_dir, "conversations"), path)
     return sources.read_json(spark, path).select("conv_id", "turn", "role", "text")
 
 
