@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import written
-from .common import arrow_map, extended, text_strings
+from .common import arrow_map, extended, slices, text_strings
 
 #: Labelled rows that a model is fitted on, about: a hash of text and id picks that share of them.
 FIT_ROWS = 30_000
@@ -95,9 +95,9 @@ def _with_features(docs: DataFrame, lexicon: dict[str, float], text: str, keep:
     schema = extended(docs.select(*keep).schema, ", ".join(f"_f_{name} double" for name in FEATURES))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = [features(t, lexicon) for t in text_strings(batch.column(text))]
-            columns = [pa.array(c, pa.float64()) for c in (zip(*rows, strict=True) if rows else [[]] * len(FEATURES))]
+            columns = [pa.array(c, pa.float64()) for c in zip(*rows, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in keep), *columns], names=[*keep, *(f"_f_{n}" for n in FEATURES)]
             )

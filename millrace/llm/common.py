@@ -11,6 +11,8 @@ from pyspark.sql.types import StructType
 
 #: Bytes of text that a step in Python holds as arrays at one time.
 BLOCK_BYTES = 1 << 21
+#: Rows of a batch that a step in Python works on at one time.
+SLICE_ROWS = 1024
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:
@@ -34,6 +36,13 @@ def blocks(texts: list[bytes] | list[str], limit: int = BLOCK_BYTES) -> Iterator
         yield start, len(texts)
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``rows`` rows, so that a task holds few texts as strings and returns small batches."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def arrow_map(df: DataFrame, function: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """``mapInArrow`` without barriers; ``function`` gets the batches of one partition."""
     return df.mapInArrow(function, schema)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import written
-from .common import arrow_map, extended, parallelism, text_bytes
+from .common import arrow_map, extended, parallelism, slices, text_bytes
 from .components import components
 
 SEED = 42
@@ -74,7 +74,7 @@ def fingerprints(docs: DataFrame, text: str, width: int, lanes: int, keep: list[
     schema = extended(docs.select(*keep).schema, f"{name} binary")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             values = [fingerprint(shingle_hashes(t, width), lanes).byteswap().tobytes() for t in text_bytes(batch.column(text))]
             columns = [batch.column(c) for c in keep] + [pa.array(values, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, name])
