@@ -246,24 +246,193 @@ def near_duplicates(docs: DataFrame, item: str = "doc_id", text: str = "text", w
     )
 
 
-#: Bits of 256, and of the first 64, within which texts of a similarity of 0.8 or more lie.
-STAGE_LANES, STAGE_TOTAL, STAGE_RADIUS = 4, 39, 13
+#: A pair of near copies has a Jaccard similarity of at least LEAST[0] / LEAST[1].
+LEAST = 4, 5
+#: Bits of 256, and of the first 64, within which a pair is a candidate. A pair at the threshold differs in 39 bits,
+#: give or take 6, and in 10 of 64, give or take 3; of very few shingles (4 of 5) in 48 and 12.
+STAGE_LANES, STAGE_TOTAL, STAGE_RADIUS = 4, 64, 21
+#: Members and bytes of shingles in a tile of a crowd.
+CROWD_ROWS, CROWD_BYTES = 256, 1 << 22
+#: Rounds in which the members of a crowd of several tiles are compared with one of them first.
+STARS = 3
+
+CROWD_TILE = pa.schema(
+    [("tile", pa.int64()), ("crowd", pa.int64()), ("label", pa.int64())]
+    + [(c, pa.binary()) for c in ("fps", "nodes", "sizes", "sets")]
+)
+CROWD_DDL = "tile bigint, crowd bigint, label bigint, fps binary, nodes binary, sizes binary, sets binary"
+
+
+def shingle_set(text: bytes) -> np.ndarray:
+    """The distinct hashes of the five-word shingles, sorted."""
+    return np.unique(shingle_hashes(text, 5))
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets have the least Jaccard similarity; two empty sets have it."""
+    if not len(a) or not len(b):
+        return len(a) == len(b)
+    common = np.count_nonzero(a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b)
+    return LEAST[1] * common >= LEAST[0] * (len(a) + len(b) - common)
+
+
+def _marks(text: str, fp: str, digest: str):
+    """Each row with the fingerprint and a digest of its set of shingles."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            prints, digests = [], []
+            for t in text_bytes(batch.column(text)):
+                shingles = shingle_set(t)
+                prints.append(fingerprint(shingles, STAGE_LANES).byteswap().tobytes())
+                digests.append(xxhash.xxh3_128_digest(shingles.tobytes()))
+            columns = [*batch.columns, pa.array(prints, pa.binary()), pa.array(digests, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, fp, digest])
+
+    return run
+
+
+def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        sets = pa.array([shingle_set(t).tobytes() for t in text_bytes(batch.column("text"))], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.select(["node", "crowd", "n", "fp"]).columns, sets], names=["node", "crowd", "n", "fp", "shingles"])
+
+
+def _stars(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The members that are alike to the star of their crowd, and the star."""
+    for batch in slices(batches):
+        sides = zip(batch.column("shingles"), batch.column("star_shingles"), strict=True)
+        hit = [alike(*(np.frombuffer(x.as_py(), np.uint64) for x in side)) for side in sides]
+        yield batch.select(["node", "star"]).filter(pa.array(hit, pa.bool_()))
+
+
+def _crowd_tiles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members sorted by crowd and label to tiles of one crowd and label."""
+    number, rows, key, held = TaskContext.get().partitionId() << 32, [], None, 0
+
+    def tile() -> pa.RecordBatch:
+        nodes, prints, sets = zip(*rows, strict=True)
+        sizes = np.array([len(x) // 8 for x in sets], np.int64)
+        fps = np.frombuffer(b"".join(prints), ">u8").astype(np.uint64)
+        values = [number, *key, fps.tobytes(), np.array(nodes, np.int64).tobytes(), sizes.tobytes(), b"".join(sets)]
+        return pa.RecordBatch.from_pylist([dict(zip(CROWD_TILE.names, values, strict=True))], schema=CROWD_TILE)
+
+    for batch in slices(batches):
+        for crowd, label, *row in zip(*(batch.column(c).to_pylist() for c in ("crowd", "label", "node", "fp", "shingles")), strict=True):
+            if rows and ((crowd, label) != key or len(rows) == CROWD_ROWS or held + len(row[2]) > CROWD_BYTES):
+                yield tile()
+                number, rows, held = number + 1, [], 0
+            rows.append(row)
+            key, held = (crowd, label), held + len(row[2])
+    if rows:
+        yield tile()
+
+
+def alike_links(a: dict, b: dict | None) -> pa.RecordBatch:
+    """A forest of the links between the members of two tiles, or within ``a``. Pairs that are joined already are not compared."""
+
+    def parts(tile):
+        sizes = np.frombuffer(tile["sizes"], np.int64)
+        sets = np.split(np.frombuffer(tile["sets"], np.uint64), np.cumsum(sizes)[:-1])
+        return np.frombuffer(tile["fps"], np.uint64).reshape(-1, STAGE_LANES), np.frombuffer(tile["nodes"], np.int64), sizes, sets
+
+    left = parts(a)
+    right, shift = (left, 0) if b is None else (parts(b), len(left[1]))
+    nodes = left[1] if b is None else np.concatenate([left[1], right[1]])
+    forest = Forest(len(nodes))
+    if b is not None:
+        # The members of a labelled tile are joined by their star.
+        if a["label"] >= 0:
+            forest.label[:shift] = 0
+        if b["label"] >= 0:
+            forest.label[shift:] = shift
+    for i, (print_, size, shingles) in enumerate(zip(left[0], left[2], left[3], strict=True)):
+        open_ = forest.label[shift:] != forest.label[i]
+        if b is None:
+            open_[: i + 1] = False
+        open_ &= LEAST[1] * np.minimum(size, right[2]) >= LEAST[0] * np.maximum(size, right[2])
+        others = np.flatnonzero(open_)
+        others = others[np.bitwise_count(right[0][others] ^ print_).sum(axis=1, dtype=np.int64) <= STAGE_TOTAL]
+        hit = np.array([j for j in others if alike(shingles, right[3][j])], np.int64)
+        forest.link(np.full(len(hit), i), hit + shift)
+    moved = np.flatnonzero(forest.label != np.arange(len(nodes)))
+    return pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[forest.label[moved]])], names=["a", "b"])
+
+
+def _within(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield alike_links(batch.slice(i, 1).to_pylist()[0], None)
+
+
+def _across(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1).to_pylist()[0]
+            yield alike_links(*({c: row[f"{c}_{side}"] for c in ("label", "fps", "nodes", "sizes", "sets")} for side in "ab"))
+
+
+def verified_links(members: DataFrame) -> DataFrame:
+    """Links (a, b) that join the ``members`` (node, crowd, n, fp, shingles) of a crowd as all its pairs of candidates do
+    that have the least similarity. ``n`` is the size of the crowd.
+
+    A crowd of several tiles is compared with one of its members first: what is alike to it is joined. After some such
+    rounds every pair of tiles is compared, except those of one star, so no pair is left out and a crowd of copies of
+    one text costs its size only.
+    """
+    large = members.where(F.col("n") > CROWD_ROWS)
+    stars = members.sparkSession.createDataFrame([], "node bigint, star bigint")
+    for _ in range(0 if large.isEmpty() else STARS):
+        rest = large.join(stars, "node", "left_anti").select("node", "crowd", "shingles")
+        star = rest.groupBy("crowd").agg(F.min("node").alias("star"))
+        star = star.join(rest.select(F.col("node").alias("star"), F.col("shingles").alias("star_shingles")), "star")
+        # One row for each crowd of several tiles.
+        met = rest.join(F.broadcast(star), "crowd").select("node", "shingles", "star", "star_shingles")
+        stars = written(stars.union(arrow_map(met, _stars, "node bigint, star bigint")), "stars")
+    labelled = members.join(stars.withColumnRenamed("star", "label"), "node", "left").withColumn("label", F.coalesce("label", F.lit(-1)))
+    keys = ["crowd", "label", "node"]
+    sorted_ = labelled.select(*keys, "fp", "shingles").repartitionByRange(*keys).sortWithinPartitions(*keys)
+    tiles = written(arrow_map(sorted_, _crowd_tiles, CROWD_DDL), "crowds")
+    meta = tiles.select("crowd", "tile", "label")
+    pairs = (
+        meta.toDF("crowd", "a", "label_a")
+        .join(meta.toDF("crowd", "b", "label_b"), "crowd")
+        .where("a < b and (label_a <> label_b or label_a < 0)")
+        .select("a", "b")
+    )
+    heavy = ["label", "fps", "nodes", "sizes", "sets"]
+    full = (
+        pairs.join(tiles.select(F.col("tile").alias("a"), *[F.col(c).alias(f"{c}_a") for c in heavy]), "a")
+        .join(tiles.select(F.col("tile").alias("b"), *[F.col(c).alias(f"{c}_b") for c in heavy]), "b")
+        .repartition(parallelism(members.sparkSession), "a", "b")
+    )
+    links = arrow_map(tiles.where("label < 0"), _within, "a bigint, b bigint").union(arrow_map(full, _across, "a bigint, b bigint"))
+    return links.union(stars.select(F.col("node").alias("a"), F.col("star").alias("b")))
 
 
 def deduplicate(docs: DataFrame, item: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` without near copies: of each component the row with the smallest item stays.
 
-    Shingles of five words and fingerprints of 256 bits. A Jaccard similarity of 0.8 is a cosine of 0.89 between
-    shingle counts, an angle of 27 degrees, and 39 of 256 bits; unrelated texts differ in 128 bits, give or take 8.
-    The first word, in which such a pair differs in ten bits, is compared with a radius of 13 before the others.
-    Texts without words are copies of each other. Of rows that share the item too, one stays.
+    Two rows link if the Jaccard similarity of their sets of five-word shingles is 0.8 or more. Candidates are found
+    by fingerprints of 256 bits over the distinct shingles: a similarity of 0.8 is a cosine of 0.89 or more, an angle
+    of 27 degrees and 39 bits, give or take 6; unrelated texts differ in 128 bits, give or take 8. Candidates are
+    compared by their shingles before they link. Texts without words are copies of each other. Of rows that share
+    the item too, one stays.
     """
-    row, fp = "_llm_row", "_llm_fp"
+    row, fp, digest = "_llm_row", "_llm_fp", "_llm_digest"
     marked = docs.withColumn(row, F.monotonically_increasing_id())
-    full = written(fingerprints(marked, text, 5, STAGE_LANES, [*docs.columns, row], fp), "marked")
+    full = written(arrow_map(marked, _marks(text, fp, digest), extended(marked.schema, f"{fp} binary, {digest} binary")), "marked")
     # Rows are ranked by item, null last, then by row number.
     rank = F.struct(F.col(item).isNull().alias("n"), F.col(item).alias("i"), F.col(row).alias("r"))
-    prints = full.select(F.col(fp).alias("fp"), rank.alias("rank"))
-    groups = similar_groups(prints, "rank", STAGE_RADIUS, STAGE_LANES, STAGE_TOTAL)
-    keep = groups.select(F.col("component.r").alias(row)).distinct()
+    prints = full.select(F.col(fp).alias("fp"), F.col(digest).alias("digest"), rank.alias("rank"))
+    sets = written(prints.groupBy("fp", "digest").agg(F.min("rank").alias("rank")), "sets")
+    groups = similar_groups(sets, "rank", STAGE_RADIUS, STAGE_LANES, STAGE_TOTAL)
+    placed = written(sets.join(groups, "fp").select("fp", "rank", F.col("rank.r").alias("node"), F.col("component.r").alias("crowd")), "placed")
+    crowds = placed.groupBy("crowd").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    some = placed.join(crowds, "crowd").select("node", "crowd", "n", "fp")
+    texts = full.select(F.col(row).alias("node"), F.col(text).alias("text")).join(some, "node")
+    members = written(arrow_map(texts, _sets, "node bigint, crowd bigint, n bigint, fp binary, shingles binary"), "members")
+    found = components(verified_links(members))
+    named = placed.join(found, "node", "left").select("rank", F.coalesce("component", "node").alias("root"))
+    keep = named.groupBy("root").agg(F.min("rank").alias("least")).select(F.col("least.r").alias(row))
     return full.join(keep, row, "left_semi").select(*docs.columns)

@@ -138,6 +138,69 @@ def test_simhash_stage_keeps_one(spark, hard_docs):
     assert 500 in ids and not any(501 <= i <= 511 for i in ids if i) and 100 in ids and 101 not in ids and 2 in ids and 3 not in ids
 
 
+def shingles(text):
+    words = (text or "").encode().lower().split()
+    return frozenset(b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def kept_by_brute_force(rows):
+    """The ids that stay of (id, text) by exact Jaccard similarity of all pairs."""
+    sets = [shingles(t) for _, t in rows]
+    size = np.array([len(s) for s in sets])
+    number = {x: k for k, x in enumerate({x for s in sets for x in s})}
+    cells = np.zeros((len(sets), len(number)), np.float32)
+    for i, s in enumerate(sets):
+        cells[i, [number[x] for x in s]] = 1
+    common = np.rint(cells @ cells.T)
+    near = (5 * common >= 4 * (size[:, None] + size - common)) | ((size[:, None] == 0) & (size == 0))
+    label = groups(near)
+    return {min((rows[j][0] for j in np.flatnonzero(label == g))) for g in set(label)}
+
+
+def pairs_at(rng, similarity, n, length):
+    """``n`` pairs of texts of ``length`` shingles, the second with its end replaced so that they have the similarity."""
+    out = []
+    for _ in range(n):
+        words = [f"w{x}" for x in rng.integers(0, 1 << 40, length + 4)]
+        swapped = int(length * (1 - similarity) / (1 + similarity))
+        out.append((" ".join(words), " ".join(words[: len(words) - swapped] + [f"v{x}" for x in rng.integers(0, 1 << 40, swapped)])))
+    return out
+
+
+def test_stage_recall_and_precision(spark):
+    """Pairs at and above the threshold are found, pairs below it stay, in numbers measured against brute force."""
+    rng = np.random.default_rng(8)
+    made = [(s, pair) for s in (0.6, 0.7, 0.78, 0.8, 0.85, 0.9) for length in (90, 360) for pair in pairs_at(rng, s, 60, length)]
+    rows = [(2 * k + side, pair[side]) for k, (_, pair) in enumerate(made) for side in (0, 1)]
+    got = {r[0] for r in simhash_tiles.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string")).select("doc_id").collect()}
+    for low in (0.6, 0.7, 0.78, 0.8, 0.85, 0.9):
+        exact = [(2 * k + 1, jaccard(*map(shingles, pair)) >= 0.8) for k, (s, pair) in enumerate(made) if s == low]
+        assert {near for _, near in exact} == {low >= 0.8}
+        gone = sum(i not in got for i, _ in exact)
+        assert gone >= 0.99 * len(exact) if low >= 0.8 else gone == 0, (low, gone)
+
+
+def test_stage_against_brute_force(spark, monkeypatch):
+    """Pairs on both sides of 0.8, chains, short and repetitive texts, and crowds of several tiles."""
+    rng = np.random.default_rng(9)
+    texts = [t for s in (0.5, 0.75, 0.79, 0.81, 0.86) for pair in pairs_at(rng, s, 12, 200) for t in pair]
+    base = [f"c{i}" for i in range(300)]
+    texts += [" ".join(base[5 * k : 150 + 5 * k]) for k in range(20)]
+    texts += [" ".join(base[40 * k : 150 + 40 * k]) for k in range(4)]
+    texts += [" ".join([*base[:k], f"n{k}", *base[k + 1 :]]) for k in range(0, 300, 5)]
+    texts += ["one two three", "One two  three", "one two four", "", None, "same " * 50 + " ".join(base[:30]), "same " * 900 + " ".join(base[:30]), "same " * 900 + "other words at the end of it"]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = kept_by_brute_force(rows)
+    for tile_rows in (256, 6):
+        monkeypatch.setattr(simhash_tiles, "CROWD_ROWS", tile_rows)
+        assert {r[0] for r in simhash_tiles.deduplicate(df).select("doc_id").collect()} == want
+
+
 def test_histogram_sort(spark, hard_docs, no_docs):
     found = histogram_sort.shard_documents(hard_docs).collect()
     texts = {r["doc_id"]: (r["text"] or "").encode() for r in hard_docs.collect()}
