@@ -284,3 +284,21 @@ def test_pipeline(spark, data_dir):
     packed = corpus_pipeline.run(spark, data_dir)
     assert packed.agg(F.sum("length")).first()[0] > 0
     assert packed.select("doc_id").distinct().count() == rows.count()
+
+
+def test_pipeline_against_brute_force(spark, data_dir):
+    """The kept ids of the near-duplicates stage, and the rows of run(), which hold the whole of every kept document."""
+    from tokenizers import Tokenizer
+
+    rows = spark.read.parquet(f"{data_dir}/documents.parquet")
+    for stage in (corpus_pipeline.language, corpus_pipeline.toxicity):
+        rows = stage(spark, rows, data_dir)
+    texts = {r["doc_id"]: r["text"] for r in rows.select("doc_id", "text").collect()}
+    assert len(texts) == rows.count()
+    want = kept_by_brute_force(list(texts.items()))
+    stayed = corpus_pipeline.near_duplicates(spark, rows, data_dir).select("doc_id").collect()
+    assert len(stayed) == len(want) < len(texts) and {r[0] for r in stayed} == want
+    peer = Tokenizer.from_file(WORDS)
+    ids = {i: [*peer.encode(texts[i] or "", add_special_tokens=False).ids, 2] for i in want}
+    cover, _ = check_packing(corpus_pipeline.run(spark, data_dir).collect(), ids)
+    assert cover == {i: len(x) for i, x in ids.items()}
