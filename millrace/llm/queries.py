@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bit_slices, boosted_toxicity, context_tree, duckdb_bpe, histogram_sort, lattice_dedup, mixture_packing, notice_search, segment_language, simhash_tiles
+from . import bit_slices, boosted_toxicity, context_tree, duckdb_bpe, histogram_sort, lattice_dedup, mixture_packing, notice_search, pivotal_grams, segment_language, simhash_tiles
 from .common import held_out
 
 
@@ -69,14 +72,69 @@ def op10_notice_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notice_search.scan_notices(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def _slips(item: str) -> Callable[[str], str]:
+    """A slip of the pen in one word of 97: the contract's deletion of a code point."""
+    start = zlib.crc32(f"{item}:".encode())
+
+    def slip(word: str) -> str:
+        h = zlib.crc32(word.encode(), start)
+        return word if h % 97 else word[: h % len(word)] + word[h % len(word) + 1 :]
+
+    return slip
+
+
+def op11_pivotal_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivotal_grams.spelling_variants(_table(spark, sf_dir, "documents"), alter=_slips)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_context_tree, op2_toxicity, op3_lattice_dedup, op4_segment_language, op5_bit_slices,
     op6_mixture_packing, op7_histogram_sort, op8_simhash_tiles, op9_duckdb_bpe, op10_notice_search,
+    op11_pivotal_grams,
 )}
 
 _CUBE = "list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT))"
 
+#: CRC32 of a text in DuckDB: the table by shifts, then one step a byte.
+_CRC = """
+        t AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM (
+          SELECT i, list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+          FROM range(256) r(i)))"""
+
+
+def _crc(text: str) -> str:
+    bytes_ = f"list_transform(range(octet_length(encode({text}))), lambda i: CAST('0x' || substr(hex(encode({text})), 2 * i + 1, 2) AS BIGINT))"
+    return f"xor(list_reduce([4294967295] || {bytes_}, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
 SQL = {
+    "op11_pivotal_grams": f"""
+        WITH RECURSIVE {_CRC}, runs AS (
+          SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc,
+                 unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]+')) AS run
+          FROM documents
+        ), counted AS (SELECT doc, run, count(*) AS n FROM runs WHERE length(run) >= 5 GROUP BY ALL),
+        hashed AS (SELECT run, n, {_crc("(doc || ':' || run)")} AS h FROM counted, t),
+        words AS MATERIALIZED (
+          SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+            SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed)
+          WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+        ), cut AS MATERIALIZED (
+          SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)
+        ), near AS (
+          SELECT a.word, b.word AS near, b.n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+          UNION SELECT c.word, w.word, w.n FROM cut c JOIN words w ON c.rest = w.word
+          UNION SELECT w.word, c.word, c.n FROM cut c JOIN words w ON c.rest = w.word
+        ), best AS (
+          SELECT word, count(*) AS n_near, max(n) AS best_n, arg_min(near, (-n, near)) AS best FROM near GROUP BY word
+        ), formed AS MATERIALIZED (
+          SELECT word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 2 * words.n THEN best END AS form, CASE WHEN best_n >= 2 * words.n THEN best_n END AS form_n
+          FROM words LEFT JOIN best USING (word)
+        ), chain AS (
+          SELECT word, word AS root, form AS next FROM formed
+          UNION ALL SELECT chain.word, formed.word, formed.form FROM chain JOIN formed ON chain.next = formed.word
+        )
+        SELECT word, form, root, n, n_near, form_n FROM formed JOIN (SELECT word, root FROM chain WHERE next IS NULL) USING (word)""",
     "op5_bit_slices": f"""
         WITH v AS (
           SELECT vec_id, {_CUBE} AS x FROM embeddings
