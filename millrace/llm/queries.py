@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bit_slices, boosted_toxicity, context_tree, duckdb_bpe, histogram_sort, lattice_dedup, mixture_packing, notice_search, pivotal_grams, segment_language, simhash_tiles
+from . import bit_slices, boosted_toxicity, context_tree, conversation_repair, duckdb_bpe, histogram_sort, lattice_dedup, mixture_packing, notice_search, pivotal_grams, segment_language, simhash_tiles
 from .common import held_out
 
 
@@ -87,10 +87,27 @@ def op11_pivotal_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivotal_grams.spelling_variants(_table(spark, sf_dir, "documents"), alter=_slips)
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with the contract's damage, by the CRC32 of conversation and turn: a row of 20 each is dropped,
+    emptied, loses its full stops, is repeated, or becomes the user's."""
+    space = F.lit(" ")
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"), F.coalesce(F.col("turn").cast("string"), space))
+    kind, text, role = F.crc32(key.cast("binary")) % 20, F.coalesce("text", space), F.coalesce("role", space)
+    text = F.when(kind == 1, "").when(kind == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text)
+    copies = F.explode(F.array_repeat(F.lit(0), F.when(kind == 3, 2).otherwise(1)))
+    picked = rows.where(kind != 0).select("conv_id", "turn", F.when(kind == 4, "user").otherwise(role).alias("role"), text.alias("text"), copies.alias("copy"))
+    return picked.drop("copy")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    return conversation_repair.audit(damaged(rows), all_rows=rows)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_context_tree, op2_toxicity, op3_lattice_dedup, op4_segment_language, op5_bit_slices,
     op6_mixture_packing, op7_histogram_sort, op8_simhash_tiles, op9_duckdb_bpe, op10_notice_search,
-    op11_pivotal_grams,
+    op11_pivotal_grams, op12_conversation_repair,
 )}
 
 _CUBE = "list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT))"
@@ -107,7 +124,72 @@ def _crc(text: str) -> str:
     return f"xor(list_reduce([4294967295] || {bytes_}, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
 
 
+def _repair_sql() -> str:
+    """The cheapest edits from the last row back to the first, one struct (cost, edits, rows) for each state."""
+
+    def way(cost: str, letter: str, state: int, line: str = "") -> str:
+        return f"{{'c': v{state}.c + {cost}, 'a': '{letter}' || v{state}.a, 'r': {f'list_concat([{line}], v{state}.r)' if line else f'v{state}.r'}}}"
+
+    def added(state: int, due: int) -> str:
+        name = {2: "user:", 3: "assistant:"}[due]
+        return f"{{'c': w{due}.c + 2, 'a': 'I' || w{due}.a, 'r': list_concat(['{name}'], w{due}.r)}}"
+
+    due = {0: 2, 1: 2, 2: 3, 3: 2}
+    rows = []
+    for state, to in due.items():
+        name = {2: "user", 3: "assistant"}[to]
+        kept = [way(f"CASE WHEN must OR initial <> '{'sua'[to - 1]}' THEN 1000000 ELSE cut END", "K", to, "role || ':' || text")]
+        if state == 0:
+            kept.append(way("CASE WHEN must OR initial <> 's' THEN 1000000 ELSE cut END", "K", 1, "role || ':' || text"))
+        renamed = way("CASE WHEN must THEN 1000000 ELSE 2 + cut END", "R", to, f"'{name}:' || text")
+        rows.append(f"list_min([{', '.join([way('3', 'D', state), *kept, renamed])}]) AS w{state}")
+    user = f"list_min([w2, {added(2, 3)}])"
+    none = "{'c': CAST(%d AS BIGINT), 'a': '%s', 'r': CAST(%s AS VARCHAR[])}"
+    return f"""
+        WITH RECURSIVE {_CRC}, base AS (
+          SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                 {_crc("(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS kind
+          FROM conversations, t
+        ), damaged AS (
+          SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+                 CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                 unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+          FROM base WHERE kind <> 0
+        ), placed AS (
+          SELECT *, left(role, 1) AS initial, trim(text, e' \\t\\n\\x0b\\x0c\\r') AS body,
+                 row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+                 row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS seen,
+                 left(role, 1) || lead(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS beside
+          FROM damaged
+        ), judged AS MATERIALIZED (
+          SELECT *, body = '' AS blank, body <> '' AND seen AS duplicate, body <> '' AND NOT seen AND right(body, 1) NOT IN ('.', '!', '?') AS truncated,
+                 body = '' OR seen AS must, CASE WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 1 ELSE 0 END AS cut
+          FROM placed
+        ), counts AS (
+          SELECT conv_id, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) AS n,
+                 count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated,
+                 count(*) FILTER (beside IS NOT NULL AND beside NOT IN ('su', 'ua', 'au')) AS illegal
+          FROM judged GROUP BY conv_id
+        ), walk AS (
+          SELECT conv_id, n AS i, {none % (0, "", "[]")} AS v0, {none % (4, "II", "['user:', 'assistant:']")} AS v1,
+                 {none % (2, "I", "['assistant:']")} AS v2, {none % (0, "", "[]")} AS v3
+          FROM counts
+          UNION ALL
+          SELECT conv_id, i - 1, list_min([w0, {{'c': u.c + 2, 'a': 'I' || u.a, 'r': list_concat(['user:'], u.r)}}]),
+                 list_min([w1, {{'c': u.c + 2, 'a': 'I' || u.a, 'r': list_concat(['user:'], u.r)}}]), u, list_min([w3, {added(3, 2)}])
+          FROM (SELECT *, {user} AS u FROM (
+            SELECT walk.conv_id, walk.i, {", ".join(rows)}
+            FROM walk JOIN judged ON walk.conv_id IS NOT DISTINCT FROM judged.conv_id AND walk.i = judged.i))
+        ), done AS (SELECT conv_id, v0 FROM walk WHERE i = 0)
+        SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+               coalesce(illegal, 0) AS illegal, coalesce(v0.c, 0) AS cost, coalesce(v0.a, '') AS audit, sha256(coalesce(array_to_string(v0.r, chr(10)), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) o
+        LEFT JOIN counts ON o.conv_id IS NOT DISTINCT FROM counts.conv_id
+        LEFT JOIN done ON o.conv_id IS NOT DISTINCT FROM done.conv_id"""
+
+
 SQL = {
+    "op12_conversation_repair": _repair_sql(),
     "op11_pivotal_grams": f"""
         WITH RECURSIVE {_CRC}, runs AS (
           SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc,
