@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bit_slices, boosted_toxicity, context_tree, conversation_repair, duckdb_bpe, histogram_sort, lattice_dedup, mixture_packing, notice_search, pivotal_grams, segment_language, simhash_tiles
+from . import bit_slices, boosted_toxicity, context_tree, conversation_repair, duckdb_bpe, histogram_sort, lattice_dedup, mixture_packing, notice_search, pivotal_grams, positive_unlabelled, segment_language, simhash_tiles
 from .common import held_out
 
 
@@ -104,10 +104,18 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.audit(damaged(rows), all_rows=rows)
 
 
+def op13_positive_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    positives = docs.where(~held_out("doc_id", 5, 0)).join(good, "doc_id", "left_semi")
+    scored = positive_unlabelled.score(docs, positive_unlabelled.fit(positives, docs))
+    return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_context_tree, op2_toxicity, op3_lattice_dedup, op4_segment_language, op5_bit_slices,
     op6_mixture_packing, op7_histogram_sort, op8_simhash_tiles, op9_duckdb_bpe, op10_notice_search,
-    op11_pivotal_grams, op12_conversation_repair,
+    op11_pivotal_grams, op12_conversation_repair, op13_positive_unlabelled,
 )}
 
 _CUBE = "list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT))"
