@@ -28,7 +28,7 @@ from ..checks import as_list, col, require_batch, require_columns
 from ..functions import fingerprint
 from ..functions.text import squash, words
 from ..scratch import written
-from .greedy import removals, resolve, shared
+from .greedy import met, removals, resolve
 
 SIMHASH_BITS = 64
 # Most keys that a sketch may have, and how many bits a key should tell apart if that allows it.
@@ -236,9 +236,12 @@ def dedup_fuzzy(
     groups = sketched.where(F.col("o").isNotNull()).groupBy("digest").agg(F.min(F.struct("o", "sketch")).alias("first"))
     first = written(groups.select("first.o", "first.sketch"), "first")
     # The sets are written once, for the rows that share a key with another, whatever the number of rounds.
-    texts = df.select(_order_key(order).alias("o"), text.alias("text")).join(shared(first, sketch), "o", "left_semi")
+    sharing = met(first, sketch)
+    texts = df.select(_order_key(order).alias("o"), text.alias("text")).join(sharing.select("o").distinct(), "o", "left_semi")
     texts = texts.withColumn("words", words(F.col("text")))
-    shingles = written(texts.select("o", fingerprint.word_bigrams(F.col("words")).alias("shingles")), "shingles")
+    # Numbers of 64 bits stand for the bigrams.
+    bigrams = F.transform(fingerprint.word_bigrams(F.col("words")), lambda pair: F.xxhash64(pair))
+    shingles = written(texts.select("o", F.array_distinct(bigrams).alias("shingles")), "shingles")
 
     def exact(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose sets reach the threshold."""
@@ -250,4 +253,4 @@ def dedup_fuzzy(
         alike = F.when(union == 0, True).otherwise(common / union >= F.lit(float(threshold)))
         return both.where(alike).select("a", "b")
 
-    return _keep(df, order, sketched, first, resolve(first, sketch, exact))
+    return _keep(df, order, sketched, first, resolve(first, sketch, exact, sharing))
