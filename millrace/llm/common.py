@@ -53,6 +53,33 @@ def extended(schema: StructType, ddl: str) -> StructType:
     return StructType(schema.fields + StructType.fromDDL(ddl).fields)
 
 
+class Remembered:
+    """Values by key that a task keeps: all of the last ``limit`` keys, up to twice as many in all."""
+
+    def __init__(self, limit: int):
+        self.now, self.before, self.limit = {}, {}, limit
+
+    def missing(self, keys: set) -> set:
+        """Those of ``keys`` without a value; the values of the others stay in ``now`` until the next call."""
+        if len(self.now) > self.limit:
+            self.now, self.before = {}, self.now
+        absent = keys - self.now.keys()
+        old = absent & self.before.keys()
+        self.now.update((k, self.before[k]) for k in old)
+        return absent - old
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names made of ``names`` that ``df`` does not have, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def held_out(doc_id: str, folds: int, fold: int) -> Column:
     """True for the documents of one fold by the CRC32 of the id as text; null ids count as empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds == fold

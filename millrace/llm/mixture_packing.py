@@ -16,26 +16,39 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import scratch_path
-from .common import arrow_map, extended, text_strings
+from .common import Remembered, arrow_map, extended, slices, text_strings
 
 WINDOW = 4096
 END_ID = 2
-#: Encoded words that a task keeps.
-CACHE_WORDS = 300_000
+#: Parts and words that a task keeps the ids of, once and again.
+CACHE_PARTS = 300_000
 
 
 _LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", re.escape("!\"#$%&()*+,-./:;=?@[\\]^_`{|}~")
-#: Words that lower-casing and normal forms treat letter by letter, without digits, apostrophes or special tokens.
-_PLAIN = re.compile(f"[{_LETTERS}{_MARKS}]+")
+#: Letters and marks that lower-casing and normal forms treat one by one; no digits, apostrophes or special tokens.
+_ODD, _SPACE = re.compile(f"[^{_LETTERS}{_MARKS} \n]"), re.compile("[ \n]")
 _PARTS = re.compile(f"[{_LETTERS}]+|[{_MARKS}]+")
 
 
+def cut(text: str) -> list[str]:
+    """The runs of letters and of marks of a text, lower-cased, and whole words with any other character, after a line feed."""
+    out, at = [], 0
+    while odd := _ODD.search(text, at):
+        begin = max(at, text.rfind(" ", at, odd.start()) + 1, text.rfind("\n", at, odd.start()) + 1)
+        space = _SPACE.search(text, odd.end())
+        end = space.start() if space else len(text)
+        out += _PARTS.findall(text[at:begin].lower())
+        out.append("\n" + text[begin:end])
+        at = end
+    return out + _PARTS.findall(text[at:].lower())
+
+
 class WordEncoder:
-    """Ids of a text as little-endian 32-bit numbers, encoded word by word and kept for the words to come.
+    """Ids of a text as little-endian 32-bit numbers, encoded part by part and kept for the parts to come.
 
-    The tokenizer drops white space before it merges, so ids never depend on what lies beyond a space. Words of plain
-    letters and marks are cut here as its pattern cuts them, and go to the merges directly, many in one call; a token
-    with the word-end suffix ends each. All other words pass through the whole tokenizer.
+    The tokenizer drops white space before it merges, so ids never depend on what lies beyond a space. Plain letters and
+    marks are cut here as its pattern cuts them, and go to the merges directly, many in one call; a token with the
+    word-end suffix ends each. Words with any other character pass through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -57,38 +70,24 @@ class WordEncoder:
         vocabulary = self.whole.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _learn(self, words: list[str]) -> None:
-        cut, odd = [], []
-        for word in words:
-            if _PLAIN.fullmatch(word):
-                cut.append((word, _PARTS.findall(word.lower())))
-            else:
-                odd.append(word)
-        for word, found in zip(odd, self.whole.encode_batch_fast(odd, add_special_tokens=False), strict=True):
-            self.words[word] = np.array(found.ids, "<u4").tobytes()
-        known = self.parts
-        new = list({p for _, parts in cut for p in parts if p not in known})
-        if new:
-            line = " ".join(new).encode().decode("latin-1").translate(self.alphabet)
-            ids = np.array(self.merges.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u4")
-            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            data, at = ids.tobytes(), 0
-            for part, end in zip(new, ends, strict=True):
-                known[part] = data[at * 4 : end * 4]
-                at = end
-        for word, parts in cut:
-            self.words[word] = known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts])
+        self.known = Remembered(CACHE_PARTS)
+
+    def _learn(self, new: set[str]) -> None:
+        odd, parts = [k for k in new if k[0] == "\n"], [k for k in new if k[0] != "\n"]
+        found = self.whole.encode_batch_fast([k[1:] for k in odd], add_special_tokens=False)
+        self.known.now.update((k, np.array(f.ids, "<u4").tobytes()) for k, f in zip(odd, found, strict=True))
+        line = " ".join(parts).encode().decode("latin-1").translate(self.alphabet)
+        ids = np.array(self.merges.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u4")
+        data, ends = ids.tobytes(), ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+        self.known.now.update(zip(parts, [data[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.words) > CACHE_WORDS:
-            self.words, self.parts = {}, {}
-        known = self.words
-        self._learn(list({w for words in split for w in words if w not in known}))
-        return [b"".join([known[w] for w in words]) for words in split]
+        keys = [cut(t) for t in texts]
+        new = self.known.missing(set().union(*keys))
+        if new:
+            self._learn(new)
+        known = self.known.now.__getitem__
+        return [b"".join(map(known, k)) for k in keys]
 
 
 def _encode(path: str, item: str, text: str, source: str, end_id: int):
@@ -96,19 +95,17 @@ def _encode(path: str, item: str, text: str, source: str, end_id: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, starts = WordEncoder(path), TaskContext.get().partitionId(), {}
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                ids = [x + end for x in encoder.encode(text_strings(batch.column(text)))]
-                queues = ["none" if s is None else f"is {s}" for s in batch.column(source).to_pylist()]
-                local = []
-                for queue, x in zip(queues, ids, strict=True):
-                    local.append(starts.get(queue, 0))
-                    starts[queue] = local[-1] + len(x) // 4
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(item), pa.array([part] * len(ids), pa.int32()), pa.array(queues), pa.array(local, pa.int64()), pa.array(ids, pa.binary())],
-                    names=["item", "part", "queue", "local", "ids"],
-                )
+        for batch in slices(batches):
+            ids = [x + end for x in encoder.encode(text_strings(batch.column(text)))]
+            queues = ["none" if s is None else f"is {s}" for s in batch.column(source).to_pylist()]
+            local = []
+            for queue, x in zip(queues, ids, strict=True):
+                local.append(starts.get(queue, 0))
+                starts[queue] = local[-1] + len(x) // 4
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(item), pa.array([part] * len(ids), pa.int32()), pa.array(queues), pa.array(local, pa.int64()), pa.array(ids, pa.binary())],
+                names=["item", "part", "queue", "local", "ids"],
+            )
 
     return run
 
