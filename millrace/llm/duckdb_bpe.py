@@ -4,22 +4,23 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import arrow_map, blocks, extended, text_strings
+from .common import Remembered, arrow_map, blocks, extended, text_strings
 
-#: Words in one query, words kept by a task, and characters of text looked at together.
-QUERY_WORDS, CACHE_WORDS, STEP_CHARS = 50_000, 250_000, 16_000_000
-#: Longest word in bytes that the query contracts. It does one contraction a round, which is quadratic in the length.
-QUERY_BYTES = 512
+#: Words in one query, words kept by a task, once and again, and characters of text looked at together.
+QUERY_WORDS, CACHE_WORDS, STEP_CHARS = 50_000, 250_000, 8_000_000
 
-# A row of `start` and `steps` is a token: k = word * 2**20 + position. Rows stay in the order of k, which lead and lag
-# without an order rely on; a row out of order fails the query.
+#: Bytes from which on a word contracts several pairs a round.
+LONG_BYTES = 256
+
+# A row of `start` and `steps` is a token: k = word * 2**32 + position. Rows stay in the order of k, which windows without
+# an order rely on; a row out of order fails the query. A round contracts each word's leftmost pair of minimum rank.
 CONTRACT = """
 WITH RECURSIVE steps(k, t, done) AS (
   SELECT k, t, false FROM start
@@ -27,19 +28,50 @@ WITH RECURSIVE steps(k, t, done) AS (
     WITH beside AS (
       SELECT k, t, lead(k) OVER () AS next_k, lead(t) OVER () AS next_t, lag(k) OVER () AS last_k FROM steps WHERE NOT done
     ), pairs AS (
-      SELECT k, t, last_k, CASE WHEN next_k >> 20 = k >> 20 THEN next_t END AS next_t,
+      SELECT k, t, last_k, CASE WHEN next_k >> 32 = k >> 32 THEN next_t END AS next_t,
              CASE WHEN next_k <= k THEN error('rows are out of order') END AS wrong
       FROM beside
     ), least AS (
-      SELECT k >> 20 AS word, min((merged << 20) + (k & 1048575)) AS best
+      SELECT k >> 32 AS word, min((merged << 32) + (k & 4294967295)) AS best
       FROM pairs JOIN merges ON a = t AND b = next_t GROUP BY 1
     )
-    SELECT k, CASE WHEN k & 1048575 = best & 1048575 THEN best >> 20 ELSE t END, best IS NULL
-    FROM pairs LEFT JOIN least ON word = k >> 20
-    WHERE wrong IS NULL AND (best IS NULL OR last_k IS NULL OR last_k <> (word << 20) + (best & 1048575))
+    SELECT k, CASE WHEN k & 4294967295 = best & 4294967295 THEN best >> 32 ELSE t END, best IS NULL
+    FROM pairs LEFT JOIN least ON word = k >> 32
+    WHERE wrong IS NULL AND (best IS NULL OR last_k IS NULL OR last_k <> (word << 32) + (best & 4294967295))
+  )
+)
+SELECT k >> 32 AS word, string_agg(t, ',' ORDER BY k) AS ids FROM steps WHERE done GROUP BY 1
+"""
+
+# The same for long words, of which a round also contracts the other pairs of that rank that do not overlap it: the first,
+# third, fifth ... of neighbours. That is the same as one at a time unless a pair with the new token may rank before it;
+# such tokens are marked when the table is loaded, and give their leftmost pair only.
+CONTRACT_LONG = """
+WITH RECURSIVE steps(k, t, done) AS (
+  SELECT k, t, false FROM start
+  UNION ALL (
+    WITH beside AS (
+      SELECT k, t, lead(k) OVER () AS next_k, lead(t) OVER () AS next_t, row_number() OVER () AS i FROM steps WHERE NOT done
+    ), pairs AS (
+      SELECT k, t, i, CASE WHEN next_k >> 32 = k >> 32 THEN next_t END AS next_t,
+             CASE WHEN next_k <= k THEN error('rows are out of order') END AS wrong
+      FROM beside
+    ), ranked AS (
+      SELECT k, t, i, wrong, merged FROM pairs LEFT JOIN merges ON a = t AND b = next_t
+    ), least AS (
+      SELECT k >> 32 AS word, min(merged) AS best, arg_min(k, (merged, k)) AS first FROM ranked WHERE merged IS NOT NULL GROUP BY 1
+    ), marked AS (
+      SELECT k, t, i, wrong, best, coalesce(merged = best AND (k = first OR best NOT IN (FROM risky)), false) AS hit
+      FROM ranked LEFT JOIN least ON word = k >> 32
+    ), runs AS (
+      SELECT *, i - coalesce(max(CASE WHEN NOT hit THEN i END) OVER (ROWS UNBOUNDED PRECEDING), 0) AS place FROM marked
+    ), taken AS (
+      SELECT *, place % 2 = 1 AS take, coalesce(lag(place % 2) OVER () = 1, false) AS gone FROM runs
+    )
+    SELECT k, CASE WHEN take THEN best ELSE t END, best IS NULL FROM taken WHERE wrong IS NULL AND NOT gone
   )
 )
-SELECT k >> 20 AS word, string_agg(t, ',' ORDER BY k) AS ids FROM steps WHERE done GROUP BY 1
+SELECT k >> 32 AS word, string_agg(t, ',' ORDER BY k) AS ids FROM steps WHERE done GROUP BY 1
 """
 
 DECODE = """
@@ -67,6 +99,9 @@ class Codec:
         get = self.ranks.get
         halves = [(get(p[:i]), get(p[i:]), r) for p, r in self.ranks.items() for i in range(1, len(p))]
         a, b, merged = zip(*(h for h in halves if h[0] is not None and h[1] is not None), strict=True)
+        # Tokens that are half of a token of lower rank.
+        risky = {half for x, y, r in zip(a, b, merged, strict=True) for half in (x, y) if r < half}
+        self._table("risky", t=pa.array(sorted(risky), pa.int64()))
         self._table("merges", a=pa.array(a, pa.int64()), b=pa.array(b, pa.int64()), merged=pa.array(merged, pa.int64()))
         self._table("vocabulary", id=pa.array(self.ranks.values(), pa.int64()), piece=pa.array([p.hex() for p in self.ranks]))
 
@@ -81,43 +116,19 @@ class Codec:
         whole = list(map(self.ranks.get, words))
         out = ["" if w is None else str(w) for w in whole]
         cut = [n for n, w in enumerate(whole) if w is None and words[n]]
-        for n in [n for n in cut if len(words[n]) > QUERY_BYTES]:
-            out[n] = ",".join(map(str, self._long(words[n])))
-        cut = [n for n in cut if len(words[n]) <= QUERY_BYTES]
-        if cut:
-            lengths = np.array([len(words[n]) for n in cut], np.int64)
-            tokens = self.bytes[np.frombuffer(b"".join([words[n] for n in cut]), np.uint8)]
+        for query, part in ((CONTRACT, [n for n in cut if len(words[n]) < LONG_BYTES]), (CONTRACT_LONG, [n for n in cut if len(words[n]) >= LONG_BYTES])):
+            if not part:
+                continue
+            lengths = np.array([len(words[n]) for n in part], np.int64)
+            tokens = self.bytes[np.frombuffer(b"".join([words[n] for n in part]), np.uint8)]
             starts = np.cumsum(lengths) - lengths
             places = np.arange(len(tokens)) - np.repeat(starts, lengths)
-            self._table("start", k=pa.array((np.repeat(np.arange(len(cut)), lengths) << 20) + places), t=pa.array(tokens))
-            found = self.con.sql(CONTRACT).to_arrow_table()
+            self._table("start", k=pa.array((np.repeat(np.arange(len(part)), lengths) << 32) + places), t=pa.array(tokens))
+            found = self.con.sql(query).to_arrow_table()
             for n, ids in zip(found["word"].to_pylist(), found["ids"].to_pylist(), strict=True):
-                out[cut[n]] = ids
+                out[part[n]] = ids
         return out
 
-    def _long(self, word: bytes) -> list[int]:
-        """The same contractions, leftmost pair of minimum rank first, from a heap over a linked list."""
-        pieces, after = [word[i : i + 1] for i in range(len(word))], list(range(1, len(word) + 1))
-        before, heap, get = list(range(-1, len(word) - 1)), [], self.ranks.get
-        for i in range(len(word) - 1):
-            if (rank := get(word[i : i + 2])) is not None:
-                heap.append((rank, i, 1, 1))
-        heapq.heapify(heap)
-        while heap:
-            rank, i, mine, other = heapq.heappop(heap)
-            j = after[i]
-            if len(pieces[i]) != mine or j >= len(word) or len(pieces[j]) != other:
-                continue
-            pieces[i] += pieces[j]
-            pieces[j] = b""
-            after[i] = after[j]
-            if after[i] < len(word):
-                before[after[i]] = i
-            for left, right in ((before[i], i), (i, after[i])):
-                if left >= 0 and right < len(word) and (rank := get(pieces[left] + pieces[right])) is not None:
-                    heapq.heappush(heap, (rank, left, len(pieces[left]), len(pieces[right])))
-        return [self.ranks[p] for p in pieces if p]
-
     def decode(self, sequences: list[str]) -> list[bytes]:
         """The bytes of each sequence of ids, given as decimal text joined by commas, put together in order."""
         some = [n for n, ids in enumerate(sequences) if ids]
@@ -129,56 +140,45 @@ class Codec:
         return out
 
 
-#: White space besides the space, of which a text with any is cut by the pattern as a whole.
-_OTHER_SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
+#: Texts of these characters are cut by the plain form of the pattern below, which `re` runs faster.
+_SIMPLE = re.compile("[\n -~À-ÖØ-öø-ÿ]*")
+_LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+
+
+def _simple_pattern(pattern: str) -> str:
+    """``pattern`` with its classes spelled out for simple texts."""
+    return pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^\s{_LETTER}0-9]").replace(r"\p{L}", f"[{_LETTER}]").replace(r"\p{N}", "[0-9]")
 
 
 class TextCodec:
-    """Encodes whole texts. A text is cut at single spaces between other characters, where the pattern always cuts."""
+    """Encodes whole texts word by word, a word being a match of the pattern."""
 
     def __init__(self, path: str, pattern: str):
         import regex
 
         self.codec, self.cut = Codec(path), regex.compile(pattern).findall
-        #: For each piece of text: its ids as text, and the bytes they decode to.
-        self.ids: dict[str, str] = {}
-        self.data: dict[str, bytes] = {}
-
-    def _split(self, text: str) -> list[str]:
-        if "  " in text or " \n" in text or "\n " in text or any(map(text.__contains__, _OTHER_SPACES)):
-            return self.cut(text)
-        pieces = text.replace(" ", "\0 ").split("\0") if "\0" not in text else self.cut(text)
-        return pieces if pieces and pieces[0] else pieces[1:]
-
-    def _learn(self, new: list[str]) -> None:
-        cuts = list(map(self.cut, new))
-        words = list({w for c in cuts for w in c})
-        ids, data = {}, {}
-        for at in range(0, len(words), QUERY_WORDS):
-            part = words[at : at + QUERY_WORDS]
-            found = self.codec.encode([w.encode() for w in part])
-            ids.update(zip(part, found, strict=True))
-            data.update(zip(part, self.codec.decode(found), strict=True))
-        for piece, c in zip(new, cuts, strict=True):
-            if len(c) == 1:
-                self.ids[piece], self.data[piece] = ids[piece], data[piece]
-            else:
-                self.ids[piece], self.data[piece] = ",".join([ids[w] for w in c]), b"".join([data[w] for w in c])
+        plain = _simple_pattern(pattern)
+        self.cut_simple = self.cut if "\\p" in plain else re.compile(plain).findall
+        #: For each word: its ids as text, and the bytes they decode to.
+        self.ids, self.data = Remembered(CACHE_WORDS), Remembered(CACHE_WORDS)
+
+    def _words(self, text: str) -> list[str]:
+        return self.cut_simple(text) if _SIMPLE.fullmatch(text) else self.cut(text)
 
     def texts(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
         """The ids of each text as decimal text joined by commas, and the bytes they decode to."""
-        if len(self.ids) > CACHE_WORDS:
-            self.ids, self.data = {}, {}
-        new: set[str] = set()
-        for text in texts:
-            new.update(self._split(text))
-        new.difference_update(self.ids)
-        if new:
-            self._learn(list(new))
-        ids, data = self.ids.__getitem__, self.data.__getitem__
-        for text in texts:
-            pieces = self._split(text)
-            yield ",".join(map(ids, pieces)), b"".join(map(data, pieces))
+        split = [self._words(t) for t in texts]
+        met = set().union(*split)
+        new = list(self.ids.missing(met))
+        self.data.missing(met)
+        for at in range(0, len(new), QUERY_WORDS):
+            part = new[at : at + QUERY_WORDS]
+            found = self.codec.encode([w.encode() for w in part])
+            self.ids.now.update(zip(part, found, strict=True))
+            self.data.now.update(zip(part, self.codec.decode(found), strict=True))
+        ids, data = self.ids.now.__getitem__, self.data.now.__getitem__
+        for words in split:
+            yield ",".join(map(ids, words)), b"".join(map(data, words))
 
 
 def _text_map(docs: DataFrame, item: str, text: str, path: str, pattern: str, columns: list[tuple[str, str, pa.DataType]], make) -> DataFrame:
