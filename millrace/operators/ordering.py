@@ -1,5 +1,9 @@
 """Sorting, positions, samples and splits.
 
+Places in an order of columns come from counts: a bounded sample of the keys cuts the order into runs, one pass
+over the keys alone counts them, and the rows are numbered inside their run after one exchange. The first n rows
+are found by counts too: the run in which the cut falls is cut again until it is short.
+
 Random order is the order of md5(seed|key): it repeats, and does not depend on how
 the data is partitioned. ``key`` must be unique per row. No step sorts or numbers the
 whole dataset in one task: hash prefixes of equal expected size are counted, the counts
@@ -9,6 +13,7 @@ whole dataset in one task: hash prefixes of equal expected size are counted, the
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import isqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +23,8 @@ from ..scratch import written
 
 # Hex digits of the hash prefix: 16 ** 4 = 65,536 prefixes, so their counts fit a broadcast.
 PREFIX_DIGITS = 4
+# Keys of a sample for each run, most runs, and most rows that the search for a cut ends with.
+SAMPLED, MOST_RUNS, SHORT = 32, 1024, 100_000
 
 
 def sort_rows(df: DataFrame, by: str, ascending: bool = True, tiebreak: str | list[str] = ()) -> DataFrame:
@@ -107,17 +114,15 @@ class _HashOrder:
 def sample_rows(df: DataFrame, n: int = 100, seed: int = 42, key: str | list[str] = "id") -> DataFrame:
     """Exactly min(n, rows) rows without replacement, the same ones for the same seed.
 
-    Rows of one key are one draw; where the cut falls among them, which of them stay is not defined.
+    They are the first ones in the order of the seeded hash of the key. Rows of one key are one draw; where the cut
+    falls among them, which of them stay is not defined.
     """
     require_batch(df, "sample_rows")
     keys = as_list(key)
     require_columns(df, keys)
     if n < 0:
         raise ValueError("n must not be negative")
-    rows, taken = _HashOrder(df, keys, seed, PREFIX_DIGITS).first(F.lit(n))
-    drawn = rows.where(taken).select(*[col(c) for c in df.columns], "_hash")
-    placed = with_position(drawn, ["_hash", *keys], "_position").where(F.col("_position") < n)
-    return placed.select(*[col(c) for c in df.columns])
+    return _first_rows(df, n, [_hash(keys, seed), *[col(c) for c in keys]])
 
 
 def shuffle(df: DataFrame, seed: int = 42, key: str | list[str] = "id", digits: int = PREFIX_DIGITS) -> DataFrame:
@@ -156,46 +161,113 @@ def split_dataset(
     )
 
 
+def _point(columns: list[Column]) -> Column:
+    """The columns as one value: of two structs the one whose first column is not null is less, as in the sort order."""
+    return F.struct(*[part for c in columns for part in (c.isNull(), c)])
+
+
+def _sample(points: DataFrame, size: int) -> DataFrame:
+    """One row with ``size`` points of ``points`` (point), drawn at random and sorted, in a table: later jobs see the same ones."""
+    drawn = points.orderBy(F.xxhash64(F.monotonically_increasing_id(), F.lit(7))).limit(size)
+    return written(drawn.agg(F.array_distinct(F.array_sort(F.collect_list("point"))).alias("splits")), "splits")
+
+
+def _below(splits: Column, point: Column) -> Column:
+    """How many of the sorted ``splits`` are less than the point."""
+    return F.size(F.filter(splits, lambda s: s < point))
+
+
 def with_position(df: DataFrame, order_by: str | list[str], output_column: str = "position") -> DataFrame:
     """Adds the place of each row in the order of ``order_by``, which must be unique.
 
-    Spark's range partitioning splits the rows by the whole order key, so a value that
-    many rows share in its first column is spread by the next. The numbered parts are
-    written once to the shared folder, which fixes the part of each row; one offset
-    per part then makes the places global.
+    Splitters from a bounded sample of the keys cut the order into runs by the whole order key, so a value that many
+    rows share in its first column is spread by the next. A pass over the keys counts the runs; the rows move once, to
+    their run, and the one offset of each run makes their places global.
     """
     require_batch(df, "with_position")
     names = as_list(order_by)
     require_columns(df, names)
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    point = _point([col(c) for c in names])
+    runs = min(MOST_RUNS, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    width = isqrt(runs - 1) + 1
+    keys = df.select(point.alias("point"))
+    sample = _sample(keys, SAMPLED * runs)
+    every = F.greatest(F.lit(1), F.ceil(F.size("splits") / F.lit(runs)))
+    picked = sample.select(F.filter("splits", lambda s, i: i % every == every - 1).alias("splits"))
+    coarse = picked.select(F.filter("splits", lambda s, i: i % width == width - 1))
+
+    def with_run(rows: DataFrame, value: Column) -> DataFrame:
+        """Two steps of about the root of the runs each: first the block of splitters, then the place inside it."""
+        given = rows.withColumns({"_splits": picked.scalar(), "_coarse": coarse.scalar()})
+        blocked = given.withColumn("_block", _below(F.col("_coarse"), value) * width)
+        inside = _below(F.slice("_splits", F.col("_block") + 1, F.lit(width - 1)), value)
+        return blocked.withColumn("_run", F.col("_block") + inside).drop("_splits", "_coarse", "_block")
+
+    counts = with_run(keys, F.col("point")).groupBy("_run").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    # One row for each run: MOST_RUNS at most.
+    offsets = written(counts.select("_run", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")), "offsets")
     order = [col(c).asc_nulls_last() for c in names]
-    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    # The id holds the part in its upper bits and the row within the part in the lower 33.
-    numbered = written(ranged.withColumn("_id", F.monotonically_increasing_id()), "positions")
-    part = F.shiftright("_id", 33)
-    row = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = numbered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    running = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_before"))
-    joined = numbered.withColumn("_part", part).join(F.broadcast(offsets), "_part")
-    return joined.select(*[col(c) for c in df.columns], (F.col("_before") + row).cast("bigint").alias(output_column))
+    placed = with_run(df, point).withColumn("_place", F.row_number().over(Window.partitionBy("_run").orderBy(*order)))
+    joined = placed.join(F.broadcast(offsets), "_run")
+    return joined.select(*[col(c) for c in df.columns], (F.col("_before") + F.col("_place") - 1).cast("bigint").alias(output_column))
+
+
+def _last_point(keys: DataFrame, n: int) -> Column | None:
+    """The n-th of the points in ``keys`` (point), or None if there are no more than n.
+
+    In rounds, splitters drawn from the points that are left cut them into ranges and single points, which one pass
+    counts. The search goes on inside the range where the cut falls, until it holds few rows. Nothing is sorted but those.
+    """
+    left = keys.count()
+    if left <= n:
+        return None
+    need, inside = n, keys
+    while left > SHORT:
+        splits = _sample(inside, SAMPLED).scalar()
+        at = F.col("point")
+        given = inside.withColumn("splits", splits)
+        cell = 2 * _below(F.col("splits"), at) + F.array_contains("splits", at).cast("int")
+        cells = sorted(given.groupBy(cell.alias("cell")).count().collect())
+        for number, size in cells:
+            if need <= size:
+                break
+            need -= size
+        if number % 2:
+            return F.get(splits, F.lit(number // 2))
+        low, high = F.get(splits, F.lit(number // 2 - 1)), F.get(splits, F.lit(number // 2))
+        inside, left = inside.where((at > low) | low.isNull()).where((at < high) | high.isNull()), size
+    return inside.orderBy("point").limit(need).agg(F.max("point")).scalar()
+
+
+def _first_rows(df: DataFrame, n: int, columns: list[Column]) -> DataFrame:
+    """The first min(n, rows) rows by ``columns``, null last; where the cut falls among equal keys, any of them stay."""
+    if n == 0:
+        return df.limit(0)
+    point = _point(columns)
+    keys = df.select(point.alias("point"))
+    last = _last_point(keys, n)
+    if last is None:
+        return df
+    less, equal = keys.agg(F.count_if(F.col("point") < last), F.count_if(F.col("point") == last)).first()
+    if less + equal <= n:
+        return df.where(point <= last)
+    # Equal keys are told apart by their number alone.
+    numbered = df.where(point == last).withColumn("_number", F.monotonically_increasing_id())
+    ties = with_position(numbered, "_number", "_position").where(F.col("_position") < n - less)
+    return df.where(point < last).unionByName(ties.drop("_number", "_position"))
 
 
 def head(df: DataFrame, n: int = 5, order_by: str | list[str] = "id") -> DataFrame:
     """The first ``n`` rows by ``order_by``, exactly min(n, rows) of them; nulls come last.
 
-    Places are found on the keys alone. The last key that belongs is then a filter, and only what
-    passes it is placed again to cut among equal keys, of which any may stay.
+    The last key that belongs is found by counts; it is a filter then, and only what passes it is sorted. Of equal keys
+    on the cut any may stay.
     """
     require_batch(df, "head")
     names = as_list(order_by)
     require_columns(df, names)
-    # Of two structs the one whose first column is not null is less, as in the sort order.
-    point = F.struct(*[part for c in names for part in (col(c).isNull(), col(c))])
-    keys = with_position(df.select(*[col(c) for c in dict.fromkeys(names)]), names, "_position")
-    last = keys.where(F.col("_position") < n).agg(F.max(point)).scalar()
-    near = with_position(df.where(point <= last), names, "_position").where(F.col("_position") < n)
-    return near.drop("_position").orderBy(*[col(c).asc_nulls_last() for c in names])
+    return _first_rows(df, n, [col(c) for c in names]).orderBy(*[col(c).asc_nulls_last() for c in names])
 
 
 def batches(df: DataFrame, chunk_size: int = 1000, order_by: str | list[str] = "id") -> DataFrame:

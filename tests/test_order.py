@@ -1,9 +1,11 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrace import operators as ops
 from millrace.operators import ordering
+from millrace.scratch import written
 
 
 def test_sort(spark):
@@ -85,7 +87,9 @@ def test_chain(items):
     assert first.id == 9 and "score" not in first.asDict()
 
 
-def test_head_and_sample_are_exact_with_nulls_and_ties(spark):
+@pytest.mark.parametrize("short", [100_000, 20])
+def test_head_and_sample_are_exact_with_nulls_and_ties(spark, monkeypatch, short):
+    monkeypatch.setattr(ordering, "SHORT", short)
     rows = [(i, None if i < 10 else i % 3) for i in range(2500)]
     df = spark.createDataFrame(rows, "id bigint, v bigint")
     for n in (0, 1001, 2495, 3000):
@@ -93,3 +97,26 @@ def test_head_and_sample_are_exact_with_nulls_and_ties(spark):
         assert got == sorted((v for _, v in rows), key=lambda v: (v is None, v))[:n]
         assert ops.sample_rows(df, n, key="v").count() == min(n, 2500)
     assert len(ops.preview(df, 1200, "v")["rows"]) == 1200
+
+
+def test_head_of_many_columns_without_a_sort(spark, monkeypatch):
+    """The cut is found in rounds; only what lies before it is sorted, and nothing is written but bounds."""
+    monkeypatch.setattr(ordering, "SHORT", 30)
+    tables = []
+    monkeypatch.setattr(ordering, "written", lambda df, name: written(tables.append((name, df.columns)) or df, name))
+    rows = [(None if i % 5 == 0 else f"k{i % 3}", (i * 7919) % 1000 if i % 4 else None, i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, u int, v int").repartition(6)
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or "", r[1] is None, r[1] or 0, r[2]))
+    for n in (1, 5, 700, 2400, 2999):
+        assert [tuple(r) for r in ops.head(df, n, ["k", "u", "v"]).collect()] == order[:n]
+    assert {name for name, _ in tables} == {"splits"}
+
+
+def test_positions_move_the_rows_once(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(ordering, "written", lambda df, name: written(tables.append((name, df.columns)) or df, name))
+    df = spark.range(5000).select(((F.col("id") * 7919) % 5000).alias("k"), F.lit("wide").alias("w")).repartition(5)
+    placed = ops.with_position(df, "k", "p")
+    assert all("w" not in columns for _, columns in tables)
+    assert {r.k: r.p for r in placed.collect()} == {k: k for k in range(5000)}
+    assert ops.with_position(df.limit(0), "k").count() == 0
