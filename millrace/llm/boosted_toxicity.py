@@ -185,5 +185,8 @@ def score(docs: DataFrame, model: ToxicityModel, item: str = "doc_id", text: str
 
 
 def accept(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that are not predicted toxic."""
-    return _scored(docs, model, text, docs.columns).where("_score < 0.5").select(*docs.columns)
+    """The rows of ``docs``, all columns, that are not predicted toxic. Columns of any name come back as they are."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    place = f"c{docs.columns.index(text)}"
+    texts = plain.withColumn("_text", F.col(place).cast("string"))
+    return _scored(texts, model, "_text", plain.columns).where("_score < 0.5").select(*plain.columns).toDF(*docs.columns)

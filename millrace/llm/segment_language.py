@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,15 +16,26 @@ from ..scratch import written
 from .common import arrow_map, blocks, extended, text_strings
 
 UNKNOWN = "und"
-#: Documents that a model is fitted on, about: a hash of text and id picks that share of the labelled ones.
-FIT_DOCUMENTS = 4000
+#: Documents that a model is fitted on, about, and the least of a language: a hash of text and id picks that share of
+#: the labelled ones of each language.
+FIT_DOCUMENTS, FIT_LEAST = 4000, 50
 #: Rounds of expectation and maximisation, and the count that every piece starts with.
 ROUNDS, PRIOR = 3, 0.1
 #: Probability of a character that no piece covers, the same for every language.
 STRAY = 1e-7
-CACHE_WORDS, MAX_PIECE = 300_000, 16
+CACHE_WORDS = 300_000
+#: Places after which sums are rescaled.
+RESCALE = 16
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: A word is a letter and the letters and marks that follow. In texts of these characters `re` finds them faster.
+_SIMPLE, _SIMPLE_WORDS = re.compile("[\0-\xff]*"), re.compile("[a-zªµºß-öø-ÿ]+")
+_WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a text in lower case, by the Unicode categories of letters and marks."""
+    text = text.lower()
+    return _SIMPLE_WORDS.findall(text) if _SIMPLE.fullmatch(text) else _WORDS.findall(text)
 
 
 def vocabulary_pieces(path: str) -> list[str]:
@@ -32,7 +44,7 @@ def vocabulary_pieces(path: str) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = (model.id_to_piece(i) for i in range(model.get_piece_size()))
-    return sorted({p for p in pieces if p.lower() == p and re.fullmatch(r"▁?[^\W\d_]*", p) and p and len(p) <= MAX_PIECE})
+    return sorted({p for p in pieces if p and p.lower() == p and regex.fullmatch(r"▁?[\p{L}\p{M}]*", p)})
 
 
 class Lattice:
@@ -41,12 +53,12 @@ class Lattice:
     def __init__(self, pieces: list[str]):
         self.numbers = {p: i for i, p in enumerate(pieces)}
         self.begins = {p[:i] for p in pieces for i in range(1, len(p) + 1)}
-        self.stray = len(pieces)
+        self.stray, self.longest = len(pieces), max(map(len, pieces), default=1)
 
     def arcs(self, words: list[str]) -> np.ndarray:
         """(words, places, lengths) piece numbers for words of one length, -1 where there is no piece."""
         size = len(words[0]) + 1
-        longest = min(MAX_PIECE, size)
+        longest = min(self.longest, size)
         out = np.full((len(words), size, longest), -1, np.int32)
         numbers, begins = self.numbers, self.begins
         for n, word in enumerate(words):
@@ -76,7 +88,7 @@ class Lattice:
         for end in range(1, size + 1):
             for length in range(1, min(longest, end) + 1):
                 sums[:, end] += sums[:, end - length] * chances[arcs[:, end - length, length - 1]]
-            if end % 16 == 0 and end < size:
+            if end % RESCALE == 0 and end < size:
                 low = np.maximum(sums[:, end], 1e-300)
                 first = max(0, end - longest + 1)
                 sums[:, first : end + 1] /= low[:, None]
@@ -113,21 +125,20 @@ def _expect(lattice: Lattice, chances: np.ndarray, languages: dict[str, int]):
             langs = np.array([languages[x] for x in batch.column("lang").to_pylist()])
             times = batch.column("n").to_numpy()
             words = batch.column("word").to_pylist()
-            # Words beyond 40 letters are no evidence of a language's pieces; they are scored all the same.
             for members in _by_length(words):
-                if len(words[members[0]]) > 40:
-                    continue
                 arcs = lattice.arcs([words[n] for n in members])
                 for lang in np.unique(langs[members]):
                     rows = np.flatnonzero(langs[members] == lang)
                     own, part = chances[:, lang : lang + 1], arcs[rows]
-                    before, after = _plain_forward(part, own), _backward(part, own)
-                    weight = times[np.array(members)[rows]] / np.maximum(after[:, 0, 0], 1e-300)
+                    (before, logs_before), (after, logs_after) = _scaled(part, own, False), _scaled(part, own, True)
+                    whole = np.log(np.maximum(after[:, 0], 1e-300)) + logs_after[:, 0]
+                    weight = times[np.array(members)[rows]]
                     size = part.shape[1]
                     for length in range(1, part.shape[2] + 1):
                         starts = np.arange(size - length + 1)
                         piece = part[:, starts, length - 1]
-                        use = before[:, starts, 0] * own[piece, 0] * after[:, starts + length, 0] * weight[:, None]
+                        scale = np.exp(logs_before[:, starts] + logs_after[:, starts + length] - whole[:, None])
+                        use = before[:, starts] * own[piece, 0] * after[:, starts + length] * scale * weight[:, None]
                         real = piece >= 0
                         np.add.at(counts[:, lang], piece[real], use[real])
         pieces, langs = np.nonzero(counts)
@@ -138,24 +149,25 @@ def _expect(lattice: Lattice, chances: np.ndarray, languages: dict[str, int]):
     return run
 
 
-def _plain_forward(arcs: np.ndarray, chances: np.ndarray) -> np.ndarray:
-    words, size, longest = arcs.shape
-    sums = np.zeros((words, size + 1, 1))
-    sums[:, 0] = 1
-    for end in range(1, size + 1):
-        for length in range(1, min(longest, end) + 1):
-            sums[:, end] += sums[:, end - length] * chances[arcs[:, end - length, length - 1]]
-    return sums
-
-
-def _backward(arcs: np.ndarray, chances: np.ndarray) -> np.ndarray:
+def _scaled(arcs: np.ndarray, chances: np.ndarray, backwards: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over all segmentations of each prefix of the words, or of each suffix, (words, places + 1) for one language,
+    and the logarithms that have been taken out of each. Sums are rescaled with those that later sums need."""
     words, size, longest = arcs.shape
-    sums = np.zeros((words, size + 1, 1))
-    sums[:, size] = 1
-    for start in range(size - 1, -1, -1):
-        for length in range(1, min(longest, size - start) + 1):
-            sums[:, start] += chances[arcs[:, start, length - 1]] * sums[:, start + length]
-    return sums
+    sums, logs, scale = np.zeros((words, size + 1)), np.zeros((words, size + 1)), np.zeros(words)
+    sums[:, size if backwards else 0] = 1
+    for done in range(1, size + 1):
+        at = size - done if backwards else done
+        for length in range(1, min(longest, done) + 1):
+            start = at if backwards else at - length
+            sums[:, at] += sums[:, at + length if backwards else start] * chances[arcs[:, start, length - 1], 0]
+        logs[:, at] = scale
+        if done % RESCALE == 0:
+            low = np.maximum(sums[:, at], 1e-300)
+            near = slice(at, min(size, at + longest - 1) + 1) if backwards else slice(max(0, at - longest + 1), at + 1)
+            sums[:, near] /= low[:, None]
+            logs[:, near] += np.log(low)[:, None]
+            scale += np.log(low)
+    return sums, logs
 
 
 class LanguageModel:
@@ -175,7 +187,7 @@ def _count_words(text: str, lang: str):
         counts: Counter = Counter()
         for batch in batches:
             for value, language in zip(text_strings(batch.column(text)), batch.column(lang).to_pylist(), strict=True):
-                counts.update((language, w) for w in _LETTERS.findall(value.lower()))
+                counts.update((language, w) for w in words_of(value))
         if counts:
             langs, words = zip(*counts, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(langs), pa.array(words), pa.array(counts.values(), pa.int64())], names=["lang", "word", "n"])
@@ -186,23 +198,29 @@ def _count_words(text: str, lang: str):
 def fit(labelled: DataFrame, vocabulary: str, text: str = "text", lang: str = "lang", item: str = "doc_id", documents: int = FIT_DOCUMENTS) -> LanguageModel | None:
     """Fits piece probabilities by expectation and maximisation on about ``documents`` rows with text and language.
 
-    The rows are those whose hash falls into the share ``documents / rows``, so the bound holds at every size. Every
-    round reads the sample's word counts and returns one number per piece and language: the vocabulary is fixed, and
-    the languages are few. Rows without text or language are left out; None if no rows are left.
+    The languages are those of all rows. Of each language the rows count whose hash falls into its share of
+    ``documents``, or of ``FIT_LEAST`` if that is more, so a rare language is learned at every size. Every round reads
+    the sample's word counts and returns one number per piece and language: the vocabulary is fixed, and the languages
+    are few. Words of every length count. Rows without text or language are left out; None if no rows are left, or no
+    words.
     """
     pieces = vocabulary_pieces(vocabulary)
     known = labelled.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"), F.col(item).cast("string").alias("item")).where(
         "text is not null and lang is not null"
     )
-    rows = known.count()
-    share = min(1.0, documents / max(rows, 1))
-    picked = known.where(F.pmod(F.xxhash64("item", "text"), F.lit(1_000_000)) < round(share * 1_000_000))
+    rows = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    languages = sorted(rows)
+    if not languages:
+        return None
+    whole = sum(rows.values())
+    shares = {x: min(1.0, max(documents / whole, FIT_LEAST / n)) for x, n in rows.items()}
+    share = F.create_map(*[F.lit(v) for x in languages for v in (x, round(shares[x] * 1_000_000))])[F.col("lang")]
+    picked = known.where(F.pmod(F.xxhash64("item", "text"), F.lit(1_000_000)) < share)
     words = written(
         arrow_map(picked.select("text", "lang"), _count_words("text", "lang"), "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")),
         "words",
     )
-    languages = sorted(r[0] for r in words.select("lang").distinct().collect())
-    if not languages:
+    if words.isEmpty():
         return None
     lattice = Lattice(pieces)
     counts = np.ones((len(pieces) + 1, len(languages)))
@@ -228,7 +246,7 @@ class Scorer:
 
     def score(self, texts: list[str]) -> list[tuple[str, float]]:
         """Language and its posterior probability, all languages being equally likely before."""
-        found = [_LETTERS.findall(t.lower()) for t in texts]
+        found = [words_of(t) for t in texts]
         if len(self.places) > CACHE_WORDS:
             self._clear()
         new = list({w for words in found for w in words if w not in self.places})
@@ -260,7 +278,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, item: str = "doc_id",
     """(item, lang_pred, score) of each whole text: the likeliest language and its posterior probability.
 
     The probability of a word is the sum over all its segmentations into pieces, that of a text the product over its
-    words, which are runs of letters in lower case. Null texts and texts without a letter are ``und`` with score 0, as
+    words, which are letters and marks in lower case. Null texts and texts without a letter are ``und`` with score 0, as
     is everything if there is no model. Repeated rows give a row each; other columns are ignored.
     """
 

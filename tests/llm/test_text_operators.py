@@ -140,6 +140,52 @@ def test_language_hard_rows(hard_docs, no_docs):
     assert segment_language.accept(no_docs, model).columns == hard_docs.columns
 
 
+def test_words_are_letters_and_marks():
+    assert segment_language.words_of("½ ² Ⅷ ① 12 _ हिन्दी Ünï_x1 e\u0301te \u0301 ªµ") == ["हिन्दी", "ünï", "x", "e\u0301te", "ªµ"]
+    assert segment_language.words_of("½² 1") == []
+
+
+def test_expected_uses_cover_words_of_every_length():
+    """The uses of all pieces of a word, times their lengths, are its length; short words equal the sum over segmentations."""
+    import pyarrow as pa
+
+    pieces = ["▁", "▁a", "a", "ab", "aba", "b", "ba", "abababababababababab"]
+    lattice = segment_language.Lattice(pieces)
+    rng = np.random.default_rng(1)
+    chances = segment_language._chances(rng.random((len(pieces) + 1, 1)))
+    for word in ("ab", "abcab", "ab" * 100, "abx" * 400, "a" * 5000):
+        step = segment_language._expect(lattice, chances, {"l": 0})
+        (found,) = step([pa.RecordBatch.from_pydict({"lang": ["l"], "word": [word], "n": [3]})])
+        uses = dict(zip(found["piece"].to_pylist(), found["uses"].to_pylist(), strict=True))
+        size = sum(u * (len(pieces[p]) if p < len(pieces) else 1) for p, u in uses.items())
+        assert math.isclose(size, 3 * (len(word) + 1), rel_tol=1e-6)
+    expected, total = Counter(), 0.0
+    for cuts in range(2 ** len("abab")):
+        text, parts, at = "▁abab", [], 0
+        for i in range(1, len(text) + 1):
+            if i == len(text) or cuts >> (i - 1) & 1:
+                parts.append(text[at:i])
+                at = i
+        if all(p in pieces for p in parts):
+            chance = math.prod(chances[pieces.index(p), 0] for p in parts)
+            total += chance
+            for p in parts:
+                expected[pieces.index(p)] += chance
+    (found,) = segment_language._expect(lattice, chances, {"l": 0})([pa.RecordBatch.from_pydict({"lang": ["l"], "word": ["abab"], "n": [1]})])
+    for p, u in zip(found["piece"].to_pylist(), found["uses"].to_pylist(), strict=True):
+        assert math.isclose(u, expected[p] / total, rel_tol=1e-9)
+
+
+def test_a_rare_language_is_learned(spark):
+    rows = [(i, f"the weather is fine today in town number {i} and the people walk", "en") for i in range(10_000)]
+    rows += [(10_000, "यह एक हिन्दी वाक्य है और इसमें कई शब्द हैं", "hi"), (10_001, "½ ② 7", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = segment_language.fit(docs, PIECES, documents=300)
+    assert model.languages == ["en", "hi"]
+    found = {r["doc_id"]: r["lang_pred"] for r in segment_language.identify(docs.where("doc_id > 9990"), model).collect()}
+    assert found[10_000] == "hi" and found[10_001] == "und" and found[9_999] == "en"
+
+
 def test_toxicity_held_out(spark):
     clean = ["the weather is fine today", "we walk to the park", "a good book about trees", "she reads to the child"]
     rows = []
@@ -154,10 +200,22 @@ def test_toxicity_held_out(spark):
     assert boosted_toxicity.accept(docs.drop("toxic"), model).count() in range(380, 421)
 
 
-def test_toxicity_hard_rows(hard_docs, no_docs):
+def test_toxicity_hard_rows(spark, hard_docs, no_docs):
     none = boosted_toxicity.fit(no_docs.withColumn("toxic", F.lit(1)))
     assert {tuple(r[1:]) for r in boosted_toxicity.score(hard_docs, none).collect()} == {(0.0, 0)}
     assert boosted_toxicity.accept(hard_docs, none).columns == hard_docs.columns
+    walks = [" ".join(["walk", str(i), "in", "the", "park"] * (1 + i % 7)) for i in range(400)]
+    rows = [(i, walk + (" you idiot you scum" if i % 3 == 0 else ""), int(i % 3 == 0)) for i, walk in enumerate(walks)]
+    fitted = boosted_toxicity.fit(spark.createDataFrame(rows, "doc_id bigint, text string, toxic int"))
+    assert fitted.trees is not None
+    names = ["_score", "_features", "_f_words", "_even", "_chances", "c0", "_text", "score"]
+    clashing = hard_docs.select("*", *[F.lit(n).alias(n) for n in names])
+    kept = boosted_toxicity.accept(clashing, fitted)
+    scores = boosted_toxicity.score(clashing, fitted).collect()
+    assert kept.columns == clashing.columns and kept.count() == sum(r["score"] < 0.5 for r in scores) > 0
+    assert {tuple(r) for r in kept.select(*names).collect()} == {tuple(names)}
+    assert len(scores) == hard_docs.count() and all(0 <= r["score"] <= 1 for r in scores)
+    assert boosted_toxicity.accept(no_docs, fitted).count() == 0
     values = boosted_toxicity.features("YOU id1ot!!! you idiot", {"idiot": 5.0})
     named = dict(zip(boosted_toxicity.FEATURES, values, strict=True))
     assert named["disguised"] > 0 and named["near_you"] > 0 and named["shouted"] > 0
