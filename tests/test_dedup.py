@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace import operators as ops
-from millrace.operators import neardup
+from millrace.operators import greedy, neardup
 from millrace.operators.greedy import keyed, removals, resolve
+from millrace.scratch import written
 
 WORDS = [f"w{i}" for i in range(40)] + ["Straße", "é", "日本"]
 
@@ -199,3 +200,63 @@ def test_bounds():
     with pytest.raises(ValueError, match="64 keys"):
         neardup.simhash_sketch(10)
     assert neardup.needed_agreement(0.85, 64) == 55
+
+
+def _walks(count, length, seed=5):
+    """Chains of fingerprints: each differs in two bits from the one before."""
+    rng = random.Random(seed)
+    values = []
+    for _ in range(count):
+        value = rng.getrandbits(64)
+        for _ in range(length):
+            values.append(value)
+            value ^= sum(1 << b for b in rng.sample(range(64), 2))
+    return values
+
+
+@pytest.mark.parametrize("pass_edges", [1 << 20, 2500])
+def test_long_chains_settle_in_a_number_of_steps_that_does_not_grow(spark, monkeypatch, pass_edges):
+    monkeypatch.setattr(greedy, "PASS_EDGES", pass_edges)
+    steps = []
+    monkeypatch.setattr(greedy, "written", lambda df, name: written(steps.append(name) or df, name))
+    taken = []
+    for count, length in ((16, 250), (2, 2000)):
+        values = _walks(count, length)
+        nodes = spark.createDataFrame(list(enumerate(map(brute.signed, values))), "o bigint, sketch bigint")
+        steps.clear()
+        gone = {r.o for r in resolve(nodes, neardup.simhash_sketch(3)).collect()}
+        taken.append(len(steps))
+        kept = []
+        for i, v in enumerate(values):
+            if not any((v ^ values[j]).bit_count() <= 3 for j in kept):
+                kept.append(i)
+        assert gone == set(range(len(values))) - set(kept)
+    assert taken[1] <= taken[0] + 4, taken
+
+
+def test_unlike_rows_of_one_key_meet_in_tiles(spark, monkeypatch):
+    """All share the bits of the first key and differ elsewhere: no task gets more than two tiles of their bucket."""
+    rng, sketch = random.Random(9), neardup.simhash_sketch(3, bucket_rows=250)
+    base, free = rng.getrandbits(64), (1 << 39) - 1
+    values = [(base & ~(free << 25)) | (rng.getrandbits(39) << 25) for _ in range(4000)]
+    values[3000] = values[10] ^ (1 << 40)
+    values[3500] = values[3000] ^ (3 << 50)
+    nodes = spark.createDataFrame(list(enumerate(map(brute.signed, values))), "o bigint, sketch bigint")
+    sizes = []
+    original = greedy._all_pairs
+
+    def watched(members, sketch):
+        sizes.append(members.groupBy("bucket", "tile").count().agg(F.max("count")).first()[0])
+        return original(members, sketch)
+
+    monkeypatch.setattr(greedy, "_all_pairs", watched)
+    found = {(r.o_a, r.o_b, r.measure) for r in removals(nodes, sketch, []).collect()}
+    assert sizes and max(sizes) < 2 * 250
+    kept, expected = [], set()
+    for i, v in enumerate(values):
+        first = next((j for j in kept if (v ^ values[j]).bit_count() <= 3), None)
+        if first is None:
+            kept.append(i)
+        else:
+            expected.add((first, i, (v ^ values[first]).bit_count()))
+    assert found == expected and (10, 3000, 1) in found
