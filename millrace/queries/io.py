@@ -17,10 +17,20 @@ DOCUMENTS_AS_TEXT = (
     "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang, source, CAST(n_chars AS VARCHAR) AS n_chars FROM documents"
 )
 ORDERS_AS_TEXT = """
-SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus, o_orderpriority FROM orders
+SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_orderstatus,
+       CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS VARCHAR) AS o_totalprice, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate,
+       o_orderpriority
+FROM orders
 """
 
 
+def _orders_as_text(spark, sf_dir) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    price = F.col("o_totalprice").cast("decimal(18, 2)")
+    orders = orders.withColumns({"o_totalprice": price, "o_orderdate": F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")})
+    return orders.select(*[F.col(c).cast("string").alias(c) for c in orders.columns])
+
+
 @query("s1_read_csv", DOCUMENTS_AS_TEXT)
 def s1(spark, sf_dir):
     path = scratch_path(spark, "s1")
@@ -28,11 +38,17 @@ def s1(spark, sf_dir):
     return sources.read_csv(spark, path)
 
 
+@query("s1_read_csv_split", DOCUMENTS_AS_TEXT)
+def s1_split(spark, sf_dir):
+    path = scratch_path(spark, "s1_split")
+    sources.write_csv(table(spark, sf_dir, "documents"), path)
+    return sources.read_csv_split(spark, path)
+
+
 @query("s2_read_tsv", ORDERS_AS_TEXT)
 def s2(spark, sf_dir):
     path = scratch_path(spark, "s2")
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
-    sources.write_csv(orders, path, delimiter="\t")
+    sources.write_csv(_orders_as_text(spark, sf_dir), path, delimiter="\t")
     return sources.import_dataset(spark, path, format="tsv")
 
 
@@ -65,13 +81,9 @@ def s4(spark, sf_dir):
     return sources.read_jsonl(spark, path)
 
 
-@query(
-    "s5_read_parquet",
-    "SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem",
-)
+@query("s5_read_parquet", "SELECT * FROM lineitem")
 def s5(spark, sf_dir):
-    items = sources.read_parquet(spark, f"{sf_dir}/lineitem.parquet")
-    return items.select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+    return sources.read_parquet(spark, f"{sf_dir}/lineitem.parquet")
 
 
 @query("s6_import_dataset", "SELECT * FROM customer")
@@ -104,8 +116,8 @@ def s9(spark, sf_dir):
 @query("s11_read_csv_strict", ORDERS_AS_TEXT + " WHERE o_orderstatus <> 'F'")
 def s11(spark, sf_dir):
     path = scratch_path(spark, "s11")
-    orders = table(spark, sf_dir, "orders")
-    columns = ["o_orderkey", "o_orderstatus", "o_orderpriority"]
+    orders = _orders_as_text(spark, sf_dir)
+    columns = orders.columns
     # The rows of one status get a field too many, which the strict reader drops.
     extra = F.when(F.col("o_orderstatus") == "F", F.lit("surplus"))
     orders.select(F.concat_ws(",", *columns, extra).alias("value")).write.text(path)
@@ -121,12 +133,12 @@ def k1(spark, sf_dir):
 
 @query(
     "k2_write_json",
-    "SELECT d.doc_id, d.lang, CAST(l.quality AS BIGINT) AS quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
+    "SELECT d.*, CAST(l.quality AS BIGINT) AS quality, CAST(l.toxic AS BIGINT) AS toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
 )
 def k2(spark, sf_dir):
     path = scratch_path(spark, "k2")
     labelled = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    sources.write_json(labelled.select("doc_id", "lang", "quality"), path)
+    sources.write_json(labelled, path)
     return sources.read_jsonl(spark, path)
 
 

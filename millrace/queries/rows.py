@@ -358,17 +358,18 @@ def a4(spark, sf_dir):
 
 @query(
     "a4_vote_types",
-    "SELECT 'o_orderkey' AS \"column\", CASE WHEN count(*) = count(TRY_CAST(o_orderkey AS BIGINT)) THEN 'integer' ELSE 'string' END "
-    "AS data_type, false AS nullable FROM orders "
-    "UNION ALL SELECT 'o_totalprice', CASE WHEN count(*) = count(TRY_CAST(o_totalprice AS DOUBLE)) THEN 'float' ELSE 'string' END, "
-    "false FROM orders "
-    "UNION ALL SELECT 'o_orderstatus', CASE WHEN count(*) = count(TRY_CAST(o_orderstatus AS DOUBLE)) THEN 'float' ELSE 'string' END, "
-    "false FROM orders",
-)
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", CASE WHEN count(*) = count(TRY_CAST({c} AS {kind})) THEN '{name}' ELSE 'string' END AS data_type, "
+        f"count(*) > count({c}) AS nullable FROM orders"
+        for c, kind, name in (
+            ("o_orderkey", "BIGINT", "integer"), ("o_custkey", "BIGINT", "integer"), ("o_orderstatus", "DOUBLE", "float"),
+            ("o_totalprice", "DOUBLE", "float"), ("o_orderdate", "DOUBLE", "float"), ("o_orderpriority", "DOUBLE", "float"),
+        )
+    ).replace("TRY_CAST(o_orderdate AS", "TRY_CAST(CAST(o_orderdate AS VARCHAR) AS"),
+)
 def a4_vote(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
-    names = ["o_orderkey", "o_totalprice", "o_orderstatus"]
-    return ops.vote_types(orders.select(*[F.col(c).cast("string").alias(c) for c in names]))
+    return ops.vote_types(orders.select(*[F.col(c).cast("string").alias(c) for c in orders.columns]))
 
 
 @query(

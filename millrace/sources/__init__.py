@@ -1,5 +1,6 @@
 """Readers and writers."""
 
+from .csv_split import read_csv_split
 from .readers import (
     import_dataset,
     list_objects,
@@ -18,6 +19,7 @@ __all__ = [
     "import_dataset",
     "list_objects",
     "read_csv",
+    "read_csv_split",
     "read_csv_strict",
     "read_images",
     "read_json",

@@ -1,4 +1,6 @@
+import csv
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -107,3 +109,43 @@ def test_scratch_follows_the_session(spark):
     assert configured is None or root == configured.rstrip("/")
     written = scratch.written(spark.range(5), "t")
     assert root.removeprefix("file:") in written.inputFiles()[0]
+
+
+def _cells(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+@pytest.mark.parametrize("split", [60, 333, 1 << 20])
+def test_csv_with_line_breaks_is_read_in_splits(spark, tmp_path, split):
+    """One file in many splits, cells over several of them, equals the read by one task."""
+    rng = random.Random(split)
+    parts = ["a", "b,c", 'say "x"', "", "line\nbreak", "\n\n", "ü\r\nwin", "x" * 150, "many\n" * 60]
+    rows = [[str(i), *(rng.choice(parts) for _ in range(2)), f"end {i}"] for i in range(400)]
+    path = tmp_path / "one.csv"
+    with open(path, "w", newline="", encoding="utf-8") as file:
+        csv.writer(file, lineterminator="\n").writerows([["id", "first cell", "b", "c"], *rows])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        found = sources.read_csv_split(spark, str(path))
+        assert found.columns == ["id", "first cell", "b", "c"]
+        if split < 1000:
+            assert spark.read.text(str(path)).rdd.getNumPartitions() > 50
+        assert _cells(found) == sorted(map(tuple, rows), key=repr)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert _cells(found) == _cells(sources.read_csv(spark, str(path)))
+
+
+def test_csv_split_tells_short_rows_from_empty_cells(spark, tmp_path):
+    folder = tmp_path / "files"
+    folder.mkdir()
+    (folder / "a.csv").write_text('id;t;u\r\n1;;x\r\n2\r\n\r\n3;"";"a\r\nb"\r\n4;y\r\n5;1;2;3\r\n')
+    (folder / "b.csv").write_text("id;t;u\n6;7;8")
+    (folder / "c.csv").write_text('id;t;u\n9;"open ""cell""\n\n;";\n')
+    (folder / "d.csv").write_text("")
+    found = {r.id: (r.t, r.u) for r in sources.read_csv_split(spark, str(folder), ";").collect()}
+    assert found == {
+        "1": ("", "x"), "2": (None, None), "3": ("", "a\r\nb"), "4": ("y", None), "5": ("1", "2"), "6": ("7", "8"), "9": ('open "cell"\n\n;', ""),
+    }
