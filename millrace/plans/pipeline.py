@@ -17,7 +17,9 @@ from typing import Any
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import written
 from .registry import get_operator, operators
+from .reuse import result_name, reused
 
 
 @dataclass
@@ -42,6 +44,9 @@ class Run:
     parents: dict[str, list[str]] = field(default_factory=dict)
     #: For each step the seconds of the sinks that it fed; steps that fed none have no row counts.
     fed: dict[str, float] = field(default_factory=dict)
+    #: Steps whose rows were read from the table of an earlier run, and steps written once for several sinks.
+    reused: list[str] = field(default_factory=list)
+    shared: list[str] = field(default_factory=list)
     seconds: float = 0.0
 
     def frame(self, step: str, port: str = "out") -> DataFrame:
@@ -176,7 +181,13 @@ def run_pipeline(
 
     ``frames`` gives the output of steps by id, in place of reading it. A disabled step
     passes its first input through. ``metrics`` counts the rows of each step as the sinks
-    write; no job is added. What ``use_cache`` keeps is released when the sinks have run.
+    write; no job is added.
+
+    A step on the way to several sinks is written once, to a table in the shared folder that they
+    read. With ``use_cache`` that table is named by the plan of the step and the versions of its
+    input files, and a later run of any session reads it as long as both are the same. A step over
+    rows that come from no file, or of a run with ``metrics``, is kept in the session instead, and
+    released at the end.
     """
     spec, frames = _load(spec), frames or {}
     values = {**spec.get("variables", {}), **(variables or {})}
@@ -185,46 +196,82 @@ def run_pipeline(
         raise ValueError("Invalid pipeline: " + "; ".join(problems))
     run = Run({}, warnings=warnings)
     started = time.monotonic()
+    forks = set() if dry_run else _forks(steps)
     cached: list[DataFrame] = []
-    for step in steps:
-        named = get_operator(step.operator)
-        ports = [p for p in named.inputs if p in step.inputs]
-        inputs = [run.frames[step.inputs[p]] for p in ports]
-        if step.id in frames:
-            result = frames[step.id]
-        elif step.disabled:
-            result = inputs[0]
-        else:
-            settings = named.settings(step.params)
-            if named.kind == "sink":
-                if not dry_run:
-                    began = time.monotonic()
-                    named.run(*inputs, **settings)
-                    took = time.monotonic() - began
-                    run.outputs.append({"step": step.id, "operator": named.name, "path": settings.get("path")})
-                    above = [source for source, _ in step.inputs.values()]
-                    for name in _ancestors(above, run.parents):
-                        run.fed[name] = run.fed.get(name, 0.0) + took
-                run.history.append({"step": step.id, "name": named.name, "parameters": settings})
-                continue
-            result = named.run(spark, **settings) if named.kind == "source" else named.run(*inputs, **settings)
-            run.history.append({"step": step.id, "name": named.name, "parameters": settings})
-        results = result if isinstance(result, dict) else {named.outputs[0]: result}
-        for port, frame in results.items():
-            run.parents[step.id] = [source for source, _ in step.inputs.values()]
-            if step.use_cache:
-                frame = frame.persist()
-                cached.append(frame)
-            if metrics and port == named.outputs[0]:
-                run.observed[step.id] = Observation(f"{step.id}-{id(run)}")
-                frame = frame.observe(run.observed[step.id], F.count(F.lit(1)).alias("rows"))
-            run.frames[step.id, port] = frame
-    for frame in cached:
-        frame.unpersist()
+    try:
+        for step in steps:
+            _run_step(spark, step, run, frames, dry_run, metrics, step.id in forks, cached)
+    finally:
+        for frame in cached:
+            frame.unpersist()
     run.seconds = time.monotonic() - started
     return run
 
 
+def _run_step(spark, step: Step, run: Run, frames: Mapping, dry_run: bool, metrics: bool, fork: bool, cached: list[DataFrame]) -> None:
+    """Calls the operator of a step on the frames before it, or the sink it is."""
+    named = get_operator(step.operator)
+    inputs = [run.frames[step.inputs[p]] for p in named.inputs if p in step.inputs]
+    if step.id in frames:
+        result = frames[step.id]
+    elif step.disabled:
+        result = inputs[0]
+    else:
+        settings = named.settings(step.params)
+        run.history.append({"step": step.id, "name": named.name, "parameters": settings})
+        if named.kind == "sink":
+            if not dry_run:
+                began = time.monotonic()
+                named.run(*inputs, **settings)
+                took = time.monotonic() - began
+                run.outputs.append({"step": step.id, "operator": named.name, "path": settings.get("path")})
+                for name in _ancestors([source for source, _ in step.inputs.values()], run.parents):
+                    run.fed[name] = run.fed.get(name, 0.0) + took
+            return
+        result = named.run(spark, **settings) if named.kind == "source" else named.run(*inputs, **settings)
+    results = result if isinstance(result, dict) else {named.outputs[0]: result}
+    run.parents[step.id] = [source for source, _ in step.inputs.values()]
+    for port, frame in results.items():
+        if metrics and port == named.outputs[0]:
+            run.observed[step.id] = Observation(f"{step.id}-{id(run)}")
+            frame = frame.observe(run.observed[step.id], F.count(F.lit(1)).alias("rows"))
+        run.frames[step.id, port] = _kept(step, frame, run, dry_run, metrics, fork, cached)
+
+
+def _kept(step: Step, frame: DataFrame, run: Run, dry_run: bool, metrics: bool, fork: bool, cached: list[DataFrame]) -> DataFrame:
+    """The frame of a step, or the table that stands for it."""
+    if frame.isStreaming or dry_run:
+        return frame
+    if step.use_cache:
+        # Where rows are counted the steps before have to run.
+        name = None if metrics else result_name(frame)
+        if name is None:
+            cached.append(frame.persist())
+            return cached[-1]
+        table, there = reused(frame, name)
+        if there and step.id not in run.reused:
+            run.reused.append(step.id)
+        return table
+    if fork and step.id not in run.shared:
+        run.shared.append(step.id)
+    return written(frame, "shared") if fork else frame
+
+
+def _forks(steps: list[Step]) -> set[str]:
+    """Steps whose output goes several ways that end in sinks, but for columnar files, which are read again as cheaply."""
+    ends: dict[str, set[str]] = {}
+    ways: dict[str, int] = {}
+    for step in reversed(steps):
+        named = get_operator(step.operator)
+        if named.kind == "sink":
+            ends[step.id] = {step.id}
+        for source in {source for source, _ in step.inputs.values()} if ends.get(step.id) else ():
+            ways[source] = ways.get(source, 0) + 1
+            ends.setdefault(source, set()).update(ends[step.id])
+    by_id = {s.id: s for s in steps}
+    return {i for i, n in ways.items() if n > 1 and len(ends[i]) > 1 and by_id[i].operator != "load_parquet"}
+
+
 def _ancestors(steps: list[str], parents: Mapping[str, list[str]]) -> set[str]:
     found, todo = set(), list(steps)
     while todo:

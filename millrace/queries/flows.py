@@ -181,6 +181,43 @@ def k7(spark, sf_dir):
     return run.frame("s1").select("p_partkey", "p_name", "p_brand", F.lit(len(run.outputs)).alias("outputs"))
 
 
+@query("g1c_use_cache", "SELECT doc_id, text, lang, upper(source) AS source, n_chars, true AS reused FROM documents")
+def g1c(spark, sf_dir):
+    """The second of two runs, which reads the table that the first one left."""
+    for _ in range(2):
+        path = scratch_path(spark, "g1c")
+        spec = flow("kept", ("load_parquet", {"path": "${DIR}/documents.parquet"}), ("uppercase", {"column": "source"}), ("write_parquet", {"path": path}))
+        spec["nodes"][1]["data"]["use_cache"] = True
+        run = run_pipeline(spark, spec, {"DIR": sf_dir})
+    return spark.read.parquet(path).withColumn("reused", F.lit(run.reused == ["s1"]))
+
+
+@query(
+    "g1_shared_steps",
+    "SELECT o_orderkey, o_totalprice, 'rows' AS sink, 1 AS shared FROM orders WHERE o_totalprice > 200000 "
+    "UNION ALL SELECT o_orderkey, NULL, 'keys', 1 FROM orders WHERE o_totalprice > 200000",
+)
+def g1_shared(spark, sf_dir):
+    """A filter that feeds two sinks."""
+    rows, keys = scratch_path(spark, "g1_rows"), scratch_path(spark, "g1_keys")
+    steps = {
+        "read": ("load_parquet", {"path": "${DIR}/orders.parquet"}, None),
+        "large": ("filter_rows", {"column": "o_totalprice", "op": ">", "value": 200000}, "read"),
+        "columns": ("select_columns", {"columns": "o_orderkey,o_totalprice"}, "large"),
+        "rows": ("write_parquet", {"path": rows}, "columns"),
+        "key": ("select_columns", {"columns": "o_orderkey"}, "large"),
+        "keys": ("write_parquet", {"path": keys}, "key"),
+    }
+    spec = {
+        "nodes": [{"id": i, "type": "pipelineNode", "data": {"typeId": kind, "params": params}} for i, (kind, params, _) in steps.items()],
+        "edges": [{"source": a, "target": i, "sourceHandle": "out", "targetHandle": "in"} for i, (_, _, a) in steps.items() if a],
+    }
+    run = run_pipeline(spark, spec, {"DIR": sf_dir})
+    shared = F.lit(int(run.shared == ["large"]))
+    whole = spark.read.parquet(rows).withColumns({"sink": F.lit("rows"), "shared": shared})
+    return whole.unionByName(spark.read.parquet(keys).withColumns({"sink": F.lit("keys"), "shared": shared}), allowMissingColumns=True)
+
+
 @query(
     "a5_step_metrics",
     """

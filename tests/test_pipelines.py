@@ -167,3 +167,48 @@ def test_metrics_of_a_dry_run_do_not_wait(spark, items):
     spec = {"nodes": [node("a", "load_parquet", {"path": "x"}), node("b", "lowercase", {"column": "name"}), node("c", "write_jsonl", {"path": "/nowhere"})], "edges": [edge("a", "b"), edge("b", "c")]}
     run = run_pipeline(spark, spec, frames={"a": items(3)}, dry_run=True, metrics=True)
     assert run.metrics() == []
+
+
+def test_a_step_before_two_sinks_runs_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    @operator("counted_rows", replace=True)
+    def counted_rows(df):
+        def count(batches):
+            for batch in batches:
+                seen.add(len(batch))
+                yield batch
+
+        return df.mapInPandas(count, df.schema)
+
+    spark.range(100).write.json(str(tmp_path / "in"))
+    nodes = [
+        node("in", "load_jsonl", {"path": str(tmp_path / "in")}), node("count", "counted_rows"),
+        node("a", "write_parquet", {"path": str(tmp_path / "a")}), node("b", "write_jsonl", {"path": str(tmp_path / "b")}),
+    ]
+    spec = {"nodes": nodes, "edges": [edge("in", "count"), edge("count", "a"), edge("count", "b")]}
+    run = run_pipeline(spark, spec, metrics=True)
+    assert run.shared == ["count"] and seen.value == 100
+    assert spark.read.parquet(str(tmp_path / "a")).count() == spark.read.json(str(tmp_path / "b")).count() == 100
+    assert {m["step"]: m["rows_out"] for m in run.metrics()} == {"in": 100, "count": 100}
+    assert run_pipeline(spark, spec, dry_run=True).shared == []
+
+
+def test_use_cache_across_runs(spark, tmp_path, items):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def run(column="name", **more):
+        nodes = [node("in", "load_parquet", {"path": source}), node("up", "uppercase", {"column": column}, use_cache=True), node("out", "write_parquet", {"path": out})]
+        return run_pipeline(spark, {"nodes": nodes, "edges": [edge("in", "up"), edge("up", "out")]}, **more)
+
+    items(5).write.parquet(source)
+    assert run().reused == [] and run().reused == ["up"] and run("category").reused == []
+    items(7).write.mode("append").parquet(source)
+    assert run().reused == [] and spark.read.parquet(out).count() == 12
+    assert run().reused == ["up"] and run(metrics=True).metrics()[-1]["rows_out"] == 12
+    # Rows that come from no file, and a sink that fails: nothing stays in the session.
+    kept = run_pipeline(spark, {"nodes": [node("up", "uppercase", {"column": "name"}, use_cache=True)], "edges": []}, frames={"up": items(3)})
+    assert kept.reused == [] and not kept.frame("up").is_cached
+    with pytest.raises(Exception):
+        nodes = [node("in", "load_parquet", {"path": source}), node("up", "uppercase", {"column": "name"}, use_cache=True), node("out", "write_parquet", {"path": "nofs://x"})]
+        run_pipeline(spark, {"nodes": nodes, "edges": [edge("in", "up"), edge("up", "out")]}, metrics=True)
