@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from .. import operators as ops
 from .. import sources
 from ..scratch import scratch_path
-from ..streaming import dedup_stream, run_available, write_batches
+from ..streaming import dedup_stream, first_stream, read_batches, run_available, write_batches
 from .catalog import query, table
 
 
@@ -46,11 +47,45 @@ def x2(spark, sf_dir):
     return _drained(spark, kept.select("user_id", "event_type"), "x2")
 
 
+@query(
+    "x2_stream_first",
+    "SELECT user_id, event_type, min(ts) AS ts, CAST(arg_min(event_id, (ts, CAST(event_id AS VARCHAR))) AS BIGINT) AS event_id FROM events GROUP BY user_id, event_type",
+)
+def x2_first(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts")
+    # A row of its own, with a time that the watermark of all others has passed, closes the stream.
+    closing = scratch_path(spark, "x2_closing")
+    late = F.max("ts") + F.expr("interval '7400' day")
+    events.agg(F.lit(-1).cast("bigint").alias("event_id"), F.lit(-1).cast("bigint").alias("user_id"), F.lit("closing").alias("event_type"), late.alias("ts")).write.parquet(closing)
+    stream = _events(spark, sf_dir).select(*events.columns)
+    stream = stream.unionByName(sources.read_stream(spark, closing, "parquet", events.schema))
+    kept = first_stream(stream, ["user_id", "event_type"], "ts", "3650 days")
+    return _drained(spark, kept, "x2_first")
+
+
 @query("x3_stream_sink", "SELECT event_id, event_type, value FROM events")
 def x3(spark, sf_dir):
     path = scratch_path(spark, "x3")
     events = _events(spark, sf_dir).select("event_id", "event_type", "value")
     write_batches(events, f"{path}/rows", f"{path}/progress", sources.write_jsonl).awaitTermination()
-    schema = "event_id bigint, event_type string, value double"
-    written = spark.read.schema(schema).json(f"{path}/rows")
-    return written.select("event_id", "event_type", F.col("value"))
+    return read_batches(spark, f"{path}/rows", "event_id bigint, event_type string, value double", "json").drop("batch_id")
+
+
+@query("x3_failed_batch", "SELECT event_id, event_type, value FROM events")
+def x3_failed(spark, sf_dir):
+    """A stream that fails in the middle of a batch and is started again."""
+    path, calls = scratch_path(spark, "x3_failed"), []
+
+    def save(batch, folder):
+        calls.append(folder)
+        sources.write_parquet(batch.where("event_id % 2 = 0") if len(calls) == 1 else batch, folder)
+        if len(calls) == 1:
+            raise OSError("the sink is gone")
+
+    for _ in range(2):
+        run = write_batches(_events(spark, sf_dir).select("event_id", "event_type", "value"), f"{path}/rows", f"{path}/progress", save)
+        try:
+            run.awaitTermination()
+        except StreamingQueryException:
+            pass
+    return read_batches(spark, f"{path}/rows", "event_id bigint, event_type string, value double").drop("batch_id")

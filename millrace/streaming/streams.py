@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..checks import as_list, col, require_column, require_columns
 from ..sources import writers
@@ -18,7 +24,8 @@ def dedup_stream(
     """One row per key within the watermark; later copies and rows behind it are dropped.
 
     State is kept only as long as the watermark asks, so a copy that arrives after that
-    is a new row. Which of the copies stays is not defined. The time column becomes
+    is a new row. Which of the copies stays is not defined: rows come out at once, before an
+    earlier one may arrive; ``first_stream`` waits for it. The time column becomes
     ``timestamp``, which watermarks need. ``combine`` drops copies inside each Arrow
     batch before the shuffle, so that a frequent key does not send all its rows to one task.
     """
@@ -32,21 +39,69 @@ def dedup_stream(
 
 
 def _latest_per_key(keys: list[str], time_column: str) -> Callable:
+    def plain(column: pa.Array) -> pa.Array:
+        # Arrow groups by plain values; nested ones are written out, which tells nulls and types apart.
+        return pa.array([repr(v) for v in column.to_pylist()]) if pa.types.is_nested(column.type) else column
+
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             # The latest copy stays, so that none is lost to the watermark that another would pass.
-            times = batch.column(time_column).cast(pa.int64()).fill_null(-(2**63)).to_pylist()
-            latest: dict[str, int] = {}
-            # Keys are compared as written out, which tells numbers, nulls, lists and structs apart exactly.
-            for row, key in enumerate(zip(*(batch.column(k).to_pylist() for k in keys), strict=True)):
-                held = latest.setdefault(repr(key), row)
-                if times[row] >= times[held]:
-                    latest[repr(key)] = row
-            yield batch.take(pa.array(sorted(latest.values()), type=pa.int64()))
+            times = batch.column(time_column).cast(pa.int64()).fill_null(-(2**63))
+            order = pc.sort_indices(times)
+            sorted_keys = [plain(batch.column(k)).take(order) for k in keys]
+            places = pa.table([*sorted_keys, pa.array(np.arange(len(order)))], names=[f"k{i}" for i in range(len(keys))] + ["place"])
+            last = places.group_by([f"k{i}" for i in range(len(keys))], use_threads=False).aggregate([("place", "max")])
+            kept = order.to_numpy()[last["place_max"].to_numpy()]
+            yield batch.take(pa.array(np.sort(kept).astype(np.int64)))
 
     return combine
 
 
+def first_stream(df: DataFrame, keys: str | list[str], time_column: str, watermark: str = "1 hour") -> DataFrame:
+    """The first row of each key by event time, of equal times the one that is least as JSON text.
+
+    The earliest row of a key is held until the watermark passes its time: from then on no earlier one can
+    come, and it is given out. The key stays in the state until the watermark is ``watermark`` past that time;
+    copies that come by then are dropped, and a later one begins anew. So state lasts as long as the watermark
+    asks, and holds one row a key. A stream that ends gives out what its watermark has passed; a row with a
+    late time, of a key of its own, closes it.
+    """
+    names = as_list(keys)
+    require_columns(df, names)
+    require_column(df, time_column)
+    exact = {"timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS", "ignoreNullFields": "false"}
+    schema = df.schema
+    rows = df.select(
+        F.to_json(F.struct(*[col(c) for c in names]), exact).alias("key"),
+        col(time_column).cast("timestamp").alias("at"),
+        F.to_json(F.struct(*[col(c) for c in df.columns]), exact).alias("row"),
+    )
+    timed = rows.withWatermark("at", watermark).withColumn("micros", F.unix_micros("at"))
+    delay = pd.Timedelta(watermark) // pd.Timedelta("1ms")
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            micros, row = state.get
+            if row is None:
+                state.remove()
+                return
+            # The mark of a row that is out: later copies are dropped until the delay has passed once more.
+            state.update((micros, None))
+            state.setTimeoutTimestamp(max(micros // 1000 + delay, state.getCurrentWatermarkMs()) + 1)
+            yield pd.DataFrame({"row": [row]})
+            return
+        found = min((least for batch in batches for least in [min(zip(batch["micros"], batch["row"], strict=True))]), default=None)
+        if state.exists and state.get[1] is None:
+            state.setTimeoutTimestamp(max(state.get[0] // 1000 + delay, state.getCurrentWatermarkMs()) + 1)
+            return
+        held = min(found, (state.get[0], state.get[1])) if state.exists else found
+        state.update((int(held[0]), held[1]))
+        state.setTimeoutTimestamp(max(int(held[0]) // 1000, state.getCurrentWatermarkMs()) + 1)
+
+    first = timed.groupBy("key").applyInPandasWithState(step, "row string", "micros bigint, row string", "append", GroupStateTimeout.EventTimeTimeout)
+    return first.select(F.from_json("row", schema, exact).alias("row")).select("row.*")
+
+
 def write_stream(
     df: DataFrame,
     path: str,
@@ -68,14 +123,49 @@ def run_available(df: DataFrame, path: str, checkpoint: str, format: str = "parq
     write_stream(df, path, checkpoint, format, available_now=True, **options).awaitTermination()
 
 
+class _Log:
+    """The batches of a folder that are whole: one small file each, which appears by a rename."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        jvm = spark._jvm
+        self.path, self.log = jvm.org.apache.hadoop.fs.Path, f"{path}/_batches"
+        self.files = self.path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def folders(self) -> dict[int, str]:
+        """The folder of each batch, by its number."""
+        if not self.files.exists(self.path(self.log)):
+            return {}
+        names = [status.getPath().getName() for status in self.files.listStatus(self.path(self.log))]
+        return {int(number): attempt for number, attempt in (n.split("-") for n in names if not n.startswith((".", "_")))}
+
+    def commit(self, number: int, attempt: str) -> None:
+        draft = self.path(f"{self.log}/.{attempt}")
+        self.files.create(draft, True).close()
+        self.files.rename(draft, self.path(f"{self.log}/{number}-{attempt}"))
+
+
 def write_batches(df: DataFrame, path: str, checkpoint: str, save: Callable = writers.write_parquet) -> StreamingQuery:
-    """Writes each micro-batch with a batch sink, to a folder of its own.
+    """Writes each micro-batch with a batch sink, to a folder of its own, and then lists it.
 
-    A batch that is repeated after a failure overwrites its folder, so no row is doubled.
+    A batch that is repeated after a failure gets a new folder, unless it is listed already. ``read_batches`` reads
+    listed folders only, so no row is seen twice and no batch half.
     """
 
-    def one(batch: DataFrame, batch_id: int) -> None:
-        save(batch, f"{path}/batch_id={batch_id}")
+    def one(batch: DataFrame, number: int) -> None:
+        log = _Log(batch.sparkSession, path)
+        if number not in log.folders():
+            attempt = uuid.uuid4().hex
+            save(batch, f"{path}/batch_id={number}/attempt={attempt}")
+            log.commit(number, attempt)
 
     writer = df.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()
+
+
+def read_batches(spark: SparkSession, path: str, schema, format: str = "parquet") -> DataFrame:
+    """The rows of the batches of ``write_batches`` that are whole, with their ``batch_id``."""
+    folders = _Log(spark, path).folders()
+    found = spark.read.schema(schema).format(format).option("basePath", path)
+    if not folders:
+        return spark.createDataFrame([], schema).withColumn("batch_id", F.lit(None).cast("int"))
+    return found.load([f"{path}/batch_id={n}/attempt={a}" for n, a in folders.items()]).drop("attempt")
