@@ -80,23 +80,24 @@ def first_stream(df: DataFrame, keys: str | list[str], time_column: str, waterma
     delay = pd.Timedelta(watermark) // pd.Timedelta("1ms")
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            micros, row = state.get
-            if row is None:
-                state.remove()
-                return
-            # The mark of a row that is out: later copies are dropped until the delay has passed once more.
-            state.update((micros, None))
-            state.setTimeoutTimestamp(max(micros // 1000 + delay, state.getCurrentWatermarkMs()) + 1)
+        """The state is the earliest row while it is held; once it is out, its time alone."""
+        passed = state.getCurrentWatermarkMs()
+        micros, row = state.get if state.exists else (None, None)
+        # A batch with new rows of the key comes before its timer, so both look at the watermark.
+        if row is not None and micros // 1000 < passed:
             yield pd.DataFrame({"row": [row]})
+            row = None
+        if micros is not None and row is None and micros // 1000 + delay < passed:
+            micros = None
+        if not state.hasTimedOut and (micros is None or row is not None):
+            found = [min(zip(batch["micros"], batch["row"], strict=True)) for batch in batches if len(batch)]
+            held = min(found + ([(micros, row)] if row is not None else []))
+            micros, row = int(held[0]), held[1]
+        if micros is None:
+            state.remove()
             return
-        found = min((least for batch in batches for least in [min(zip(batch["micros"], batch["row"], strict=True))]), default=None)
-        if state.exists and state.get[1] is None:
-            state.setTimeoutTimestamp(max(state.get[0] // 1000 + delay, state.getCurrentWatermarkMs()) + 1)
-            return
-        held = min(found, (state.get[0], state.get[1])) if state.exists else found
-        state.update((int(held[0]), held[1]))
-        state.setTimeoutTimestamp(max(int(held[0]) // 1000, state.getCurrentWatermarkMs()) + 1)
+        state.update((micros, row))
+        state.setTimeoutTimestamp(max(micros // 1000 + (delay if row is None else 0), passed) + 1)
 
     first = timed.groupBy("key").applyInPandasWithState(step, "row string", "micros bigint, row string", "append", GroupStateTimeout.EventTimeTimeout)
     return first.select(F.from_json("row", schema, exact).alias("row")).select("row.*")

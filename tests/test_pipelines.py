@@ -77,7 +77,7 @@ def test_branches_ports_and_disabled(spark, items):
     }
     run = run_pipeline(spark, spec, frames={"in": items(10)})
     assert run.frame("parts", "train").count() == 7 and run.frame("parts", "test").count() == 3
-    assert {r.name for r in run.frame("all").collect()} == {f"item_{i}" for i in range(10)}
+    assert {r.name for r in run.frame("all").collect()} == {f"ware {i:03d}" for i in range(10)}
     assert run.frame("with").count() == 10 and "name_right" in run.frame("with").columns
 
 
@@ -134,7 +134,7 @@ def test_user_operators(spark, items):
     assert "top_per_category" in operators()
     spec = flow("f", ("load_csv", {"path": "x"}), ("top_per_category", {"n": 2}))
     run = run_pipeline(spark, spec, frames={"s0": items(10)})
-    assert sorted(r.id for r in run.frame("s1").collect()) == [6, 7, 8, 9]
+    assert sorted(r.id for r in run.frame("s1").collect()) == [1, 2, 4, 6, 8, 9]
     with pytest.raises(ValueError, match="exists already"):
         operator("lowercase")(top)
 

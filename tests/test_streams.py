@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from millrace import operators as ops
 from millrace import sources
-from millrace.streaming import dedup_stream, run_available, write_batches
+from millrace.streaming import dedup_stream, first_stream, read_batches, run_available, write_batches
 
 SCHEMA = "k string, n int, ts timestamp_ntz"
 
@@ -70,3 +70,55 @@ def test_batch_combine_keeps_exact_keys(spark):
     )
     found = rows.coalesce(1).mapInArrow(_latest_per_key(["k", "a"], "t"), schema).collect()
     assert len(found) == 4 and sum(r["k"] is None for r in found) == 2
+
+
+def test_first_copy_by_event_time(spark, feed, tmp_path):
+    """An earlier copy that arrives later stays; copies that come while the key is known are dropped, then it begins anew."""
+    stream = feed(
+        [("a", 1, 10), ("b", 2, 11)],
+        [("a", 3, 5), ("b", 4, 30)],
+        [("a", 5, 40), ("c", 6, 80)],
+        [("b", 7, 95), ("c", 8, 81), ("d", 9, 200)],
+        [("a", 10, 210), ("a", 11, 205), ("z", 0, 5000)],
+        [("z", 0, 9000)],
+    )
+    run_available(first_stream(stream, "k", "ts", "1 hour"), str(tmp_path / "out"), str(tmp_path / "cp"))
+    rows = spark.read.schema(SCHEMA).parquet(str(tmp_path / "out")).collect()
+    assert sorted((r.k, r.n) for r in rows if r.k != "z") == [("a", 3), ("a", 11), ("b", 2), ("c", 6), ("d", 9)]
+    assert {r.n: r.ts.minute for r in rows if r.n == 3} == {3: 5}
+
+
+def test_first_copy_keeps_values_exact(spark, tmp_path):
+    schema = "k array<string>, big bigint, f double, t timestamp, b binary, s struct<x:int,y:string>"
+    rows = spark.sql(
+        "SELECT * FROM VALUES (array('a', null), 9007199254740993, 0.1D, timestamp'2024-01-01 00:00:00.123456', X'00FF', named_struct('x', 1, 'y', 'é')), "
+        "(array('a', null), null, 1.5D, timestamp'2024-01-01 00:00:00.123457', null, null), "
+        "(null, 1, double('NaN'), timestamp'2024-01-02 00:00:00', null, null), "
+        "(array('end'), 0, 0D, timestamp'2034-01-02 00:00:00', null, null) AS v(k, big, f, t, b, s)"
+    )
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = sources.read_stream(spark, str(tmp_path / "in"), "parquet", rows.schema)
+    run_available(first_stream(stream, "k", "t", "1 day"), str(tmp_path / "out"), str(tmp_path / "cp"))
+    found = spark.read.schema(schema).parquet(str(tmp_path / "out")).orderBy("t").collect()
+    assert len(found) == 2 and found[0].big == 9007199254740993 and found[0].f == 0.1 and bytes(found[0].b) == b"\x00\xff"
+    assert found[0].t.microsecond == 123456 and found[0].s.y == "é" and found[0].k == ["a", None] and found[1].f != found[1].f
+
+
+def test_batches_that_fail_are_never_seen(spark, feed, tmp_path):
+    stream = feed([("a", 1, 0), ("b", 2, 1)], [("c", 3, 2)])
+    calls = []
+
+    def save(batch, folder):
+        calls.append(folder)
+        sources.write_parquet(batch, folder)
+        if len(calls) == 2:
+            raise OSError("gone")
+
+    schema = "k string, n int, ts timestamp_ntz"
+    assert read_batches(spark, str(tmp_path / "out"), schema).count() == 0
+    with pytest.raises(Exception, match="gone"):
+        write_batches(stream, str(tmp_path / "out"), str(tmp_path / "cp"), save).awaitTermination()
+    assert sorted(r.n for r in read_batches(spark, str(tmp_path / "out"), schema).collect()) == [1, 2]
+    write_batches(stream, str(tmp_path / "out"), str(tmp_path / "cp"), save).awaitTermination()
+    found = read_batches(spark, str(tmp_path / "out"), schema).collect()
+    assert sorted((r.n, r.batch_id) for r in found) == [(1, 0), (2, 0), (3, 1)] and len(calls) == 3
