@@ -76,15 +76,16 @@ def chunk_text(
     column: str,
     chunk_size: int = 500,
     chunk_overlap: int = 50,
-    id_column: str = "id",
+    id_column: str | None = "id",
     keep_text: bool = True,
 ) -> DataFrame:
     """Sliding windows of words, one row per window; blank text gives no rows.
 
     The window after the first one that is not full is not made. The whole text stays in
-    every row unless ``keep_text`` is off; a later select prunes it too.
+    every row unless ``keep_text`` is off; a later select prunes it too. Without an id column the
+    ``source_row_id`` is a digest of the row's content, which rows that are equal in all share.
     """
-    require_columns(df, [column, id_column])
+    require_columns(df, [column, id_column] if id_column else [column])
     if column == id_column and not keep_text:
         raise ValueError("The id column cannot be dropped")
     if chunk_size < 1:
@@ -108,8 +109,12 @@ def chunk_text(
         ),
     )
     kept = [col(c) for c in df.columns if keep_text or c != column]
+    if not id_column:
+        content = F.to_json(F.struct(*[col(c) for c in df.columns]), {"ignoreNullFields": "false"})
+        kept.append(F.sha2(content, 256).alias("_source"))
     exploded = split.select(*kept, F.posexplode(chunks).alias("chunk_index", "chunk_text"))
-    return exploded.withColumns({"chunk_index": F.col("chunk_index").cast("bigint"), "source_row_id": col(id_column)})
+    numbered = exploded.withColumn("chunk_index", F.col("chunk_index").cast("bigint"))
+    return numbered.withColumn("source_row_id", col(id_column)) if id_column else numbered.withColumnRenamed("_source", "source_row_id")
 
 
 def detect_lang(df: DataFrame, column: str) -> DataFrame:

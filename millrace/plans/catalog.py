@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql.types import StructType
+
 from .. import operators as ops
-from .. import sources
+from .. import sources, streaming
 from ..checks import as_list
 from .registry import Param, operator
 
@@ -27,10 +29,14 @@ def _import(spark, **settings):
 
 @operator("load_csv", (), kind="source", path=Param("file", required=True), delimiter=Param("text", default=","),
           encoding=Param("text", default="utf-8"), header=Param("boolean", default=True),
-          multi_line=Param("boolean", default=True))
-def _csv(spark, path, delimiter, encoding, header, multi_line):
+          multi_line=Param("boolean", default=True), split=Param("boolean", default=False, help="read a large file by many tasks"))
+def _csv(spark, path, delimiter, encoding, header, multi_line, split):
     if not header:
         raise ValueError("load_csv reads files with a header")
+    if split:
+        if encoding.lower().replace("-", "") != "utf8":
+            raise ValueError("load_csv splits files in UTF-8 only")
+        return sources.read_csv_split(spark, path, delimiter)
     return sources.read_csv(spark, path, delimiter, encoding, multi_line)
 
 
@@ -49,6 +55,12 @@ def _parquet(spark, path):
     return sources.read_parquet(spark, path)
 
 
+@operator("load_stream", (), kind="source", path=Param("file", required=True), format=Param("select", default="json", options=("json", "parquet", "csv")),
+          schema=Param("textarea", required=True, help="columns and types, as in id bigint, text string"))
+def _stream(spark, path, format, schema):
+    return sources.read_stream(spark, path, format, StructType.fromDDL(schema))
+
+
 @operator("load_sql", (), kind="source", query=Param("textarea", required=True), connection=Param("text"),
           partition_column=Param("text"), lower=Param("number"), upper=Param("number"), partitions=Param("number", default=1, min=1))
 def _sql(spark, query, connection, partition_column, lower, upper, partitions):
@@ -127,7 +139,7 @@ operator("normalize", column=_column(), lower=Param("boolean", default=True), tr
 )
 operator("tokenize", column=_column(), mode=Param("select", default="word", options=("word", "sentence")))(ops.tokenize)
 operator("chunk_text", column=_column(), chunk_size=Param("number", default=500, min=1),
-         chunk_overlap=Param("number", default=50, min=0), id_column=_column("id"),
+         chunk_overlap=Param("number", default=50, min=0), id_column=Param("column", default="id"),
          keep_text=Param("boolean", default=True))(ops.chunk_text)
 operator("hash_key", column=_column(), algo=Param("select", default="sha256", options=("sha256", "xxhash64")))(ops.hash_key)
 operator("embed_text", column=_column(), dim=Param("number", default=384, min=1))(ops.embed_text)
@@ -195,10 +207,32 @@ operator("dedup_fuzzy", column=_column(), threshold=Param("slider", default=0.85
     ops.dedup_fuzzy
 )
 
+operator("simhash", column=_column(), variant=Param("select", default="token", options=("token", "word")),
+         output_column=Param("text", default="simhash"))(ops.simhash)
+operator("minhash", column=_column(), num_perm=Param("number", default=64, min=1),
+         output_column=Param("text", default="minhash"))(ops.minhash)
+operator("near_dup_pairs", column=_column(), threshold=Param("number", default=3, min=0, max=9), order_by=ORDER)(ops.near_dup_pairs)
+operator("minhash_pairs", column=_column(), threshold=Param("slider", default=0.85, min=0.5, max=1.0), order_by=ORDER)(ops.minhash_pairs)
+
+# Streams
+
+
+@operator("dedup_stream", keys=Param("text", required=True), time_column=_column("ts"), watermark=Param("text", default="1 hour"),
+          first=Param("boolean", default=False, help="wait for the first copy by event time"))
+def _dedup_stream(df, keys, time_column, watermark, first):
+    return (streaming.first_stream if first else streaming.dedup_stream)(df, keys, time_column, watermark)
+
+
+@operator("write_stream", kind="sink", path=Param("file", required=True), checkpoint=Param("file", required=True),
+          format=Param("select", default="parquet", options=("parquet", "json", "csv")))
+def _write_stream(df, path, checkpoint, format):
+    streaming.run_available(df, path, checkpoint, format)
+
+
 # Profiles
 
 operator("statistics", approx=Param("boolean", default=False))(ops.column_statistics)
-for _name in ("blank_counts", "dataset_summary", "classify_dataset", "infer_schema"):
+for _name in ("blank_counts", "dataset_summary", "classify_dataset", "infer_schema", "vote_types"):
     operator(_name)(getattr(ops, _name))
 
 

@@ -212,3 +212,33 @@ def test_use_cache_across_runs(spark, tmp_path, items):
     with pytest.raises(Exception):
         nodes = [node("in", "load_parquet", {"path": source}), node("up", "uppercase", {"column": "name"}, use_cache=True), node("out", "write_parquet", {"path": "nofs://x"})]
         run_pipeline(spark, {"nodes": nodes, "edges": [edge("in", "up"), edge("up", "out")]}, metrics=True)
+
+
+def test_fingerprints_pairs_and_streams_by_name(spark, texts, tmp_path):
+    def through(kind, params, df):
+        spec = flow("f", ("load_parquet", {"path": "x"}), (kind, params))
+        return run_pipeline(spark, spec, frames={"s0": df}).frame("s1")
+
+    df = texts(["a b c d", "a b c d", "other words", None])
+    assert "fp" in through("simhash", {"column": "t", "output_column": "fp"}, df).columns
+    assert through("minhash", {"column": "t"}, df).schema["minhash"].dataType.simpleString().startswith("array")
+    assert through("near_dup_pairs", {"column": "t", "order_by": "id"}, df).columns[:2] == ["id_a", "id_b"]
+    assert "similarity" in through("minhash_pairs", {"column": "t", "order_by": "id"}, df).columns
+    assert {r.data_type for r in through("vote_types", {}, df).collect()} == {"integer", "string"}
+
+    rows = [("a", 1, "2024-01-01 00:10:00"), ("a", 2, "2024-01-01 00:05:00"), ("z", 0, "2024-02-01 00:00:00")]
+    spark.createDataFrame(rows, "k string, n int, ts string").coalesce(1).write.json(str(tmp_path / "in"))
+    settings = {"keys": "k", "time_column": "ts", "watermark": "1 hour", "first": True}
+    spec = flow(
+        "s", ("load_stream", {"path": str(tmp_path / "in"), "schema": "k string, n int, ts timestamp"}), ("dedup_stream", settings),
+        ("write_stream", {"path": str(tmp_path / "out"), "checkpoint": str(tmp_path / "cp")}),
+    )
+    run_pipeline(spark, spec)
+    assert [(r.k, r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("a", 2)]
+    assert any("schema" in p for p in check_pipeline(flow("s", ("load_stream", {"path": "x"})))[0])
+
+
+def test_split_csv_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,t\n1,"x\ny"\n2\n')
+    spec = flow("f", ("load_csv", {"path": str(tmp_path / "a.csv"), "split": True}))
+    assert sorted((r.id, r.t) for r in run_pipeline(spark, spec).frame("s0").collect()) == [("1", "x\ny"), ("2", None)]

@@ -126,6 +126,8 @@ def test_chunks(texts):
             assert [r.chunk_index for r in own] == list(range(len(own)))
             assert all(r.source_row_id == i and r.t == text for r in own)
     assert "t" not in ops.chunk_text(df, "t", keep_text=False).columns
+    named = {(r.id, r.source_row_id) for r in ops.chunk_text(df, "t", 3, 1, id_column=None).collect()}
+    assert len(named) == len({i for i, _ in named}) == len({d for _, d in named}) and all(len(d) == 64 for _, d in named)
 
 
 def test_language(texts, column):
