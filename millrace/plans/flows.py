@@ -18,6 +18,7 @@ def flow(name: str, *steps: tuple[str, dict]) -> dict:
 
 IN = ("import_dataset", {"path": "${IN}"})
 
+# The names, steps and parameters of the published templates.
 FLOWS = {
     f["name"]: f
     for f in (

@@ -200,15 +200,15 @@ def t13(spark, sf_dir):
     return scored.select("doc_id", F.round("sentiment", 6).alias("sentiment"))
 
 
-@query(
-    "t14_embed",
-    f"""
+HASHED_COUNTS = f"""
     SELECT doc_id, place, CAST(sum(sign) AS BIGINT) AS value FROM (
         SELECT doc_id, CAST('0x' || substr(m, 1, 8) AS BIGINT) % 384 AS place, CASE WHEN substr(m, 9, 1) >= '8' THEN -1 ELSE 1 END AS sign
         FROM (SELECT doc_id, md5(unnest({sql_words('lower(text)')})) AS m FROM documents))
     GROUP BY doc_id, place HAVING sum(sign) <> 0
-    """,
-)
+    """
+
+
+@query("t14_embed", HASHED_COUNTS)
 def t14(spark, sf_dir):
     vectors = ops.embed_text(_documents(spark, sf_dir), "text", 384, unit_length=False)
     # The outer form: the plain one infers a filter that would compute every vector twice.
@@ -216,11 +216,15 @@ def t14(spark, sf_dir):
     return entries.where("value <> 0").select("doc_id", F.col("place").cast("bigint").alias("place"), F.col("value").cast("bigint").alias("value"))
 
 
-@query("t14_embed_unit")
+@query("t14_embed_unit", HASHED_COUNTS)
 def t14_unit(spark, sf_dir):
-    return ops.embed_text(_documents(spark, sf_dir), "text", 384).select(
-        "doc_id", F.size("embedding").alias("dim"), F.col("embedding")[0].alias("first")
-    )
+    """The unit vectors, stretched by the length of the counts again: every component is a whole number then."""
+    counted = ops.embed_text(_documents(spark, sf_dir), "text", 384, "counts", unit_length=False)
+    both = ops.embed_text(counted, "text", 384, "unit")
+    length = F.sqrt(F.aggregate("counts", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double")))
+    entries = both.select("doc_id", length.alias("length"), F.posexplode_outer("unit").alias("place", "part"))
+    value = F.round(F.col("part").cast("double") * F.col("length")).cast("bigint")
+    return entries.select("doc_id", F.col("place").cast("bigint").alias("place"), value.alias("value")).where("value <> 0")
 
 
 @query("t15_hash_key", "SELECT doc_id, sha256(text) AS hash_key FROM documents")
