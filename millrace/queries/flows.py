@@ -122,10 +122,10 @@ def g5(spark, sf_dir):
     return _run(spark, "finetune", table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
-@query("g6_rag", chunk_sql(f"SELECT page_id AS doc_id, nfc_normalize({_html('html')}) AS text FROM pages", 500, 50))
+@query("g6_rag", chunk_sql(f"SELECT page_id AS doc_id, nfc_normalize({_html('html')}) AS text FROM pages", 500, 50, keep_text=True))
 def g6(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
-    return _run(spark, "rag", pages).drop("text")
+    return _run(spark, "rag", pages)
 
 
 @query(

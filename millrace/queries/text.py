@@ -147,16 +147,16 @@ def t10(spark, sf_dir):
     return tokens.select("doc_id", F.size("text_tokens").cast("bigint").alias("n"), F.array_join("text_tokens", "|").alias("sentences"))
 
 
-def chunk_sql(source: str, size: int, overlap: int) -> str:
+def chunk_sql(source: str, size: int, overlap: int, keep_text: bool = False) -> str:
     """Windows of words over a relation with doc_id and text."""
     step = size - overlap
     return f"""
     SELECT doc_id, chunk_index, array_to_string(w[chunk_index * {step} + 1 : chunk_index * {step} + {size}], ' ') AS chunk_text,
-        doc_id AS source_row_id
+        doc_id AS source_row_id{", text" if keep_text else ""}
     FROM (
-        SELECT doc_id, w, unnest(range(0, least((len(w) - 1) // {step}, CASE WHEN len(w) < {size} THEN 0
+        SELECT doc_id, text, w, unnest(range(0, least((len(w) - 1) // {step}, CASE WHEN len(w) < {size} THEN 0
             ELSE (len(w) - {size}) // {step} + 1 END) + 1)) AS chunk_index
-        FROM (SELECT doc_id, {sql_words('text')} AS w FROM ({source})) WHERE len(w) > 0)
+        FROM (SELECT doc_id, text, {sql_words('text')} AS w FROM ({source})) WHERE len(w) > 0)
     """
 
 
