@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import written
 from .common import arrow_map, extended, parallelism
-from .components import components
+from ..operators.components import components
 from .simhash_tiles import Forest
 
 #: Hash tables, neighbouring cells probed in each, and the length that one lattice unit stands for.

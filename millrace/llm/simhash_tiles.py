@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import written
-from .common import arrow_map, extended, parallelism, slices, text_bytes
-from .components import components
+from .common import arrow_map, extended, fresh, parallelism, slices, text_bytes
+from ..operators.components import components
 
 SEED = 42
 #: Fingerprints in a tile: 512 KiB of 64-bit words.
@@ -82,14 +82,18 @@ def fingerprints(docs: DataFrame, text: str, width: int, lanes: int, keep: list[
     return arrow_map(docs.select(*dict.fromkeys([*keep, text])), run, schema)
 
 
-def _pack(lanes: int, tile_rows: int):
-    """Sorted fingerprints to tiles: the words and the nodes of up to ``tile_rows`` rows of equal population count."""
+def _pack(lanes: int, tile_rows: int, radius: int, total: int):
+    """Sorted fingerprints to tiles: the words, nodes and roots of up to ``tile_rows`` rows of equal population count.
+
+    The root of a row is the first row of the tile that it is joined with by links inside the tile.
+    """
 
     def tile(number: int, rows: list[tuple[bytes, int]], ones: int) -> list:
         fps = np.frombuffer(b"".join(r[0] for r in rows), ">u8").astype(np.uint64).reshape(-1, lanes)
         order = np.lexsort(quarters(fps[:, 0]).T[::-1])
-        nodes = np.array([r[1] for r in rows], np.int64)[order]
-        return [number, ones, len(rows), fps[order].tobytes(), nodes.tobytes()]
+        fps, nodes = fps[order], np.array([r[1] for r in rows], np.int64)[order]
+        roots = linked(fps, fps, True, radius, total, Forest(len(fps))).label
+        return [number, ones, len(rows), fps.tobytes(), nodes.tobytes(), roots.astype(np.int64).tobytes()]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, rows, ones = TaskContext.get().partitionId() << 32, [], -1
@@ -109,15 +113,16 @@ def _pack(lanes: int, tile_rows: int):
     return run
 
 
-TILE = ["tile", "ones", "rows", "fps", "nodes"]
-ARROW_TILE = pa.schema(list(zip(TILE, [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()], strict=True)))
+TILE = ["tile", "ones", "rows", "fps", "nodes", "roots"]
+ARROW_TILE = pa.schema(list(zip(TILE, [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()], strict=True)))
+TILE_DDL = "tile bigint, ones int, rows bigint, fps binary, nodes binary, roots binary"
 
 
 class Forest:
     """Union by smallest index over numbered nodes, many links at a time."""
 
-    def __init__(self, size: int):
-        self.label = np.arange(size)
+    def __init__(self, size: int, label: np.ndarray | None = None):
+        self.label = np.arange(size) if label is None else label.copy()
 
     def link(self, i: np.ndarray, j: np.ndarray) -> None:
         while len(i):
@@ -136,13 +141,13 @@ def _boxes(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.minimum.reduceat(q, cuts, axis=0), np.maximum.reduceat(q, cuts, axis=0)
 
 
-def linked(a: np.ndarray, b: np.ndarray, same: bool, radius: int, total: int) -> Forest:
-    """The forest over the rows of tile ``a`` followed by those of ``b`` (``a`` alone if they are the same).
+def linked(a: np.ndarray, b: np.ndarray, same: bool, radius: int, total: int, forest: Forest) -> Forest:
+    """Links the rows of tile ``a``, numbered first in the forest, with those of ``b`` (``a`` with itself if they are the same).
 
     Strips of rows are compared whole, unless the population counts of their quarters already differ by more
     than the radius in sum, which no pair within the radius can do.
     """
-    forest, shift = Forest(len(a) + (0 if same else len(b))), 0 if same else len(a)
+    shift = 0 if same else len(a)
     (low_a, high_a), (low_b, high_b) = _boxes(a), _boxes(b)
     first = np.ascontiguousarray(b[:, 0])
     for k in range(len(low_a)):
@@ -166,55 +171,88 @@ def linked(a: np.ndarray, b: np.ndarray, same: bool, radius: int, total: int) ->
     return forest
 
 
+class Joined:
+    """Nodes that the links of a task have joined so far: what earlier links imply is left out."""
+
+    def __init__(self):
+        self.above: dict[int, int] = {}
+
+    def root(self, node: int) -> int:
+        above = self.above
+        while (parent := above.get(node, node)) != node:
+            above[node] = above.get(parent, parent)
+            node = parent
+        return node
+
+    def links(self, nodes: np.ndarray, roots: np.ndarray, forest: Forest) -> pa.RecordBatch:
+        """New links (a, b) of the roots of two tiles that the forest has joined to others."""
+        own = np.unique(roots)
+        moved = own[forest.label[own] != own]
+        out = []
+        for a, b in zip(nodes[moved].tolist(), nodes[forest.label[moved]].tolist(), strict=True):
+            x, y = self.root(a), self.root(b)
+            if x != y:
+                self.above[max(x, y)] = min(x, y)
+                out.append((a, b))
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
 def _compare(lanes: int, radius: int, total: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        joined = Joined()
         for batch in batches:
             for row in batch.to_pylist():
                 a, b = (np.frombuffer(row[c], np.uint64).reshape(-1, lanes) for c in ("fps_a", "fps_b"))
-                nodes_a, nodes_b = (np.frombuffer(row[c], np.int64) for c in ("nodes_a", "nodes_b"))
-                same = row["a"] == row["b"]
-                forest = linked(a, b, same, radius, total)
-                nodes = nodes_a if same else np.concatenate([nodes_a, nodes_b])
-                moved = np.flatnonzero(forest.label != np.arange(len(nodes)))
-                if len(moved):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(nodes[moved]), pa.array(nodes[forest.label[moved]])], names=["a", "b"]
-                    )
+                nodes = np.frombuffer(row["nodes_a"] + row["nodes_b"], np.int64)
+                roots = np.concatenate([np.frombuffer(row["roots_a"], np.int64), np.frombuffer(row["roots_b"], np.int64) + len(a)])
+                yield joined.links(nodes, roots, linked(a, b, False, radius, total, Forest(len(roots), roots)))
 
     return run
 
 
+def _members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, top) of the rows of tiles that are not roots themselves."""
+    for batch in batches:
+        for row in batch.select(["nodes", "roots"]).to_pylist():
+            nodes, roots = np.frombuffer(row["nodes"], np.int64), np.frombuffer(row["roots"], np.int64)
+            joined = np.flatnonzero(roots != np.arange(len(roots)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[joined]), pa.array(nodes[roots[joined]])], names=["node", "top"])
+
+
 def similar_groups(prints: DataFrame, item: str, radius: int, lanes: int = 1, total: int | None = None, tile_rows: int = TILE_ROWS) -> DataFrame:
     """(fp, component): each distinct fingerprint of ``prints`` (``item``, ``fp``) with the smallest item of its component.
 
     Two fingerprints link if their first words differ in at most ``radius`` bits and, with several lanes, all words
     in at most ``total`` bits. Copies fall together before anything is compared; distinct fingerprints lie in tiles
-    of one population count, and a pair of tiles is read only if the counts differ by at most ``radius``. What a
-    pair of tiles returns is a forest of its links, not the links. Every pair within the radius is compared.
+    of one population count, and a pair of tiles is read only if the counts differ by at most ``radius``. Rows are
+    joined inside their tile first; a task then returns those links between roots of tiles that its earlier ones do not
+    imply, so a family of near copies adds rows as it grows, not pairs. Every pair within the radius is compared.
     """
-    spark = prints.sparkSession
+    spark, total = prints.sparkSession, total if total is not None else radius
     groups = written(
         prints.groupBy("fp").agg(F.min(item).alias("least")).withColumn("node", F.monotonically_increasing_id()), "fingerprints"
     )
     keyed = arrow_map(groups.select("fp", "node"), _keys(lanes), "fp binary, node bigint, ones int, place bigint")
     placed = keyed.repartitionByRange("ones", "place").sortWithinPartitions("ones", "place")
-    tiles = written(arrow_map(placed, _pack(lanes, tile_rows), "tile bigint, ones int, rows bigint, fps binary, nodes binary"), "tiles")
+    tiles = written(arrow_map(placed, _pack(lanes, tile_rows, radius, total), TILE_DDL), "tiles")
     meta = tiles.select("tile", "ones", "rows")
     left = meta.select(F.col("tile").alias("a"), F.col("rows").alias("n"), F.col("ones").alias("p")).withColumn(
         "ones", F.explode(F.sequence("p", F.col("p") + radius))
     )
-    pairs = left.join(meta, "ones").where("p < ones or a <= tile").select("a", F.col("tile").alias("b"), "n", "rows")
+    pairs = left.join(meta, "ones").where("p < ones or a < tile").select("a", F.col("tile").alias("b"), "n", "rows")
     work = pairs.agg(F.sum(F.col("n") * F.col("rows"))).first()[0] or 0
     tasks = max(parallelism(spark), work // TASK_PAIRS + 1)
+    heavy = ["fps", "nodes", "roots"]
     full = (
         pairs.select("a", "b")
-        .join(tiles.select(F.col("tile").alias("a"), F.col("fps").alias("fps_a"), F.col("nodes").alias("nodes_a")), "a")
-        .join(tiles.select(F.col("tile").alias("b"), F.col("fps").alias("fps_b"), F.col("nodes").alias("nodes_b")), "b")
+        .join(tiles.select(F.col("tile").alias("a"), *[F.col(c).alias(f"{c}_a") for c in heavy]), "a")
+        .join(tiles.select(F.col("tile").alias("b"), *[F.col(c).alias(f"{c}_b") for c in heavy]), "b")
         .repartition(tasks, "a", "b")
     )
-    links = arrow_map(full, _compare(lanes, radius, total if total is not None else radius), "a bigint, b bigint")
-    found = components(links)
-    named = groups.join(found, "node", "left").select("fp", "least", F.coalesce("component", "node").alias("root"))
+    found = components(arrow_map(full, _compare(lanes, radius, total), "a bigint, b bigint"))
+    inside = arrow_map(tiles.select("nodes", "roots"), _members, "node bigint, top bigint")
+    topped = groups.join(inside, "node", "left").withColumn("node", F.coalesce("top", "node")).drop("top")
+    named = topped.join(found, "node", "left").select("fp", "least", F.coalesce("component", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component"))
     return named.join(least, "root").select("fp", "component")
 
@@ -248,19 +286,35 @@ def near_duplicates(docs: DataFrame, item: str = "doc_id", text: str = "text", w
 
 #: A pair of near copies has a Jaccard similarity of at least LEAST[0] / LEAST[1].
 LEAST = 4, 5
-#: Bits of 256, and of the first 64, within which a pair is a candidate. A pair at the threshold differs in 39 bits,
-#: give or take 6, and in 10 of 64, give or take 3; of very few shingles (4 of 5) in 48 and 12.
-STAGE_LANES, STAGE_TOTAL, STAGE_RADIUS = 4, 64, 21
+#: Bits of 256 within which a pair is compared by its shingles. A pair at the threshold differs in 39 bits, give or
+#: take 6; of very few shingles (4 of 5) in 48.
+STAGE_LANES, STAGE_TOTAL = 4, 64
+#: Bands of least mixed shingle hashes. A pair at the threshold shares one in all but 2 of 10,000 cases.
+BANDS, BAND_ROWS = 16, 4
 #: Members and bytes of shingles in a tile of a crowd.
 CROWD_ROWS, CROWD_BYTES = 256, 1 << 22
 #: Rounds in which the members of a crowd of several tiles are compared with one of them first.
 STARS = 3
 
+_HEAVY = ["label", "fps", "nodes", "roots", "sizes", "sets"]
 CROWD_TILE = pa.schema(
     [("tile", pa.int64()), ("crowd", pa.int64()), ("label", pa.int64())]
-    + [(c, pa.binary()) for c in ("fps", "nodes", "sizes", "sets")]
+    + [(c, pa.binary()) for c in ("fps", "nodes", "roots", "sizes", "sets")]
 )
-CROWD_DDL = "tile bigint, crowd bigint, label bigint, fps binary, nodes binary, sizes binary, sets binary"
+CROWD_DDL = "tile bigint, crowd bigint, label bigint, fps binary, nodes binary, roots binary, sizes binary, sets binary"
+#: Odd factors, one for each mixed hash.
+_FACTORS = np.array([xxhash.xxh64_intdigest(f"band {i}", SEED) | 1 for i in range(BANDS * BAND_ROWS)], np.uint64)
+
+
+def bands(shingles: np.ndarray) -> list[int]:
+    """A number for each band of the set: equal for sets whose least shingles by each of its mixed hashes are the same."""
+    if not len(shingles):
+        return [0] * BANDS
+    mixed, least = shingles ^ (shingles >> np.uint64(32)), np.full(len(_FACTORS), 2**64 - 1, np.uint64)
+    for at in range(0, len(mixed), 4096):
+        np.minimum(least, (mixed[at : at + 4096, None] * _FACTORS).min(axis=0), out=least)
+    digest = xxhash.xxh3_64_intdigest
+    return [digest(row.tobytes(), i) - 2**63 for i, row in enumerate(least.reshape(BANDS, BAND_ROWS))]
 
 
 def shingle_set(text: bytes) -> np.ndarray:
@@ -276,18 +330,19 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return LEAST[1] * common >= LEAST[0] * (len(a) + len(b) - common)
 
 
-def _marks(text: str, fp: str, digest: str):
-    """Each row with the fingerprint and a digest of its set of shingles."""
+def _marks(text: str, fp: str, digest: str, keys: str):
+    """Each row with the fingerprint, a digest and the bands of its set of shingles."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            prints, digests = [], []
+            prints, digests, banded = [], [], []
             for t in text_bytes(batch.column(text)):
                 shingles = shingle_set(t)
                 prints.append(fingerprint(shingles, STAGE_LANES).byteswap().tobytes())
                 digests.append(xxhash.xxh3_128_digest(shingles.tobytes()))
-            columns = [*batch.columns, pa.array(prints, pa.binary()), pa.array(digests, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, fp, digest])
+                banded.append(bands(shingles))
+            columns = [*batch.columns, pa.array(prints, pa.binary()), pa.array(digests, pa.binary()), pa.array(banded, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, fp, digest, keys])
 
     return run
 
@@ -307,15 +362,17 @@ def _stars(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _crowd_tiles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members sorted by crowd and label to tiles of one crowd and label."""
+    """Members sorted by crowd and label to tiles of one crowd and label, joined inside."""
     number, rows, key, held = TaskContext.get().partitionId() << 32, [], None, 0
 
     def tile() -> pa.RecordBatch:
         nodes, prints, sets = zip(*rows, strict=True)
         sizes = np.array([len(x) // 8 for x in sets], np.int64)
         fps = np.frombuffer(b"".join(prints), ">u8").astype(np.uint64)
-        values = [number, *key, fps.tobytes(), np.array(nodes, np.int64).tobytes(), sizes.tobytes(), b"".join(sets)]
-        return pa.RecordBatch.from_pylist([dict(zip(CROWD_TILE.names, values, strict=True))], schema=CROWD_TILE)
+        made = dict(zip(CROWD_TILE.names, [number, *key, fps.tobytes(), np.array(nodes, np.int64).tobytes(), b"", sizes.tobytes(), b"".join(sets)], strict=True))
+        # The members of a labelled tile are joined by their star.
+        roots = np.zeros(len(rows), np.int64) if key[1] >= 0 else alike_forest(made, None).label
+        return pa.RecordBatch.from_pylist([made | {"roots": roots.astype(np.int64).tobytes()}], schema=CROWD_TILE)
 
     for batch in slices(batches):
         for crowd, label, *row in zip(*(batch.column(c).to_pylist() for c in ("crowd", "label", "node", "fp", "shingles")), strict=True):
@@ -328,66 +385,60 @@ def _crowd_tiles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield tile()
 
 
-def alike_links(a: dict, b: dict | None) -> pa.RecordBatch:
-    """A forest of the links between the members of two tiles, or within ``a``. Pairs that are joined already are not compared."""
+def alike_forest(a: dict, b: dict | None) -> Forest:
+    """Links of the members of two tiles, over their roots, or within ``a``. Pairs that are joined already are not compared."""
 
     def parts(tile):
         sizes = np.frombuffer(tile["sizes"], np.int64)
         sets = np.split(np.frombuffer(tile["sets"], np.uint64), np.cumsum(sizes)[:-1])
-        return np.frombuffer(tile["fps"], np.uint64).reshape(-1, STAGE_LANES), np.frombuffer(tile["nodes"], np.int64), sizes, sets
+        return np.frombuffer(tile["fps"], np.uint64).reshape(-1, STAGE_LANES), sizes, sets
 
     left = parts(a)
     right, shift = (left, 0) if b is None else (parts(b), len(left[1]))
-    nodes = left[1] if b is None else np.concatenate([left[1], right[1]])
-    forest = Forest(len(nodes))
-    if b is not None:
-        # The members of a labelled tile are joined by their star.
-        if a["label"] >= 0:
-            forest.label[:shift] = 0
-        if b["label"] >= 0:
-            forest.label[shift:] = shift
-    for i, (print_, size, shingles) in enumerate(zip(left[0], left[2], left[3], strict=True)):
+    forest = Forest(len(left[1])) if b is None else Forest(shift + len(right[1]), tile_roots(a, b))
+    for i, (print_, size, shingles) in enumerate(zip(*left, strict=True)):
         open_ = forest.label[shift:] != forest.label[i]
         if b is None:
             open_[: i + 1] = False
-        open_ &= LEAST[1] * np.minimum(size, right[2]) >= LEAST[0] * np.maximum(size, right[2])
+        open_ &= LEAST[1] * np.minimum(size, right[1]) >= LEAST[0] * np.maximum(size, right[1])
         others = np.flatnonzero(open_)
         others = others[np.bitwise_count(right[0][others] ^ print_).sum(axis=1, dtype=np.int64) <= STAGE_TOTAL]
-        hit = np.array([j for j in others if alike(shingles, right[3][j])], np.int64)
+        hit = np.array([j for j in others if alike(shingles, right[2][j])], np.int64)
         forest.link(np.full(len(hit), i), hit + shift)
-    moved = np.flatnonzero(forest.label != np.arange(len(nodes)))
-    return pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[forest.label[moved]])], names=["a", "b"])
+    return forest
 
 
-def _within(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            yield alike_links(batch.slice(i, 1).to_pylist()[0], None)
+def tile_roots(a: dict, b: dict) -> np.ndarray:
+    first = np.frombuffer(a["roots"], np.int64)
+    return np.concatenate([first, np.frombuffer(b["roots"], np.int64) + len(first)])
 
 
 def _across(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    joined = Joined()
     for batch in batches:
         for i in range(batch.num_rows):
             row = batch.slice(i, 1).to_pylist()[0]
-            yield alike_links(*({c: row[f"{c}_{side}"] for c in ("label", "fps", "nodes", "sizes", "sets")} for side in "ab"))
+            a, b = ({c: row[f"{c}_{side}"] for c in _HEAVY} for side in "ab")
+            yield joined.links(np.frombuffer(a["nodes"] + b["nodes"], np.int64), tile_roots(a, b), alike_forest(a, b))
 
 
 def verified_links(members: DataFrame) -> DataFrame:
-    """Links (a, b) that join the ``members`` (node, crowd, n, fp, shingles) of a crowd as all its pairs of candidates do
-    that have the least similarity. ``n`` is the size of the crowd.
+    """Links (a, b) that join the ``members`` (node, crowd, n, fp, shingles) of a crowd as all its pairs within
+    ``STAGE_TOTAL`` bits do that have the least similarity. ``n`` is the size of the crowd.
 
     A crowd of several tiles is compared with one of its members first: what is alike to it is joined. After some such
-    rounds every pair of tiles is compared, except those of one star, so no pair is left out and a crowd of copies of
-    one text costs its size only.
+    rounds members are joined inside tiles, and every pair of tiles is compared, except those of one star; it returns
+    links between the roots of the tiles. So no pair is left out, a crowd of copies of one text costs its size only,
+    and links are as many as members.
     """
     large = members.where(F.col("n") > CROWD_ROWS)
     stars = members.sparkSession.createDataFrame([], "node bigint, star bigint")
     for _ in range(0 if large.isEmpty() else STARS):
         rest = large.join(stars, "node", "left_anti").select("node", "crowd", "shingles")
         star = rest.groupBy("crowd").agg(F.min("node").alias("star"))
-        star = star.join(rest.select(F.col("node").alias("star"), F.col("shingles").alias("star_shingles")), "star")
-        # One row for each crowd of several tiles.
-        met = rest.join(F.broadcast(star), "crowd").select("node", "shingles", "star", "star_shingles")
+        # One row for each crowd of several tiles, in a table whose size Spark sees.
+        star = written(star.join(rest.select(F.col("node").alias("star"), F.col("shingles").alias("star_shingles")), "star"), "star")
+        met = rest.join(star, "crowd").select("node", "shingles", "star", "star_shingles")
         stars = written(stars.union(arrow_map(met, _stars, "node bigint, star bigint")), "stars")
     labelled = members.join(stars.withColumnRenamed("star", "label"), "node", "left").withColumn("label", F.coalesce("label", F.lit(-1)))
     keys = ["crowd", "label", "node"]
@@ -400,39 +451,52 @@ def verified_links(members: DataFrame) -> DataFrame:
         .where("a < b and (label_a <> label_b or label_a < 0)")
         .select("a", "b")
     )
-    heavy = ["label", "fps", "nodes", "sizes", "sets"]
     full = (
-        pairs.join(tiles.select(F.col("tile").alias("a"), *[F.col(c).alias(f"{c}_a") for c in heavy]), "a")
-        .join(tiles.select(F.col("tile").alias("b"), *[F.col(c).alias(f"{c}_b") for c in heavy]), "b")
+        pairs.join(tiles.select(F.col("tile").alias("a"), *[F.col(c).alias(f"{c}_a") for c in _HEAVY]), "a")
+        .join(tiles.select(F.col("tile").alias("b"), *[F.col(c).alias(f"{c}_b") for c in _HEAVY]), "b")
         .repartition(parallelism(members.sparkSession), "a", "b")
     )
-    links = arrow_map(tiles.where("label < 0"), _within, "a bigint, b bigint").union(arrow_map(full, _across, "a bigint, b bigint"))
-    return links.union(stars.select(F.col("node").alias("a"), F.col("star").alias("b")))
+    inside = arrow_map(tiles.where("label < 0").select("nodes", "roots"), _members, "node bigint, top bigint").toDF("a", "b")
+    return arrow_map(full, _across, "a bigint, b bigint").union(inside).union(stars.select(F.col("node").alias("a"), F.col("star").alias("b")))
+
+
+def crowds(sets: DataFrame) -> DataFrame:
+    """(node, crowd) of the ``sets`` (node, bands) that share a band with another one, directly or through others.
+
+    The first set of each band stands for it, so a band that many share is as many links as members.
+    """
+    banded = written(sets.select("node", F.explode("bands").alias("band")), "bands")
+    first = banded.groupBy("band").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n"))
+    first = written(first.where("n > 1").select("band", "first"), "firsts")
+    links = banded.join(first, "band").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    return components(links.distinct()).withColumnRenamed("component", "crowd")
 
 
 def deduplicate(docs: DataFrame, item: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` without near copies: of each component the row with the smallest item stays.
 
-    Two rows link if the Jaccard similarity of their sets of five-word shingles is 0.8 or more. Candidates are found
-    by fingerprints of 256 bits over the distinct shingles: a similarity of 0.8 is a cosine of 0.89 or more, an angle
-    of 27 degrees and 39 bits, give or take 6; unrelated texts differ in 128 bits, give or take 8. Candidates are
-    compared by their shingles before they link. Texts without words are copies of each other. Of rows that share
-    the item too, one stays.
+    Two rows link if the Jaccard similarity of their sets of five-word shingles is 0.8 or more. Bands of least hashes
+    put sets that may be so alike into crowds; inside a crowd tiles of fingerprints of 256 bits are compared by
+    exclusive-or: a similarity of 0.8 is a cosine of 0.89 or more, an angle of 27 degrees and 39 bits, give or take 6,
+    while unrelated texts differ in 128 bits, give or take 8. Pairs that pass are compared by their shingles before they
+    link. Texts without words, null ones too, are copies of each other. Of rows that share the item too, one stays; rows
+    with a null item come last. All columns come back as they are, whatever their names; an empty table gives no rows.
     """
-    row, fp, digest = "_llm_row", "_llm_fp", "_llm_digest"
+    row, fp, digest, keys = fresh(docs, "row", "fp", "digest", "bands")
     marked = docs.withColumn(row, F.monotonically_increasing_id())
-    full = written(arrow_map(marked, _marks(text, fp, digest), extended(marked.schema, f"{fp} binary, {digest} binary")), "marked")
+    schema = extended(marked.schema, f"{fp} binary, {digest} binary, {keys} array<bigint>")
+    full = written(arrow_map(marked, _marks(text, fp, digest, keys), schema), "marked")
     # Rows are ranked by item, null last, then by row number.
     rank = F.struct(F.col(item).isNull().alias("n"), F.col(item).alias("i"), F.col(row).alias("r"))
-    prints = full.select(F.col(fp).alias("fp"), F.col(digest).alias("digest"), rank.alias("rank"))
-    sets = written(prints.groupBy("fp", "digest").agg(F.min("rank").alias("rank")), "sets")
-    groups = similar_groups(sets, "rank", STAGE_RADIUS, STAGE_LANES, STAGE_TOTAL)
-    placed = written(sets.join(groups, "fp").select("fp", "rank", F.col("rank.r").alias("node"), F.col("component.r").alias("crowd")), "placed")
-    crowds = placed.groupBy("crowd").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    some = placed.join(crowds, "crowd").select("node", "crowd", "n", "fp")
+    prints = full.select(F.col(fp).alias("fp"), F.col(digest).alias("digest"), F.col(keys).alias("bands"), rank.alias("rank"))
+    sets = prints.groupBy("fp", "digest", "bands").agg(F.min("rank").alias("rank"))
+    sets = written(sets.select("fp", "bands", "rank", F.col("rank.r").alias("node")), "sets")
+    placed = written(sets.select("node", "fp").join(crowds(sets), "node"), "placed")
+    sizes = placed.groupBy("crowd").agg(F.count(F.lit(1)).alias("n"))
+    some = placed.join(sizes, "crowd").select("node", "crowd", "n", "fp")
     texts = full.select(F.col(row).alias("node"), F.col(text).alias("text")).join(some, "node")
     members = written(arrow_map(texts, _sets, "node bigint, crowd bigint, n bigint, fp binary, shingles binary"), "members")
     found = components(verified_links(members))
-    named = placed.join(found, "node", "left").select("rank", F.coalesce("component", "node").alias("root"))
+    named = sets.select("node", "rank").join(found, "node", "left").select("rank", F.coalesce("component", "node").alias("root"))
     keep = named.groupBy("root").agg(F.min("rank").alias("least")).select(F.col("least.r").alias(row))
-    return full.join(keep, row, "left_semi").select(*docs.columns)
+    return full.join(keep, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from millrace.llm import bit_slices, histogram_sort, lattice_dedup, mixture_packing, simhash_tiles
-from millrace.llm.components import components
+from millrace.operators.components import components
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 
@@ -97,6 +97,11 @@ def test_top_products(spark):
         for q in [i for i in good if i % 20 == 0]:
             best = sorted((-int(good[q] @ v), i) for i, v in good.items() if i != q)[:10]
             assert sorted(got[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    # A repeated row is a candidate each time, and one query.
+    twice = df.union(df.where("vec_id in (0, 20, 21)"))
+    for r in bit_slices.top_products(twice, F.col("vec_id") == 20, 5, index_rows=70).collect():
+        best = sorted((-int(good[20] @ v), i) for i, v in good.items() if i != 20 for _ in range(1 + (i in (0, 21))))[:5]
+        assert (-r["score"], r["vec_id"]) == best[r["rank"] - 1]
     few = df.where("vec_id in (0, 3, 4)")
     assert bit_slices.top_products(few, F.col("vec_id") == 0).count() == 2
     assert bit_slices.top_products(df.limit(0), F.col("vec_id") == 0).count() == 0
@@ -201,6 +206,32 @@ def test_stage_against_brute_force(spark, monkeypatch):
         assert {r[0] for r in simhash_tiles.deduplicate(df).select("doc_id").collect()} == want
 
 
+def family(n, start=0):
+    """Fingerprints within two bits of each other: one bit of 64 on top of a common word, and pairs of bits."""
+    bits = [1 << i for i in range(64)] + [(1 << i) | (1 << j) for i in range(64) for j in range(i)]
+    return [(start + k, bytearray((0x0F0F0F0F0F0F0F0F ^ b).to_bytes(8, "big"))) for k, b in enumerate(bits[:n])]
+
+
+def test_links_grow_with_a_family_not_with_its_square(spark, monkeypatch):
+    counts = []
+    original = simhash_tiles.components
+    monkeypatch.setattr(simhash_tiles, "components", lambda links: original(counts.append(links.count()) or links))
+    for n in (400, 800, 1600):
+        prints = spark.createDataFrame(family(n), "item bigint, fp binary")
+        found = {r["component"] for r in simhash_tiles.similar_groups(prints, "item", 4, tile_rows=32).collect()}
+        assert found == {0}
+    assert counts[1] <= 2.5 * counts[0] and counts[2] <= 2.5 * counts[1] and counts[2] < 3 * 1600, counts
+
+
+def test_stage_keeps_columns_of_any_name(spark, hard_docs, no_docs):
+    names = ["row", "_row", "digest", "bands", "node", "rank"]
+    docs = hard_docs.select("*", *[F.lit(n).alias(n) for n in names])
+    kept = simhash_tiles.deduplicate(docs)
+    assert kept.columns == docs.columns and {tuple(r) for r in kept.select(*names).collect()} == {tuple(names)}
+    assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in simhash_tiles.deduplicate(hard_docs).collect()}
+    assert simhash_tiles.deduplicate(no_docs).count() == 0
+
+
 def test_histogram_sort(spark, hard_docs, no_docs):
     found = histogram_sort.shard_documents(hard_docs).collect()
     texts = {r["doc_id"]: (r["text"] or "").encode() for r in hard_docs.collect()}
