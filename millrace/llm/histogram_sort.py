@@ -102,7 +102,8 @@ def histogram_sort(
 def shard_documents(docs: DataFrame, item: str = "doc_id", text: str = "text", shards: int = 8) -> DataFrame:
     """(item, size, text_crc32, shard, slot) of documents in shards of near equal bytes, equal texts side by side.
 
-    The size is the UTF-8 bytes of the text plus 1. A null text is an empty one, with the CRC32 of no bytes. Rows that
+    The law is that of sizes: a group of equal texts that lies across a splitter is cut there. The size is the UTF-8
+    bytes of the text plus 1. A null text is an empty one, with the CRC32 of no bytes. Rows that
     agree in item and text share a shard. Other columns are ignored, so none can clash.
     """
     whole = F.coalesce(F.col(text), F.lit(""))

@@ -21,7 +21,7 @@ from .common import Remembered, arrow_map, extended, slices, text_strings
 WINDOW = 4096
 END_ID = 2
 #: Parts and words that a task keeps the ids of, once and again.
-CACHE_PARTS = 300_000
+CACHE_PARTS = 200_000
 
 
 _LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", re.escape("!\"#$%&()*+,-./:;=?@[\\]^_`{|}~")
@@ -95,7 +95,7 @@ def _encode(path: str, item: str, text: str, source: str, end_id: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, starts = WordEncoder(path), TaskContext.get().partitionId(), {}
-        for batch in slices(batches):
+        for batch in slices(batches, 256):
             ids = [x + end for x in encoder.encode(text_strings(batch.column(text)))]
             queues = ["none" if s is None else f"is {s}" for s in batch.column(source).to_pylist()]
             local = []

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import written
-from .common import arrow_map, blocks, extended, text_strings
+from .common import arrow_map, blocks, extended, slices, text_strings
 
 UNKNOWN = "und"
 #: Documents that a model is fitted on, about, and the least of a language: a hash of text and id picks that share of
@@ -23,7 +23,7 @@ FIT_DOCUMENTS, FIT_LEAST = 4000, 50
 ROUNDS, PRIOR = 3, 0.1
 #: Probability of a character that no piece covers, the same for every language.
 STRAY = 1e-7
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 #: Places after which sums are rescaled.
 RESCALE = 16
 
@@ -284,7 +284,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, item: str = "doc_id",
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model) if model else None
-        for batch in batches:
+        for batch in slices(batches, 512):
             found = _scores(model, text_strings(batch.column(text)), scorer)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(item), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
@@ -299,7 +299,7 @@ def accept(docs: DataFrame, model: LanguageModel | None, at_least: float = 0.5,
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model) if model else None
-        for batch in batches:
+        for batch in slices(batches, 512):
             found = _scores(model, text_strings(batch.column(text)), scorer)
             yield batch.filter(pa.array([lang != UNKNOWN and score >= at_least for lang, score in found], pa.bool_()))
 

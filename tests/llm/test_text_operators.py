@@ -260,6 +260,45 @@ def test_notices(spark, hard_docs, no_docs):
     assert notice_search.scan_notices(no_docs).count() == 0
 
 
+def test_notices_equal_a_plain_search(spark):
+    """Base phrases by a plain walk over the words of random texts."""
+    import random
+
+    rng = random.Random(12)
+    pool = ["cc", "by", "CC", "By", "general", "public", "license", "GENERAL", "all", "rights", "reserved", "Reserved", "x1", "é", "MIT", "licensed", "under", "the"]
+    gaps = [" ", "  ", "-", ", ", "\n", "/", "_", ".", " _ "]
+    texts = ["".join(rng.choice(pool) + rng.choice(gaps) for _ in range(rng.randint(0, 40))) for _ in range(400)]
+    phrases = {("cc", "by"): "cc-by", ("general", "public", "license"): "gpl", ("all", "rights", "reserved"): "reserved"}
+    found = {r["doc_id"]: r for r in notice_search.scan_notices(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    for i, text in enumerate(texts):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
+        places = [(at, label) for phrase, label in phrases.items() for at in range(len(words)) if tuple(words[at : at + len(phrase)]) == phrase]
+        r, starts, labels = found[i], [at for at, _ in places], sorted({label for _, label in places})
+        assert (r["n_words"], r["n_base"], r["base_labels"]) == (len(words), len(places), ",".join(labels)), text
+        assert (r["first_word"], r["last_word"]) == ((min(starts), max(starts)) if starts else (None, None))
+        assert set(labels) <= set(filter(None, r["labels"].split(","))) and 0 <= r["score"] <= 1
+
+
+def test_toxicity_features_equal_a_plain_count():
+    import random
+
+    rng, lexicon = random.Random(3), {"moron": 5.0, "scum": 2.5, "idiot": 4.0}
+    pool = ["the", "You", "your", "MORON", "scum", "id1ot", "$cum", "idiot", "walk!!", "aaa", "42", "über", "ÄÖ"]
+    named = lambda t: dict(zip(boosted_toxicity.FEATURES, boosted_toxicity.features(t, lexicon), strict=True))
+    for _ in range(300):
+        text = " ".join(rng.choice(pool) for _ in range(rng.randint(1, 30)))
+        words = re.findall(r"[^\W\d_]+", text.lower())
+        n, got = max(len(words), 1), named(text)
+        hits = [i for i, w in enumerate(words) if w in lexicon]
+        you = [i for i, w in enumerate(words) if w in ("you", "your")]
+        assert math.isclose(got["words"], math.log(1 + n)) and math.isclose(got["lexicon"], sum(lexicon[words[i]] for i in hits) / n)
+        assert math.isclose(got["near_you"], sum(any(abs(i - y) <= 5 for y in you) for i in hits) / n)
+        assert math.isclose(got["you"], len(you) / n) and math.isclose(got["exclaims"], text.count("!") / len(text))
+        assert math.isclose(got["capitals"], sum(c.isupper() for c in text) / len(text)) and math.isclose(got["digits"], sum(c.isdigit() for c in text) / len(text))
+        disguised = sum({"id1ot": 4.0, "$cum": 2.5}.get(t, 0.0) for t in text.split())
+        assert math.isclose(got["disguised"], disguised / n)
+
+
 def test_every_edit_within_the_bound_is_found():
     search = notice_search.NoticeSearch({"x": ["released under the mit license"]})
     notice, edits = search.notices[0][1:]
