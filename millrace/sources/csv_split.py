@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from ..scratch import written
 
 QUOTE = '"'
-#: Stands behind the last cell of a record; no text holds it.
+#: Stands behind the last cell of a record. A cell that is just this would be taken for the end.
 END = "\x01\x7f\x01"
 _PIECE = "split bigint, seq bigint, first boolean, opens boolean, whole boolean, value string"
 

@@ -63,7 +63,7 @@ def first_stream(df: DataFrame, keys: str | list[str], time_column: str, waterma
     The earliest row of a key is held until the watermark passes its time: from then on no earlier one can
     come, and it is given out. The key stays in the state until the watermark is ``watermark`` past that time;
     copies that come by then are dropped, and a later one begins anew. So state lasts as long as the watermark
-    asks, and holds one row a key. A stream that ends gives out what its watermark has passed; a row with a
+    asks, and holds one row a key. Rows without a time are left out. A stream that ends gives out what its watermark has passed; a row with a
     late time, of a key of its own, closes it.
     """
     names = as_list(keys)
@@ -76,7 +76,7 @@ def first_stream(df: DataFrame, keys: str | list[str], time_column: str, waterma
         col(time_column).cast("timestamp").alias("at"),
         F.to_json(F.struct(*[col(c) for c in df.columns]), exact).alias("row"),
     )
-    timed = rows.withWatermark("at", watermark).withColumn("micros", F.unix_micros("at"))
+    timed = rows.where("at is not null").withWatermark("at", watermark).withColumn("micros", F.unix_micros("at"))
     delay = pd.Timedelta(watermark) // pd.Timedelta("1ms")
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

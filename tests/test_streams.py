@@ -77,7 +77,7 @@ def test_first_copy_by_event_time(spark, feed, tmp_path):
     stream = feed(
         [("a", 1, 10), ("b", 2, 11)],
         [("a", 3, 5), ("b", 4, 30)],
-        [("a", 5, 40), ("c", 6, 80)],
+        [("a", 5, 40), ("c", 6, 80), ("e", 12, None)],
         [("b", 7, 95), ("c", 8, 81), ("d", 9, 200)],
         [("a", 10, 210), ("a", 11, 205), ("z", 0, 5000)],
         [("z", 0, 9000)],
