@@ -222,7 +222,9 @@ def t14_unit(spark, sf_dir):
     counted = ops.embed_text(_documents(spark, sf_dir), "text", 384, "counts", unit_length=False)
     both = ops.embed_text(counted, "text", 384, "unit")
     length = F.sqrt(F.aggregate("counts", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double")))
-    entries = both.select("doc_id", length.alias("length"), F.posexplode_outer("unit").alias("place", "part"))
+    # A column of its own: beside the explode the sum would run once per component.
+    measured = both.select("doc_id", "unit", length.alias("length"))
+    entries = measured.select("doc_id", "length", F.posexplode_outer("unit").alias("place", "part"))
     value = F.round(F.col("part").cast("double") * F.col("length")).cast("bigint")
     return entries.select("doc_id", F.col("place").cast("bigint").alias("place"), value.alias("value")).where("value <> 0")
 

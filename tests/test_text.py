@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace import operators as ops
 from millrace.functions.regex import NotInJava, to_java_pattern, to_java_replacement
 from millrace.functions.text import DIGIT_BODY, JAVA_SPACE_BODY, SPACE_CHARS, WORD_BODY, is_blank
+from millrace.queries.text import t14_unit
 
 SAMPLES = [
     "  HÉLLO WORLD  ",
@@ -163,3 +164,13 @@ def test_missing_columns(texts):
         ops.lowercase(texts(["a"]), "nope")
     with pytest.raises(ValueError, match="No such column: 'x', 'y'"):
         ops.select_columns(texts(["a"]), ["x", "y"])
+
+
+def test_unit_vectors_are_measured_once(spark, tmp_path):
+    """The length of a vector is a column before its components become rows."""
+    rows = [(1, "a b a"), (2, None), (3, "")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    made = t14_unit(spark, str(tmp_path))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("aggregate(")
+    assert sorted(abs(r.value) for r in made.collect()) == [1, 2]
