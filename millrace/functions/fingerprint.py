@@ -1,7 +1,7 @@
 """Text fingerprints.
 
 Each fingerprint is a function of one text, so it needs no shuffle. Spark hands
-Arrow batches to the tasks and numpy does the counting for a whole batch at once.
+Arrow batches to the tasks and numpy does the counting, for a slice of a batch at a time.
 """
 
 from __future__ import annotations
@@ -11,17 +11,19 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .slices import sliced_udf
+
 # Fixed values of the MinHash family: hash i is (base ^ (i * STEP)) & MASK.
 MINHASH_STEP = 0x45D9F3B
 MINHASH_MASK = 0xFFFFFFFF
 
 # Bounds the memory of a task, not the input: long texts are counted piece by piece.
 PIECE = 1 << 16
-CACHE_LIMIT = 1 << 18
+CACHE_LIMIT = 1 << 16
 
 
 class _Digests:
@@ -46,6 +48,11 @@ def _pieces(rows: np.ndarray) -> Iterator[np.ndarray]:
     return (rows[at : at + PIECE] for at in range(0, len(rows), PIECE))
 
 
+def _lists(rows: np.ndarray) -> pa.Array:
+    """Each row of a matrix as a list."""
+    return pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1], pa.array(rows.ravel()))
+
+
 def simhash(text: Column, variant: str = "token") -> Column:
     """64-bit SimHash as a signed bigint; null and empty text give 0.
 
@@ -55,8 +62,7 @@ def simhash(text: Column, variant: str = "token") -> Column:
     if variant not in ("token", "word"):
         raise ValueError(f"Unknown SimHash variant '{variant}'")
 
-    @F.pandas_udf("bigint")
-    def fingerprint(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def start():
         digests = _Digests()
         half = slice(0, 8) if variant == "token" else slice(8, 16)
         word = re.compile(r"\w+")
@@ -69,14 +75,13 @@ def simhash(text: Column, variant: str = "token") -> Column:
             votes = 2 * sum(np.unpackbits(b, axis=1).sum(axis=0, dtype=np.int64) for b in bits) - len(tokens)
             return votes >= 0 if variant == "token" else votes > 0
 
-        for batch in batches:
-            if len(batch):
-                bits = np.stack([one((value or "").lower()) for value in batch])
-                yield pd.Series(np.packbits(bits, axis=1).view(">i8").ravel().astype(np.int64))
-            else:
-                yield pd.Series([], dtype="int64")
+        def convert(texts: list[str | None]) -> pa.Array:
+            bits = np.stack([one((value or "").lower()) for value in texts])
+            return pa.array(np.packbits(bits, axis=1).view(">i8").ravel().astype(np.int64))
+
+        return convert
 
-    return fingerprint(text)
+    return sliced_udf(text, "bigint", start)
 
 
 def hamming_distance(left: Column, right: Column) -> Column:
@@ -91,8 +96,7 @@ def minhash_signature(text: Column, num_perm: int = 64) -> Column:
     text give the largest value everywhere.
     """
 
-    @F.pandas_udf("array<bigint>")
-    def signature(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def start():
         digests = _Digests()
         steps = ((np.arange(num_perm, dtype=np.uint64) * MINHASH_STEP) & MINHASH_MASK).astype(np.uint32)
 
@@ -106,10 +110,12 @@ def minhash_signature(text: Column, num_perm: int = 64) -> Column:
                     least = np.minimum(least, (steps[:, None] ^ part[None, :]).min(axis=1))
             return least.astype(np.int64)
 
-        for batch in batches:
-            yield pd.Series([one((value or "").lower()) for value in batch], dtype="object")
+        def convert(texts: list[str | None]) -> pa.Array:
+            return _lists(np.stack([one((value or "").lower()) for value in texts]))
 
-    return signature(text)
+        return convert
+
+    return sliced_udf(text, "array<bigint>", start)
 
 
 def signature_agreement(left: Column, right: Column) -> Column:
@@ -136,11 +142,11 @@ def hashed_vector(text: Column, dim: int = 384, unit_length: bool = True) -> Col
     if dim < 1:
         raise ValueError("dim must be positive")
 
-    @F.pandas_udf("array<float>")
-    def vector(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def start():
         digests = _Digests()
-        for batch in batches:
-            tokens = [(value or "").lower().split() for value in batch]
+
+        def convert(texts: list[str | None]) -> pa.Array:
+            tokens = [(value or "").lower().split() for value in texts]
             sizes = np.array([len(t) for t in tokens], dtype=np.int64)
             out = np.zeros((len(tokens), dim), dtype=np.float64)
             if sizes.sum():
@@ -152,6 +158,8 @@ def hashed_vector(text: Column, dim: int = 384, unit_length: bool = True) -> Col
             if unit_length:
                 norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
                 out = np.divide(out, norm, out=out, where=norm > 0)
-            yield pd.Series(list(out.astype(np.float32)))
+            return _lists(out.astype(np.float32))
+
+        return convert
 
-    return vector(text)
+    return sliced_udf(text, "array<float>", start)
