@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
-from pyspark.sql import functions as F
+
+from .slices import sliced_udf
 
 FORMS = ("NFC", "NFD", "NFKC", "NFKD")
 
@@ -15,13 +16,12 @@ def normalize_form(text: Column, form: str = "NFC") -> Column:
     if form not in FORMS:
         raise ValueError(f"Unknown normal form '{form}', expected one of {FORMS}")
 
-    @F.pandas_udf("string")
-    def to_form(batch: pd.Series) -> pd.Series:
+    def start():
         def one(value):
             if value is None or value.isascii() or unicodedata.is_normalized(form, value):
                 return value
             return unicodedata.normalize(form, value)
 
-        return batch.map(one, na_action="ignore")
+        return lambda texts: pa.array([one(value) for value in texts], pa.string())
 
-    return to_form(text)
+    return sliced_udf(text, "string", start)
