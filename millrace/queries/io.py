@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import sources
+from ..functions.slices import text_slices
 from ..scratch import scratch_path
 from .catalog import query, table
 
@@ -52,19 +53,19 @@ def s2(spark, sf_dir):
     return sources.import_dataset(spark, path, format="tsv")
 
 
-def _document(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The JSON records of one task as the lines of one document with a list under "data"."""
     lead = '{"note": "x", "data": ['
     for batch in batches:
-        if len(batch):
-            yield pd.DataFrame({"value": [lead + ",\n".join(batch["value"])]})
+        for part in text_slices(batch.column(0)):
+            yield pa.RecordBatch.from_pydict({"value": [lead + ",\n".join(part.to_pylist())]})
             lead = ","
-    yield pd.DataFrame({"value": ["]}" if lead == "," else lead + "]}"]})
+    yield pa.RecordBatch.from_pydict({"value": ["]}" if lead == "," else lead + "]}"]})
 
 
 def write_documents(df: DataFrame, path: str) -> None:
     """The rows of each task as one JSON document."""
-    df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).mapInPandas(_document, "value string").write.text(path)
+    df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).mapInArrow(_document, "value string").write.text(path)
 
 
 @query("s3_read_json", "SELECT conv_id, turn, role, text FROM conversations")

@@ -2,10 +2,13 @@ import csv
 import json
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from millrace import scratch, sources
+from millrace.functions.slices import SLICE_ROWS
+from millrace.queries.io import _document
 
 HARD = [("1", 'say "hi", you'), ("2", "two\nlines"), ("3", " padded "), ("4", ""), ("5", "NULL"), ("6", "back\\slash"), ("7", "ünï")]
 
@@ -149,3 +152,11 @@ def test_csv_split_tells_short_rows_from_empty_cells(spark, tmp_path):
     assert found == {
         "1": ("", "x"), "2": (None, None), "3": ("", "a\r\nb"), "4": ("y", None), "5": ("1", "2"), "6": ("7", "8"), "9": ('open "cell"\n\n;', ""),
     }
+
+
+def test_document_lines_are_slices():
+    batch = pa.RecordBatch.from_pydict({"value": [json.dumps({"i": i}) for i in range(3 * SLICE_ROWS)]})
+    lines = [v for out in _document(iter([batch, batch.slice(0, 0)])) for v in out.column(0).to_pylist()]
+    assert len(lines) == 4
+    assert [r["i"] for r in json.loads("\n".join(lines))["data"]] == list(range(3 * SLICE_ROWS))
+    assert json.loads("\n".join(v for out in _document(iter([])) for v in out.column(0).to_pylist()))["data"] == []
