@@ -13,7 +13,6 @@ whole dataset in one task: hash prefixes of equal expected size are counted, the
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import isqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -177,6 +176,19 @@ def _below(splits: Column, point: Column) -> Column:
     return F.size(F.filter(splits, lambda s: s < point))
 
 
+def _with_run(rows: DataFrame, splits: DataFrame, value: Column, most: int) -> DataFrame:
+    """Adds ``_run``: how many of the sorted ``splits``, at most ``most``, are less than the value, found by halving.
+
+    Each step is a column of its own: Spark compiles them, and none repeats the steps before it.
+    """
+    found = rows.withColumns({"_splits": splits.scalar(), "_value": value, "_run": F.lit(0)})
+    step = 1 << most.bit_length()
+    while step := step // 2:
+        less = F.get("_splits", F.col("_run") + (step - 1)) < F.col("_value")
+        found = found.withColumn("_run", F.when(less, F.col("_run") + step).otherwise(F.col("_run")))
+    return found.drop("_splits", "_value")
+
+
 def with_position(df: DataFrame, order_by: str | list[str], output_column: str = "position") -> DataFrame:
     """Adds the place of each row in the order of ``order_by``, which must be unique.
 
@@ -189,26 +201,16 @@ def with_position(df: DataFrame, order_by: str | list[str], output_column: str =
     require_columns(df, names)
     point = _point([col(c) for c in names])
     runs = min(MOST_RUNS, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    width = isqrt(runs - 1) + 1
     keys = df.select(point.alias("point"))
     sample = _sample(keys, SAMPLED * runs)
     every = F.greatest(F.lit(1), F.ceil(F.size("splits") / F.lit(runs)))
     picked = sample.select(F.filter("splits", lambda s, i: i % every == every - 1).alias("splits"))
-    coarse = picked.select(F.filter("splits", lambda s, i: i % width == width - 1))
-
-    def with_run(rows: DataFrame, value: Column) -> DataFrame:
-        """Two steps of about the root of the runs each: first the block of splitters, then the place inside it."""
-        given = rows.withColumns({"_splits": picked.scalar(), "_coarse": coarse.scalar()})
-        blocked = given.withColumn("_block", _below(F.col("_coarse"), value) * width)
-        inside = _below(F.slice("_splits", F.col("_block") + 1, F.lit(width - 1)), value)
-        return blocked.withColumn("_run", F.col("_block") + inside).drop("_splits", "_coarse", "_block")
-
-    counts = with_run(keys, F.col("point")).groupBy("_run").agg(F.count(F.lit(1)).alias("_n"))
+    counts = _with_run(keys, picked, F.col("point"), runs).groupBy("_run").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     # One row for each run: MOST_RUNS at most.
     offsets = written(counts.select("_run", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")), "offsets")
     order = [col(c).asc_nulls_last() for c in names]
-    placed = with_run(df, point).withColumn("_place", F.row_number().over(Window.partitionBy("_run").orderBy(*order)))
+    placed = _with_run(df, picked, point, runs).withColumn("_place", F.row_number().over(Window.partitionBy("_run").orderBy(*order)))
     joined = placed.join(F.broadcast(offsets), "_run")
     return joined.select(*[col(c) for c in df.columns], (F.col("_before") + F.col("_place") - 1).cast("bigint").alias(output_column))
 

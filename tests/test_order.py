@@ -120,3 +120,15 @@ def test_positions_move_the_rows_once(spark, monkeypatch):
     assert all("w" not in columns for _, columns in tables)
     assert {r.k: r.p for r in placed.collect()} == {k: k for k in range(5000)}
     assert ops.with_position(df.limit(0), "k").count() == 0
+
+
+@pytest.mark.parametrize("count", [0, 1, 2, 7, 8, 9])
+def test_runs_are_found_by_halving(spark, count):
+    """Compiled steps, no walk over the splits for each row."""
+    splits = spark.createDataFrame([([(i * 3, "m") for i in range(count)],)], "splits array<struct<a:int,b:string>>")
+    rows = spark.range(-2, 30).select(F.col("id").cast("int").alias("a"), F.when(F.col("id") % 2 == 0, "z").alias("b"))
+    found = ordering._with_run(rows, splits, F.struct("a", "b"), 9)
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
+    for r in found.collect():
+        assert r._run == sum(1 for i in range(count) if (i * 3, "m") < (r.a, r.b or ""))
+    assert found.columns == ["a", "b", "_run"]
