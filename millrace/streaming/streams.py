@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -17,6 +18,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..checks import as_list, col, require_column, require_columns
 from ..sources import writers
 
+#: Groups of keys that ``first_stream`` keeps as one state each; a stream that goes on from a checkpoint needs the same number.
+BUCKETS = 1 << 13
+
 
 def dedup_stream(
     df: DataFrame, keys: str | list[str], time_column: str, watermark: str = "1 hour", combine: bool = True
@@ -63,7 +67,7 @@ def first_stream(df: DataFrame, keys: str | list[str], time_column: str, waterma
     The earliest row of a key is held until the watermark passes its time: from then on no earlier one can
     come, and it is given out. The key stays in the state until the watermark is ``watermark`` past that time;
     copies that come by then are dropped, and a later one begins anew. So state lasts as long as the watermark
-    asks, and holds one row a key. Rows without a time are left out. A stream that ends gives out what its watermark has passed; a row with a
+    asks, and holds one row a key, in buckets of keys: a call for each key would cost far more than its rows. Rows without a time are left out. A stream that ends gives out what its watermark has passed; a row with a
     late time, of a key of its own, closes it.
     """
     names = as_list(keys)
@@ -79,27 +83,30 @@ def first_stream(df: DataFrame, keys: str | list[str], time_column: str, waterma
     timed = rows.where("at is not null").withWatermark("at", watermark).withColumn("micros", F.unix_micros("at"))
     delay = pd.Timedelta(watermark) // pd.Timedelta("1ms")
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        """The state is the earliest row while it is held; once it is out, its time alone."""
+    def step(bucket: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """The state has each key of the bucket: its earliest row while that is held; once it is out, its time alone."""
         passed = state.getCurrentWatermarkMs()
-        micros, row = state.get if state.exists else (None, None)
-        # A batch with new rows of the key comes before its timer, so both look at the watermark.
-        if row is not None and micros // 1000 < passed:
-            yield pd.DataFrame({"row": [row]})
-            row = None
-        if micros is not None and row is None and micros // 1000 + delay < passed:
-            micros = None
-        if not state.hasTimedOut and (micros is None or row is not None):
-            found = [min(zip(batch["micros"], batch["row"], strict=True)) for batch in batches if len(batch)]
-            held = min(found + ([(micros, row)] if row is not None else []))
-            micros, row = int(held[0]), held[1]
-        if micros is None:
+        known = json.loads(state.get[0]) if state.exists else {}
+        out = [row for micros, row in known.values() if row is not None and micros // 1000 < passed]
+        # A batch with new rows comes before the timer, so both look at the watermark.
+        known = {key: (micros, row if micros // 1000 >= passed else None) for key, (micros, row) in known.items()}
+        known = {key: held for key, held in known.items() if held[1] is not None or held[0] // 1000 + delay >= passed}
+        if not state.hasTimedOut:
+            for batch in batches:
+                for key, *new in zip(batch["key"], batch["micros"].tolist(), batch["row"], strict=True):
+                    held = known.get(key)
+                    if held is None or (held[1] is not None and tuple(new) < tuple(held)):
+                        known[key] = new
+        if out:
+            yield pd.DataFrame({"row": out})
+        if not known:
             state.remove()
             return
-        state.update((micros, row))
-        state.setTimeoutTimestamp(max(micros // 1000 + (delay if row is None else 0), passed) + 1)
+        state.update((json.dumps(known),))
+        state.setTimeoutTimestamp(min(max(micros // 1000 + (delay if row is None else 0), passed) for micros, row in known.values()) + 1)
 
-    first = timed.groupBy("key").applyInPandasWithState(step, "row string", "micros bigint, row string", "append", GroupStateTimeout.EventTimeTimeout)
+    timed = timed.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)))
+    first = timed.groupBy("bucket").applyInPandasWithState(step, "row string", "known string", "append", GroupStateTimeout.EventTimeTimeout)
     return first.select(F.from_json("row", schema, exact).alias("row")).select("row.*")
 
 

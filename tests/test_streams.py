@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from millrace import operators as ops
 from millrace import sources
+from millrace.streaming import streams
 from millrace.streaming import dedup_stream, first_stream, read_batches, run_available, write_batches
 
 SCHEMA = "k string, n int, ts timestamp_ntz"
@@ -122,3 +123,20 @@ def test_batches_that_fail_are_never_seen(spark, feed, tmp_path):
     write_batches(stream, str(tmp_path / "out"), str(tmp_path / "cp"), save).awaitTermination()
     found = read_batches(spark, str(tmp_path / "out"), schema).collect()
     assert sorted((r.n, r.batch_id) for r in found) == [(1, 0), (2, 0), (3, 1)] and len(calls) == 3
+
+
+@pytest.mark.parametrize("buckets", [1, 3])
+def test_first_copies_of_keys_in_one_bucket(spark, feed, tmp_path, monkeypatch, buckets):
+    """Keys that share a state are held, given out and forgotten each by its own times."""
+    monkeypatch.setattr(streams, "BUCKETS", buckets)
+    stream = feed(
+        [("a", 1, 10), ("b", 2, 11)],
+        [("a", 3, 5), ("b", 4, 30)],
+        [("a", 5, 40), ("c", 6, 80), ("e", 12, None)],
+        [("b", 7, 95), ("c", 8, 81), ("d", 9, 200)],
+        [("a", 10, 210), ("a", 11, 205), ("z", 0, 5000)],
+        [("z", 0, 9000)],
+    )
+    run_available(first_stream(stream, "k", "ts", "1 hour"), str(tmp_path / "out"), str(tmp_path / "cp"))
+    rows = spark.read.schema(SCHEMA).parquet(str(tmp_path / "out")).collect()
+    assert sorted((r.k, r.n) for r in rows if r.k != "z") == [("a", 3), ("a", 11), ("b", 2), ("c", 6), ("d", 9)]
