@@ -286,11 +286,9 @@ def near_duplicates(docs: DataFrame, item: str = "doc_id", text: str = "text", w
 
 #: A pair of near copies has a Jaccard similarity of at least LEAST[0] / LEAST[1].
 LEAST = 4, 5
-#: Bits of 256 within which a pair is compared by its shingles. A pair at the threshold differs in 39 bits, give or
-#: take 6; of very few shingles (4 of 5) in 48.
-STAGE_LANES, STAGE_TOTAL = 4, 64
-#: Bands of least mixed shingle hashes. A pair at the threshold shares one in all but 2 of 10,000 cases.
-BANDS, BAND_ROWS = 16, 4
+#: Bits of 256, and of the first 64, within which a pair is compared by its shingles. A pair at the threshold differs
+#: in 39 bits, give or take 6, and in 10 of 64, give or take 3; of very few shingles (4 of 5) in 48 and 12.
+STAGE_LANES, STAGE_TOTAL, STAGE_RADIUS = 4, 64, 21
 #: Members and bytes of shingles in a tile of a crowd.
 CROWD_ROWS, CROWD_BYTES = 256, 1 << 22
 #: Rounds in which the members of a crowd of several tiles are compared with one of them first.
@@ -302,19 +300,6 @@ CROWD_TILE = pa.schema(
     + [(c, pa.binary()) for c in ("fps", "nodes", "roots", "sizes", "sets")]
 )
 CROWD_DDL = "tile bigint, crowd bigint, label bigint, fps binary, nodes binary, roots binary, sizes binary, sets binary"
-#: Odd factors, one for each mixed hash.
-_FACTORS = np.array([xxhash.xxh64_intdigest(f"band {i}", SEED) | 1 for i in range(BANDS * BAND_ROWS)], np.uint64)
-
-
-def bands(shingles: np.ndarray) -> list[int]:
-    """A number for each band of the set: equal for sets whose least shingles by each of its mixed hashes are the same."""
-    if not len(shingles):
-        return [0] * BANDS
-    mixed, least = shingles ^ (shingles >> np.uint64(32)), np.full(len(_FACTORS), 2**64 - 1, np.uint64)
-    for at in range(0, len(mixed), 4096):
-        np.minimum(least, (mixed[at : at + 4096, None] * _FACTORS).min(axis=0), out=least)
-    digest = xxhash.xxh3_64_intdigest
-    return [digest(row.tobytes(), i) - 2**63 for i, row in enumerate(least.reshape(BANDS, BAND_ROWS))]
 
 
 def shingle_set(text: bytes) -> np.ndarray:
@@ -330,19 +315,18 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return LEAST[1] * common >= LEAST[0] * (len(a) + len(b) - common)
 
 
-def _marks(text: str, fp: str, digest: str, keys: str):
-    """Each row with the fingerprint, a digest and the bands of its set of shingles."""
+def _marks(text: str, fp: str, digest: str):
+    """Each row with the fingerprint and a digest of its set of shingles."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            prints, digests, banded = [], [], []
+            prints, digests = [], []
             for t in text_bytes(batch.column(text)):
                 shingles = shingle_set(t)
                 prints.append(fingerprint(shingles, STAGE_LANES).byteswap().tobytes())
                 digests.append(xxhash.xxh3_128_digest(shingles.tobytes()))
-                banded.append(bands(shingles))
-            columns = [*batch.columns, pa.array(prints, pa.binary()), pa.array(digests, pa.binary()), pa.array(banded, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, fp, digest, keys])
+            columns = [*batch.columns, pa.array(prints, pa.binary()), pa.array(digests, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, fp, digest])
 
     return run
 
@@ -461,39 +445,34 @@ def verified_links(members: DataFrame) -> DataFrame:
 
 
 def crowds(sets: DataFrame) -> DataFrame:
-    """(node, crowd) of the ``sets`` (node, bands) that share a band with another one, directly or through others.
-
-    The first set of each band stands for it, so a band that many share is as many links as members.
-    """
-    banded = written(sets.select("node", F.explode("bands").alias("band")), "bands")
-    first = banded.groupBy("band").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n"))
-    first = written(first.where("n > 1").select("band", "first"), "firsts")
-    links = banded.join(first, "band").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
-    return components(links.distinct()).withColumnRenamed("component", "crowd")
+    """(node, crowd, fp, n) of the ``sets`` (node, fp) that lie within the radius and ``STAGE_TOTAL`` bits of another one,
+    directly or through others: every pair of tiles is compared. ``n`` is the size of the crowd."""
+    groups = similar_groups(sets, "node", STAGE_RADIUS, STAGE_LANES, STAGE_TOTAL)
+    placed = written(sets.join(groups, "fp").select("node", F.col("component").alias("crowd"), "fp"), "placed")
+    sizes = placed.groupBy("crowd").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return placed.join(sizes, "crowd")
 
 
 def deduplicate(docs: DataFrame, item: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` without near copies: of each component the row with the smallest item stays.
 
-    Two rows link if the Jaccard similarity of their sets of five-word shingles is 0.8 or more. Bands of least hashes
-    put sets that may be so alike into crowds; inside a crowd tiles of fingerprints of 256 bits are compared by
-    exclusive-or: a similarity of 0.8 is a cosine of 0.89 or more, an angle of 27 degrees and 39 bits, give or take 6,
+    Two rows link if the Jaccard similarity of their sets of five-word shingles is 0.8 or more. Tiles of
+    fingerprints of 256 bits are compared by exclusive-or, all pairs of them, and put sets that may be so alike into crowds:
+    a similarity of 0.8 is a cosine of 0.89 or more, an angle of 27 degrees and 39 bits, give or take 6,
     while unrelated texts differ in 128 bits, give or take 8. Pairs that pass are compared by their shingles before they
     link. Texts without words, null ones too, are copies of each other. Of rows that share the item too, one stays; rows
     with a null item come last. All columns come back as they are, whatever their names; an empty table gives no rows.
     """
-    row, fp, digest, keys = fresh(docs, "row", "fp", "digest", "bands")
+    row, fp, digest = fresh(docs, "row", "fp", "digest")
     marked = docs.withColumn(row, F.monotonically_increasing_id())
-    schema = extended(marked.schema, f"{fp} binary, {digest} binary, {keys} array<bigint>")
-    full = written(arrow_map(marked, _marks(text, fp, digest, keys), schema), "marked")
+    schema = extended(marked.schema, f"{fp} binary, {digest} binary")
+    full = written(arrow_map(marked, _marks(text, fp, digest), schema), "marked")
     # Rows are ranked by item, null last, then by row number.
     rank = F.struct(F.col(item).isNull().alias("n"), F.col(item).alias("i"), F.col(row).alias("r"))
-    prints = full.select(F.col(fp).alias("fp"), F.col(digest).alias("digest"), F.col(keys).alias("bands"), rank.alias("rank"))
-    sets = prints.groupBy("fp", "digest", "bands").agg(F.min("rank").alias("rank"))
-    sets = written(sets.select("fp", "bands", "rank", F.col("rank.r").alias("node")), "sets")
-    placed = written(sets.select("node", "fp").join(crowds(sets), "node"), "placed")
-    sizes = placed.groupBy("crowd").agg(F.count(F.lit(1)).alias("n"))
-    some = placed.join(sizes, "crowd").select("node", "crowd", "n", "fp")
+    prints = full.select(F.col(fp).alias("fp"), F.col(digest).alias("digest"), rank.alias("rank"))
+    sets = prints.groupBy("fp", "digest").agg(F.min("rank").alias("rank"))
+    sets = written(sets.select("fp", "rank", F.col("rank.r").alias("node")), "sets")
+    some = crowds(sets.select("node", "fp")).select("node", "crowd", "n", "fp")
     texts = full.select(F.col(row).alias("node"), F.col(text).alias("text")).join(some, "node")
     members = written(arrow_map(texts, _sets, "node bigint, crowd bigint, n bigint, fp binary, shingles binary"), "members")
     found = components(verified_links(members))

@@ -333,3 +333,16 @@ def test_pipeline_against_brute_force(spark, data_dir):
     ids = {i: [*peer.encode(texts[i] or "", add_special_tokens=False).ids, 2] for i in want}
     cover, _ = check_packing(corpus_pipeline.run(spark, data_dir).collect(), ids)
     assert cover == {i: len(x) for i, x in ids.items()}
+
+
+def test_crowds_come_from_all_pairs_of_tiles(spark):
+    """Fingerprints of 256 bits within the radius fall into one crowd, whatever else their sets share."""
+    rng = np.random.default_rng(3)
+    words = rng.integers(0, 2**63, (40, 4), dtype=np.uint64)
+    near = words.copy()
+    near[:20, 0] ^= np.uint64((1 << 21) - 1)
+    near[:20, 1] ^= np.uint64((1 << 43) - 1)
+    near[20:, 1:] ^= np.uint64((1 << 22) - 1)
+    rows = [(i, bytearray(w.byteswap().tobytes())) for i, w in enumerate(np.concatenate([words, near]))]
+    found = simhash_tiles.crowds(spark.createDataFrame(rows, "node bigint, fp binary")).collect()
+    assert sorted((r.node, r.crowd, r.n) for r in found) == sorted((i, i % 40, 2) for i in [*range(20), *range(40, 60)])
