@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -16,12 +17,13 @@ from .common import arrow_map, extended, fresh, parallelism, slices, text_bytes
 from ..operators.components import components
 
 SEED = 42
-#: Fingerprints in a tile: 512 KiB of 64-bit words.
-TILE_ROWS = 65_536
+#: Fingerprints in a tile, give or take a few: 512 KiB of 64-bit words. Tiles of fewer are made for more tasks, of
+#: LEAST_ROWS at least.
+TILE_ROWS, LEAST_ROWS = 65_536, 1024
+#: Fingerprints in the tiles of a block: a task holds two blocks at a time.
+BLOCK_ROWS = 1 << 18
 #: Rows of a tile whose bounds are compared at once.
 STRIP = 64
-#: Comparisons that make a task.
-TASK_PAIRS = 1 << 29
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -82,40 +84,38 @@ def fingerprints(docs: DataFrame, text: str, width: int, lanes: int, keep: list[
     return arrow_map(docs.select(*dict.fromkeys([*keep, text])), run, schema)
 
 
-def _pack(lanes: int, tile_rows: int, radius: int, total: int):
-    """Sorted fingerprints to tiles: the words, nodes and roots of up to ``tile_rows`` rows of equal population count.
+def _pack(lanes: int, radius: int, total: int):
+    """Fingerprints sorted by tile to tiles: the words, nodes and roots of their rows.
 
     The root of a row is the first row of the tile that it is joined with by links inside the tile.
     """
 
-    def tile(number: int, rows: list[tuple[bytes, int]], ones: int) -> list:
+    def tile(number: int, rows: list[tuple[bytes, int]]) -> pa.RecordBatch:
         fps = np.frombuffer(b"".join(r[0] for r in rows), ">u8").astype(np.uint64).reshape(-1, lanes)
-        order = np.lexsort(quarters(fps[:, 0]).T[::-1])
+        counts = quarters(fps[:, 0])
+        order, ones = np.lexsort(counts.T[::-1]), counts.sum(axis=1)
         fps, nodes = fps[order], np.array([r[1] for r in rows], np.int64)[order]
         roots = linked(fps, fps, True, radius, total, Forest(len(fps))).label
-        return [number, ones, len(rows), fps.tobytes(), nodes.tobytes(), roots.astype(np.int64).tobytes()]
+        made = [number, int(ones.min()), int(ones.max()), fps.tobytes(), nodes.tobytes(), roots.astype(np.int64).tobytes()]
+        return pa.RecordBatch.from_pylist([dict(zip(ARROW_TILE.names, made, strict=True))], schema=ARROW_TILE)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, rows, ones = TaskContext.get().partitionId() << 32, [], -1
+        number, rows = -1, []
         for batch in batches:
-            out = []
-            for fp, node, p in zip(*(batch.column(c).to_pylist() for c in ("fp", "node", "ones")), strict=True):
-                if rows and (p != ones or len(rows) == tile_rows):
-                    out.append(tile(number, rows, ones))
-                    number, rows = number + 1, []
-                rows.append((fp, node))
-                ones = p
-            if out:
-                yield pa.RecordBatch.from_pylist([dict(zip(TILE, x, strict=True)) for x in out], schema=ARROW_TILE)
+            for t, *row in zip(*(batch.column(c).to_pylist() for c in ("tile", "fp", "node")), strict=True):
+                if rows and t != number:
+                    yield tile(number, rows)
+                    rows = []
+                rows.append(row)
+                number = t
         if rows:
-            yield pa.RecordBatch.from_pylist([dict(zip(TILE, tile(number, rows, ones), strict=True))], schema=ARROW_TILE)
+            yield tile(number, rows)
 
     return run
 
 
-TILE = ["tile", "ones", "rows", "fps", "nodes", "roots"]
-ARROW_TILE = pa.schema(list(zip(TILE, [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()], strict=True)))
-TILE_DDL = "tile bigint, ones int, rows bigint, fps binary, nodes binary, roots binary"
+ARROW_TILE = pa.schema([("tile", pa.int64()), ("low", pa.int32()), ("high", pa.int32())] + [(c, pa.binary()) for c in ("fps", "nodes", "roots")])
+TILE_DDL = "tile bigint, low int, high int, fps binary, nodes binary, roots binary"
 
 
 class Forest:
@@ -198,14 +198,24 @@ class Joined:
 
 
 def _compare(lanes: int, radius: int, total: int):
+    """Links of the tiles of cells, which come sorted by cell: of all pairs of tiles of one block, or of two blocks."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        joined = Joined()
+        joined, cell, held = Joined(), None, []
         for batch in batches:
-            for row in batch.to_pylist():
-                a, b = (np.frombuffer(row[c], np.uint64).reshape(-1, lanes) for c in ("fps_a", "fps_b"))
-                nodes = np.frombuffer(row["nodes_a"] + row["nodes_b"], np.int64)
-                roots = np.concatenate([np.frombuffer(row["roots_a"], np.int64), np.frombuffer(row["roots_b"], np.int64) + len(a)])
-                yield joined.links(nodes, roots, linked(a, b, False, radius, total, Forest(len(roots), roots)))
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                if row["cell"] != cell:
+                    cell, held = row["cell"], []
+                fps = np.frombuffer(row["fps"], np.uint64).reshape(-1, lanes)
+                nodes, roots = (np.frombuffer(row[c], np.int64) for c in ("nodes", "roots"))
+                for block, high, fps_a, nodes_a, roots_a in held:
+                    if row["low"] - high > radius or (block == row["block"]) != row["same"]:
+                        continue
+                    both = np.concatenate([roots_a, roots + len(fps_a)])
+                    forest = linked(fps_a, fps, False, radius, total, Forest(len(both), both))
+                    yield joined.links(np.concatenate([nodes_a, nodes]), both, forest)
+                held.append((row["block"], row["high"], fps, nodes, roots))
 
     return run
 
@@ -224,31 +234,38 @@ def similar_groups(prints: DataFrame, item: str, radius: int, lanes: int = 1, to
 
     Two fingerprints link if their first words differ in at most ``radius`` bits and, with several lanes, all words
     in at most ``total`` bits. Copies fall together before anything is compared; distinct fingerprints lie in tiles
-    of one population count, and a pair of tiles is read only if the counts differ by at most ``radius``. Rows are
-    joined inside their tile first; a task then returns those links between roots of tiles that its earlier ones do not
-    imply, so a family of near copies adds rows as it grows, not pairs. Every pair within the radius is compared.
+    in the order of their population counts, as many as their number asks for, not as there are partitions. Rows are
+    joined inside their tile first. Tiles make blocks, and each two blocks whose counts differ by at most ``radius`` a
+    cell, the work of one task: so a fingerprint is sent once for each block, in one exchange. A task returns those links
+    between roots of tiles that its earlier ones do not imply, so a family of near copies adds rows as it grows, not
+    pairs. Every pair within the radius is compared.
     """
     spark, total = prints.sparkSession, total if total is not None else radius
     groups = written(
         prints.groupBy("fp").agg(F.min(item).alias("least")).withColumn("node", F.monotonically_increasing_id()), "fingerprints"
     )
-    keyed = arrow_map(groups.select("fp", "node"), _keys(lanes), "fp binary, node bigint, ones int, place bigint")
-    placed = keyed.repartitionByRange("ones", "place").sortWithinPartitions("ones", "place")
-    tiles = written(arrow_map(placed, _pack(lanes, tile_rows, radius, total), TILE_DDL), "tiles")
-    meta = tiles.select("tile", "ones", "rows")
-    left = meta.select(F.col("tile").alias("a"), F.col("rows").alias("n"), F.col("ones").alias("p")).withColumn(
-        "ones", F.explode(F.sequence("p", F.col("p") + radius))
-    )
-    pairs = left.join(meta, "ones").where("p < ones or a < tile").select("a", F.col("tile").alias("b"), "n", "rows")
-    work = pairs.agg(F.sum(F.col("n") * F.col("rows"))).first()[0] or 0
-    tasks = max(parallelism(spark), work // TASK_PAIRS + 1)
-    heavy = ["fps", "nodes", "roots"]
-    full = (
-        pairs.select("a", "b")
-        .join(tiles.select(F.col("tile").alias("a"), *[F.col(c).alias(f"{c}_a") for c in heavy]), "a")
-        .join(tiles.select(F.col("tile").alias("b"), *[F.col(c).alias(f"{c}_b") for c in heavy]), "b")
-        .repartition(tasks, "a", "b")
+    placed = arrow_map(groups.select("fp", "node", F.crc32("fp").alias("crc")), _places(lanes), "fp binary, node bigint, crc bigint, place bigint")
+    # 17^4 places at most.
+    counts = placed.groupBy("place").count().orderBy("place").toArrow()
+    places, sizes = counts["place"].to_numpy(), counts["count"].to_numpy()
+    rows = int(sizes.sum())
+    side = ceil((4 * parallelism(spark)) ** 0.5)
+    number = max(1, -(-rows // tile_rows), min(side, rows // LEAST_ROWS))
+    block = max(1, min(BLOCK_ROWS // tile_rows, number // side))
+    ranks = spark.sparkContext.broadcast((places, np.cumsum(sizes) - sizes, sizes))
+    tiled = arrow_map(placed, _tiled(ranks, -(-rows // number)), "fp binary, node bigint, tile bigint")
+    tiled = tiled.repartitionByRange(number, "tile").sortWithinPartitions("tile")
+    tiles = written(arrow_map(tiled, _pack(lanes, radius, total), TILE_DDL), "tiles").withColumn("block", F.floor(F.col("tile") / block))
+    bounds = written(tiles.groupBy("block").agg(F.min("low").alias("low"), F.max("high").alias("high")), "blocks")
+    cells = (
+        bounds.select(F.col("block").alias("a"), F.col("high").alias("high_a"))
+        .crossJoin(bounds.select(F.col("block").alias("b"), F.col("low").alias("low_b")))
+        .where(F.col("a") <= F.col("b"))
+        .where(F.col("low_b") - F.col("high_a") <= radius)
+        .select(F.concat_ws(" ", "a", "b").alias("cell"), (F.col("a") == F.col("b")).alias("same"), F.array_distinct(F.array("a", "b")).alias("blocks"))
     )
+    full = tiles.join(cells.select("cell", "same", F.explode("blocks").alias("block")), "block")
+    full = full.repartition(parallelism(spark), "cell").sortWithinPartitions("cell", "tile")
     found = components(arrow_map(full, _compare(lanes, radius, total), "a bigint, b bigint"))
     inside = arrow_map(tiles.select("nodes", "roots"), _members, "node bigint, top bigint")
     topped = groups.join(inside, "node", "left").withColumn("node", F.coalesce("top", "node")).drop("top")
@@ -257,16 +274,29 @@ def similar_groups(prints: DataFrame, item: str, radius: int, lanes: int = 1, to
     return named.join(least, "root").select("fp", "component")
 
 
-def _keys(lanes: int):
+def _places(lanes: int):
+    """The population count of the first word and of its quarters, as one number."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = np.frombuffer(b"".join(batch.column("fp").to_pylist()), ">u8").astype(np.uint64).reshape(-1, lanes)[:, 0]
             q = quarters(words)
-            place = ((q[:, 0] * 32 + q[:, 1]) * 32 + q[:, 2]) * 32 + q[:, 3]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("fp"), batch.column("node"), pa.array(q.sum(axis=1).astype(np.int32)), pa.array(place)],
-                names=["fp", "node", "ones", "place"],
-            )
+            place = (((q.sum(axis=1) * 32 + q[:, 0]) * 32 + q[:, 1]) * 32 + q[:, 2]) * 32 + q[:, 3]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place)], names=[*batch.schema.names, "place"])
+
+    return run
+
+
+def _tiled(ranks, tile_rows: int):
+    """The tile of each row: its rank by place over the rows of a tile. Rows of one place are ranked by their CRC32."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, starts, sizes = ranks.value
+        for batch in batches:
+            at = np.searchsorted(places, batch.column("place").to_numpy())
+            share = batch.column("crc").to_numpy() / 2.0**32
+            tile = (starts[at] + (share * sizes[at]).astype(np.int64)) // tile_rows
+            yield pa.RecordBatch.from_arrays([*batch.select(["fp", "node"]).columns, pa.array(tile)], names=["fp", "node", "tile"])
 
     return run
 

@@ -223,6 +223,30 @@ def test_links_grow_with_a_family_not_with_its_square(spark, monkeypatch):
     assert counts[1] <= 2.5 * counts[0] and counts[2] <= 2.5 * counts[1] and counts[2] < 3 * 1600, counts
 
 
+def test_tiles_follow_rows_not_partitions(spark, monkeypatch):
+    """A tile is sent once for each block, so few rows in many partitions must not make many tiles."""
+    rng = np.random.default_rng(5)
+    words = np.unique(rng.integers(0, 2**63, 2500, dtype=np.uint64))
+    near = words[:600] ^ (np.uint64(1) << rng.integers(0, 63, 600).astype(np.uint64)) ^ np.uint64(1 << 63)
+    fps = np.unique(np.concatenate([words, near]))
+    label = groups(np.bitwise_count(fps[:, None] ^ fps) <= 4)
+    least = {g: int(np.flatnonzero(label == g)[0]) for g in set(label)}
+    rows = [(i, bytearray(int(f).to_bytes(8, "big"))) for i, f in enumerate(fps)]
+    made, original = {}, simhash_tiles.written
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        for tile_rows, tiles in ((simhash_tiles.TILE_ROWS, 3), (40, 80)):
+            made.clear()
+            monkeypatch.setattr(simhash_tiles, "written", lambda df, name: made.setdefault(name, original(df, name)))
+            found = simhash_tiles.similar_groups(spark.createDataFrame(rows, "item bigint, fp binary"), "item", 4, tile_rows=tile_rows)
+            got = {int.from_bytes(r["fp"], "big"): r["component"] for r in found.collect()}
+            assert got == {int(f): least[g] for f, g in zip(fps, label, strict=True)}
+            assert made["tiles"].count() <= tiles
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+
+
 def test_stage_keeps_columns_of_any_name(spark, hard_docs, no_docs):
     names = ["row", "_row", "digest", "bands", "node", "rank"]
     docs = hard_docs.select("*", *[F.lit(n).alias(n) for n in names])
