@@ -220,41 +220,84 @@ def _most_frequent(table: DataFrame, most: int) -> int:
     return 0 if least < 0 else 1 << least
 
 
+class Places:
+    """Places of numbers among distinct ``keys``: a hash table at most half full, next slot on a collision. A lookup
+    touches two cells or a few more, where halving sorted keys touches one for each of their digits."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.bits = keys, max(1, (2 * len(keys)).bit_length())
+        self.table = np.full(1 << self.bits, -1, np.int32)
+        todo, slot = np.arange(len(keys), dtype=np.int32), self._slots(keys)
+        while len(todo):
+            free = self.table[slot] < 0
+            self.table[slot[free]] = todo[free]
+            left = self.table[slot] != todo
+            todo, slot = todo[left], (slot[left] + 1) & (len(self.table) - 1)
+
+    def _slots(self, numbers: np.ndarray) -> np.ndarray:
+        return ((numbers.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def find(self, numbers: np.ndarray) -> np.ndarray:
+        """The place of each of the int64 ``numbers``, or -1."""
+        if not len(self.keys):
+            return np.full(len(numbers), -1, np.int32)
+        slot = self._slots(numbers)
+        place = self.table[slot]
+        at = np.flatnonzero((place >= 0) & (self.keys[place] != numbers))
+        slot = slot[at]
+        while len(at):
+            slot = (slot + 1) & (len(self.table) - 1)
+            place[at] = found = self.table[slot]
+            again = (found >= 0) & (self.keys[found] != numbers[at])
+            at, slot = at[again], slot[again]
+        return place
+
+
+def _lists(lengths: list[int] | np.ndarray, columns: dict[str, pa.Array]) -> pa.Array:
+    """Lists of the given lengths of the structs that lie one after the other in ``columns``."""
+    offsets = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(list(columns.values()), names=list(columns)))
+
+
 def _scored(depth: int, held_grams, held_words):
     """Sums over the held words and byte strings of each text, and lists of the others with their counts."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, chances = held_grams.value
-        logs = held_words.value
+        # The place -1 takes the 0 at the end.
+        places, chances, logs = Places(keys), np.append(chances, 0.0), held_words.value
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             texts = text_bytes(batch.column("text"))
-            sums, rare_grams = [], []
+            sums, rare, rare_counts = [], [np.zeros((0, 2), np.int64)], []
             for start, end in blocks(texts):
                 found, sizes = grams(texts[start:end], depth)
-                place = np.minimum(np.searchsorted(keys, found), max(0, len(keys) - 1))
-                known = keys[place] == found if len(keys) else np.zeros(len(found), bool)
-                values = np.where(known, chances[place], 0.0) if len(keys) else np.zeros(len(found))
+                place = places.find(found)
                 ends = np.cumsum(sizes)
-                sums += np.add.reduceat(values, ends - sizes).tolist()
-                rare = np.flatnonzero(~known)
-                cuts = np.searchsorted(rare, np.concatenate([[0], ends]))
-                for a, b in zip(cuts, cuts[1:], strict=False):
-                    grams_, times = np.unique(found[rare[a:b]], return_counts=True)
-                    rare_grams.append([{"gram": g, "n": n} for g, n in zip(grams_.tolist(), times.tolist(), strict=True)])
+                sums += np.add.reduceat(chances[place], ends - sizes).tolist()
+                missing = np.flatnonzero(place < 0)
+                owner, missing = np.searchsorted(ends, missing, "right"), found[missing]
+                order = np.lexsort((missing, owner))
+                owner, missing = owner[order], missing[order]
+                first = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (missing[1:] != missing[:-1]))[: len(missing)])
+                rare.append(np.stack([missing[first], np.diff(first, append=len(missing))], axis=1))
+                rare_counts += np.bincount(owner[first], minlength=end - start).tolist()
+            grams_ = np.concatenate(rare)
             out: list[list] = [[] for _ in range(4)]
+            rare_words, rare_times = [], []
             for text in texts:
                 words = tokens(text)
                 counts = Counter(words)
                 counts[b""] = 1
-                rare_words, base, known_words = [], 0.0, 0
+                base, known_words, before = 0.0, 0, len(rare_words)
                 for word, n in counts.items():
                     if (value := logs.get(word)) is None:
-                        rare_words.append({"word": word, "n": n})
+                        rare_words.append(word)
+                        rare_times.append(n)
                     else:
                         base += n * value
                         known_words += n
-                for values_, x in zip(out, (len(words) + 1, known_words, base, rare_words), strict=True):
+                for values_, x in zip(out, (len(words) + 1, known_words, base, len(rare_words) - before), strict=True):
                     values_.append(x)
             number = np.arange(row, row + len(texts))
             row += len(texts)
@@ -262,8 +305,8 @@ def _scored(depth: int, held_grams, held_words):
                 [
                     batch.column("id"), batch.column("held"), pa.array(number), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()),
                     pa.array(out[2], pa.float64()), pa.array(sums, pa.float64()),
-                    pa.array(out[3], pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))),
-                    pa.array(rare_grams, pa.list_(pa.struct([("gram", pa.int64()), ("n", pa.int64())]))),
+                    _lists(out[3], {"word": pa.array(rare_words, pa.binary()), "n": pa.array(rare_times, pa.int64())}),
+                    _lists(rare_counts, {"gram": pa.array(grams_[:, 0]), "n": pa.array(grams_[:, 1])}),
                 ],
                 names=["id", "held", "row", "n_tokens", "known", "base", "chance", "words", "grams"],
             )

@@ -81,6 +81,16 @@ def test_context_tree_matches_recursion(spark):
             assert abs(row["score"] - brute_ctw(train, text.encode(), 2)) < 1e-6
 
 
+def test_context_tree_places():
+    """Byte strings are found by hashing, colliding ones too; halving sorted keys cost most of the scoring."""
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 5, 3000):
+        keys = np.unique(np.concatenate([rng.integers(0, 2**47, n), np.arange(n)])).astype(np.int64)
+        asked = rng.permutation(np.concatenate([keys, keys + 1, rng.integers(0, 2**47, 500)]))
+        known = {k: i for i, k in enumerate(keys.tolist())}
+        assert context_tree.Places(keys).find(asked).tolist() == [known.get(q, -1) for q in asked.tolist()]
+
+
 def test_context_tree_base_and_hard_rows(hard_docs, no_docs):
     rows = hard_docs.collect()
     held = {r["doc_id"]: zlib.crc32(str(r["doc_id"] if r["doc_id"] is not None else "").encode()) % 5 == 1 for r in rows}
