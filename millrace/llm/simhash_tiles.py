@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import written
+from ..scratch import few, written
 from .common import arrow_map, extended, fresh, parallelism, slices, text_bytes
 from ..operators.components import components
 
@@ -241,9 +241,8 @@ def similar_groups(prints: DataFrame, item: str, radius: int, lanes: int = 1, to
     pairs. Every pair within the radius is compared.
     """
     spark, total = prints.sparkSession, total if total is not None else radius
-    groups = written(
-        prints.groupBy("fp").agg(F.min(item).alias("least")).withColumn("node", F.monotonically_increasing_id()), "fingerprints"
-    )
+    distinct = few(prints.groupBy("fp").agg(F.min(item).alias("least")), prints.count())
+    groups = written(distinct.withColumn("node", F.monotonically_increasing_id()), "fingerprints")
     placed = arrow_map(groups.select("fp", "node", F.crc32("fp").alias("crc")), _places(lanes), "fp binary, node bigint, crc bigint, place bigint")
     # 17^4 places at most.
     counts = placed.groupBy("place").count().orderBy("place").toArrow()
@@ -256,7 +255,7 @@ def similar_groups(prints: DataFrame, item: str, radius: int, lanes: int = 1, to
     tiled = arrow_map(placed, _tiled(ranks, -(-rows // number)), "fp binary, node bigint, tile bigint")
     tiled = tiled.repartitionByRange(number, "tile").sortWithinPartitions("tile")
     tiles = written(arrow_map(tiled, _pack(lanes, radius, total), TILE_DDL), "tiles").withColumn("block", F.floor(F.col("tile") / block))
-    bounds = written(tiles.groupBy("block").agg(F.min("low").alias("low"), F.max("high").alias("high")), "blocks")
+    bounds = written(few(tiles.groupBy("block").agg(F.min("low").alias("low"), F.max("high").alias("high")), number), "blocks")
     cells = (
         bounds.select(F.col("block").alias("a"), F.col("high").alias("high_a"))
         .crossJoin(bounds.select(F.col("block").alias("b"), F.col("low").alias("low_b")))

@@ -31,6 +31,27 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_steps_of_components_follow_edges_not_partitions(spark, monkeypatch):
+    """A step of few edges must not make a task and a file for each partition of a shuffle."""
+    from millrace.operators import components as module
+
+    made, original = [], module.written
+    monkeypatch.setattr(module, "written", lambda df, name: made.append((name, original(df, name))) or made[-1][1])
+    edges = spark.createDataFrame([(i, i + 1) for i in range(0, 3000, 2)] + [(0, i) for i in range(2, 3000, 2)], "a bigint, b bigint")
+    cores = spark.sparkContext.defaultParallelism
+    settings = {"spark.sql.shuffle.partitions": str(cores * 6), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        assert {r["component"] for r in components(edges).collect()} == {0}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {"minima", "large", "roots", "edges"} <= {name for name, _ in made}
+    assert all(len(df.inputFiles()) <= cores for _, df in made[1:])
+
+
 def vectors(seed=3):
     rng = np.random.default_rng(seed)
     rows = [list(map(float, v / np.linalg.norm(v))) for v in rng.standard_normal((250, 16))]
