@@ -22,6 +22,10 @@ WINDOW = 4096
 END_ID = 2
 #: Parts and words that a task keeps the ids of, once and again.
 CACHE_PARTS = 200_000
+#: Documents that a task holds at one time as texts, ids or pieces.
+SLICE_DOCS = 256
+#: Rounds that a task keeps the tokens of.
+KEPT_ROUNDS = 10_000
 
 
 _LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", re.escape("!\"#$%&()*+,-./:;=?@[\\]^_`{|}~")
@@ -95,7 +99,7 @@ def _encode(path: str, item: str, text: str, source: str, end_id: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, starts = WordEncoder(path), TaskContext.get().partitionId(), {}
-        for batch in slices(batches, 256):
+        for batch in slices(batches, SLICE_DOCS):
             ids = [x + end for x in encoder.encode(text_strings(batch.column(text)))]
             queues = ["none" if s is None else f"is {s}" for s in batch.column(source).to_pylist()]
             local = []
@@ -156,7 +160,7 @@ class Rounds:
     def round(self, r: int) -> tuple[list[int], list[int], list[int]]:
         """Tokens served before the round and after it, and where each queue's part of it begins in the stream."""
         if r not in self._rounds:
-            if len(self._rounds) > 100_000:
+            if len(self._rounds) > KEPT_ROUNDS:
                 self._rounds = {}
             before, after = self.served(r), self.served(r + 1)
             at, begins = sum(before), []
@@ -183,7 +187,7 @@ def _pieces(rounds: Rounds, window: int, with_ids: bool):
     numbers = {name: i for i, name in enumerate(rounds.names)}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, SLICE_DOCS):
             columns: list[list] = [[] for _ in range(7)]
             rows, out_ids = [], []
             for row, (queue, local, base, ids) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("queue", "local", "base", "ids")), strict=True)):

@@ -336,6 +336,22 @@ def test_packing(spark, hard_docs, no_docs):
     assert mixture_packing.pack(no_docs, WORDS).count() == 0
 
 
+def test_pieces_come_in_batches_of_few_documents():
+    """A task must not hold the pieces of a whole Arrow batch."""
+    import pyarrow as pa
+
+    size, count = 700, 3000
+    ids = [np.arange(i, i + size, dtype="<u4").tobytes() for i in range(count)]
+    columns = {"item": range(count), "queue": ["is a"] * count, "local": [i * size for i in range(count)], "base": [0] * count, "ids": ids}
+    rounds = mixture_packing.Rounds({"is a": size * count}, None, 4096)
+    batches = [*mixture_packing._pieces(rounds, 4096, True)([pa.RecordBatch.from_pydict(columns)])]
+    assert max(len(set(b.column("item").to_pylist())) for b in batches) <= 256
+    found = {}
+    for row in pa.Table.from_batches(batches).to_pylist():
+        found[row["item"]] = found.get(row["item"], b"") + row["ids"]
+    assert [found[i] for i in range(count)] == ids
+
+
 def test_rounds_serve_every_token_once():
     totals = {"is a": 1000, "is b": 37, "is c": 5003, "none": 1}
     for weights in (None, {"is a": 2.0, "is b": 1.0}):
