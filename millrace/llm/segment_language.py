@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import written
+from ..scratch import few, written
 from .common import arrow_map, blocks, extended, slices, text_strings
 
 UNKNOWN = "und"
@@ -216,10 +216,9 @@ def fit(labelled: DataFrame, vocabulary: str, text: str = "text", lang: str = "l
     shares = {x: min(1.0, max(documents / whole, FIT_LEAST / n)) for x, n in rows.items()}
     share = F.create_map(*[F.lit(v) for x in languages for v in (x, round(shares[x] * 1_000_000))])[F.col("lang")]
     picked = known.where(F.pmod(F.xxhash64("item", "text"), F.lit(1_000_000)) < share)
-    words = written(
-        arrow_map(picked.select("text", "lang"), _count_words("text", "lang"), "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")),
-        "words",
-    )
+    counted = arrow_map(picked.select("text", "lang"), _count_words("text", "lang"), "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    # The sample is bounded, and every round reads its words: a file for each core serves best.
+    words = written(few(counted, documents), "words")
     if words.isEmpty():
         return None
     lattice = Lattice(pieces)

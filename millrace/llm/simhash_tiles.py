@@ -243,16 +243,16 @@ def similar_groups(prints: DataFrame, item: str, radius: int, lanes: int = 1, to
     spark, total = prints.sparkSession, total if total is not None else radius
     distinct = few(prints.groupBy("fp").agg(F.min(item).alias("least")), prints.count())
     groups = written(distinct.withColumn("node", F.monotonically_increasing_id()), "fingerprints")
-    placed = arrow_map(groups.select("fp", "node", F.crc32("fp").alias("crc")), _places(lanes), "fp binary, node bigint, crc bigint, place bigint")
     # 17^4 places at most.
-    counts = placed.groupBy("place").count().orderBy("place").toArrow()
+    counts = arrow_map(groups.select("fp"), _places(lanes), "place bigint").groupBy("place").count().orderBy("place").toArrow()
     places, sizes = counts["place"].to_numpy(), counts["count"].to_numpy()
     rows = int(sizes.sum())
     side = ceil((4 * parallelism(spark)) ** 0.5)
     number = max(1, -(-rows // tile_rows), min(side, rows // LEAST_ROWS))
     block = max(1, min(BLOCK_ROWS // tile_rows, number // side))
     ranks = spark.sparkContext.broadcast((places, np.cumsum(sizes) - sizes, sizes))
-    tiled = arrow_map(placed, _tiled(ranks, -(-rows // number)), "fp binary, node bigint, tile bigint")
+    # Places are counted again here: a stage with two steps in Python keeps twice the workers in an executor's memory.
+    tiled = arrow_map(groups.select("fp", "node", F.crc32("fp").alias("crc")), _tiled(ranks, -(-rows // number), lanes), "fp binary, node bigint, tile bigint")
     tiled = tiled.repartitionByRange(number, "tile").sortWithinPartitions("tile")
     tiles = written(arrow_map(tiled, _pack(lanes, radius, total), TILE_DDL), "tiles").withColumn("block", F.floor(F.col("tile") / block))
     bounds = written(few(tiles.groupBy("block").agg(F.min("low").alias("low"), F.max("high").alias("high")), number), "blocks")
@@ -265,7 +265,7 @@ def similar_groups(prints: DataFrame, item: str, radius: int, lanes: int = 1, to
     )
     full = tiles.join(cells.select("cell", "same", F.explode("blocks").alias("block")), "block")
     full = full.repartition(parallelism(spark), "cell").sortWithinPartitions("cell", "tile")
-    found = components(arrow_map(full, _compare(lanes, radius, total), "a bigint, b bigint"))
+    found = components(arrow_map(full, _compare(lanes, radius, total), "a bigint, b bigint"), rows)
     inside = arrow_map(tiles.select("nodes", "roots"), _members, "node bigint, top bigint")
     topped = groups.join(inside, "node", "left").withColumn("node", F.coalesce("top", "node")).drop("top")
     named = topped.join(found, "node", "left").select("fp", "least", F.coalesce("component", "node").alias("root"))
@@ -273,26 +273,28 @@ def similar_groups(prints: DataFrame, item: str, radius: int, lanes: int = 1, to
     return named.join(least, "root").select("fp", "component")
 
 
-def _places(lanes: int):
+def _place(prints: pa.Array, lanes: int) -> np.ndarray:
     """The population count of the first word and of its quarters, as one number."""
+    words = np.frombuffer(b"".join(prints.to_pylist()), ">u8").astype(np.uint64).reshape(-1, lanes)[:, 0]
+    q = quarters(words)
+    return (((q.sum(axis=1) * 32 + q[:, 0]) * 32 + q[:, 1]) * 32 + q[:, 2]) * 32 + q[:, 3]
+
 
+def _places(lanes: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = np.frombuffer(b"".join(batch.column("fp").to_pylist()), ">u8").astype(np.uint64).reshape(-1, lanes)[:, 0]
-            q = quarters(words)
-            place = (((q.sum(axis=1) * 32 + q[:, 0]) * 32 + q[:, 1]) * 32 + q[:, 2]) * 32 + q[:, 3]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place)], names=[*batch.schema.names, "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(_place(batch.column("fp"), lanes))], names=["place"])
 
     return run
 
 
-def _tiled(ranks, tile_rows: int):
+def _tiled(ranks, tile_rows: int, lanes: int):
     """The tile of each row: its rank by place over the rows of a tile. Rows of one place are ranked by their CRC32."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, starts, sizes = ranks.value
         for batch in batches:
-            at = np.searchsorted(places, batch.column("place").to_numpy())
+            at = np.searchsorted(places, _place(batch.column("fp"), lanes))
             share = batch.column("crc").to_numpy() / 2.0**32
             tile = (starts[at] + (share * sizes[at]).astype(np.int64)) // tile_rows
             yield pa.RecordBatch.from_arrays([*batch.select(["fp", "node"]).columns, pa.array(tile)], names=["fp", "node", "tile"])
@@ -322,6 +324,8 @@ STAGE_LANES, STAGE_TOTAL, STAGE_RADIUS = 4, 64, 21
 CROWD_ROWS, CROWD_BYTES = 256, 1 << 22
 #: Rounds in which the members of a crowd of several tiles are compared with one of them first.
 STARS = 3
+#: Rows with the shingles of a text for which a table gets a task and a file of its own.
+SET_ROWS = 1 << 13
 
 _HEAVY = ["label", "fps", "nodes", "roots", "sizes", "sets"]
 CROWD_TILE = pa.schema(
@@ -444,19 +448,21 @@ def verified_links(members: DataFrame) -> DataFrame:
     links between the roots of the tiles. So no pair is left out, a crowd of copies of one text costs its size only,
     and links are as many as members.
     """
-    large = members.where(F.col("n") > CROWD_ROWS)
+    large, rows = members.where(F.col("n") > CROWD_ROWS), members.count()
     stars = members.sparkSession.createDataFrame([], "node bigint, star bigint")
     for _ in range(0 if large.isEmpty() else STARS):
         rest = large.join(stars, "node", "left_anti").select("node", "crowd", "shingles")
         star = rest.groupBy("crowd").agg(F.min("node").alias("star"))
         # One row for each crowd of several tiles, in a table whose size Spark sees.
-        star = written(star.join(rest.select(F.col("node").alias("star"), F.col("shingles").alias("star_shingles")), "star"), "star")
-        met = rest.join(star, "crowd").select("node", "shingles", "star", "star_shingles")
+        star = star.join(rest.select(F.col("node").alias("star"), F.col("shingles").alias("star_shingles")), "star")
+        star = written(few(star, rows // CROWD_ROWS, SET_ROWS), "star")
+        met = few(rest.join(star, "crowd").select("node", "shingles", "star", "star_shingles"), rows, SET_ROWS)
         stars = written(stars.union(arrow_map(met, _stars, "node bigint, star bigint")), "stars")
     labelled = members.join(stars.withColumnRenamed("star", "label"), "node", "left").withColumn("label", F.coalesce("label", F.lit(-1)))
     keys = ["crowd", "label", "node"]
     sorted_ = labelled.select(*keys, "fp", "shingles").repartitionByRange(*keys).sortWithinPartitions(*keys)
-    tiles = written(arrow_map(sorted_, _crowd_tiles, CROWD_DDL), "crowds")
+    # Before the step that numbers tiles by task.
+    tiles = written(arrow_map(few(sorted_, rows, SET_ROWS), _crowd_tiles, CROWD_DDL), "crowds")
     meta = tiles.select("crowd", "tile", "label")
     pairs = (
         meta.toDF("crowd", "a", "label_a")
@@ -477,7 +483,7 @@ def crowds(sets: DataFrame) -> DataFrame:
     """(node, crowd, fp, n) of the ``sets`` (node, fp) that lie within the radius and ``STAGE_TOTAL`` bits of another one,
     directly or through others: every pair of tiles is compared. ``n`` is the size of the crowd."""
     groups = similar_groups(sets, "node", STAGE_RADIUS, STAGE_LANES, STAGE_TOTAL)
-    placed = written(sets.join(groups, "fp").select("node", F.col("component").alias("crowd"), "fp"), "placed")
+    placed = written(few(sets.join(groups, "fp").select("node", F.col("component").alias("crowd"), "fp"), sets.count()), "placed")
     sizes = placed.groupBy("crowd").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return placed.join(sizes, "crowd")
 
@@ -500,11 +506,11 @@ def deduplicate(docs: DataFrame, item: str = "doc_id", text: str = "text") -> Da
     rank = F.struct(F.col(item).isNull().alias("n"), F.col(item).alias("i"), F.col(row).alias("r"))
     prints = full.select(F.col(fp).alias("fp"), F.col(digest).alias("digest"), rank.alias("rank"))
     sets = prints.groupBy("fp", "digest").agg(F.min("rank").alias("rank"))
-    sets = written(sets.select("fp", "rank", F.col("rank.r").alias("node")), "sets")
-    some = crowds(sets.select("node", "fp")).select("node", "crowd", "n", "fp")
-    texts = full.select(F.col(row).alias("node"), F.col(text).alias("text")).join(some, "node")
+    sets = written(few(sets.select("fp", "rank", F.col("rank.r").alias("node")), full.count()), "sets")
+    some, rows = crowds(sets.select("node", "fp")).select("node", "crowd", "n", "fp"), sets.count()
+    texts = few(full.select(F.col(row).alias("node"), F.col(text).alias("text")).join(some, "node"), rows, SET_ROWS)
     members = written(arrow_map(texts, _sets, "node bigint, crowd bigint, n bigint, fp binary, shingles binary"), "members")
-    found = components(verified_links(members))
+    found = components(verified_links(members), rows)
     named = sets.select("node", "rank").join(found, "node", "left").select("rank", F.coalesce("component", "node").alias("root"))
     keep = named.groupBy("root").agg(F.min("rank").alias("least")).select(F.col("least.r").alias(row))
     return full.join(keep, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

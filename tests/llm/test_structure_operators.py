@@ -407,3 +407,43 @@ def test_crowds_come_from_all_pairs_of_tiles(spark):
     rows = [(i, bytearray(w.byteswap().tobytes())) for i, w in enumerate(np.concatenate([words, near]))]
     found = simhash_tiles.crowds(spark.createDataFrame(rows, "node bigint, fp binary")).collect()
     assert sorted((r.node, r.crowd, r.n) for r in found) == sorted((i, i % 40, 2) for i in [*range(20), *range(40, 60)])
+
+
+def test_stage_makes_files_and_workers_by_rows_not_partitions(spark, monkeypatch):
+    """A table of few rows must not make a file for each partition of a shuffle, nor a stage run two steps in Python, each
+    with workers of its own in an executor's memory."""
+    from millrace.operators import components as module
+
+    made, chained, original, mapped = [], [], simhash_tiles.written, simhash_tiles.arrow_map
+    keep = lambda df, name: made.append((name, original(df, name))) or made[-1][1]
+
+    def once(df, function, schema):
+        for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines():
+            if "MapInArrow" in line:
+                chained.append(function.__qualname__)
+            if any(x in line for x in ("MapInArrow", "Aggregate", "Join", "RepartitionByExpression")):
+                break
+        return mapped(df, function, schema)
+
+    monkeypatch.setattr(simhash_tiles, "written", keep)
+    monkeypatch.setattr(module, "written", keep)
+    monkeypatch.setattr(simhash_tiles, "arrow_map", once)
+    base = [f"w{i}" for i in range(200)]
+    family = [" ".join([*base[:k], f"new{k % 150}", *base[k + 1 :]]) for k in range(200)] + [" ".join([*base, f"end{k}"]) for k in range(400)]
+    lone = [" ".join(f"x{n}y{i}" for i in range(30)) for n in range(600)]
+    docs = spark.createDataFrame(list(enumerate(family + lone)), "doc_id bigint, text string")
+    cores = spark.sparkContext.defaultParallelism
+    settings = {"spark.sql.shuffle.partitions": str(cores * 6), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        kept = sorted(r["doc_id"] for r in simhash_tiles.deduplicate(docs).select("doc_id").collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert kept == [0, *range(600, 1200)]
+    assert not chained
+    assert {"sets", "placed", "members", "star", "stars", "crowds", "edges"} <= {name for name, _ in made}
+    files = {(n, name): len(df.inputFiles()) for n, (name, df) in enumerate(made)}
+    assert all(count <= cores * (simhash_tiles.STARS if name == "stars" else 1) for (_, name), count in files.items()), files
