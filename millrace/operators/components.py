@@ -8,17 +8,19 @@ from pyspark.sql import functions as F
 from ..scratch import few, written
 
 
-def components(edges: DataFrame, about: int | None = None) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b of one ordered type); the component is its smallest node.
 
     Large and small stars in turns: every node hands its larger neighbours, then its smaller ones, to the smallest
     node that it knows. Edges never grow in number, and the rounds grow with the logarithm of a component's width.
     Each step is a written table, so a lost executor repeats one step at most; it has tasks and files for its edges, not
-    for the partitions of a shuffle; ``about``, the number of edges at the start, does so for the first table. Self-loops
-    give no node.
+    for the partitions of a shuffle. Self-loops give no node.
     """
+    spark = edges.sparkSession
     first = edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
-    current = written(first if about is None else few(first, about), "edges")
+    # Edges are two numbers each: an eighth of the partitions that suit the data serve them.
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions")) // 8
+    current = written(first.coalesce(max(1, spark.sparkContext.defaultParallelism, partitions)), "edges")
     rows, before = current.count(), None
     while True:
         both = current.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(
